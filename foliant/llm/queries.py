@@ -23,6 +23,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.packing import pack
 
