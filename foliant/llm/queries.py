@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.url_filter import entries_of, judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), entries_of(spark))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.mixing import mix
 
@@ -59,6 +65,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from foliant.llm import mixing
+    from foliant.llm import mixing, url_filter
 
-    return {"op3_mixing": mixing.oracle()}
+    return {"op1_url_filter": url_filter.oracle(), "op3_mixing": mixing.oracle()}
