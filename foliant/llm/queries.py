@@ -54,6 +54,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("places")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.toxicity import toxicity
 
@@ -65,6 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from foliant.llm import mixing, url_filter
+    from foliant.llm import licenses, mixing, url_filter
 
-    return {"op1_url_filter": url_filter.oracle(), "op3_mixing": mixing.oracle()}
+    return {"op1_url_filter": url_filter.oracle(), "op3_mixing": mixing.oracle(), "op9_licenses": licenses.oracle()}
