@@ -54,6 +54,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from foliant.llm.topk import top_k, vector_entries
+
+    entries = vector_entries(table(spark, sf_dir, "embeddings"))
+    return top_k(entries, entries.filter(F.col("id") % 20 == 0), 20).withColumnRenamed("id", "vec_id")
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.licenses import scan
 
