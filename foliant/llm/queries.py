@@ -23,6 +23,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), entries_of(spark))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.mixing import mix
 
