@@ -211,3 +211,16 @@ def identify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages numbers, whatever the input
     rows = docs.select("doc_id", (fold_of() == 0).alias("held_out"), "text")
     return rows.mapInArrow(predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, s: Settings = Settings(), least: float = 0.0) -> DataFrame:
+    """The documents, with all their columns, in a language the model knows: not ``und``, and scored at least ``least``."""
+    model = fit(docs.filter(fold_of() != 0), s)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = shared.value.predict(batch.column("text"))
+            yield batch.filter(pa.array([x != UNKNOWN and p >= least for x, p in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

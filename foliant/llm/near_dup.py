@@ -286,6 +286,29 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row per document."""
+    return classified(docs, k, percent).drop("th")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The documents that near_duplicates() keeps, with all their columns; of rows with equal id and text, one."""
+    found = written(classified(docs, k, percent), "found")
+    key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))
+    of = F.struct(F.col("doc_id").alias("i"), F.col("th").alias("t"))
+
+    def sized(keys: DataFrame) -> DataFrame:
+        keys = written(keys, "keys")
+        return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+    rows = docs.withColumn("_key", key)
+    best = rows.join(sized(found.filter("not kept").select(of.alias("_key")).distinct()), "_key", "left_anti")
+    again = found.filter("kept").groupBy(of.alias("_key")).count().filter("count > 1").select("_key")
+    again = sized(again)
+    once = best.join(again, "_key", "left_anti")
+    return once.union(best.join(again, "_key", "left_semi").dropDuplicates(["_key"])).drop("_key")
+
+
+def classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_duplicates() with a hash of each text, th."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
@@ -352,6 +375,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     moved = joined.join(least, "root").select("fp", "component_id")
     final = written(reps.select("fp", "doc_id").join(moved, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id")), "final")
-    out = seen.select("doc_id", "fp", F.col("n").alias("n_shingles")).join(final, "fp", "left")
+    out = seen.select("doc_id", "th", "fp", F.col("n").alias("n_shingles")).join(final, "fp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -202,3 +202,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
     rows = docs.select("doc_id", (fold_of() == 0).alias("held_out"), "text")
     return rows.mapInArrow(scorer(sent), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_ordinary(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The documents, with all their columns, that are not predicted to be toxic."""
+    model = fit(docs, labels, s)
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(sent.value.score(batch.column("text")) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
