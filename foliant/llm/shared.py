@@ -8,6 +8,7 @@ is bounded by the chunk (or by one text, if that is longer).
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -64,6 +65,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of what is out of use."""
+    for t in tables:
+        for f in {x.rpartition("/")[0] for x in t.inputFiles()[:1]}:
+            if f.removeprefix("file:").lstrip("/").startswith(workdir(spark).removeprefix("file:").lstrip("/")):
+                path = spark._jvm.org.apache.hadoop.fs.Path(f)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string array; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
