@@ -1,5 +1,6 @@
 """A paged HTTP JSON API as a Spark data source: pages are counted once and read in parallel.
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedJson)
     spark.read.format("paged_json").option("url", "http://host/api/users/0/items/top").load()
 
