@@ -4,13 +4,15 @@
    tokens are kept. Documents with equal sets are one class with one representative, however many they are.
 2. Independent trees branch the representatives: at each level a tree chooses one of the minwise tokens, and those
    that agree on it stay together. Nodes of at most ``SMALL`` members are compared exhaustively on their sketches;
-   larger ones are compared with pivots and branched again by the next token. A pair at the threshold t agrees on one
+   larger ones are compared with a pivot and branched again by the next token. A pair at the threshold t agrees on one
    chosen token with probability t, so ``TREES`` trees miss it with (1 - t ** depth) ** TREES.
-3. Only the strongest links of a node that span it (a maximum spanning forest) become candidates, so a group of copies
-   gives as many candidates as members and not all pairs. They are confirmed on the full sets, and components found.
-4. Nodes that still hold several components are compared again, now on all pairs between different components, and
-   large nodes that are left at the last level in blocks. So a link is only left untested if its two ends are known to
-   be in one component already, or if no tree brought them together.
+3. Only the strongest links of a node that span it (a maximum spanning forest), and each member's best pivot, become
+   candidates, so a group of copies gives candidates in proportion to its members and not all pairs. They are
+   confirmed on the full sets, and components found.
+4. Nodes that still hold several components are compared again, now exhaustively between different components, and
+   large nodes that are left at the last level in blocks. Members with a possible partner bring their full sets along,
+   are compared on those, and only links that join components leave the node. So a link is only left untested if its
+   two ends are known to be in one component already, or if no tree brought them together.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; fewer words than a shingle are
 one shingle; repeated rows are one class; a null doc_id never is the smallest of a class unless all are null; an empty
@@ -201,47 +203,95 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield held.combine_chunks()
 
 
-def comparer(across: bool):
-    """Candidate pairs inside each node: a spanning forest, or all between different components."""
+def spanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (node, a, b) that span each node."""
+    node, left, right = [], [], []
+
+    def rows() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["node", "a", "b"])
+        node.clear(), left.clear(), right.clear()
+        return out
+
+    for t in groups(batches, ["node"]):
+        if t.num_rows < 2:
+            continue
+        a = agreements(_matrix(t["sketch"].combine_chunks(), "<u4"))
+        np.fill_diagonal(a, -1)
+        if not (a >= AGREE).any():
+            continue
+        fp = t["fp"].to_pylist()
+        for i, j in spanning(a):
+            node.append(t["node"][0].as_py())
+            left.append(min(fp[i], fp[j]))
+            right.append(max(fp[i], fp[j]))
+        if len(node) > 50_000:
+            yield rows()
+    yield rows()
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, left, right = [], [], []
 
-        def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["node", "a", "b"])
-            node.clear(), left.clear(), right.clear()
-            return out
+def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members and pivots whose sketches agree on enough, and on how many tokens."""
+    for batch in batches:
+        n = (_matrix(batch.column("sa"), "<u4") == _matrix(batch.column("sb"), "<u4")).sum(1).astype(np.int32)
+        out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "fp", "pivot")), pa.array(n)], ["node", "fp", "pivot", "n"])
+        yield out.filter(pa.array(n >= AGREE))
+
 
+def seekers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each block of a node that may link to one of another component there."""
+    for t in groups(batches, ["node", "block"]):
+        if t.num_rows < 2:
+            continue
+        near = agreements(_matrix(t["sketch"].combine_chunks(), "<u4")) >= AGREE
+        _, root = np.unique(np.array(t["root"].to_pylist(), object), return_inverse=True)
+        some = (near & (root[:, None] != root[None, :])).any(1)
+        if some.any():
+            yield from t.select(["node", "block", "fp", "root"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+
+def common(sets: list[np.ndarray], width: int = 1 << 15) -> np.ndarray:
+    """Sizes of the intersections of each two sets."""
+    m = len(sets)
+    h, row = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    o = np.argsort(h, kind="stable")
+    h, row = h[o], row[o]
+    col = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+    twice = np.bincount(col)[col] > 1
+    row, col = row[twice], col[twice]
+    if len(col):
+        col = np.cumsum(np.append(True, col[1:] != col[:-1])) - 1
+    out = np.zeros((m, m))
+    n = int(col[-1]) + 1 if len(col) else 0
+    for at in range(0, n, width):
+        x, y = np.searchsorted(col, [at, at + width])
+        has = np.zeros((m, min(width, n - at)), np.float32)
+        has[row[x:y], col[x:y] - at] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
+
+
+def linker(percent: int):
+    """Links (a, b) that join different components in a block of a node, as few as join them."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = [], []
         for t in groups(batches, ["node", "block"]):
             if t.num_rows < 2:
                 continue
-            s = _matrix(t.column("sketch").combine_chunks(), "<u4")
-            fp = t.column("fp").to_pylist()
-            a = agreements(s)
-            if across:
-                root = np.array(t.column("root").to_pylist(), object)
-                x, y = np.nonzero(np.triu(a >= AGREE, 1))
-                pairs = [(i, j) for i, j in zip(x.tolist(), y.tolist()) if root[i] != root[j]]
-            else:
-                np.fill_diagonal(a, -1)
-                pairs = spanning(a) if (a >= AGREE).any() else []
-            for i, j in pairs:
-                if fp[i] != fp[j]:
-                    node.append(t.column("node")[0].as_py())
+            fp = t["fp"].to_pylist()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["hashes"].combine_chunks()]
+            size, both = np.array([len(x) for x in sets]), common(sets)
+            close = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            _, root = np.unique(np.array(t["root"].to_pylist(), object), return_inverse=True)
+            for i in range(len(fp)):
+                for other in np.unique(root[close[i] & (root != root[i])]).tolist():
+                    j = int(np.flatnonzero(close[i] & (root == other))[0])
                     left.append(min(fp[i], fp[j]))
                     right.append(max(fp[i], fp[j]))
-            if len(node) > 50_000:
-                yield rows()
-        yield rows()
+                    root[root == other] = root[i]
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    return compare
-
-
-def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches agree on enough."""
-    for batch in batches:
-        n = (_matrix(batch.column("sa"), "<u4") == _matrix(batch.column("sb"), "<u4")).sum(1)
-        yield batch.select(["node", "a", "b"]).filter(pa.array(n >= AGREE))
+    return link
 
 
 def confirmer(percent: int):
@@ -260,13 +310,17 @@ def confirmer(percent: int):
     return confirm
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b of fingerprints) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+def full_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(fp, hashes) of the classes in ids."""
     wanted = written(ids.join(reps.select("fp", "doc_id", "th"), "fp").select(F.col("doc_id").alias("want_id"), F.col("th").alias("want_th")), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("th") == F.col("want_th")), "left_semi")
-    sets = written(texts.select("text").mapInArrow(setter(k), "fp binary, hashes binary").dropDuplicates(["fp"]), "sets")
+    return written(texts.select("text").mapInArrow(setter(k), "fp binary, hashes binary").dropDuplicates(["fp"]), "sets")
+
+
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b of fingerprints) whose full sets are similar enough."""
+    sets = full_sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), reps, docs, k)
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("hb")), "b")
     return both.select("a", "b", "ha", "hb").mapInArrow(confirmer(percent), "a binary, b binary")
 
@@ -327,9 +381,8 @@ def classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if large.isEmpty():
             large = None
             break
-        heads = large.groupBy("node").agg(F.min("fp").alias("p"), F.min(F.struct(F.xxhash64("fp").alias("h"), "fp")).alias("q"))
-        near = large.join(heads, "node").select("node", "fp", F.explode(F.array("p", "q.fp")).alias("pivot")).filter("fp != pivot")
-        pivots.append(near.select("node", F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")))
+        heads = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("fp").alias("h"), "fp")).alias("q"))
+        pivots.append(large.join(heads, "node").select("node", "fp", F.col("q.fp").alias("pivot")).filter("fp != pivot"))
         if level + 1 < LEVELS:
             rows = large.join(sketches, "fp").select("node", "tree", "fp", "sketch").mapInArrow(brancher(level + 1), "node long, tree int, fp binary")
 
@@ -341,11 +394,12 @@ def classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     pair = "node long, a binary, b binary"
     members = union([x.select("node", "fp") for x in small])
-    found = members.join(sketches, "fp").select("node", F.lit(0).alias("block"), "fp", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(comparer(False), pair)
+    found = members.join(sketches, "fp").select("node", "fp", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(spanner, pair)
     if pivots:
-        near = union(pivots).dropDuplicates(["a", "b"])
-        near = near.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("node", "a", "b", "sa", "sb").mapInArrow(alike, pair)
-        found = found.union(near)
+        near = union(pivots).dropDuplicates(["fp", "pivot"])
+        near = near.join(sketches.toDF("fp", "sa"), "fp").join(sketches.toDF("pivot", "sb"), "pivot").select("node", "fp", "pivot", "sa", "sb").mapInArrow(alike, "node long, fp binary, pivot binary, n int")
+        near = near.groupBy("fp").agg(F.max(F.struct("n", "pivot", "node")).alias("best"))
+        found = found.union(near.select("best.node", F.least("fp", "best.pivot"), F.greatest("fp", "best.pivot")))
     found = written(found, "candidates")
     tested = found.select("a", "b").distinct()
     links = written(confirmed(tested, reps, docs, k, percent), "links")
@@ -364,10 +418,12 @@ def classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
         m = m.join(main, "node").withColumn("blocks", F.ceil(F.col("size") / (SMALL // 2)).cast("int"))
         own = m.withColumn("block", F.when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
         parts.append(own.select("node", F.explode("block").alias("block"), "fp", "root"))
-    again = union(parts).join(sketches, "fp").select("node", "block", "fp", "root", "sketch").repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(comparer(True), pair)
-    more = written(again.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
-    if not more.isEmpty():
-        late = written(confirmed(more, reps, docs, k, percent), "links")
+    held = union(parts).join(sketches, "fp").select("node", "block", "fp", "root", "sketch").repartition("node", "block").sortWithinPartitions("node", "block")
+    active = written(held.mapInArrow(seekers, "node long, block int, fp binary, root binary"), "active")
+    if not active.isEmpty():
+        sets = full_sets(active.select("fp").distinct(), reps, docs, k)
+        held = active.join(sets, "fp").select("node", "block", "fp", "root", "hashes").repartition("node", "block").sortWithinPartitions("node", "block")
+        late = written(held.mapInArrow(linker(percent), "a binary, b binary").distinct(), "links")
         if not late.isEmpty():
             roots = components(links.union(late))
 
