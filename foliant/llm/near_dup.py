@@ -32,7 +32,8 @@ from foliant.llm.shared import FOLDED, chunks, mix, ship, slice_hashes, utf8, wo
 
 SKETCH = 64
 TREES = 16
-LEVELS = 6
+#: Levels that all large nodes are branched to, and the most that LEVELS may be; what is large at the last is compared in blocks.
+LEVELS, DEEPEST = 3, 8
 SMALL = 128
 #: Sketches that agree on fewer of their tokens are no candidates: at a similarity of 0.75 that is 4.6 deviations off.
 AGREE = 32
@@ -42,9 +43,9 @@ _rng = np.random.default_rng(577215)
 _MULT = _rng.integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 _FLIP = _rng.integers(0, 1 << 32, SKETCH, dtype=np.uint64).astype(np.uint32)
 _SPREAD = _rng.integers(0, 1 << 32, SKETCH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_TREE = _rng.integers(0, 1 << 63, (TREES, LEVELS), dtype=np.uint64)
+_TREE = _rng.integers(0, 1 << 63, (TREES, DEEPEST), dtype=np.uint64)
 #: Which token each tree chooses at each level: no two trees share one in the first four levels.
-CHOSEN = np.array([[(4 * t + v) % SKETCH if v < 4 else (4 * t + 17 * v + 1) % SKETCH for v in range(LEVELS)] for t in range(TREES)])
+CHOSEN = np.array([[(4 * t + v) % SKETCH if v < 4 else (4 * t + 17 * v + 1) % SKETCH for v in range(DEEPEST)] for t in range(TREES)])
 
 
 def shingles(b: np.ndarray, o: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
