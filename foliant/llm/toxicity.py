@@ -1,9 +1,10 @@
 """Toxicity by two Kneser-Ney language models, one of toxic and one of ordinary documents.
 
 Words are runs of letters, digits and non-ASCII characters (A-Z folded), hashed into fixed tables. Each class has an
-interpolated Kneser-Ney bigram model: discounted counts of bigrams that occur ``FREQUENT`` times or more (those of
-others are discounted wholly) back off to the class's own continuation counts (how many different words precede a
-word, so copies of a text count once). Either level also has backoff counts that both classes share: ``FLOOR`` and the
+interpolated Kneser-Ney bigram model: a bigram's count is that of the different words after it, a word's that of the
+different words before it, at a word's first place in each text, so copies of a text, near ones too, count about once,
+and so do a text's repetitions. Discounted counts of bigrams with
+``FREQUENT`` or more (those of others are discounted wholly) back off to the class's own counts of words. Either level also has backoff counts that both classes share: ``FLOOR`` and the
 share ``BACKOFF`` of the mean count. An expression that is rare in both classes is then about as likely in either.
 A document's
 evidence is the log-likelihood ratio per word, over the whole text and over its most toxic run of ``WINDOW`` words
@@ -57,13 +58,17 @@ def bigrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (class, word before, word)."""
+    """The distinct (class, word before, word, word after) of a batch."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         for i, j, w, h, first in bigrams(batch.column("text")):
             own = np.repeat(toxic[i:j], np.diff(first))
-            key, n = np.unique((own << 40) | (h << 20) | w, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            after = np.append(w[1:], 0)
+            after[first[1:][first[1:] > 0] - 1] = 0
+            doc = np.repeat(np.arange(j - i), np.diff(first))
+            _, at = np.unique((doc << 20) | w, return_index=True)  # one text's repetitions of a word count once
+            key = np.sort(((own << 60) | (h << 40) | (w << 20) | after)[at])
+            yield pa.RecordBatch.from_arrays([pa.array(key[np.append(True, key[1:] != key[:-1])] if len(key) else key)], ["key"])
 
 
 @dataclass
@@ -105,10 +110,15 @@ class Model:
             yield mean, top
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        parts = [1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * m + self.curve[2] * t, -40, 40))) for m, t in self.evidence(texts)]
+        parts = [1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * m + self.curve[2] * steep(t), -40, 40))) for m, t in self.evidence(texts)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
 
+def steep(top: np.ndarray) -> np.ndarray:
+    """The fourth power: a run that is twice as toxic counts for much more than two, as chance makes many weak ones."""
+    return np.maximum(top, 0) ** 4
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Newton's method on a log loss with a ridge penalty on the standardised columns; the bias comes first."""
     mid, spread = x.mean(0), x.std(0) + 1e-9
@@ -142,8 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model |
     # At most about 4 * sample ids, so they may be broadcast.
     chosen = F.broadcast(ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share))
     texts = written(docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").dropDuplicates(["doc_id"]), "sample")
-    grams = texts.filter("part = 0").select("text", "toxic").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    grams = written(grams.select(F.shiftright("key", 40).alias("c"), F.expr("(key >> 20) & 1048575").alias("h"), F.expr("key & 1048575").alias("w"), "n"), "bigrams")
+    grams = texts.filter("part = 0").select("text", "toxic").mapInArrow(counted, "key long").distinct()
+    parts = [F.expr(f"(key >> {at}) & 1048575").alias(c) for c, at in (("h", 40), ("w", 20))]
+    grams = written(grams.select(F.shiftright("key", 60).alias("c"), *parts).groupBy("c", "h", "w").agg(F.count("*").alias("n")), "bigrams")
 
     def table(df: DataFrame, key: str, size: int) -> np.ndarray:
         t = df.toArrow()
@@ -168,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model |
     model = Model(unigram.astype(np.float32), spared.astype(np.float32), ((h << 20) | w)[order], share[:, order].astype(np.float32), np.zeros(3))
     sent = spark.sparkContext.broadcast(model)
     rows = texts.filter("part = 1").select("toxic", "text").mapInArrow(prover(sent), "toxic long, mean double, top double").toArrow()
-    x, y = np.column_stack([rows["mean"].to_numpy(), rows["top"].to_numpy()]), rows["toxic"].to_numpy()
+    x, y = np.column_stack([rows["mean"].to_numpy(), steep(rows["top"].to_numpy())]), rows["toxic"].to_numpy()
     order = np.lexsort((y, x[:, 1], x[:, 0]))
     model.curve = logistic(x[order], y[order])
     return model
