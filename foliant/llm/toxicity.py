@@ -1,17 +1,18 @@
 """Toxicity by two Kneser-Ney language models, one of toxic and one of ordinary documents.
 
 Words are runs of letters, digits and non-ASCII characters (A-Z folded), hashed into fixed tables. Each class has an
-interpolated Kneser-Ney bigram model: a bigram's count is that of the different words after it, a word's that of the
-different words before it, at a word's first place in each text, so copies of a text, near ones too, count about once,
-and so do a text's repetitions. Discounted counts of bigrams with
-``FREQUENT`` or more (those of others are discounted wholly) back off to the class's own counts of words. Either level also has backoff counts that both classes share: ``FLOOR`` and the
-share ``BACKOFF`` of the mean count. An expression that is rare in both classes is then about as likely in either.
-A document's
+interpolated Kneser-Ney bigram model of all places in all its labelled documents outside the held-out and the
+calibration fold: a bigram's count is that of the different words after it, a word's that of the different words before
+it, so copies of a text, near ones too, count about once; every count is discounted. Counts of the larger class are scaled
+to the smaller one's total. Either level also has backoff counts that both classes share: ``FLOOR`` and the share
+``BACKOFF`` of the mean count; those of a bigram, and what the discounts spare, are dealt by the class's own model of
+words. An expression that is rare in both classes is then about as likely in either. A document's
 evidence is the log-likelihood ratio per word, over the whole text and over its most toxic run of ``WINDOW`` words
 (a long text may be toxic in one place only); a logistic function learned from other labelled documents makes it a score.
 
-The models are fitted on equally many documents of either class, ``sample`` at most, so that neither has the finer
-counts, and calibrated on documents that they have not seen, at most ``sample`` a class. Edge cases: a null or wordless text has no evidence either way and gets the score of a
+The table of bigrams is as large as the labelled texts make it and goes to the driver and every worker (12 bytes a
+bigram). The calibration alone is bounded: it sees at most ``sample`` documents a class that the models have not seen.
+Edge cases: a null or wordless text has no evidence either way and gets the score of a
 ratio of 0; without labels of both classes every score is 0; several labels of one doc_id count as toxic if one
 does; labels of null doc_ids are not used; repeated rows are scored alike; other columns are ignored.
 """
@@ -27,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.language_id import fold_of
-from foliant.llm.shared import FOLDED, chunks, ship, slice_hashes, utf8, words, written
+from foliant.llm.shared import FOLDED, chunks, release, ship, slice_hashes, utf8, words, written
 
 WORDS = 1 << 18
+#: Ids that may be broadcast; more are joined by shuffling.
+BROADCAST_IDS = 1 << 21
 WINDOW = 1
 DISCOUNT = 0.75
-FREQUENT = 8
 FLOOR = 8.0
 BACKOFF = 0.2
 MEMBER = np.zeros(256, bool)
@@ -41,7 +43,7 @@ MEMBER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tr
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: the bound on documents a class for the models, and again for the calibration."""
+    """sample: the bound on documents a class for the calibration."""
 
     sample: int = 6000
 
@@ -63,33 +65,58 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         for i, j, w, h, first in bigrams(batch.column("text")):
             own = np.repeat(toxic[i:j], np.diff(first))
-            after = np.append(w[1:], 0)
+            after = np.append(w[1:], 0)[: len(w)]
             after[first[1:][first[1:] > 0] - 1] = 0
-            doc = np.repeat(np.arange(j - i), np.diff(first))
-            _, at = np.unique((doc << 20) | w, return_index=True)  # one text's repetitions of a word count once
-            key = np.sort(((own << 60) | (h << 40) | (w << 20) | after)[at])
-            yield pa.RecordBatch.from_arrays([pa.array(key[np.append(True, key[1:] != key[:-1])] if len(key) else key)], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique((own << 60) | (h << 40) | (w << 20) | after))], ["key"])
+
+
+def tally(texts: DataFrame) -> DataFrame:
+    """Of each pair of words (key: the first << 20 | the second), the different words after it in ordinary and in toxic texts."""
+    grams = texts.select("text", "toxic").mapInArrow(counted, "key long").distinct()
+    n = [F.count_if(F.shiftright("key", 60) == c).alias(f"n{c}") for c in (0, 1)]
+    return grams.groupBy(F.expr("(key >> 20) & 1099511627775").alias("pair")).agg(*n).withColumnRenamed("pair", "key")
 
 
 @dataclass
 class Model:
-    """Tables for [ordinary, toxic]; all but those of frequent pairs have a fixed size, and the sample bounds those."""
-
-    unigram: np.ndarray  # 2 x WORDS: probability after any word
-    spared: np.ndarray  # WORDS: what share of the probability after this word is discounted, the same in both classes
-    pairs: np.ndarray  # frequent pairs of words, ascending
-    share: np.ndarray  # 2 x pairs: the second word's part of the rest
-    curve: np.ndarray  # of bias, whole text, window
+    """Log ratios of toxic to ordinary."""
+
+    pairs: np.ndarray  # pairs of words, ascending
+    pair: np.ndarray  # of each pair
+    word: np.ndarray  # WORDS: of a word in any pair that is not there
+    before: np.ndarray  # WORDS: of the counts' totals after a word
+
+    @classmethod
+    def of(cls, pairs: np.ndarray, n: np.ndarray) -> Model:
+        """pairs: ascending; n: 2 x pairs, their counts in ordinary and toxic texts."""
+        scaled = lambda total: (total.min() / np.maximum(total, 1))[:, None]
+        parts = [slice(x, x + (1 << 20)) for x in range(0, len(pairs), 1 << 20)]  # bounds what is made on the way
+        kinds, seen = np.zeros((2, WORDS)), np.zeros(WORDS)
+        for x in parts:
+            seen += np.bincount(pairs[x] >> 20, minlength=WORDS)
+            for c in (0, 1):
+                kinds[c] += np.bincount((pairs[x] & 1048575)[n[c, x] > 0], minlength=WORDS)
+        own = np.maximum(kinds - DISCOUNT, 0) * scaled(kinds.sum(1))
+        word = own + FLOOR + BACKOFF * own.mean(0)
+        word /= word.sum(1, keepdims=True)
+        tilt = word / word.mean(0)
+        size = scaled(n.sum(1, dtype=np.int64))
+        total, pair = np.tile(DISCOUNT * seen + FLOOR, (2, 1)), np.empty(len(pairs), np.float32)
+        for x in parts:
+            h, w = pairs[x] >> 20, pairs[x] & 1048575
+            own = np.maximum(n[:, x] - DISCOUNT, 0) * size
+            kept = own + (FLOOR + BACKOFF * own.mean(0)) * tilt[:, w]
+            total += np.stack([np.bincount(h, k, WORDS) for k in kept])
+            pair[x] = np.log(kept[1] / kept[0])
+        return cls(pairs, pair, np.log(tilt[1] / tilt[0]).astype(np.float32), np.log(total[1] / total[0]).astype(np.float32))
 
     def ratios(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
-        p = [self.unigram[c][w] * self.spared[h] for c in (0, 1)]
+        out = self.word[w]
         if len(self.pairs):
-            key = (h << 20) | w
+            key, back = np.unique((h << 20) | w, return_inverse=True)
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            found = np.flatnonzero(self.pairs[at] == key)
-            for c in (0, 1):
-                p[c][found] += self.share[c][at[found]]
-        return np.log(p[1] / p[0])
+            out = np.where((self.pairs[at] == key)[back], self.pair[at][back], out)
+        return (out - self.before[h]).astype(np.float64)
 
     def evidence(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each text: the mean log ratio, and that of its most toxic window."""
@@ -109,8 +136,9 @@ class Model:
                 top[full] = np.maximum.reduceat(sums, np.flatnonzero(np.append(True, doc[1:] != doc[:-1])))
             yield mean, top
 
-    def score(self, texts: pa.Array) -> np.ndarray:
-        parts = [1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * m + self.curve[2] * steep(t), -40, 40))) for m, t in self.evidence(texts)]
+    def score(self, texts: pa.Array, curve: np.ndarray) -> np.ndarray:
+        """curve: of bias, whole text, window."""
+        parts = [1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * m + curve[2] * steep(t), -40, 40))) for m, t in self.evidence(texts)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -135,54 +163,54 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return np.concatenate([[w[0] - (w[1:] * mid / spread).sum()], w[1:] / spread])
 
 
-def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
-    """A model of labelled documents outside the held-out fold: folds 1 to 3 for the counts, 4 for the calibration."""
-    spark = docs.sparkSession
-    ship(spark)
+def known_texts(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame | None:
+    """Labelled texts outside the held-out fold: all of folds 1 to 3 (part 0), and of 4 those to calibrate on (part 1)."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic in (0, 1)")
     ids = docs.select("doc_id").distinct().join(known, "doc_id").withColumn("part", F.when(fold_of() == 4, 1).otherwise(0)).filter(fold_of() != 0)
     ids = written(ids, "labelled")
     counts = {(r["toxic"], r["part"]): r["count"] for r in ids.groupBy("toxic", "part").count().collect()}
     if len(counts) < 4:
         return None
-    share, even = F.lit(0), min(s.sample, counts[0, 0], counts[1, 0])
-    for (toxic, part), n in counts.items():
-        most = s.sample if part else even
-        share = F.when((F.col("toxic") == toxic) & (F.col("part") == part), F.lit(min(1 << 20, -(-most * (1 << 20) // n)))).otherwise(share)
-    # At most about 4 * sample ids, so they may be broadcast.
-    chosen = F.broadcast(ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share))
+    share = F.lit(1 << 20)
+    for toxic in (0, 1):
+        share = F.when((F.col("toxic") == toxic) & (F.col("part") == 1), F.lit(min(1 << 20, -(-s.sample * (1 << 20) // counts[toxic, 1])))).otherwise(share)
+    chosen = ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share)
+    if sum(counts.values()) <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
     texts = written(docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").dropDuplicates(["doc_id"]), "sample")
-    grams = texts.filter("part = 0").select("text", "toxic").mapInArrow(counted, "key long").distinct()
-    parts = [F.expr(f"(key >> {at}) & 1048575").alias(c) for c, at in (("h", 40), ("w", 20))]
-    grams = written(grams.select(F.shiftright("key", 60).alias("c"), *parts).groupBy("c", "h", "w").agg(F.count("*").alias("n")), "bigrams")
-
-    def table(df: DataFrame, key: str, size: int) -> np.ndarray:
-        t = df.toArrow()
-        out = np.zeros((2, size, t.num_columns - 2), np.float32)
-        out[t["c"].to_numpy(), t[key].to_numpy()] = np.column_stack([t.column(k).to_numpy() for k in range(2, t.num_columns)])
-        return out
-
-    kinds = table(grams.groupBy("c", "w").agg(F.count("*").alias("k")), "w", WORDS)[:, :, 0].astype(np.float64)
-    before = table(grams.groupBy("c", "h").agg(F.sum("n").alias("n")), "h", WORDS)[:, :, 0].astype(np.float64)
-    split = [F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
-    often = grams.groupBy("h", "w").agg(*split).filter(F.col("n0") + F.col("n1") >= FREQUENT).toArrow()
-    h, w, n = often["h"].to_numpy(), often["w"].to_numpy(), np.stack([often["n0"].to_numpy(), often["n1"].to_numpy()]).astype(np.float64)
-    unigram = np.maximum(kinds - DISCOUNT, 0) + FLOOR + BACKOFF * kinds.mean(0)
-    unigram /= unigram.sum(1, keepdims=True)
-    own, shared = np.maximum(n - DISCOUNT, 0), FLOOR + BACKOFF * n.mean(0)
-    kept = own + shared
-    rest = np.stack([np.bincount(h, x, WORDS) for x in kept]).astype(np.float64)
-    total = before.sum(0) + 2 * np.bincount(h, shared, WORDS)
-    spared = np.where(total > 0, 1 - rest.sum(0) / np.maximum(total, 1), 1.0)
-    share = (1 - spared[h]) * kept / np.maximum(rest[:, h], 1e-9)
-    order = np.argsort((h << 20) | w)
-    model = Model(unigram.astype(np.float32), spared.astype(np.float32), ((h << 20) | w)[order], share[:, order].astype(np.float32), np.zeros(3))
-    sent = spark.sparkContext.broadcast(model)
+    release(docs.sparkSession, ids)  # the shuffle files of texts before those of the counts
+    return texts
+
+
+def gathered(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs, ascending, and their counts; a range of pairs at a time, so that the driver holds little besides."""
+    total = counts.count()
+    pairs, n, at = np.empty(total, np.int64), np.empty((2, total), np.int32), 0
+    step = -(-WORDS // (1 + total // 1_000_000)) << 20
+    for low in range(0, WORDS << 20, step):
+        t = counts.filter((F.col("key") >= low) & (F.col("key") < low + step)).select("key", F.col("n0").cast("int"), F.col("n1").cast("int")).toArrow()
+        to = at + t.num_rows
+        key = t["key"].to_numpy()
+        order = np.argsort(key)
+        pairs[at:to] = key[order]
+        for c in (0, 1):
+            n[c, at:to] = t[f"n{c}"].to_numpy()[order]
+        at = to
+    return pairs, n
+
+
+def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()):
+    """A broadcast model of labelled documents outside the held-out fold, and its curve; None without both classes."""
+    spark = docs.sparkSession
+    ship(spark)
+    texts = known_texts(docs, labels, s)
+    if texts is None:
+        return None
+    sent = spark.sparkContext.broadcast(Model.of(*gathered(written(tally(texts.filter("part = 0")), "bigrams"))))
     rows = texts.filter("part = 1").select("toxic", "text").mapInArrow(prover(sent), "toxic long, mean double, top double").toArrow()
     x, y = np.column_stack([rows["mean"].to_numpy(), steep(rows["top"].to_numpy())]), rows["toxic"].to_numpy()
     order = np.lexsort((y, x[:, 1], x[:, 0]))
-    model.curve = logistic(x[order], y[order])
-    return model
+    return sent, logistic(x[order], y[order])
 
 
 def prover(model):
@@ -200,7 +228,7 @@ def scorer(model):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = model.value.score(batch.column("text")) if model is not None else np.zeros(batch.num_rows)
+            p = model[0].value.score(batch.column("text"), model[1]) if model is not None else np.zeros(batch.num_rows)
             names = [x for x in batch.schema.names if x != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
@@ -210,9 +238,8 @@ def scorer(model):
 def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     model = fit(docs, labels, s)
-    sent = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
     rows = docs.select("doc_id", (fold_of() == 0).alias("held_out"), "text")
-    return rows.mapInArrow(scorer(sent), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -220,11 +247,11 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     model = fit(docs, labels, s)
     if model is None:
         return docs
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, curve = model
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(sent.value.score(batch.column("text")) < 0.5))
+                yield batch.filter(pa.array(sent.value.score(batch.column("text"), curve) < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -75,3 +75,33 @@ def test_toxicity_without_labels(spark, labelled):
     docs, labels = labelled
     assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0 and toxicity.keep_ordinary(docs, labels.filter("toxic = 0")).count() == docs.count()
+
+
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    rng = random.Random(3)
+    abuse = [f"vile{n}" for n in range(8)]
+    rows, labels = [], []
+    for n in range(1500):
+        words = prose(rng, 60).split()
+        if n % 5 == 0:
+            words[rng.randrange(len(words))] = abuse[n // 5 % 8]
+        rows.append((n, " ".join([*words, *words[:20]])))
+        labels.append((n, int(n % 5 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    few = toxicity.Settings(sample=40)
+    got = toxicity.tally(toxicity.known_texts(docs, labels, few).filter("part = 0")).agg(F.sum("n0"), F.sum("n1")).first()
+    learned = [(n, t) for n, t in rows if zlib.crc32(str(n).encode()) % 5 in (1, 2, 3)]
+    want = [set(), set()]
+    for n, t in learned:
+        words = ["", *t.split(), ""]
+        want[n % 5 == 0].update(zip(words, words[1:], words[2:]))
+    assert list(got) == [len(x) for x in want]
+    held = [r for r in toxicity.toxicity(docs, labels, few).collect() if r["held_out"]]
+    assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.95 * len(held)
+
+
+def test_toxicity_counts_every_place(spark):
+    texts = spark.createDataFrame([("a b a b c", 0), ("b a b", 1), (None, 1), ("", 0)], "text string, toxic int").coalesce(1)
+    assert sorted((r["n0"], r["n1"]) for r in toxicity.tally(texts).collect()) == [(0, 1), (1, 0), (1, 0), (1, 1), (2, 1)]
+    keys = [r["key"] for r in toxicity.tally(texts).collect()]
+    assert len(set(keys)) == len(keys) == 5
