@@ -2,8 +2,9 @@
 
 The library's pre-tokenizer cuts a text into pre-tokens and encodes each by itself. Here the cuts of texts made of
 ASCII and Latin letters are found with array operations on the bytes, every distinct pre-token is encoded by the
-library itself, and its ids are kept in a bounded table. Any other text goes to the library whole. Both ways give
-the library's ids exactly (the tests hold one against the other).
+library itself, and its ids are kept in a bounded table. Any other text, and any that holds an added token's content
+(``<|endoftext|>``), goes to the library whole. Both ways give the library's ids exactly (the tests hold one against
+the other).
 """
 
 from __future__ import annotations
@@ -65,7 +66,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # The library cuts added tokens out before it makes pre-tokens.
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.wide = self.library.get_vocab_size() > 65536
         self.kind = np.uint32 if self.wide else np.uint16
         self.end_id = end_id
@@ -133,6 +135,16 @@ class Encoder:
         offs = np.concatenate([[0], np.cumsum(np.concatenate(lens))]) if lens else np.zeros(1, np.int64)
         return (np.concatenate(parts) if parts else np.zeros(0, self.kind)), offs.astype(np.int64)
 
+    def places_of_added(self, raw: bytes) -> np.ndarray:
+        """Where added tokens start; one across two texts only sends the first to the library."""
+        out = []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                out.append(at)
+                at = raw.find(token, at + 1)
+        return np.array(out, np.int64)
+
     def _chunk(self, b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(o) - 1
         # Latin letters are C3 80 to C3 BF without the two signs; whatever else is not ASCII goes to the library.
@@ -142,7 +154,8 @@ class Encoder:
             ok = lead[(b[lead + 1] != 0x97) & (b[lead + 1] != 0xB7)]
             kind[ok] = kind[ok + 1] = L
         kind[b == 0] = BAD
-        bad = np.unique(np.searchsorted(o, np.flatnonzero(kind == BAD), "right") - 1)
+        at = np.concatenate([np.flatnonzero(kind == BAD), self.places_of_added(b.tobytes())])
+        bad = np.unique(np.searchsorted(o, at, "right") - 1)
         lens = np.diff(o)
         if len(bad):
             good = np.ones(n, bool)

@@ -29,6 +29,16 @@ def test_ids_are_the_librarys(encoder):
     assert [ids[a:b].tolist() for a, b in zip(o, o[1:])] == plain(encoder, [*ODD, None])
 
 
+def test_added_tokens_are_the_librarys(encoder):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain", "<|endoftext|><|endoftext|>\nit's", "<|endof", "text|> x", None, "a\u00e9<|endoftext|>"]
+    ids, o = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(o, o[1:])] == [[*fresh.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert 50256 in ids[o[0] : o[1]].tolist()
+
+
 @given(st.lists(st.text(alphabet="ab'sdlvret 1.\n\té×日", max_size=25), max_size=6))
 @settings(max_examples=150, deadline=None)
 def test_any_ids(texts):
