@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.shared import chunks, ship, utf8
+from foliant.llm.shared import chunks, lean, ship, utf8
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -173,7 +173,7 @@ def fit(learn: DataFrame, s: Settings = Settings()) -> Model:
     idf = np.zeros(BUCKETS, np.float32)
     if not langs:
         return Model([], idf, np.zeros((BUCKETS, 0), np.float32), 1.0)
-    df = learn.select("text").mapInArrow(document_frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
+    df = learn.select("text").mapInArrow(lean(document_frequencies), "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
     seen = np.zeros(BUCKETS + 1, np.int64)
     seen[df["bucket"].to_numpy()] = df["df"].to_numpy()
     idf = (np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])) + 1).astype(np.float32)
@@ -181,7 +181,7 @@ def fit(learn: DataFrame, s: Settings = Settings()) -> Model:
     for lang in langs:
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-s.sample * (1 << 20) // counts[lang])))).otherwise(share)
     some = learn.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share)
-    rows = some.select("text", "lang").mapInArrow(vectors, "lang string, idx binary, count binary").toArrow().to_pylist()
+    rows = some.select("text", "lang").mapInArrow(lean(vectors), "lang string, idx binary, count binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["lang"], r["idx"], r["count"]))
     number = {x: k for k, x in enumerate(langs)}
     examples = []
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     model = fit(docs.filter(fold_of() != 0), s)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages numbers, whatever the input
     rows = docs.select("doc_id", (fold_of() == 0).alias("held_out"), "text")
-    return rows.mapInArrow(predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(predictor(shared)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, s: Settings = Settings(), least: float = 0.0) -> DataFrame:
@@ -223,4 +223,4 @@ def keep_known(docs: DataFrame, s: Settings = Settings(), least: float = 0.0) ->
             lang, score = shared.value.predict(batch.column("text"))
             yield batch.filter(pa.array([x != UNKNOWN and p >= least for x, p in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

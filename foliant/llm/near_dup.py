@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.shared import FOLDED, chunks, mix, ship, slice_hashes, utf8, words, written
+from foliant.llm.shared import chunks, lean, mix, ship, slice_hashes, utf8, words, written, FOLDED
 
 SKETCH = 64
 TREES = 16
@@ -316,14 +316,14 @@ def full_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataF
     wanted = written(ids.join(reps.select("fp", "doc_id", "th"), "fp").select(F.col("doc_id").alias("want_id"), F.col("th").alias("want_th")), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("th") == F.col("want_th")), "left_semi")
-    return written(texts.select("text").mapInArrow(setter(k), "fp binary, hashes binary").dropDuplicates(["fp"]), "sets")
+    return written(texts.select("text").mapInArrow(lean(setter(k)), "fp binary, hashes binary").dropDuplicates(["fp"]), "sets")
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b of fingerprints) whose full sets are similar enough."""
     sets = full_sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), reps, docs, k)
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("hb")), "b")
-    return both.select("a", "b", "ha", "hb").mapInArrow(confirmer(percent), "a binary, b binary")
+    return both.select("a", "b", "ha", "hb").mapInArrow(lean(confirmer(percent)), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -367,12 +367,12 @@ def classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    seen = written(docs.mapInArrow(describer(k), "doc_id long, th long, fp binary, n long, sketch binary"), "described")
+    seen = written(docs.mapInArrow(lean(describer(k)), "doc_id long, th long, fp binary, n long, sketch binary"), "described")
     full = seen.filter("n > 0")
     reps = written(full.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.first("sketch").alias("sketch")).select("fp", "first.doc_id", "first.th", "sketch"), "classes")
 
     sketches = reps.select("fp", "sketch")
-    rows = sketches.mapInArrow(brancher(0), "node long, tree int, fp binary")
+    rows = sketches.mapInArrow(lean(brancher(0)), "node long, tree int, fp binary")
     small, pivots, large = [], [], None
     for level in range(LEVELS):
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"))
@@ -385,7 +385,7 @@ def classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
         heads = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("fp").alias("h"), "fp")).alias("q"))
         pivots.append(large.join(heads, "node").select("node", "fp", F.col("q.fp").alias("pivot")).filter("fp != pivot"))
         if level + 1 < LEVELS:
-            rows = large.join(sketches, "fp").select("node", "tree", "fp", "sketch").mapInArrow(brancher(level + 1), "node long, tree int, fp binary")
+            rows = large.join(sketches, "fp").select("node", "tree", "fp", "sketch").mapInArrow(lean(brancher(level + 1)), "node long, tree int, fp binary")
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -395,10 +395,10 @@ def classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     pair = "node long, a binary, b binary"
     members = union([x.select("node", "fp") for x in small])
-    found = members.join(sketches, "fp").select("node", "fp", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(spanner, pair)
+    found = members.join(sketches, "fp").select("node", "fp", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(lean(spanner), pair)
     if pivots:
         near = union(pivots).dropDuplicates(["fp", "pivot"])
-        near = near.join(sketches.toDF("fp", "sa"), "fp").join(sketches.toDF("pivot", "sb"), "pivot").select("node", "fp", "pivot", "sa", "sb").mapInArrow(alike, "node long, fp binary, pivot binary, n int")
+        near = near.join(sketches.toDF("fp", "sa"), "fp").join(sketches.toDF("pivot", "sb"), "pivot").select("node", "fp", "pivot", "sa", "sb").mapInArrow(lean(alike), "node long, fp binary, pivot binary, n int")
         near = near.groupBy("fp").agg(F.max(F.struct("n", "pivot", "node")).alias("best"))
         found = found.union(near.select("best.node", F.least("fp", "best.pivot"), F.greatest("fp", "best.pivot")))
     found = written(found, "candidates")
@@ -420,11 +420,11 @@ def classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
         own = m.withColumn("block", F.when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
         parts.append(own.select("node", F.explode("block").alias("block"), "fp", "root"))
     held = union(parts).join(sketches, "fp").select("node", "block", "fp", "root", "sketch").repartition("node", "block").sortWithinPartitions("node", "block")
-    active = written(held.mapInArrow(seekers, "node long, block int, fp binary, root binary"), "active")
+    active = written(held.mapInArrow(lean(seekers), "node long, block int, fp binary, root binary"), "active")
     if not active.isEmpty():
         sets = full_sets(active.select("fp").distinct(), reps, docs, k)
         held = active.join(sets, "fp").select("node", "block", "fp", "root", "hashes").repartition("node", "block").sortWithinPartitions("node", "block")
-        late = written(held.mapInArrow(linker(percent), "a binary, b binary").distinct(), "links")
+        late = written(held.mapInArrow(lean(linker(percent)), "a binary, b binary").distinct(), "links")
         if not late.isEmpty():
             roots = components(links.union(late))
 

@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.shared import ship
-from foliant.llm.tokens import Encoder, crc32_of
+from foliant.llm.shared import lean, ship
+from foliant.llm.tokens import crc32_of, encoder_of
 
 
 @dataclass(frozen=True)
@@ -150,7 +150,7 @@ def packer(tokenizer: str, lim: Limits, end_id: int, pool: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or Encoder(tokenizer, end_id)
+            encoder = encoder or encoder_of(tokenizer, end_id)
             ids, offs = encoder.encode(batch.column("text"))
             before = encoder.encode(batch.column("prompt")) if "prompt" in batch.schema.names else None
             done: list[list[Piece]] = []
@@ -180,4 +180,4 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
     """Pieces of every example with their sequence and the offset there; ``prompt`` names the column of prompts."""
     ship(docs.sparkSession)
     columns = ["doc_id", "text", *([F.col(prompt).alias("prompt")] if prompt else [])]
-    return docs.select(*columns).mapInArrow(packer(tokenizer, limits, end_id, pool), PIECES)
+    return docs.select(*columns).mapInArrow(lean(packer(tokenizer, limits, end_id, pool)), PIECES)

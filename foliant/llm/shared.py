@@ -8,32 +8,56 @@ is bounded by the chunk (or by one text, if that is longer).
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.workers import importable
+
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: For the allocators of Python workers: one arena, and Arrow uses it too.
+LEAN = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": str(1 << 25), "MALLOC_MMAP_THRESHOLD_": str(1 << 24), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started, and bound their batches in bytes too."""
+    """Let Python workers import this package, and bound what they hold: the bytes of a batch, and what the allocator
+    keeps of freed memory. The session keeps these settings, as plans are only run later."""
+    importable(spark)
     if spark.conf.get(BATCH_BYTES, None) in (None, str((1 << 31) - 1), f"{(1 << 31) - 1}b"):
-        spark.conf.set(BATCH_BYTES, "16m")
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+        spark.conf.set(BATCH_BYTES, "4m")
+    for k, v in LEAN.items():
+        spark.sparkContext.environment.setdefault(k, v)
+
+
+def lean(f):
+    """A function of batches that gives freed memory back when its task ends, as the worker lives on."""
+
+    @wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(_libc(), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return run
+
+
+@cache
+def _libc():
+    return ctypes.CDLL(None)
 
 
 @cache

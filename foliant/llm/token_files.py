@@ -12,8 +12,10 @@ a one at (value >> low) + i for value i. Every 256th one's place is kept (``sele
 found without a table of 64-bit offsets. A document's global start is the file's start plus its boundary.
 
 Edge cases: null and empty texts hold the end id alone; repeated rows are documents of their own; documents with the
-same doc_id follow each other in no defined order unless their texts are equal; an empty table makes no document.
-Other columns are ignored. Tasks write under a name of their own and rename, so a task may run twice.
+same doc_id follow each other by a hash of their text, then by text, so a repeated task writes the same order, and a
+doc_id that many rows share is dealt to several files; an empty table makes no document. Other columns are ignored. An
+attempt writes a file of its own name, and the manifest names the files of the attempts that counted, so a task may run
+twice, and what a lost attempt leaves is never read.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.shared import new_dir, ship, written
-from foliant.llm.tokens import Encoder, crc32_of
+from foliant.llm.shared import lean, new_dir, ship, written
+from foliant.llm.tokens import crc32_of, encoder_of
 
 MAGIC = b"FOLTOK01"
 SAMPLE = 256
@@ -59,15 +61,26 @@ class EliasFano:
         bits[ones] = 1
         return cls(m, low, np.concatenate(parts) if parts else np.zeros(0, np.uint8), np.packbits(bits, bitorder="little"), ones[::SAMPLE].astype("<u4" if not m or ones[-1] < 1 << 32 else "<u8"))
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.m]
-        out = (ones - np.arange(self.m)).astype(np.uint64) << np.uint64(self.low)
-        if self.low and self.m:
-            bits = np.unpackbits(self.lows, bitorder="little")[: self.m * self.low].reshape(self.m, self.low)
-            for k in range(self.low):
-                out |= bits[:, k].astype(np.uint64) << np.uint64(k)
+    def between(self, i: int, j: int) -> np.ndarray:
+        """Values i up to j, from the sample before i up to the one after j."""
+        if i >= j:
+            return np.zeros(0, np.int64)
+        k, after = i // SAMPLE, -(-j // SAMPLE)
+        first = int(self.samples[k]) // 8
+        last = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[first:last], bitorder="little")) + first * 8
+        at = int(np.searchsorted(ones, int(self.samples[k]))) + i - k * SAMPLE
+        out = (ones[at : at + j - i] - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low)
+        if self.low:
+            a, z = i * self.low // 8, -(-j * self.low // 8)
+            bits = np.unpackbits(self.lows[a:z], bitorder="little")[i * self.low - a * 8 :][: (j - i) * self.low].reshape(j - i, self.low)
+            for n in range(self.low):
+                out |= bits[:, n].astype(np.uint64) << np.uint64(n)
         return out.astype(np.int64)
 
+    def all(self) -> np.ndarray:
+        return self.between(0, self.m)
+
     def select(self, i: int) -> int:
         """Value i by itself: from the sample before it, over at most SAMPLE ones."""
         if not 0 <= i < self.m:
@@ -102,16 +115,15 @@ def writer(folder: str, tokenizer: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out, bounds, ids_of, total, nulls = None, None, [np.zeros(1, np.int64)], [], 0, 0
         shard = TaskContext.get().partitionId()
-        path = f"{folder}/shard-{shard:06d}.tok"
+        path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
         store, at = fs.FileSystem.from_uri(path)
-        own = f"{at}.{uuid.uuid4().hex}"
         for batch in batches:
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = Encoder(tokenizer, end_id)
+                encoder = encoder_of(tokenizer, end_id)
                 store.create_dir(at.rpartition("/")[0], recursive=True)
-                out = store.open_output_stream(own)
+                out = store.open_output_stream(at)
             ids, offs = encoder.encode(batch.column("text"))
             out.write(np.ascontiguousarray(ids).data)
             bounds.append(total + offs[1:])
@@ -130,7 +142,6 @@ def writer(folder: str, tokenizer: str, end_id: int):
         foot = json.dumps(about).encode()
         out.write(foot + len(foot).to_bytes(4, "little") + MAGIC)
         out.close()
-        store.move(own, at)
         n = about["bounds"]["m"] - 1
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [n], "n_ids": [total]})
 
@@ -164,31 +175,40 @@ class TokenFile:
         """The ids of the file's document i, its end id included."""
         return self.ids(self.bounds.select(i), self.bounds.select(i + 1))
 
-    def doc_ids(self) -> np.ndarray:
-        return (self.docs.all().astype(np.uint64) + np.uint64(self.about["first"] & (1 << 64) - 1)).view(np.int64)
+    def doc_ids(self, i: int, j: int) -> pa.Array:
+        """The doc_ids of documents i up to j; nulls come first."""
+        nulls = self.about["nulls"]
+        known = self.docs.between(max(i - nulls, 0), max(j - nulls, 0)).astype(np.uint64) + np.uint64(self.about["first"] & (1 << 64) - 1)
+        return pa.concat_arrays([pa.nulls(max(0, min(j, nulls) - i), pa.int64()), pa.array(known.view(np.int64))])
+
+    def batches(self, most: int) -> Iterator[tuple[int, int]]:
+        """Ranges of documents with at most that many ids, or of one document; their ends are found by select."""
+        i, n = 0, self.bounds.m - 1
+        while i < n:
+            limit, low, high = self.bounds.select(i) + most, i + 1, n
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if self.bounds.select(mid) <= limit else (low, mid - 1)
+            yield i, low
+            i = low
 
 
 def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
             f = TokenFile(path)
-            bounds, nulls = f.bounds.all(), f.about["nulls"]
-            docs = pa.array([None] * nulls, pa.int64()) if nulls else pa.array([], pa.int64())
-            docs = pa.concat_arrays([docs, pa.array(f.doc_ids(), pa.int64())])
-            i, n = 0, len(bounds) - 1
-            while i < n:
-                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + READ_IDS, "right")) - 1)
-                o = bounds[i : j + 1]
+            for i, j in f.batches(READ_IDS):
+                o = f.bounds.between(i, j + 1)
                 crc = crc32_of(f.ids(int(o[0]), int(o[-1])), o - o[0])
-                yield pa.RecordBatch.from_arrays([docs[i:j], pa.array(base + o[:-1]), pa.array(np.diff(o)), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                i = j
+                yield pa.RecordBatch.from_arrays([f.doc_ids(i, j), pa.array(base + o[:-1]), pa.array(np.diff(o)), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
     """Encode every whole text into files under folder, in ascending doc_id; returns a manifest with each file's start."""
     ship(docs.sparkSession)
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    manifest = written(ordered.mapInArrow(writer(folder, tokenizer, end_id), MANIFEST), "manifest")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("th").asc_nulls_first()]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first()).select("doc_id", "text")
+    manifest = written(ordered.mapInArrow(lean(writer(folder, tokenizer, end_id)), MANIFEST), "manifest")
     # One row a file: what meets in one task here grows with the files, not with the documents.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -198,7 +218,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document: doc_id, start over all files, n_tokens and the crc32 of its ids, from the files alone."""
     ship(manifest.sparkSession)
     files = manifest.select("shard", "path", "base")
-    return files.repartition(max(1, manifest.count()), "shard").mapInArrow(read_files, ROWS)
+    return files.repartition(max(1, manifest.count()), "shard").mapInArrow(lean(read_files), ROWS)
 
 
 def token_file_digest(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

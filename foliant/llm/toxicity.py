@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.language_id import fold_of
-from foliant.llm.shared import FOLDED, chunks, release, ship, slice_hashes, utf8, words, written
+from foliant.llm.shared import chunks, lean, release, ship, slice_hashes, utf8, words, written, FOLDED
 
 WORDS = 1 << 18
 #: Ids that may be broadcast; more are joined by shuffling.
@@ -72,7 +72,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tally(texts: DataFrame) -> DataFrame:
     """Of each pair of words (key: the first << 20 | the second), the different words after it in ordinary and in toxic texts."""
-    grams = texts.select("text", "toxic").mapInArrow(counted, "key long").distinct()
+    grams = texts.select("text", "toxic").mapInArrow(lean(counted), "key long").distinct()
     n = [F.count_if(F.shiftright("key", 60) == c).alias(f"n{c}") for c in (0, 1)]
     return grams.groupBy(F.expr("(key >> 20) & 1099511627775").alias("pair")).agg(*n).withColumnRenamed("pair", "key")
 
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()):
     if texts is None:
         return None
     sent = spark.sparkContext.broadcast(Model.of(*gathered(written(tally(texts.filter("part = 0")), "bigrams"))))
-    rows = texts.filter("part = 1").select("toxic", "text").mapInArrow(prover(sent), "toxic long, mean double, top double").toArrow()
+    rows = texts.filter("part = 1").select("toxic", "text").mapInArrow(lean(prover(sent)), "toxic long, mean double, top double").toArrow()
     x, y = np.column_stack([rows["mean"].to_numpy(), steep(rows["top"].to_numpy())]), rows["toxic"].to_numpy()
     order = np.lexsort((y, x[:, 1], x[:, 0]))
     return sent, logistic(x[order], y[order])
@@ -239,7 +239,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
     """doc_id, held_out, score and predicted of every document."""
     model = fit(docs, labels, s)
     rows = docs.select("doc_id", (fold_of() == 0).alias("held_out"), "text")
-    return rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(scorer(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -254,4 +254,4 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
             if batch.num_rows:
                 yield batch.filter(pa.array(sent.value.score(batch.column("text"), curve) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
