@@ -9,10 +9,15 @@
 3. Only the strongest links of a node that span it (a maximum spanning forest), and each member's best pivot, become
    candidates, so a group of copies gives candidates in proportion to its members and not all pairs. They are
    confirmed on the full sets, and components found.
-4. Nodes that still hold several components are compared again, now exhaustively between different components, and
-   large nodes that are left at the last level in blocks. Members with a possible partner bring their full sets along,
-   are compared on those, and only links that join components leave the node. So a link is only left untested if its
-   two ends are known to be in one component already, or if no tree brought them together.
+4. Nodes that still hold several components are compared again, now exhaustively between different components:
+   members with a possible partner bring their full sets along, are compared on those, and only links that join
+   components leave the node.
+5. Members of nodes that are still large at the last level, or whose sets are too many bytes for one task, are branched
+   once more, by tokens of their full sets: each goes to one node for every one of its rarest tokens, as many as a
+   partner must share at least one of. Of two partners the smaller needs fewer, so documents that only have a common
+   passage meet nowhere. What meets there in different components is confirmed on the full sets; this step is exact.
+   So a link is only left untested if its two ends are known to be in one component already, or if no tree brought
+   them together.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; fewer words than a shingle are
 one shingle; repeated rows are one class; a null doc_id never is the smallest of a class unless all are null; an empty
@@ -25,16 +30,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.shared import chunks, lean, mix, ship, slice_hashes, utf8, words, written, FOLDED
+from foliant.llm.shared import FOLDED, Scratch, chunks, lean, mix, ship, slice_hashes, unused, utf8, words, written
 
 SKETCH = 64
 TREES = 16
-#: Levels that all large nodes are branched to, and the most that LEVELS may be; what is large at the last is compared in blocks.
+#: Levels that all large nodes are branched to by minwise tokens, and the most that LEVELS may be.
 LEVELS, DEEPEST = 3, 8
 SMALL = 128
+#: Shingles that the members of a node may have together to be compared in one task.
+HEAVY = 1 << 22
+#: Counts of tokens by a hash tell rare from frequent ones: a table of fixed size, which orders tokens and decides no link.
+COUNTS = 1 << 20
+#: Members that index a token in one block; more of them make more blocks.
+BLOCK = 2048
 #: Sketches that agree on fewer of their tokens are no candidates: at a similarity of 0.75 that is 4.6 deviations off.
 AGREE = 32
 #: Rows of ids (32 bytes each) that may be broadcast; beyond it the join shuffles.
@@ -239,15 +251,15 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def seekers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of each block of a node that may link to one of another component there."""
-    for t in groups(batches, ["node", "block"]):
+    """The members of each node that may link to one of another component there."""
+    for t in groups(batches, ["node"]):
         if t.num_rows < 2:
             continue
         near = agreements(_matrix(t["sketch"].combine_chunks(), "<u4")) >= AGREE
         _, root = np.unique(np.array(t["root"].to_pylist(), object), return_inverse=True)
         some = (near & (root[:, None] != root[None, :])).any(1)
         if some.any():
-            yield from t.select(["node", "block", "fp", "root"]).filter(pa.array(some)).combine_chunks().to_batches()
+            yield from t.select(["node", "fp", "root"]).filter(pa.array(some)).combine_chunks().to_batches()
 
 
 def common(sets: list[np.ndarray], width: int = 1 << 15) -> np.ndarray:
@@ -272,11 +284,11 @@ def common(sets: list[np.ndarray], width: int = 1 << 15) -> np.ndarray:
 
 
 def linker(percent: int):
-    """Links (a, b) that join different components in a block of a node, as few as join them."""
+    """Links (a, b) that join different components in a node, as few as join them."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
-        for t in groups(batches, ["node", "block"]):
+        for t in groups(batches, ["node"]):
             if t.num_rows < 2:
                 continue
             fp = t["fp"].to_pylist()
@@ -311,31 +323,131 @@ def confirmer(percent: int):
     return confirm
 
 
-def full_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def need(x, y, percent: int):
+    """The least intersection of sets of x and y elements that are similar enough."""
+    return -(-percent * (x + y) // (100 + percent))
+
+
+def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(COUNTS, np.int64)
+    for batch in batches:
+        for x in batch.column("hashes"):
+            n += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+
+def rarest(frequent, percent: int):
+    """Of each set the tokens that lead it to nodes: token, size of the set, place of the token in it, and whether the
+    set is to be found there by larger ones (place within the first few) or only looks for smaller ones."""
+
+    def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = frequent.value
+        for batch in batches:
+            tokens, owner, place, found = [], [], [], []
+            for k, x in enumerate(batch.column("hashes")):
+                h = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(h)
+                if not n:
+                    continue
+                looks, shown = n + percent * n // -100 + 1, n - int(need(n, n, percent)) + 1
+                h = h[np.lexsort((h, count[(h % np.uint64(COUNTS)).astype(np.int64)]))[:looks]]
+                tokens.append(h.view(np.int64))
+                owner.append(np.full(len(h), k))
+                place.append(np.arange(len(h), dtype=np.int32))
+                found.append(np.arange(len(h)) < shown)
+            if tokens:
+                who = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *(batch.column(c).take(who) for c in ("fp", "root", "n")), pa.array(np.concatenate(place)), pa.array(np.concatenate(found))], ["token", "fp", "root", "n", "place", "shown"])
+
+    return branch
+
+
+def meeting(percent: int):
+    """Pairs that meet at a token and may be similar enough, of rows sorted by (token, block, looks): those that are
+    shown there come first and are held, a block of them; those that look pass by."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            t = pa.Table.from_batches([batch]).combine_chunks()
+            token, block, looks = (t[c].to_numpy() for c in ("token", "block", "looks"))
+            cut = np.flatnonzero((token[1:] != token[:-1]) | (block[1:] != block[:-1]) | (looks[1:] != looks[:-1])) + 1
+            ends = [0, *cut.tolist(), len(token)] if len(token) else [0]
+            for x, y in zip(ends, ends[1:]):
+                part, now = t.slice(x, y - x), (int(token[x]), int(block[x]))
+                if now != key:
+                    key, held = now, []
+                if not looks[x]:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if len(held) > 1:
+                    held = [pa.concat_tables(held).combine_chunks()]
+                shown = held[0]
+                (na, pa_), (nb, pb) = ((p["n"].to_numpy(), p["place"].to_numpy()) for p in (shown, part))
+                for at in range(0, len(nb), BLOCK):  # bounds the matrix
+                    m, q = nb[at : at + BLOCK, None], pb[at : at + BLOCK, None]
+                    close = (na <= m) & (100 * na >= percent * m) & (1 + np.minimum(na - pa_, m - q) - 1 >= need(na, m, percent))
+                    j, i = np.nonzero(close)
+                    if len(j):
+                        mine, other = part.slice(at, BLOCK).take(pa.array(j)), shown.take(pa.array(i))
+                        out = pa.table({"a": mine["fp"], "b": other["fp"], "ra": mine["root"], "rb": other["root"]})
+                        yield from out.filter(pc.not_equal(out["ra"], out["rb"])).select(["a", "b"]).combine_chunks().to_batches()
+
+    return meet
+
+
+def led_by_rarest(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Members (fp, root, n) at each node (token, block) that their rarest tokens lead them to."""
+    spark = members.sparkSession
+    held = scratch(members.join(sets, "fp").select("fp", "root", "n", "hashes"), "held")
+    seen = held.select("hashes").mapInArrow(lean(token_counts), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros(COUNTS, np.int64)
+    count[seen["bucket"].to_numpy()] = seen["n"].to_numpy()
+    rows = scratch(held.mapInArrow(lean(rarest(spark.sparkContext.broadcast(count), percent)), "token long, fp binary, root binary, n long, place int, shown boolean"), "rarest")
+    several = rows.groupBy("token").agg(F.count_if("shown").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y and size > 0")
+    rows = rows.join(several.select("token", "size"), "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    columns = ["token", "fp", "root", "n", "place"]
+    shown = rows.filter("shown").select(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("looks"), *columns)
+    looks = rows.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("looks"), *columns)
+    return shown.union(looks)
+
+
+def branched_by_rarest(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) of members (fp, root, n) in different components that may be similar enough."""
+    led = led_by_rarest(members, sets, percent, scratch)
+    pairs = led.repartition("token", "block").sortWithinPartitions("token", "block", "looks").mapInArrow(lean(meeting(percent)), "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def full_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(fp, hashes) of the classes in ids."""
-    wanted = written(ids.join(reps.select("fp", "doc_id", "th"), "fp").select(F.col("doc_id").alias("want_id"), F.col("th").alias("want_th")), "wanted")
+    wanted = scratch(ids.join(reps.select("fp", "doc_id", "th"), "fp").select(F.col("doc_id").alias("want_id"), F.col("th").alias("want_th")), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("th") == F.col("want_th")), "left_semi")
-    return written(texts.select("text").mapInArrow(lean(setter(k)), "fp binary, hashes binary").dropDuplicates(["fp"]), "sets")
+    return scratch(texts.select("text").mapInArrow(lean(setter(k)), "fp binary, hashes binary").dropDuplicates(["fp"]), "sets")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b of fingerprints) whose full sets are similar enough."""
-    sets = full_sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), reps, docs, k)
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("hb")), "b")
     return both.select("a", "b", "ha", "hb").mapInArrow(lean(confirmer(percent)), "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, root) of every end of a link: the smallest reachable end, by label propagation with pointer jumping."""
-    ends = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    label = written(ends.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")), "label")
+    own = scratch.inner()
+    ends = own(links.select("a", "b").union(links.select("b", "a")).distinct(), "ends")
+    label = own(ends.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")), "label")
     while True:
         near = ends.join(label.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("m"))
-        stepped = written(label.join(near, "v").select("v", "root", F.least("root", "m").alias("r2")), "stepped")
+        stepped = own(label.join(near, "v").select("v", "root", F.least("root", "m").alias("r2")), "stepped")
         jump = stepped.select(F.col("v").alias("r2"), F.col("r2").alias("r3"))
-        label = written(stepped.join(jump, "r2", "left").select("v", F.coalesce("r3", "r2").alias("root"), (F.coalesce("r3", "r2") != F.col("root")).alias("moved")), "label")
+        label = scratch(stepped.join(jump, "r2", "left").select("v", F.coalesce("r3", "r2").alias("root"), (F.coalesce("r3", "r2") != F.col("root")).alias("moved")), "label")
         if label.filter("moved").isEmpty():
+            own.drop()
             return label.select("v", "root")
 
 
@@ -345,38 +457,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The documents that near_duplicates() keeps, with all their columns; of rows with equal id and text, one."""
+    """The documents that near_duplicates() keeps, with all their columns; of rows with equal id and text, the one whose
+    columns have the least hash."""
     found = written(classified(docs, k, percent), "found")
+    name = unused("key", docs.columns)
     key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))
-    of = F.struct(F.col("doc_id").alias("i"), F.col("th").alias("t"))
+    of = F.struct(F.col("doc_id").alias("i"), F.col("th").alias("t")).alias(name)
 
     def sized(keys: DataFrame) -> DataFrame:
         keys = written(keys, "keys")
         return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
-    rows = docs.withColumn("_key", key)
-    best = rows.join(sized(found.filter("not kept").select(of.alias("_key")).distinct()), "_key", "left_anti")
-    again = found.filter("kept").groupBy(of.alias("_key")).count().filter("count > 1").select("_key")
-    again = sized(again)
-    once = best.join(again, "_key", "left_anti")
-    return once.union(best.join(again, "_key", "left_semi").dropDuplicates(["_key"])).drop("_key")
+    rows = docs.withColumn(name, key)
+    best = rows.join(sized(found.filter("not kept").select(of).distinct()), name, "left_anti")
+    again = sized(found.filter("kept").groupBy(of).agg(F.count("*").alias(unused("n", [name]))).filter(F.col(unused("n", [name])) > 1).select(name))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    twice = best.join(again, name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return best.join(again, name, "left_anti").select(*columns).union(twice.select("row.*"))
 
 
 def classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """near_duplicates() with a hash of each text, th."""
     spark = docs.sparkSession
     ship(spark)
+    scratch, result = Scratch(spark), Scratch(spark)
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    seen = written(docs.mapInArrow(lean(describer(k)), "doc_id long, th long, fp binary, n long, sketch binary"), "described")
+    seen = result(docs.mapInArrow(lean(describer(k)), "doc_id long, th long, fp binary, n long, sketch binary"), "described")
     full = seen.filter("n > 0")
-    reps = written(full.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.first("sketch").alias("sketch")).select("fp", "first.doc_id", "first.th", "sketch"), "classes")
+    reps = scratch(full.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.first("sketch").alias("sketch"), F.first("n").alias("n")).select("fp", "first.doc_id", "first.th", "sketch", "n"), "classes")
 
     sketches = reps.select("fp", "sketch")
     rows = sketches.mapInArrow(lean(brancher(0)), "node long, tree int, fp binary")
     small, pivots, large = [], [], None
     for level in range(LEVELS):
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"))
-        shared = written(rows.join(sizes.filter("size > 1"), "node"), f"nodes{level}")
+        shared = scratch(rows.join(sizes.filter("size > 1"), "node"), f"nodes{level}")
         small.append(shared.filter(F.col("size") <= SMALL))
         large = shared.filter(F.col("size") > SMALL)
         if large.isEmpty():
@@ -401,37 +516,42 @@ def classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
         near = near.join(sketches.toDF("fp", "sa"), "fp").join(sketches.toDF("pivot", "sb"), "pivot").select("node", "fp", "pivot", "sa", "sb").mapInArrow(lean(alike), "node long, fp binary, pivot binary, n int")
         near = near.groupBy("fp").agg(F.max(F.struct("n", "pivot", "node")).alias("best"))
         found = found.union(near.select("best.node", F.least("fp", "best.pivot"), F.greatest("fp", "best.pivot")))
-    found = written(found, "candidates")
+    found = scratch(found, "candidates")
     tested = found.select("a", "b").distinct()
-    links = written(confirmed(tested, reps, docs, k, percent), "links")
-    roots = components(links)
+    sets = full_sets(tested.select(F.col("a").alias("fp")).union(tested.select("b")).distinct(), reps, docs, k, scratch)
+    links = scratch(confirmed(tested, sets, percent), "links")
+    roots = components(links, scratch)
+    rooted = scratch(reps.select("fp", "n").join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
 
     def mixed(nodes: DataFrame) -> DataFrame:
         """Members, with their component, of nodes that hold more than one."""
-        m = written(nodes.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("node", "fp", F.coalesce("root", "fp").alias("root")), "members")
-        several = m.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x != y")
-        return written(m.join(several.select("node", "size"), "node"), "mixed")
+        m = scratch(nodes.join(rooted, "fp").select("node", "fp", "n", "root"), "members")
+        several = m.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.sum("n").alias("weight")).filter("x != y")
+        return scratch(m.join(several.select("node", "weight"), "node"), "mixed")
 
-    parts = [mixed(members.join(found.select("node").distinct(), "node", "left_semi")).select("node", F.lit(0).alias("block"), "fp", "root")]
+    late = []
+    held = mixed(members.join(found.select("node").distinct(), "node", "left_semi"))
+    wide = held.filter(F.col("weight") > HEAVY)
     if large is not None:
-        m = mixed(large.select("node", "fp"))
-        main = m.groupBy("node", "root").count().groupBy("node").agg(F.max_by("root", "count").alias("main"))
-        m = m.join(main, "node").withColumn("blocks", F.ceil(F.col("size") / (SMALL // 2)).cast("int"))
-        own = m.withColumn("block", F.when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        parts.append(own.select("node", F.explode("block").alias("block"), "fp", "root"))
-    held = union(parts).join(sketches, "fp").select("node", "block", "fp", "root", "sketch").repartition("node", "block").sortWithinPartitions("node", "block")
-    active = written(held.mapInArrow(lean(seekers), "node long, block int, fp binary, root binary"), "active")
+        wide = wide.union(mixed(large.select("node", "fp")))
+    light = held.filter(F.col("weight") <= HEAVY).join(sketches, "fp").select("node", "fp", "root", "sketch").repartition("node").sortWithinPartitions("node")
+    active = scratch(light.mapInArrow(lean(seekers), "node long, fp binary, root binary"), "active")
     if not active.isEmpty():
-        sets = full_sets(active.select("fp").distinct(), reps, docs, k)
-        held = active.join(sets, "fp").select("node", "block", "fp", "root", "hashes").repartition("node", "block").sortWithinPartitions("node", "block")
-        late = written(held.mapInArrow(lean(linker(percent)), "a binary, b binary").distinct(), "links")
-        if not late.isEmpty():
-            roots = components(links.union(late))
+        sets = full_sets(active.select("fp").distinct(), reps, docs, k, scratch)
+        brought = active.join(sets, "fp").select("node", "fp", "root", "hashes").repartition("node").sortWithinPartitions("node")
+        late.append(scratch(brought.mapInArrow(lean(linker(percent)), "a binary, b binary").distinct(), "links"))
+    wide = scratch(wide.select("fp", "root", "n").distinct(), "wide")
+    if not wide.isEmpty():
+        sets = full_sets(wide.select("fp"), reps, docs, k, scratch)
+        late.append(scratch(confirmed(scratch(branched_by_rarest(wide, sets, percent, scratch), "pairs"), sets, percent), "links"))
+    if late and not union(late).isEmpty():
+        roots = components(union([links, *late]), scratch)
 
     joined = reps.select("fp", "doc_id").join(roots.withColumnRenamed("v", "fp"), "fp")
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     moved = joined.join(least, "root").select("fp", "component_id")
-    final = written(reps.select("fp", "doc_id").join(moved, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id")), "final")
+    final = result(reps.select("fp", "doc_id").join(moved, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id")), "final")
+    scratch.drop()
     out = seen.select("doc_id", "th", "fp", F.col("n").alias("n_shingles")).join(final, "fp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

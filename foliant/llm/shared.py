@@ -100,6 +100,42 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+class Scratch:
+    """Written tables that are deleted together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.parts = spark, [], []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_dir(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def inner(self) -> Scratch:
+        """One that may be dropped before, and is dropped with this one."""
+        self.parts.append(Scratch(self.spark))
+        return self.parts[-1]
+
+    def drop(self) -> None:
+        for part in self.parts:
+            part.drop()
+        for p in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths, self.parts = [], []
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """A column name like this one that is not taken, in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string array; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.language_id import fold_of
-from foliant.llm.shared import chunks, lean, release, ship, slice_hashes, utf8, words, written, FOLDED
+from foliant.llm.shared import FOLDED, chunks, lean, release, ship, slice_hashes, utf8, words, written
 
 WORDS = 1 << 18
 #: Ids that may be broadcast; more are joined by shuffling.

@@ -1,9 +1,11 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from foliant.llm import near_dup
+from foliant.llm.shared import Scratch, ship
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -37,15 +39,65 @@ def brute(rows):
     return Counter((r["doc_id"], len(s), least.get(find(i)) if s else r["doc_id"]) for i, (r, s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("small, levels", [(128, 6), (4, 2), (6, 3)])
-def test_as_brute_force(documents, monkeypatch, small, levels):
+@pytest.mark.parametrize("small, levels, heavy", [(128, 6, 1 << 22), (4, 2, 1 << 22), (6, 3, 500)])
+def test_as_brute_force(documents, monkeypatch, small, levels, heavy):
     monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "HEAVY", heavy)
     monkeypatch.setattr(near_dup, "LEVELS", levels)
     got = near_dup.near_duplicates(documents).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(documents.collect())
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def sets_with_a_passage(n, seed=1):
+    """Sets of 130 common and 40 own tokens; every tenth is a copy of the one before with a few tokens changed."""
+    rng = np.random.default_rng(seed)
+    passage = rng.integers(0, 1 << 63, 130, dtype=np.uint64)
+    out = []
+    for k in range(n):
+        x = np.concatenate([passage, rng.integers(0, 1 << 63, 40, dtype=np.uint64)])
+        if k % 10 == 9:
+            x = np.concatenate([out[-1][:-(k % 20)], x[-(k % 20):]])
+        out.append(np.unique(x))
+    return out
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch, block):
+    """Documents that share most of their text but not enough of it: what meets grows with them, not with their pairs."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    ship(spark)
+    rows = {}
+    for n in (500, 1000, 2000) if block > 3 else (300,):
+        sets = sets_with_a_passage(n)
+        names = [k.to_bytes(16, "big") for k in range(n)]
+        held = spark.createDataFrame([(f, x.tobytes()) for f, x in zip(names, sets)], "fp binary, hashes binary")
+        members = spark.createDataFrame([(f, f, len(x)) for f, x in zip(names, sets)], "fp binary, root binary, n long")
+        scratch = Scratch(spark)
+        led = near_dup.led_by_rarest(members, held, 75, scratch)
+        largest = led.groupBy("token", "block").count().agg({"count": "max"}).first()[0] or 0
+        pairs = near_dup.branched_by_rarest(members, held, 75, scratch)
+        got = {(bytes(r["a"]), bytes(r["b"])) for r in near_dup.confirmed(pairs, held, 75).collect()}
+        rows[n] = (led.count(), largest, pairs.count())
+        if n <= 500:
+            plain = [set(x.tolist()) for x in sets]
+            want = {(names[i], names[j]) for i in range(n) for j in range(i + 1, n) if 100 * len(plain[i] & plain[j]) >= 75 * len(plain[i] | plain[j])}
+            assert got == want and len(want) >= n // 10
+        scratch.drop()
+    if block > 3:
+        assert all(rows[2 * n][0] <= 2.6 * rows[n][0] and rows[2 * n][1] <= 2.6 * rows[n][1] and rows[2 * n][2] <= 2.6 * rows[n][2] for n in (500, 1000)), rows
+
+
+def test_clashing_names(spark):
+    """Columns named like the outputs and like what the operator adds."""
+    text = "one two three four five six seven"
+    rows = [(1, text, 1, 2, 3, 4), (1, text, 9, 2, 3, 4), (2, text, 5, 6, 7, 8), (3, "other", 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, component_id int, fp int, n_shingles int")
+    runs = [sorted(near_dup.one_of_each(docs.repartition(n)).collect()) for n in (1, 4)]
+    assert runs[0] == runs[1] and [r["doc_id"] for r in runs[0]] == [1, 3] and runs[0][0].asDict().keys() == set(docs.columns)
+    assert near_dup.near_duplicates(docs).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
 def test_shuffled_sides(documents, monkeypatch):
     monkeypatch.setattr(near_dup, "BROADCAST_ROWS", -1)
     rows = near_dup.one_of_each(documents).collect()
