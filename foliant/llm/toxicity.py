@@ -1,20 +1,34 @@
 """Toxicity by two Kneser-Ney language models, one of toxic and one of ordinary documents.
 
 Words are runs of letters, digits and non-ASCII characters (A-Z folded), hashed into fixed tables. Each class has an
-interpolated Kneser-Ney bigram model of all places in all its labelled documents outside the held-out and the
-calibration fold: a bigram's count is that of the different words after it, a word's that of the different words before
-it, so copies of a text, near ones too, count about once; every count is discounted. Counts of the larger class are scaled
-to the smaller one's total. Either level also has backoff counts that both classes share: ``FLOOR`` and the share
-``BACKOFF`` of the mean count; those of a bigram, and what the discounts spare, are dealt by the class's own model of
-words. An expression that is rare in both classes is then about as likely in either. A document's
-evidence is the log-likelihood ratio per word, over the whole text and over its most toxic run of ``WINDOW`` words
-(a long text may be toxic in one place only); a logistic function learned from other labelled documents makes it a score.
-
-The table of bigrams is as large as the labelled texts make it and goes to the driver and every worker (12 bytes a
-bigram). The calibration alone is bounded: it sees at most ``sample`` documents a class that the models have not seen.
-Edge cases: a null or wordless text has no evidence either way and gets the score of a
-ratio of 0; without labels of both classes every score is 0; several labels of one doc_id count as toxic if one
-does; labels of null doc_ids are not used; repeated rows are scored alike; other columns are ignored.
+interpolated bigram model of all places in all its labelled documents outside the held-out and the calibration fold;
+exact copies of a text count once. Counts of the larger class are scaled to the smaller one's total. With D the
+absolute discount and c a class:
+
+    word level: own(w) = max(different words before w - D, 0)
+    p(w) = (own(w) + shared(w)) / sum over all words
+    pair level: own(h, w) = max(count of w after h - D, 0)
+    p(w | h) = (own(h, w) + shared(h, w) * tilt(w) + rest(h) * p(w)) / total(h)
+
+The shared counts are the same for both classes: ``FLOOR`` and the share ``BACKOFF`` of the classes' mean count, so an
+expression that is rare in both is about as likely in either. rest(h) is what the discounts and the pairs that are not
+kept leave of the counts after h, plus ``FLOOR``; tilt(w) is p(w) over its mean of both classes; total(h) is the sum of
+the numerators, so each distribution sums to 1.
+
+The counts of pairs are a distributed table that grows with the labelled texts. Of it the models keep the pairs that
+matter: those whose share of all pairs, times the change of the log ratio that they make against the word level, is at
+least ``MATTERS``. Shares sum to 1 and a change is at most the logarithm of the largest ratio, so no input, however
+large, has more than a few million such pairs; the others are left to rest(h).
+
+A document's evidence is its length-normalised log-likelihood ratio, over the whole text and over its most toxic runs of
+``RUNS`` words each (a long text may be toxic in one place only); a logistic function of it, learned from other labelled
+documents, makes it a score. The calibration sees about ``sample`` documents a class at most, which the models have not
+seen; if one of the two parts lacks a class, both parts are all labelled documents outside the held-out fold.
+
+Edge cases: a null or wordless text has no evidence either way and gets the score of a ratio of 0; without labels of
+both classes every score is 0; several labels of one doc_id, or of one text, count as toxic if one does; labels of null
+doc_ids are not used; a doc_id with several texts labels each of them, and its repeated rows count each; repeated rows
+are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,22 +42,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.language_id import fold_of
-from foliant.llm.shared import FOLDED, chunks, lean, release, ship, slice_hashes, utf8, words, written
+from foliant.llm.shared import FOLDED, Scratch, chunks, lean, ship, slice_hashes, utf8, words
 
 WORDS = 1 << 18
 #: Ids that may be broadcast; more are joined by shuffling.
-BROADCAST_IDS = 1 << 21
-WINDOW = 1
+BROADCAST_IDS = 200_000
+#: Lengths in words of the runs whose mean ratio is evidence.
+RUNS = (1, 2, 4, 8)
 DISCOUNT = 0.75
-FLOOR = 8.0
+FLOOR = 3.0
 BACKOFF = 0.2
+MATTERS = 1e-6
+#: Distinct pairs that a task adds up before it hands them on.
+HELD = 1 << 21
 MEMBER = np.zeros(256, bool)
 MEMBER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: the bound on documents a class for the calibration."""
+    """sample: about how many documents a class the calibration sees at most."""
 
     sample: int = 6000
 
@@ -59,92 +77,139 @@ def bigrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield i, j, w, h, first
 
 
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts (2 x n)."""
+    key, n = np.concatenate(keys), np.concatenate(counts, 1)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[:, order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[at], (np.add.reduceat(n, at, 1) if len(at) else n)
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct (class, word before, word, word after) of a batch."""
+    """Pairs of words (the first << 20 | the second) and how often they stand in ordinary and in toxic texts of a task."""
+    keys, counts, size = [], [], 0
+
+    def rows() -> pa.RecordBatch:
+        key, n = added(keys, counts)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n[0]), pa.array(n[1])], ["key", "n0", "n1"])
+
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         for i, j, w, h, first in bigrams(batch.column("text")):
             own = np.repeat(toxic[i:j], np.diff(first))
-            after = np.append(w[1:], 0)[: len(w)]
-            after[first[1:][first[1:] > 0] - 1] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique((own << 60) | (h << 40) | (w << 20) | after))], ["key"])
+            key, n = np.unique((h << 21) | (w << 1) | own, return_counts=True)
+            keys.append(key >> 1)
+            counts.append(np.where(np.stack([key & 1 == 0, key & 1 == 1]), n, 0))
+            size += len(key)
+        if size > HELD:
+            key, n = added(keys, counts)
+            keys[:], counts[:], size = [key], [n], len(key)
+            if size > HELD // 2:
+                yield rows()
+                keys, counts, size = [], [], 0
+    if keys:
+        yield rows()
 
 
-def tally(texts: DataFrame) -> DataFrame:
-    """Of each pair of words (key: the first << 20 | the second), the different words after it in ordinary and in toxic texts."""
-    grams = texts.select("text", "toxic").mapInArrow(lean(counted), "key long").distinct()
-    n = [F.count_if(F.shiftright("key", 60) == c).alias(f"n{c}") for c in (0, 1)]
-    return grams.groupBy(F.expr("(key >> 20) & 1099511627775").alias("pair")).agg(*n).withColumnRenamed("pair", "key")
+def scales(totals: np.ndarray) -> np.ndarray:
+    return (totals.min() / np.maximum(totals, 1))[:, None]
+
+
+@dataclass
+class Words:
+    """What the word level and the contexts have: arrays over WORDS for each class."""
+
+    p: np.ndarray  # 2 x WORDS
+    after: np.ndarray  # WORDS: mean scaled count of pairs with this first word
+    scale: np.ndarray  # of pairs, 2 x 1
+
+    @classmethod
+    def of(cls, kinds: np.ndarray, after: np.ndarray) -> Words:
+        """kinds: different words before each word, after: pairs with this first word; 2 x WORDS each."""
+        own = np.maximum(kinds - DISCOUNT, 0) * scales(kinds.sum(1))
+        p = own + FLOOR + BACKOFF * own.mean(0)
+        scale = scales(after.sum(1))
+        return cls(p / p.sum(1, keepdims=True), (after * scale).mean(0), scale)
+
+    @property
+    def tilt(self) -> np.ndarray:
+        return self.p / self.p.mean(0)
+
+    def parts(self, pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs with counts n (2 x pairs): the discounted counts, and these with the shared ones."""
+        own = np.maximum(n - DISCOUNT, 0) * self.scale
+        return own, own + (FLOOR + BACKOFF * own.mean(0)) * self.tilt[:, pairs & 1048575]
+
+    def matter(self, pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
+        own, top = self.parts(pairs, n)
+        w = pairs & 1048575
+        share = own.mean(0) / max(self.after.sum(), 1.0)
+        return share * np.abs(np.log(top[1] / top[0]) - np.log(self.p[1, w] / self.p[0, w])) >= MATTERS
 
 
 @dataclass
 class Model:
     """Log ratios of toxic to ordinary."""
 
-    pairs: np.ndarray  # pairs of words, ascending
+    pairs: np.ndarray  # pairs of words that are kept, ascending
     pair: np.ndarray  # of each pair
-    word: np.ndarray  # WORDS: of a word in any pair that is not there
-    before: np.ndarray  # WORDS: of the counts' totals after a word
+    word: np.ndarray  # WORDS: of a word in any pair that is not kept
+    before: np.ndarray  # WORDS: of the totals after a word
 
     @classmethod
-    def of(cls, pairs: np.ndarray, n: np.ndarray) -> Model:
-        """pairs: ascending; n: 2 x pairs, their counts in ordinary and toxic texts."""
-        scaled = lambda total: (total.min() / np.maximum(total, 1))[:, None]
-        parts = [slice(x, x + (1 << 20)) for x in range(0, len(pairs), 1 << 20)]  # bounds what is made on the way
-        kinds, seen = np.zeros((2, WORDS)), np.zeros(WORDS)
-        for x in parts:
-            seen += np.bincount(pairs[x] >> 20, minlength=WORDS)
-            for c in (0, 1):
-                kinds[c] += np.bincount((pairs[x] & 1048575)[n[c, x] > 0], minlength=WORDS)
-        own = np.maximum(kinds - DISCOUNT, 0) * scaled(kinds.sum(1))
-        word = own + FLOOR + BACKOFF * own.mean(0)
-        word /= word.sum(1, keepdims=True)
-        tilt = word / word.mean(0)
-        size = scaled(n.sum(1, dtype=np.int64))
-        total, pair = np.tile(DISCOUNT * seen + FLOOR, (2, 1)), np.empty(len(pairs), np.float32)
-        for x in parts:
-            h, w = pairs[x] >> 20, pairs[x] & 1048575
-            own = np.maximum(n[:, x] - DISCOUNT, 0) * size
-            kept = own + (FLOOR + BACKOFF * own.mean(0)) * tilt[:, w]
-            total += np.stack([np.bincount(h, k, WORDS) for k in kept])
-            pair[x] = np.log(kept[1] / kept[0])
-        return cls(pairs, pair, np.log(tilt[1] / tilt[0]).astype(np.float32), np.log(total[1] / total[0]).astype(np.float32))
+    def of(cls, words: Words, pairs: np.ndarray, n: np.ndarray) -> Model:
+        """pairs: ascending; n: their counts, 2 x pairs."""
+        top, total = levels(words, pairs, n)
+        w = words.p
+        return cls(pairs, np.log(top[1] / top[0]), np.log(w[1] / w[0]), np.log(total[1] / total[0]))
 
     def ratios(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
         out = self.word[w]
         if len(self.pairs):
-            key, back = np.unique((h << 20) | w, return_inverse=True)
+            key = (h << 20) | w
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            out = np.where((self.pairs[at] == key)[back], self.pair[at][back], out)
-        return (out - self.before[h]).astype(np.float64)
+            hit = np.flatnonzero(self.pairs[at] == key)
+            out[hit] = self.pair[at[hit]]
+        return out - self.before[h]
 
-    def evidence(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Of each text: the mean log ratio, and that of its most toxic window."""
+    def evidence(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Of each text: the mean log ratio, and those of its most toxic runs."""
         for _, _, w, h, first in bigrams(texts):
-            ratio = self.ratios(w, h)
             n = np.diff(first)
-            mean, top = np.zeros(len(n)), np.zeros(len(n))
-            full = n > 0
-            if full.any():
-                mean[full] = np.add.reduceat(ratio, first[:-1][full]) / n[full]
-                sums, doc = ratio, np.repeat(np.arange(len(n)), n)
-                if WINDOW > 1:
-                    window = (np.arange(len(ratio)) - first[doc]) // WINDOW
-                    new = np.append(True, (doc[1:] != doc[:-1]) | (window[1:] != window[:-1]))
-                    at = np.flatnonzero(new)
-                    sums, doc = np.add.reduceat(ratio, at) / WINDOW, doc[at]
-                top[full] = np.maximum.reduceat(sums, np.flatnonzero(np.append(True, doc[1:] != doc[:-1])))
-            yield mean, top
+            full = np.flatnonzero(n)
+            out = np.zeros((len(n), 1 + len(RUNS)))
+            if len(full):
+                at = first[:-1][full]
+                sums = np.concatenate([[0.0], np.cumsum(self.ratios(w, h))])
+                out[full, 0] = (sums[first[1:]] - sums[first[:-1]])[full] / n[full]
+                ends = np.repeat(first[1:], n)
+                for k, size in enumerate(RUNS):
+                    run = (sums[np.minimum(np.arange(len(w)) + size, ends)] - sums[:-1]) / size
+                    out[full, k + 1] = np.maximum(np.maximum.reduceat(run, at), 0)
+            yield out
 
     def score(self, texts: pa.Array, curve: np.ndarray) -> np.ndarray:
-        """curve: of bias, whole text, window."""
-        parts = [1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * m + curve[2] * steep(t), -40, 40))) for m, t in self.evidence(texts)]
+        parts = [1 / (1 + np.exp(-np.clip(curve[0] + columns(x) @ curve[1:], -40, 40))) for x in self.evidence(texts)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def steep(top: np.ndarray) -> np.ndarray:
-    """The fourth power: a run that is twice as toxic counts for much more than two, as chance makes many weak ones."""
-    return np.maximum(top, 0) ** 4
+def levels(words: Words, pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs that are kept: their numerators (2 x pairs), and total() of all contexts (2 x WORDS)."""
+    own, top = words.parts(pairs, n)
+    h, w = pairs >> 20, pairs & 1048575
+    rest = rest_of(words, pairs, own)
+    total = np.stack([rest + np.bincount(h, x, WORDS) for x in top])
+    return top + rest[h] * words.p[:, w], total
+
+
+def rest_of(words: Words, pairs: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return words.after - np.bincount(pairs >> 20, own.mean(0), WORDS) + FLOOR
+
+
+def columns(evidence: np.ndarray) -> np.ndarray:
+    """What the curve weighs: the evidence, and that of runs squared too, as chance makes many weak runs."""
+    return np.column_stack([evidence, evidence[:, 1:] ** 2])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -163,62 +228,74 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return np.concatenate([[w[0] - (w[1:] * mid / spread).sum()], w[1:] / spread])
 
 
-def known_texts(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame | None:
-    """Labelled texts outside the held-out fold: all of folds 1 to 3 (part 0), and of 4 those to calibrate on (part 1)."""
+def known_texts(docs: DataFrame, labels: DataFrame, s: Settings, scratch: Scratch) -> DataFrame | None:
+    """Labelled texts outside the held-out fold: those to count (learn) and those to calibrate on (prove)."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic in (0, 1)")
-    ids = docs.select("doc_id").distinct().join(known, "doc_id").withColumn("part", F.when(fold_of() == 4, 1).otherwise(0)).filter(fold_of() != 0)
-    ids = written(ids, "labelled")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").isNotNull().alias("there"))
+    ids = scratch(hashed.filter("there").filter(fold_of() != 0).join(known, "doc_id").withColumn("part", (fold_of() == 4).cast("int")).select("doc_id", "th", "toxic", "part"), "labelled")
+    # Of documents with one text, the first of the earliest part counts for all.
+    ids = scratch(ids.groupBy("th").agg(F.max("toxic").alias("toxic"), F.min(F.struct("part", "doc_id")).alias("first")).select("th", "toxic", "first.*"), "texts")
     counts = {(r["toxic"], r["part"]): r["count"] for r in ids.groupBy("toxic", "part").count().collect()}
-    if len(counts) < 4:
+    if {t for t, _ in counts} != {0, 1}:
         return None
-    share = F.lit(1 << 20)
+    apart = len(counts) == 4
+    size = counts if apart else {(t, 1): sum(n for (x, _), n in counts.items() if x == t) for t in (0, 1)}
+    draw, share = F.pmod(F.xxhash64("th", F.lit(5)), F.lit(1 << 20)), F.lit(0)
     for toxic in (0, 1):
-        share = F.when((F.col("toxic") == toxic) & (F.col("part") == 1), F.lit(min(1 << 20, -(-s.sample * (1 << 20) // counts[toxic, 1])))).otherwise(share)
-    chosen = ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share)
+        share = F.when(F.col("toxic") == toxic, F.lit(min(1 << 20, -(-s.sample * (1 << 20) // size[toxic, 1])))).otherwise(share)
+    chosen = ids.select("doc_id", "th", "toxic", ((F.col("part") == 0) if apart else F.lit(True)).alias("learn"), (((F.col("part") == 1) if apart else F.lit(True)) & (draw < share)).alias("prove")).filter("learn or prove")
     if sum(counts.values()) <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    texts = written(docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").dropDuplicates(["doc_id"]), "sample")
-    release(docs.sparkSession, ids)  # the shuffle files of texts before those of the counts
-    return texts
-
-
-def gathered(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs, ascending, and their counts; a range of pairs at a time, so that the driver holds little besides."""
-    total = counts.count()
-    pairs, n, at = np.empty(total, np.int64), np.empty((2, total), np.int32), 0
-    step = -(-WORDS // (1 + total // 1_000_000)) << 20
-    for low in range(0, WORDS << 20, step):
-        t = counts.filter((F.col("key") >= low) & (F.col("key") < low + step)).select("key", F.col("n0").cast("int"), F.col("n1").cast("int")).toArrow()
-        to = at + t.num_rows
-        key = t["key"].to_numpy()
-        order = np.argsort(key)
-        pairs[at:to] = key[order]
-        for c in (0, 1):
-            n[c, at:to] = t[f"n{c}"].to_numpy()[order]
-        at = to
-    return pairs, n
+    return scratch(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(chosen, ["doc_id", "th"]).select("text", "toxic", "learn", "prove"), "sample")
+
+
+def table_of(rows: DataFrame, *columns: str) -> np.ndarray:
+    """Rows of (bucket, ...) as arrays over WORDS."""
+    t = rows.toArrow()
+    out = np.zeros((len(columns), WORDS))
+    for k, c in enumerate(columns):
+        out[k, t["bucket"].to_numpy()] = t[c].to_numpy()
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()):
     """A broadcast model of labelled documents outside the held-out fold, and its curve; None without both classes."""
     spark = docs.sparkSession
     ship(spark)
-    texts = known_texts(docs, labels, s)
+    scratch = Scratch(spark)
+    texts = known_texts(docs, labels, s, scratch)
     if texts is None:
+        scratch.drop()
         return None
-    sent = spark.sparkContext.broadcast(Model.of(*gathered(written(tally(texts.filter("part = 0")), "bigrams"))))
-    rows = texts.filter("part = 1").select("toxic", "text").mapInArrow(lean(prover(sent)), "toxic long, mean double, top double").toArrow()
-    x, y = np.column_stack([rows["mean"].to_numpy(), steep(rows["top"].to_numpy())]), rows["toxic"].to_numpy()
-    order = np.lexsort((y, x[:, 1], x[:, 0]))
+    pairs = texts.filter("learn").select("text", "toxic").mapInArrow(lean(counted), "key long, n0 long, n1 long")
+    pairs = scratch(pairs.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
+    kinds = table_of(pairs.groupBy(F.expr("key & 1048575").alias("bucket")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1")), "n0", "n1")
+    after = table_of(pairs.groupBy(F.expr("key >> 20").alias("bucket")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "n0", "n1")
+    level = Words.of(kinds, after)
+    kept = pairs.mapInArrow(lean(chooser(spark.sparkContext.broadcast(level))), "key long, n0 long, n1 long").toArrow().sort_by("key")
+    sent = spark.sparkContext.broadcast(Model.of(level, kept["key"].to_numpy(), np.stack([kept["n0"].to_numpy(), kept["n1"].to_numpy()])))
+    rows = texts.filter("prove").select("toxic", "text").mapInArrow(lean(prover(sent)), "toxic long, evidence array<double>").toArrow()
+    x, y = columns(np.array(rows["evidence"].to_pylist()).reshape(-1, 1 + len(RUNS))), rows["toxic"].to_numpy()
+    order = np.lexsort((y, *x.T))
+    scratch.drop()
     return sent, logistic(x[order], y[order])
 
 
+def chooser(words):
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.stack([batch.column(c).to_numpy() for c in ("n0", "n1")])
+            yield batch.filter(pa.array(words.value.matter(batch.column("key").to_numpy(), n)))
+
+    return choose
+
+
 def prover(model):
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = list(model.value.evidence(batch.column("text")))
             if got:
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int64()), *(pa.array(np.concatenate(x)) for x in zip(*got))], ["toxic", "mean", "top"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int64()), pa.array(np.concatenate(got).tolist(), pa.list_(pa.float64()))], ["toxic", "evidence"])
 
     return prove
 

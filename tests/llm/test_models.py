@@ -1,11 +1,14 @@
 import random
+import re
 import zlib
+from collections import defaultdict
 
-import pyarrow as pa
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import language_id, toxicity
+from foliant.llm.shared import Scratch
 from tests_llm_prose import prose
 
 WORDS = {"aa": "the and of with house water stone river".split(), "bb": "der und von mit haus wasser stein fluss".split(), "cc": "le et de avec maison eau pierre fleuve".split()}
@@ -87,21 +90,110 @@ def test_toxicity_learns_from_all_labelled_texts(spark):
             words[rng.randrange(len(words))] = abuse[n // 5 % 8]
         rows.append((n, " ".join([*words, *words[:20]])))
         labels.append((n, int(n % 5 == 0)))
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    few = toxicity.Settings(sample=40)
-    got = toxicity.tally(toxicity.known_texts(docs, labels, few).filter("part = 0")).agg(F.sum("n0"), F.sum("n1")).first()
-    learned = [(n, t) for n, t in rows if zlib.crc32(str(n).encode()) % 5 in (1, 2, 3)]
-    want = [set(), set()]
-    for n, t in learned:
-        words = ["", *t.split(), ""]
-        want[n % 5 == 0].update(zip(words, words[1:], words[2:]))
-    assert list(got) == [len(x) for x in want]
-    held = [r for r in toxicity.toxicity(docs, labels, few).collect() if r["held_out"]]
+    rows += [(4000, rows[7][1]), (4001, rows[7][1]), (4002, " ".join(prose(rng, 30).split() * 700 + ["vile3"]))]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (4000, 0), (4001, 0)], "doc_id long, toxic int")
+    few, scratch = toxicity.Settings(sample=40), Scratch(spark)
+    texts = toxicity.known_texts(docs, labels, few, scratch)
+    got = texts.filter("learn").select("text", "toxic").mapInArrow(toxicity.counted, "key long, n0 long, n1 long").agg(F.sum("n0"), F.sum("n1")).first()
+    learned = {t: n for n, t in rows[:1500] if zlib.crc32(str(n).encode()) % 5 in (1, 2, 3)}
+    assert list(got) == [sum(len(t.split()) for t, n in learned.items() if (n % 5 == 0) == c) for c in (False, True)]
+    out = toxicity.toxicity(docs, labels, few).collect()
+    held = [r for r in out if r["held_out"] and r["doc_id"] < 1500]
     assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.95 * len(held)
+    assert {r["doc_id"]: r["predicted"] for r in out}[4002] == 1  # one word at the end of a very long text
 
 
-def test_toxicity_counts_every_place(spark):
-    texts = spark.createDataFrame([("a b a b c", 0), ("b a b", 1), (None, 1), ("", 0)], "text string, toxic int").coalesce(1)
-    assert sorted((r["n0"], r["n1"]) for r in toxicity.tally(texts).collect()) == [(0, 1), (1, 0), (1, 0), (1, 1), (2, 1)]
-    keys = [r["key"] for r in toxicity.tally(texts).collect()]
-    assert len(set(keys)) == len(keys) == 5
+@pytest.mark.parametrize("folds", [(1, 2, 3), (4,)])
+def test_toxicity_where_a_part_lacks_a_class(spark, labelled, folds):
+    docs, labels = labelled
+    some = labels.filter(language_id.fold_of().isin(*folds))
+    rows = toxicity.toxicity(docs, some).collect()
+    own = [r for r in rows if r["doc_id"] is not None and r["doc_id"] < 500]
+    assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in own) >= 0.9 * len(own)
+
+
+def test_toxicity_with_several_texts_of_one_id(spark, labelled):
+    docs, labels = labelled
+    more = docs.union(docs.filter("doc_id = 8").withColumn("text", F.lit("calm words")))
+    runs = [sorted((str(r["doc_id"]), r["score"]) for r in toxicity.toxicity(more.repartition(n), labels).collect()) for n in (1, 5)]
+    assert [a for a, _ in runs[0]] == [a for a, _ in runs[1]] and all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(*runs))
+
+
+def plain_counts(texts):
+    """Pairs of words and their counts in ordinary and toxic texts; the first of a text follows a start."""
+    out = defaultdict(lambda: [0, 0])
+    for text, toxic in texts:
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+        for pair in zip(["<s>", *words], words):
+            out[pair][toxic] += 1
+    return out
+
+
+def plain_model(counts, size, keep):
+    """The documented formulas on dictionaries: p(w | h) of each class, for every h and w."""
+    d, floor, share = toxicity.DISCOUNT, toxicity.FLOOR, toxicity.BACKOFF
+    vocabulary = range(size)
+    kinds = [[sum(n[c] > 0 for (_, w), n in counts.items() if w == x) for x in vocabulary] for c in (0, 1)]
+    scaled = lambda totals: [min(totals) / max(t, 1) for t in totals]
+    g = scaled([sum(k) for k in kinds])
+    own = [[max(k - d, 0) * g[c] for k in kinds[c]] for c in (0, 1)]
+    top = [[own[c][x] + floor + share * (own[0][x] + own[1][x]) / 2 for x in vocabulary] for c in (0, 1)]
+    p = [[x / sum(t) for x in t] for t in top]
+    g = scaled([sum(n[c] for n in counts.values()) for c in (0, 1)])
+    out = {}
+    for h in vocabulary:
+        pairs = {w: [max(n[c] - d, 0) * g[c] for c in (0, 1)] for (x, w), n in counts.items() if x == h and (h, w) in keep}
+        after = sum((n[0] * g[0] + n[1] * g[1]) / 2 for (x, _), n in counts.items() if x == h)
+        rest = after - sum(sum(a) / 2 for a in pairs.values()) + floor
+        for c in (0, 1):
+            top = {w: a[c] + (floor + share * sum(a) / 2) * p[c][w] / ((p[0][w] + p[1][w]) / 2) for w, a in pairs.items()}
+            total = rest + sum(top.values())
+            out[c, h] = [(top.get(w, 0.0) + rest * p[c][w]) / total for w in vocabulary]
+    return out
+
+
+def test_kneser_ney_as_on_dictionaries(monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS", 40)
+    rng = random.Random(9)
+    counts = defaultdict(lambda: [0, 0])
+    for _ in range(3000):
+        c = int(rng.random() < 0.2)
+        counts[min(39, int(rng.expovariate(0.15))), min(39, int(rng.expovariate(0.1)) + c)][c] += 1
+    pairs = sorted(counts)
+    key = np.array([(h << 20) | w for h, w in pairs])
+    n = np.array([counts[x] for x in pairs]).T
+    kinds = np.stack([np.bincount(key[n[c] > 0] & 1048575, minlength=40) for c in (0, 1)]).astype(float)
+    after = np.stack([np.bincount(key >> 20, n[c], 40) for c in (0, 1)])
+    words = toxicity.Words.of(kinds, after)
+    keep = np.array([k % 3 > 0 for k in range(len(key))])
+    want = plain_model(counts, 40, {x for x, k in zip(pairs, keep) if k})
+    top, total = toxicity.levels(words, key[keep], n[:, keep])
+    rest = toxicity.rest_of(words, key[keep], words.parts(key[keep], n[:, keep])[0])
+    model = toxicity.Model.of(words, key[keep], n[:, keep])
+    at = {int(k): i for i, k in enumerate(key[keep])}
+    for h in range(40):
+        for c in (0, 1):
+            got = [(top[c, at[h << 20 | w]] if h << 20 | w in at else rest[h] * words.p[c, w]) / total[c, h] for w in range(40)]
+            assert abs(sum(got) - 1) < 1e-9 and np.allclose(got, want[c, h])
+        ratio = model.ratios(np.arange(40), np.full(40, h))
+        assert np.allclose(ratio, np.log(np.array(want[1, h]) / np.array(want[0, h])))
+
+
+def test_pairs_are_counted_at_every_place(spark):
+    texts = [("a b a b c", 0), ("b a B", 1), (None, 1), ("", 0), ("b a b", 1)]
+    rows = spark.createDataFrame(texts, "text string, toxic int").coalesce(1).mapInArrow(toxicity.counted, "key long, n0 long, n1 long").collect()
+    assert sorted((r["n0"], r["n1"]) for r in rows) == sorted(tuple(x) for x in plain_counts(texts).values())
+
+
+def test_few_pairs_matter():
+    """Twice the counts keep about the same pairs: the bound does not grow with the input."""
+    rng = np.random.default_rng(4)
+    sizes = []
+    for scale in (1, 4):
+        h, w = rng.zipf(1.3, (2, 200_000 * scale)) % 20_000
+        toxic = rng.random(len(h)) < 0.2
+        key, n = toxicity.added([(h << 20) | w], [np.stack([~toxic, toxic]).astype(np.int64)])
+        kinds = np.stack([np.bincount(key[n[c] > 0] & 1048575, minlength=toxicity.WORDS) for c in (0, 1)]).astype(float)
+        words = toxicity.Words.of(kinds, np.stack([np.bincount(key >> 20, n[c], toxicity.WORDS) for c in (0, 1)]))
+        sizes.append((len(key), int(words.matter(key, n).sum())))
+    assert sizes[1][0] > 2 * sizes[0][0] and sizes[1][1] <= 2 * sizes[0][1]
