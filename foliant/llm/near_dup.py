@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -386,15 +385,13 @@ def meeting(percent: int):
                 if len(held) > 1:
                     held = [pa.concat_tables(held).combine_chunks()]
                 shown = held[0]
-                (na, pa_), (nb, pb) = ((p["n"].to_numpy(), p["place"].to_numpy()) for p in (shown, part))
-                for at in range(0, len(nb), BLOCK):  # bounds the matrix
-                    m, q = nb[at : at + BLOCK, None], pb[at : at + BLOCK, None]
-                    close = (na <= m) & (100 * na >= percent * m) & (1 + np.minimum(na - pa_, m - q) - 1 >= need(na, m, percent))
-                    j, i = np.nonzero(close)
+                (na, pa_, ra), (nb, pb, rb) = ([p[c].to_numpy() for c in ("n", "place", "of")] for p in (shown, part))
+                for at in range(0, len(nb), SMALL):  # bounds the matrix
+                    m, q, r = (x[at : at + SMALL, None] for x in (nb, pb, rb))
+                    j, i = np.nonzero((ra != r) & (na <= m) & (100 * na >= percent * m) & (np.minimum(na - pa_, m - q) >= need(na, m, percent)))
                     if len(j):
-                        mine, other = part.slice(at, BLOCK).take(pa.array(j)), shown.take(pa.array(i))
-                        out = pa.table({"a": mine["fp"], "b": other["fp"], "ra": mine["root"], "rb": other["root"]})
-                        yield from out.filter(pc.not_equal(out["ra"], out["rb"])).select(["a", "b"]).combine_chunks().to_batches()
+                        out = pa.table({"a": part["fp"].slice(at, SMALL).take(pa.array(j)), "b": shown["fp"].take(pa.array(i))})
+                        yield from out.combine_chunks().to_batches()
 
     return meet
 
@@ -409,7 +406,7 @@ def led_by_rarest(members: DataFrame, sets: DataFrame, percent: int, scratch: Sc
     rows = scratch(held.mapInArrow(lean(rarest(spark.sparkContext.broadcast(count), percent)), "token long, fp binary, root binary, n long, place int, shown boolean"), "rarest")
     several = rows.groupBy("token").agg(F.count_if("shown").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y and size > 0")
     rows = rows.join(several.select("token", "size"), "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    columns = ["token", "fp", "root", "n", "place"]
+    columns = ["token", "fp", F.xxhash64("root").alias("of"), "n", "place"]
     shown = rows.filter("shown").select(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("looks"), *columns)
     looks = rows.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("looks"), *columns)
     return shown.union(looks)
