@@ -1,18 +1,20 @@
 """Text in its comparison form, citation markers, and small string functions.
 
 ``normalize`` is the full rule set in Python, with the raw byte range of every output byte; ``comparison_form`` is the
-same rules as JVM expressions, exact for text that NFKC leaves alone and that has no capital sigma, and meant for the
-hot path (``needs_full_rules`` tells which rows need the Python form).
+same rules as JVM expressions, exact for text that NFKC leaves alone and that has no capital sigma. ``compared`` is what
+operators use: the JVM form, and the full rules for the rows that need them; only these rows' texts reach Python.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +29,7 @@ SOFT_HYPHEN = "\xad"
 REPLACEMENT = "\ufffd"
 #: Characters with the Unicode property White_Space.
 SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_SPACE_SET = frozenset(SPACES)
-_STAND_IN = {**dict.fromkeys(DASHES, "-"), **dict.fromkeys(SINGLE_QUOTES, "'"), **dict.fromkeys(DOUBLE_QUOTES, '"'), SOFT_HYPHEN: ""}
+_STAND_IN = {**dict.fromkeys(DASHES, DASHES[0]), **dict.fromkeys(SINGLE_QUOTES, "'"), **dict.fromkeys(DOUBLE_QUOTES, '"'), SOFT_HYPHEN: ""}
 SPACE_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in SPACES) + "]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,63 +45,55 @@ class Normalized:
         return (self.starts[start], self.ends[end - 1]) if 0 <= start < end <= len(self.starts) else None
 
 
-def _segments(raw: str) -> Iterator[tuple[str, str]]:
-    """A character with the marks after it, and the character that follows ('' at the end)."""
-    at, n = 0, len(raw)
-    while at < n:
-        to = at + 1
-        while to < n and unicodedata.category(raw[to])[0] == "M":
-            to += 1
-        yield raw[at:to], raw[to : to + 1]
-        at = to
+@cache
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """A character with the marks after it; and what is left out (a hyphen at a line's end) or becomes one space."""
+    marks = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M")
+    spaces = re.escape(SPACES)
+    return re.compile(f".[{re.escape(marks)}]*", re.DOTALL), re.compile(f"(-(?=[{spaces}]*\n)[{spaces}]+)|[{spaces}]+")
+
+
+@lru_cache(1 << 16)
+def _mapped(piece: str) -> str:
+    """A character with its marks, compatibility-composed and lower-cased. Two are left for later: dashes become U+2010,
+    as only real hyphens join lines, and capital sigma stays, as its form depends on its neighbours."""
+    form = unicodedata.normalize("NFKC", piece)
+    return "".join(c if c == "\u03a3" else _STAND_IN.get(c, c.lower()) for c in form)
+
+
+def _final_sigmas(text: list[str], owner: np.ndarray, after: list[str]) -> None:
+    """Small sigmas for capital ones: the final form after a letter unless the raw text goes on with one."""
+    for i in [i for i, c in enumerate(text) if c == "\u03a3"]:
+        ends = i > 0 and text[i - 1].isalpha() and not after[owner[i]].isalpha()
+        text[i] = "\u03c2" if ends else "\u03c3"
 
 
 def normalize(raw: str) -> Normalized:
-    chars: list[str] = []
-    spans: list[tuple[int, int]] = []
-    hyphens: set[int] = set()
-    byte = 0
-    for segment, following in _segments(raw):
-        span = (byte, byte := byte + len(segment.encode("utf-8", "surrogatepass")))
-        for c in unicodedata.normalize("NFKC", segment):
-            if c == "-":
-                hyphens.add(len(chars))
-            if c == "\u03a3":
-                inside = bool(chars) and chars[-1].isalpha()
-                mapped = "\u03c2" if inside and not following.isalpha() else "\u03c3"
-            else:
-                mapped = _STAND_IN.get(c, c.lower())
-            for x in mapped:
-                chars.append(x)
-                spans.append(span)
-    text: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-
-    def put(c: str, span: tuple[int, int]) -> None:
-        text.append(c)
-        size = len(c.encode("utf-8", "surrogatepass"))
-        starts.extend([span[0]] * size)
-        ends.extend([span[1]] * size)
-
-    gap, k = None, 0
-    while k < len(chars):
-        if k in hyphens:
-            to = k + 1
-            while to < len(chars) and chars[to] in _SPACE_SET:
-                to += 1
-            if "\n" in chars[k + 1 : to]:
-                k = to
-                continue
-        if chars[k] in _SPACE_SET:
-            gap = gap or spans[k]
-        else:
-            if gap and text:
-                put(" ", gap)
-            gap = None
-            put(chars[k], spans[k])
-        k += 1
-    return Normalized("".join(text), starts, ends)
+    """The comparison form by steps over the whole string, each of which says which characters stay."""
+    piece, gap = _patterns()
+    pieces = piece.findall(raw)
+    mapped = [_mapped(x) for x in pieces]
+    owner = np.repeat(np.arange(len(pieces)), [len(x) for x in mapped])
+    joined = "".join(mapped)
+    if "\u03a3" in joined:
+        letters = list(joined)
+        _final_sigmas(letters, owner, [x[0] for x in pieces[1:]] + [""])
+        joined = "".join(letters)
+    stays = np.ones(len(joined), bool)
+    blank = np.zeros(len(joined), bool)
+    for m in gap.finditer(joined):
+        first = m.start() + (m.lastindex is None)  # a gap keeps its first character, which becomes the space
+        stays[first : m.end()] = False
+        blank[m.start()] = m.lastindex is None
+    solid = np.flatnonzero(stays & ~blank)
+    stays[: solid[0] if len(solid) else len(stays)] = False
+    stays[solid[-1] + 1 if len(solid) else 0 :] = False
+    at = np.flatnonzero(stays)
+    text = "".join(" " if blank[i] else joined[i] for i in at.tolist()).replace(DASHES[0], "-")
+    bounds = np.concatenate([[0], np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in pieces], dtype=np.int64)])
+    widths = [len(c.encode("utf-8", "surrogatepass")) for c in text]
+    behind = np.repeat(owner[at], widths) if len(at) else np.zeros(0, np.int64)
+    return Normalized(text, bounds[behind].tolist(), bounds[behind + 1].tolist())
 
 
 NORMALIZED = T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))])
@@ -118,6 +111,11 @@ def normalize_text(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if x is None else normalize(x).text)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def normalize_texts(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda x: None if x is None else [None if t is None else normalize(t).text for t in x])
+
+
 def comparison_form(raw: Column) -> Column:
     """The comparison form as JVM expressions, for text that NFKC leaves alone."""
     joined = F.regexp_replace(raw, f"-(?={SPACE_CLASS}*\\n){SPACE_CLASS}+", "")
@@ -130,6 +128,24 @@ def needs_full_rules(raw: Column) -> Column:
     return raw.rlike("[^\\x00-\\x7F\\xA1-\\xA7\\xA9\\xAB\\xAC\\xAE\\xB0\\xB1\\xB6\\xB7\\xBB\\xBF-\\xFF\\x{2010}-\\x{2014}\\x{2018}-\\x{201F}]|\\x{2011}")
 
 
+def compared(raw: Column) -> Column:
+    """The comparison form of any text."""
+    _workers_know()
+    return F.coalesce(normalize_text(F.when(needs_full_rules(raw), raw)), comparison_form(raw))
+
+
+def compared_each(raw: Column) -> Column:
+    """The comparison forms of an array of texts."""
+    _workers_know()
+    full = F.exists(raw, lambda x: F.coalesce(needs_full_rules(x), F.lit(False)))
+    return F.coalesce(normalize_texts(F.when(full, raw)), F.transform(raw, comparison_form))
+
+
+def _workers_know() -> None:
+    if (spark := SparkSession.getActiveSession()) is not None:
+        importable(spark)
+
+
 def ascii_lower(x: Column) -> Column:
     return F.translate(x, UPPER, LOWER)
 
@@ -181,10 +197,9 @@ def age_text(seconds: Column) -> Column:
     return F.when(s < 60, part(1, "s")).when(s < 3600, part(60, "min")).when(s < 86400, part(3600, "h")).otherwise(part(86400, "d"))
 
 
-def capped_list(items: Column, most: int = 10) -> Column:
-    """The first items, and how many more there are."""
-    text = F.array_join(F.slice(items, 1, most), ", ")
-    return F.when(F.size(items) > most, F.concat(text, F.lit(", and "), (F.size(items) - most).cast("string"), F.lit(" more"))).otherwise(text)
+def capped_list(first: Column, n: Column, most: int = 10) -> Column:
+    """The first items (at most ``most`` of the n there are) as a text, and how many others there are."""
+    return F.concat(F.array_join(first, ", "), F.when(n > most, F.concat(F.lit(", +"), (n - most).cast("string"), F.lit(" others"))).otherwise(F.lit("")))
 
 
 def without_braces(x: Column) -> Column:
@@ -195,41 +210,29 @@ def described(library: Column, key: Column, title: Column, year: Column) -> Colu
     return F.concat(library, F.lit(":"), key, F.lit(' "'), title, F.lit('"'), F.coalesce(F.concat(F.lit(" ("), year.cast("string"), F.lit(")")), F.lit("")))
 
 
-def markers(text: str) -> list[dict]:
-    """Citation markers ``@key`` by line; columns count UTF-16 units."""
-    out = []
-    for number, line in enumerate(text.split("\n")):
-        line = line.removesuffix("\r")
-        column, at = 0, 0
-        while at < len(line):
-            before = line[at - 1] if at else ""
-            if line[at] == "@" and not (before.isalnum() or before == "\\") and line[at + 1 : at + 2].isalpha():
-                to = at + 1
-                while to < len(line) and (line[to].isalnum() or line[to] in "_-:."):
-                    to += 1
-                key = line[at + 1 : to].rstrip(".:-")
-                width = 1 + sum(1 + (ord(c) > 0xFFFF) for c in key)
-                out.append({"key": key, "line": number, "start": column, "end": column + width})
-                column, at = column + width, at + 1 + len(key)
-            else:
-                column += 1 + (ord(line[at]) > 0xFFFF)
-                at += 1
-    return out
+#: What is before a marker (less the marker before it), and its key: a letter, then letters, digits and ``_-:.``, but no
+#: point, colon or hyphen at the end. A letter, digit or backslash before the sign makes it no marker.
+BEFORE = r"([\s\S]*?)"
+KEY = r"@(\p{IsAlphabetic}(?:[\p{IsAlphabetic}\p{N}_\-:.]*[\p{IsAlphabetic}\p{N}_])?)"
+MARKER = BEFORE + r"(?<![\p{IsAlphabetic}\p{N}\\])" + KEY
 
 
-MARKERS = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("line", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-
-
-@F.pandas_udf(MARKERS)
-def markers_of(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: [] if x is None else markers(x))
+def utf16_units(x: Column) -> Column:
+    return F.length(x) + F.regexp_count(x, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
 def marker_hits(docs: DataFrame) -> DataFrame:
-    """doc_id, key, line, start and end of every marker; texts without ``@`` never leave the JVM."""
-    importable(docs.sparkSession)
-    found = docs.filter(F.contains("text", F.lit("@"))).select("doc_id", F.explode(markers_of("text")).alias("m"))
-    return found.select("doc_id", "m.key", "m.line", "m.start", "m.end")
+    """doc_id, key, line, start and end of every citation marker ``@key``; columns count UTF-16 units.
+
+    A line is cut into (what is before, key) pairs; a marker starts where all pairs before it end.
+    """
+    lines = docs.filter(F.contains("text", F.lit("@"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s")).filter(F.contains("s", F.lit("@")))
+    parts = [F.regexp_extract_all("s", F.lit(MARKER), F.lit(k)) for k in (1, 2)]
+    found = lines.select("doc_id", F.col("line").cast("long").alias("line"), F.arrays_zip(parts[0].alias("gap"), parts[1].alias("key")).alias("m"))
+    sized = found.select("doc_id", "line", F.transform("m", lambda x: F.struct(x["key"].alias("key"), utf16_units(x["gap"]).cast("long").alias("gap"), (utf16_units(x["key"]) + 1).cast("long").alias("size"))).alias("m"))
+    ends = F.aggregate("m", F.array().cast("array<bigint>"), lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x["gap"] + x["size"])))
+    rows = sized.filter(F.size("m") > 0).select("doc_id", "line", F.explode(F.arrays_zip(F.col("m").alias("m"), ends.alias("end"))).alias("x"))
+    return rows.select("doc_id", F.col("x.m.key").alias("key"), "line", (F.col("x.end") - F.col("x.m.size")).alias("start"), F.col("x.end").alias("end"))
 
 
 def marker_at(hits: DataFrame, line: int, column: int) -> DataFrame:
@@ -238,5 +241,5 @@ def marker_at(hits: DataFrame, line: int, column: int) -> DataFrame:
 
 
 def references(hits: DataFrame) -> DataFrame:
-    """For each key, all its places in order of document, line and column."""
-    return hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "line", "start", "end"))).alias("places"))
+    """All places of each key, in order of key, document, line and column; a row each, however many a key has."""
+    return hits.select("key", "doc_id", "line", "start", "end").orderBy("key", "doc_id", "line", "start")

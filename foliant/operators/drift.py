@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import ascii_lower, comparison_form
+from foliant.functions.text import ascii_lower, compared
 
 
 def last_of_key(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -23,7 +23,7 @@ def compare(entries: DataFrame, sources: DataFrame) -> DataFrame:
     rows = e.join(sources.alias("s"), F.col("e.key") == F.col("s.citation_key"), "left")
     missing = F.col("s.citation_key").isNull()
     text = lambda kind, field, differs, c: F.when(differs, F.struct(F.lit(kind).alias("kind"), F.lit(field).alias("field"), F.col(f"e.{c}").cast("string").alias("entry_value"), F.col(f"s.{c}").cast("string").alias("source_value")))
-    title = ~missing & F.col("e.title").isNotNull() & (comparison_form(F.col("e.title")) != comparison_form(F.col("s.title")))
+    title = ~missing & F.col("e.title").isNotNull() & (compared(F.col("e.title")) != compared(F.col("s.title")))
     year = F.coalesce(F.col("e.year") != F.col("s.year"), F.lit(False))
     doi = F.coalesce(ascii_lower(F.col("e.doi")) != ascii_lower(F.col("s.doi")), F.lit(False))
     only = F.when(missing, F.struct(F.lit("only_in_file").alias("kind"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("entry_value"), F.lit(None).cast("string").alias("source_value")))
@@ -31,6 +31,11 @@ def compare(entries: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select(F.col("e.key").alias("key"), F.explode(found).alias("f")).select("key", "f.kind", "f.field", "f.entry_value", "f.source_value")
 
 
+def in_order(findings: DataFrame) -> DataFrame:
+    """Findings by key, missing ones first, then by field."""
+    return findings.orderBy("key", F.col("kind") != "only_in_file", "field", "entry_value")
+
+
 def without(rows: DataFrame, key: str, conflicted: DataFrame) -> DataFrame:
     """Rows whose key is in no conflict."""
     return rows.join(conflicted.select(F.col("citation_key").alias(key)), key, "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import age_text, capped_list, described, library_name
@@ -35,28 +35,29 @@ def library_status(libraries: DataFrame, sources: DataFrame, runs: DataFrame, no
 def listed(rows: DataFrame, item: Column, order: list[Column]) -> DataFrame:
     """n, and the first items in order as a list with the number of others; no row if there is none.
 
-    Only the first items are ever gathered.
+    Only the first items are ever gathered: tasks hand on theirs, and the first of those stay.
     """
-    first = rows.withColumn("_item", item).withColumn("_r", F.row_number().over(Window.orderBy(*order))).filter(F.col("_r") <= LISTED).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_item"))), lambda x: x["_item"]).alias("items"))
+    first = rows.select(item.alias("item"), *(c.alias(f"o{k}") for k, c in enumerate(order))).orderBy(*(f"o{k}" for k in range(len(order))), "item").limit(LISTED)
+    keys = [f"o{k}" for k in range(len(order))]
+    items = first.agg(F.transform(F.array_sort(F.collect_list(F.struct(*keys, "item"))), lambda x: x["item"]).alias("items"))
     n = rows.agg(F.count("*").alias("n"))
-    text = F.when(F.col("n") > LISTED, F.concat(F.array_join("items", ", "), F.lit(", and "), (F.col("n") - LISTED).cast("string"), F.lit(" more"))).otherwise(capped_list(F.col("items"), LISTED))
-    return n.join(F.broadcast(first)).filter("n > 0").select("n", text.alias("items"))
+    return n.join(F.broadcast(items)).filter("n > 0").select("n", capped_list(F.col("items"), F.col("n"), LISTED).alias("items"))
 
 
 def store_finding(spark, place: str, version: int, error: str | None) -> DataFrame:
     """The store and its version, and whether the remote library answers."""
-    rows = [(0, "info", "store", f"{place} (schema version {version})")]
-    rows.append((1, "info", "remote", "remote library reachable") if error is None else (1, "warning", "remote_unreachable", f"{error}; working from the last synced state"))
+    rows = [(0, "info", "store", f"{place} holds schema {version}")]
+    rows.append((1, "info", "remote", "the remote library answers") if error is None else (1, "warning", "remote_unreachable", f"{error}: results are as of the latest sync"))
     return spark.createDataFrame(rows, "ord int, severity string, code string, message string")
 
 
 def library_findings(status: DataFrame) -> DataFrame:
     name = library_name(F.col("kind"), F.col("number"))
     quoted = F.concat(name, F.lit(' "'), F.col("name"), F.lit('"'))
-    ages = finding(status.filter("age is not null"), 3, "info", "library", F.concat(quoted, F.lit(": "), F.col("active_sources").cast("string"), F.lit(" active sources, last sync "), age_text(F.col("age")), F.lit(" ago")))
-    never = finding(status.filter("age is null"), 3, "warning", "never_synced", F.concat(name, F.lit(" has never been synced successfully")))
-    failed = finding(status.filter("latest_error is not null"), 3, "warning", "library", F.concat(quoted, F.lit(": last sync failed: "), F.col("latest_error")))
-    none = finding(status.agg(F.count("*").alias("n")).filter("n = 0"), 2, "warning", "never_synced", F.lit("no library synced yet"))
+    ages = finding(status.filter("age is not null"), 3, "info", "library", F.concat(quoted, F.lit(" holds "), F.col("active_sources").cast("string"), F.lit(" active sources as of "), age_text(F.col("age")), F.lit(" before")))
+    never = finding(status.filter("age is null"), 3, "warning", "never_synced", F.concat(name, F.lit(": no sync has ended well so far")))
+    failed = finding(status.filter("latest_error is not null"), 3, "warning", "library", F.concat(quoted, F.lit(": newest sync broke off with "), F.col("latest_error")))
+    none = finding(status.agg(F.count("*").alias("n")).filter("n = 0"), 2, "warning", "never_synced", F.lit("the store has no library"))
     return reduce(DataFrame.union, (none, ages, never, failed))
 
 
@@ -65,9 +66,9 @@ def source_findings(sources: DataFrame, libraries: DataFrame) -> DataFrame:
     s = sources.filter("status = 'active' and citation_key is null").join(libraries, "library_id")
     item = F.concat(library_name(F.col("kind"), F.col("number")), F.lit(":"), F.col("item_key"), F.lit(' "'), F.col("title"), F.lit('"'))
     keyless = listed(s, item, [F.col("library_id"), F.col("item_key")])
-    missing = finding(keyless, 4, "warning", "missing_citation_key", F.concat(F.col("n").cast("string"), F.lit(" source(s) without citation key, not citable: "), F.col("items")))
+    missing = finding(keyless, 4, "warning", "missing_citation_key", F.concat(F.col("n").cast("string"), F.lit(" sources cannot be cited for lack of a key: "), F.col("items")))
     retired = sources.agg(F.count_if(F.col("status") == "retired").alias("n")).filter("n > 0")
-    return missing.union(finding(retired, 7, "info", "retired_sources", F.concat(F.col("n").cast("string"), F.lit(" source(s) no longer in the library are kept as retired"))))
+    return missing.union(finding(retired, 7, "info", "retired_sources", F.concat(F.col("n").cast("string"), F.lit(" retired sources remain in the store"))))
 
 
 def attachment_findings(attachments: DataFrame, sources: DataFrame, libraries: DataFrame, files: DataFrame) -> DataFrame:
@@ -76,33 +77,33 @@ def attachment_findings(attachments: DataFrame, sources: DataFrame, libraries: D
     gone = listed(active.filter("path is not null").join(files.select("path").distinct(), "path", "left_anti"), F.col("path"), [F.col("path")])
     bare = without_file(active, sources, libraries)
     none = listed(bare, F.col("described"), [F.col("kind") == "group", F.col("number"), F.col("item_key")])
-    a = finding(gone, 5, "warning", "missing_pdf_file", F.concat(F.col("n").cast("string"), F.lit(" PDF attachment(s) point to missing files: "), F.col("items")))
-    return a.union(finding(none, 6, "info", "pdf_without_file", F.concat(F.col("n").cast("string"), F.lit(" PDF attachment(s) have no local file: "), F.col("items"))))
+    a = finding(gone, 5, "warning", "missing_pdf_file", F.concat(F.col("n").cast("string"), F.lit(" attached files are not where their paths say: "), F.col("items")))
+    return a.union(finding(none, 6, "info", "pdf_without_file", F.concat(F.col("n").cast("string"), F.lit(" attachments exist on the server alone: "), F.col("items"))))
 
 
 def without_file(attachments: DataFrame, sources: DataFrame, libraries: DataFrame) -> DataFrame:
     """Active attachments without a path, described, with their library's kind and number."""
     s = sources.select(F.col("id").alias("source_id"), F.col("item_key").alias("source_key"), F.col("title").alias("source_title"))
     rows = attachments.filter("status = 'active' and path is null").join(libraries, "library_id").join(s, "source_id", "left")
-    tail = F.coalesce(F.concat(F.lit(", source "), F.col("source_key"), F.lit(' "'), F.coalesce("source_title", F.lit("")), F.lit('"')), F.lit(""))
-    text = F.concat(library_name(F.col("kind"), F.col("number")), F.lit(' "'), F.col("name"), F.lit('": attachment '), F.col("item_key"), tail)
+    tail = F.coalesce(F.concat(F.lit(" of "), F.col("source_key"), F.lit(' "'), F.coalesce("source_title", F.lit("")), F.lit('"')), F.lit(""))
+    text = F.concat(library_name(F.col("kind"), F.col("number")), F.lit(' "'), F.col("name"), F.lit('" / '), F.col("item_key"), tail)
     return rows.select("kind", "number", "item_key", text.alias("described"))
 
 
 def project_findings(order: DataFrame, libraries: DataFrame, ranked: DataFrame, conflicts: DataFrame, drift: DataFrame) -> DataFrame:
     """Libraries a project lists in vain, keys that name different works, and what its citation file says otherwise."""
-    unknown = finding(order.join(libraries, "library_id", "left_anti"), 9, "warning", "library_unknown", F.concat(F.lit("library "), F.col("library_id").cast("string"), F.lit(" of the project is not in the store")))
+    unknown = finding(order.join(libraries, "library_id", "left_anti"), 9, "warning", "library_unknown", F.concat(F.lit("the project lists library "), F.col("library_id").cast("string"), F.lit(", which the store lacks")))
     text = described(library_name(F.col("kind"), F.col("number")), F.col("item_key"), F.col("title"), F.col("year"))
-    members = ranked.join(conflicts, "citation_key", "left_semi").join(libraries, "library_id").withColumn("_d", text)
-    each = members.groupBy("citation_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_d"))), lambda x: x["_d"]), "; ").alias("d"))
-    clash = finding(each, 10, "warning", "key_conflict", F.concat(F.lit("citation key "), F.col("citation_key"), F.lit(" names different works: "), F.col("d")))
-    only = finding(drift.filter("kind = 'only_in_file'"), 12, "warning", "file_only", F.concat(F.col("key"), F.lit(" is in the citation file but not in the library")))
-    differs = finding(drift.filter("kind = 'differs'"), 13, "warning", "metadata_drift", F.concat(F.col("key"), F.lit(": "), F.col("field"), F.lit(" differs (file: "), F.col("entry_value"), F.lit(", library: "), F.col("source_value"), F.lit(")")))
+    members = ranked.join(conflicts, "citation_key").filter(F.col("rank") <= LISTED).join(libraries, "library_id").withColumn("_d", text)
+    each = members.groupBy("citation_key").agg(F.max("members").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "_d"))), lambda x: x["_d"]).alias("d"))
+    clash = finding(each, 10, "warning", "key_conflict", F.concat(F.lit("several works share "), F.col("citation_key"), F.lit(": "), capped_list(F.col("d"), F.col("n"), LISTED)))
+    only = finding(drift.filter("kind = 'only_in_file'"), 12, "warning", "file_only", F.concat(F.lit("no source for entry "), F.col("key")))
+    differs = finding(drift.filter("kind = 'differs'"), 13, "warning", "metadata_drift", F.concat(F.col("field"), F.lit(" of "), F.col("key"), F.lit(" is "), F.col("entry_value"), F.lit(" in the file and "), F.col("source_value"), F.lit(" in the store")))
     return reduce(DataFrame.union, (unknown, clash, only, differs))
 
 
 def review_finding(open_count: DataFrame) -> DataFrame:
-    return finding(open_count.filter("n_open > 0"), 14, "warning", "review_open", F.concat(F.col("n_open").cast("string"), F.lit(" open review item(s)")))
+    return finding(open_count.filter("n_open > 0"), 14, "warning", "review_open", F.concat(F.col("n_open").cast("string"), F.lit(" items await review")))
 
 
 def rank_of(severity: Column) -> Column:

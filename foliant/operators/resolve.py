@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import ascii_lower, comparison_form
+from foliant.functions.text import ascii_lower, compared
 
 
 def same_work(a_doi: Column, b_doi: Column, a_title: Column, b_title: Column, a_year: Column, b_year: Column) -> Column:
@@ -23,7 +23,7 @@ def ranked(sources: DataFrame, order: DataFrame, key: str | None = None) -> Data
     s = sources.filter("status = 'active' and citation_key is not null")
     if key is not None:
         s = s.filter(F.col("citation_key") == key)
-    s = s.join(order, "library_id").withColumn("title_norm", comparison_form(F.col("title")))
+    s = s.join(order, "library_id").withColumn("title_norm", compared(F.col("title")))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("citation_key").orderBy("position", "id")))
 
 
@@ -32,34 +32,37 @@ def winners(sources: DataFrame, order: DataFrame) -> DataFrame:
     return ranked(sources, order).filter("rank = 1")
 
 
-def _kinds(r: DataFrame) -> DataFrame:
-    """Ranked sources by what decides agreement: equal ones need no comparison with each other, so each counts once."""
-    return r.groupBy("citation_key", ascii_lower(F.coalesce("doi", F.lit(""))).alias("d"), "title_norm", "year").agg(F.count("*").alias("n"))
+def conflicts(sources: DataFrame, order: DataFrame) -> DataFrame:
+    """citation_key of each group in which not every pair agrees, with its size."""
+    return conflicts_of(ranked(sources, order))
 
 
-def conflicts(sources: DataFrame, order: DataFrame) -> DataFrame:
-    """citation_key of each group in which not every pair agrees, with its size.
+def conflicts_of(r: DataFrame) -> DataFrame:
+    """The same of ranked() sources.
 
-    Agreement is not transitive, so all pairs count; but sources with equal DOI, title and year form one kind, and
-    only kinds are paired. A kind of several agrees within itself if it has a DOI, or a title and a year.
+    Each pair must share its DOI or its title and year. Both are equivalences between sources, and if two equivalences
+    together relate all pairs, one of them does so alone. So a group agrees exactly if all its sources share one DOI, or
+    all share one title and year; no pairs are made, however many sources a key has.
     """
-    kinds = _kinds(ranked(sources, order))
-    alone = ~((F.col("d") != "") | ((F.col("title_norm") != "") & F.col("year").isNotNull()))
-    a, b = kinds.alias("a"), kinds.alias("b")
-    differ = F.struct("a.d", "a.title_norm", F.coalesce("a.year", F.lit(-(10**9)))) < F.struct("b.d", "b.title_norm", F.coalesce("b.year", F.lit(-(10**9))))
-    c = lambda x: F.col(x)
-    agree = same_work(c("a.d"), c("b.d"), c("a.title_norm"), c("b.title_norm"), c("a.year"), c("b.year"))
-    several = kinds.groupBy("citation_key").agg(F.count("*").alias("k"), F.sum("n").alias("members"), F.max(alone & (F.col("n") > 1)).alias("inside"))
-    pairs = a.join(b, (c("a.citation_key") == c("b.citation_key")) & differ & ~agree).select("a.citation_key").distinct().withColumn("apart", F.lit(True))
-    found = several.join(pairs, "citation_key", "left").filter(F.col("inside") | F.coalesce("apart", F.lit(False)))
-    return found.select("citation_key", "members")
+    one = lambda c: (F.count(c) == F.count("*")) & F.min(c).eqNullSafe(F.max(c))
+    doi, title = ascii_lower(F.nullif("doi", F.lit(""))), F.nullif("title_norm", F.lit(""))
+    rows = r.select("citation_key", doi.alias("d"), title.alias("t"), "year")
+    groups = rows.groupBy("citation_key").agg(F.count("*").alias("members"), (one("d") | (one("t") & one("year"))).alias("agree"))
+    return groups.filter("members > 1 and not agree").select("citation_key", "members")
 
 
 def resolve(sources: DataFrame, order: DataFrame, keys: DataFrame) -> DataFrame:
-    """For each asked key: status (not_found, found, conflict), the winner's id, and the others' in order."""
+    """For each asked key: status (not_found, found, conflict), the winner's id, and how many others there are."""
     r = ranked(sources, order).join(keys.select("citation_key").distinct(), "citation_key", "left_semi")
-    members = r.groupBy("citation_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
-    bad = conflicts(sources, order).select("citation_key", F.lit(True).alias("bad"))
+    members = r.groupBy("citation_key").agg(F.count("*").cast("int").alias("n"), F.min_by("id", "rank").alias("first"))
+    bad = conflicts_of(r).select("citation_key", F.lit(True).alias("bad"))
     out = keys.select("citation_key").distinct().join(members, "citation_key", "left").join(bad, "citation_key", "left")
-    status = F.when(F.col("ids").isNull(), "not_found").when(F.col("bad"), "conflict").otherwise("found")
-    return out.select("citation_key", status.alias("status"), F.when(status == "found", F.get("ids", F.lit(0))).alias("winner"), F.when(status == "found", F.slice("ids", 2, 1 << 30)).otherwise(F.col("ids")).alias("others"))
+    status = F.when(F.col("n").isNull(), "not_found").when(F.col("bad"), "conflict").otherwise("found")
+    return out.select("citation_key", status.alias("status"), F.when(status == "found", F.col("first")).alias("winner"), F.when(status == "found", F.col("n") - 1).otherwise(F.col("n")).alias("n_others"))
+
+
+def others(sources: DataFrame, order: DataFrame, keys: DataFrame) -> DataFrame:
+    """citation_key, rank and id of the sources of asked keys that are not the winner, in order; of a conflict all."""
+    r = ranked(sources, order).join(keys.select("citation_key").distinct(), "citation_key", "left_semi")
+    rows = r.join(conflicts_of(r).select("citation_key", F.lit(True).alias("bad")), "citation_key", "left")
+    return rows.filter(F.col("bad") | (F.col("rank") > 1)).select("citation_key", "rank", "id").orderBy("citation_key", "rank")

@@ -18,7 +18,7 @@ VIEWS = {
     "queue": "SELECT doc_id AS id, 'item' AS kind, 'k' || CAST(doc_id % 100 AS STRING) AS dedupe_key, CASE WHEN quality = 1 THEN TIMESTAMP '2029-01-01 00:00:00' END AS resolved_at FROM {labels}",
     "new_item": "SELECT doc_id AS position, 'k' || CAST(doc_id % 250 AS STRING) AS dedupe_key, 'new' AS kind FROM {labels} WHERE doc_id % 2 = 0",
     "entry": "SELECT substr(lower(text), 1, 12) || CASE WHEN doc_id % 23 = 0 THEN '?' ELSE '' END AS key, split_part(text, chr(10), 1) || CASE WHEN doc_id % 5 = 0 THEN ' II' ELSE '' END AS title, CASE WHEN doc_id % 4 <> 0 THEN CAST(1990 + (n_chars + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END) % 30 AS INT) END AS year, CASE WHEN doc_id % 6 = 0 THEN '10.1/' || CAST(n_chars + doc_id % 2 AS STRING) END AS doi, doc_id AS position FROM {documents}",
-    "quote": "SELECT item_id AS quote_id, item_id * 7 % 200 AS doc_id, text AS quote FROM {benchmark}",
+    "quote": "SELECT item_id AS quote_id, item_id * 7 % (SELECT count(*) FROM {documents}) AS doc_id, text AS quote FROM {benchmark}",
     "extraction": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'b' ELSE 'a' END AS backend, text, doc_id AS position FROM {documents}",
     "tagged": "SELECT doc_id AS source_id, doc_id % 5 AS library_id, lang AS tag, source AS tag2 FROM {documents} WHERE doc_id % 11 <> 0",
     "record": "SELECT doc_id, '{{\"key\":\"D' || CAST(doc_id AS STRING) || '\",\"version\":' || CAST(doc_id AS STRING) || ',\"library\":{{\"name\":\"L' || CAST(doc_id % 5 AS STRING) || '\"}},\"data\":{{\"key\":\"D' || CAST(doc_id AS STRING) || '\",\"itemType\":\"' || CASE WHEN doc_id % 4 = 0 THEN 'note' ELSE 'book' END || '\",\"title\":\"' || lang || '\",\"date\":\"March ' || CAST(1990 + n_chars % 30 AS STRING) || '\",\"DOI\":\" ' || CASE WHEN doc_id % 3 = 0 THEN '10.1/' || CAST(n_chars AS STRING) ELSE '' END || ' \",\"citationKey\":null,\"tags\":[{{\"tag\":\"' || source || '\"}}],\"collections\":[\"C1\"]}}}}' AS value FROM {documents}",

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import records
 from foliant.functions import text as T
 from foliant.operators import drift, findings, resolve, review, snapshot, spans, wording
 from foliant.plans.domain import NOW, sql_of, view
+from foliant.workers import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,7 +21,12 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             SQL[f.__name__] = sql
         return f
@@ -73,7 +80,7 @@ def wording_search(spark, sf_dir):
 
 @query(f"SELECT doc_id, sha256({norm('text')}) AS hash FROM documents")
 def normalize_hash(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.comparison_form(F.col("text")), 256).alias("hash"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.compared(F.col("text")), 256).alias("hash"))
 
 
 def expected(spark, sf_dir) -> DataFrame:
@@ -92,7 +99,7 @@ def scored(spark, sf_dir) -> DataFrame:
 SCORED = f"""e AS ({sql_of('extraction')}), l AS (SELECT doc_id, backend, position, text, {norm('text')} AS t, {norm("split_part(text, chr(10), 1)")} AS a, {norm("split_part(text, chr(10), -1)")} AS z FROM e),
 s AS (SELECT doc_id, backend, position, CAST(contains(t, a) AS BIGINT) + CAST(contains(t, z) AS BIGINT) AS sentences_found, 2::BIGINT AS sentences_total,
  CASE WHEN CASE WHEN doc_id % 2 = 1 THEN strpos(t, z) < strpos(t, a) AND strpos(t, z) > 0 ELSE strpos(t, a) < strpos(t, z) AND strpos(t, a) > 0 END THEN 1::BIGINT ELSE 0::BIGINT END AS order_ok, 1::BIGINT AS order_total,
- CAST(len([x for x in ['é', 'ß', 'the'] if not contains(t, x)]) AS BIGINT) AS n_missing, 0::BIGINT AS control_chars, 0::BIGINT AS cid_markers, 0::BIGINT AS replacement_chars,
+ CAST(len([x for x in ['é', 'ß', 'the'] if not contains(t, x)]) AS BIGINT) AS n_missing, CAST(len(regexp_extract_all(text, '[\x00-\x08\x0B\x0E-\x1F\x7F-\u009F]')) AS BIGINT) AS control_chars, CAST((length(text) - length(replace(text, '(cid:', ''))) // 5 AS BIGINT) AS cid_markers, CAST(length(text) - length(replace(text, chr(65533), '')) AS BIGINT) AS replacement_chars,
  CASE WHEN doc_id % 50 = 7 THEN 'unreadable' END AS error FROM l)"""
 
 
@@ -122,13 +129,14 @@ def anchor_states(spark, sf_dir):
     return wording.anchors(read(spark, sf_dir, "documents"), view(spark, sf_dir, "quote"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, 'whole' AS tool, {norm('text')} AS t FROM documents WHERE doc_id % 20 = 0 UNION ALL SELECT doc_id, 'part' AS tool, {norm("substr(text, 1, 600)")} AS t FROM documents WHERE doc_id % 20 = 0),
+@query(f"""WITH t AS (SELECT doc_id, 'one' AS tool, {norm('text')} AS t FROM documents UNION ALL SELECT doc_id, 'two' AS tool, {norm("replace(text, ' de ', ' ')")} AS t FROM documents),
 w AS (SELECT *, string_split(t, ' ') AS words FROM t)
 SELECT a.doc_id, a.tool AS reference, b.tool AS other, len([i for i in range(200) if contains(b.t, array_to_string(a.words[(i * 7919) % greatest(len(a.words) - 8, 1) + 1:(i * 7919) % greatest(len(a.words) - 8, 1) + 8], ' '))]) * 100.0::DOUBLE / 200 AS percent
 FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.tool <> b.tool""")
 def window_agreement(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter("doc_id % 20 = 0")  # the pairs of extractions compared, as the probe samples
-    return wording.window_agreement(d.select("doc_id", F.lit("whole").alias("tool"), "text").union(d.select("doc_id", F.lit("part"), F.substring("text", 1, 600))))
+    """Every whole text against another extraction of it, which lost a word here and there."""
+    d = read(spark, sf_dir, "documents")
+    return wording.window_agreement(d.select("doc_id", F.lit("one").alias("tool"), "text").union(d.select("doc_id", F.lit("two"), F.replace("text", F.lit(" de "), F.lit(" ")))))
 
 
 @query(f"SELECT doc_id, source AS tool, CAST(len([w for w in string_split({norm('text')}, ' ') if w <> '']) AS BIGINT) AS words FROM documents")
@@ -213,8 +221,13 @@ SELECT k.citation_key, CASE WHEN m.n IS NULL THEN 'not_found' WHEN c.citation_ke
 FROM asked k LEFT JOIN members m ON k.citation_key = m.citation_key LEFT JOIN conflicts c ON k.citation_key = c.citation_key""")
 def resolve_key(spark, sf_dir):
     keys = read(spark, sf_dir, "documents").select(F.substring(F.lower("text"), 1, 12).alias("citation_key"))
-    r = resolve.resolve(view(spark, sf_dir, "source"), order_of(spark), keys)
-    return r.select("citation_key", "status", "winner", F.when(F.col("others").isNotNull(), F.size("others")).alias("n_others"))
+    return resolve.resolve(view(spark, sf_dir, "source"), order_of(spark), keys)
+
+
+@query(f"""{RANKED}, {CONFLICTS} SELECT r.citation_key, r.rank, r.id FROM ranked r LEFT JOIN conflicts c ON r.citation_key = c.citation_key WHERE c.citation_key IS NOT NULL OR r.rank > 1""")
+def other_sources(spark, sf_dir):
+    keys = read(spark, sf_dir, "documents").select(F.substring(F.lower("text"), 1, 12).alias("citation_key"))
+    return resolve.others(view(spark, sf_dir, "source"), order_of(spark), keys)
 
 
 @query(f"""{RANKED} SELECT a.id AS a, b.id AS b FROM ranked a JOIN ranked b ON a.citation_key = b.citation_key AND b.rank = a.rank + 1 WHERE {SAME}""")
@@ -322,14 +335,14 @@ def last_ok_age(spark, sf_dir):
 
 
 def sql_list(rows: str, item: str, order: str) -> str:
-    return f"(SELECT count(*) AS n, array_to_string(list({item} ORDER BY {order})[1:10], ', ') || CASE WHEN count(*) > 10 THEN ', and ' || (count(*) - 10) || ' more' ELSE '' END AS items FROM {rows} HAVING count(*) > 0)"
+    return f"(SELECT count(*) AS n, array_to_string(list({item} ORDER BY {order})[1:10], ', ') || CASE WHEN count(*) > 10 THEN ', +' || (count(*) - 10) || ' others' ELSE '' END AS items FROM {rows} HAVING count(*) > 0)"
 
 
 NAMED = "CASE WHEN kind = 'user' THEN 'user' ELSE 'group:' || number END"
 MISSING = sql_list("source s JOIN library l ON l.library_id = s.library_id WHERE status = 'active' AND citation_key IS NULL", f"{NAMED} || ':' || item_key || ' \"' || title || '\"'", "s.library_id, item_key")
 
 
-@query(f"{with_views('library', 'source')} SELECT n || ' source(s) without citation key, not citable: ' || items AS message FROM {MISSING}")
+@query(f"{with_views('library', 'source')} SELECT n || ' sources cannot be cited for lack of a key: ' || items AS message FROM {MISSING}")
 def missing_key(spark, sf_dir):
     f = findings.source_findings(view(spark, sf_dir, "source"), view(spark, sf_dir, "library"))
     return f.filter("code = 'missing_citation_key'").select("message")
@@ -340,7 +353,7 @@ def retired_count(spark, sf_dir):
     return view(spark, sf_dir, "source").filter("status = 'retired'").agg(F.count("*").alias("n"))
 
 
-BARE = "bare AS (SELECT l.kind, l.number, a.item_key, " + NAMED + " || ' \"' || l.name || '\": attachment ' || a.item_key || coalesce(', source ' || s.item_key || ' \"' || coalesce(s.title, '') || '\"', '') AS described FROM attachment a JOIN library l ON l.library_id = a.library_id LEFT JOIN source s ON s.id = a.source_id WHERE a.status = 'active' AND a.path IS NULL)"
+BARE = "bare AS (SELECT l.kind, l.number, a.item_key, " + NAMED + " || ' \"' || l.name || '\" / ' || a.item_key || coalesce(' of ' || s.item_key || ' \"' || coalesce(s.title, '') || '\"', '') AS described FROM attachment a JOIN library l ON l.library_id = a.library_id LEFT JOIN source s ON s.id = a.source_id WHERE a.status = 'active' AND a.path IS NULL)"
 
 
 @query(f"{with_views('library', 'source', 'attachment')}, {BARE} SELECT * FROM bare")
@@ -362,9 +375,12 @@ UNION ALL SELECT key, 'differs', 'doi', ed, sd FROM j WHERE k IS NOT NULL AND {f
 
 
 def drifted(spark, sf_dir) -> DataFrame:
-    s, o = view(spark, sf_dir, "source"), order_of(spark)
-    bad = resolve.conflicts(s, o)
-    return drift.compare(drift.without(view(spark, sf_dir, "entry"), "key", bad), drift.without(resolve.winners(s, o), "citation_key", bad))
+    return drifted_from(spark, sf_dir, resolve.ranked(view(spark, sf_dir, "source"), order_of(spark)))
+
+
+def drifted_from(spark, sf_dir, ranked: DataFrame) -> DataFrame:
+    bad = resolve.conflicts_of(ranked)
+    return drift.in_order(drift.compare(drift.without(view(spark, sf_dir, "entry"), "key", bad), drift.without(ranked.filter("rank = 1"), "citation_key", bad)))
 
 
 @query(f"{DRIFT} SELECT * FROM drift WHERE kind = 'differs'")
@@ -390,11 +406,12 @@ def review_enqueue(spark, sf_dir):
 def all_findings(spark, sf_dir) -> DataFrame:
     s, lib, o = view(spark, sf_dir, "source"), view(spark, sf_dir, "library"), order_of(spark)
     files = view(spark, sf_dir, "attachment").filter("id % 3 <> 0").select("path")
+    ranked = resolve.ranked(s, o)
     parts = (
         findings.library_findings(status(spark, sf_dir)),
         findings.source_findings(s, lib),
         findings.attachment_findings(view(spark, sf_dir, "attachment"), s, lib, files),
-        findings.project_findings(o, lib, resolve.ranked(s, o), resolve.conflicts(s, o), drifted(spark, sf_dir)),
+        findings.project_findings(o, lib, ranked, resolve.conflicts_of(ranked), drifted_from(spark, sf_dir, ranked)),
         findings.review_finding(review.open_count(view(spark, sf_dir, "queue"))),
     )
     out = parts[0]
@@ -407,17 +424,17 @@ FINDINGS = f"""{DRIFT}, {', '.join(f'{n} AS ({sql_of(n)})' for n in ('library',
 active AS (SELECT library_id, count(*) AS n FROM source WHERE status = 'active' GROUP BY library_id),
 run AS (SELECT library_id, max(finished_at) FILTER (status = 'ok') AS ok_at, arg_max_null(error, id) AS latest_error FROM sync_run GROUP BY library_id),
 findings AS (
-SELECT 3 AS ord, 'info' AS severity, 'library' AS code, {NAMED} || ' "' || name || '": ' || coalesce(a.n, 0) || ' active sources, last sync ' || CAST((epoch({NOW}) - floor(epoch(ok_at))) // 86400 AS BIGINT) || ' d ago' AS message FROM library l LEFT JOIN active a ON a.library_id = l.library_id JOIN run r ON r.library_id = l.library_id WHERE ok_at IS NOT NULL
-UNION ALL SELECT 3, 'warning', 'library', {NAMED} || ' "' || name || '": last sync failed: ' || latest_error FROM library l JOIN run r ON r.library_id = l.library_id WHERE latest_error IS NOT NULL
-UNION ALL SELECT 4, 'warning', 'missing_citation_key', n || ' source(s) without citation key, not citable: ' || items FROM {MISSING}
-UNION ALL SELECT 5, 'warning', 'missing_pdf_file', n || ' PDF attachment(s) point to missing files: ' || items FROM {sql_list("attachment WHERE status = 'active' AND path IS NOT NULL AND id % 3 = 0", 'path', 'path')}
-UNION ALL SELECT 6, 'info', 'pdf_without_file', n || ' PDF attachment(s) have no local file: ' || items FROM {sql_list('bare', 'described', "kind = 'group', number, item_key")}
-UNION ALL SELECT 7, 'info', 'retired_sources', count(*) || ' source(s) no longer in the library are kept as retired' FROM source WHERE status = 'retired' HAVING count(*) > 0
-UNION ALL SELECT 9, 'warning', 'library_unknown', 'library 9 of the project is not in the store'
-UNION ALL SELECT 10, 'warning', 'key_conflict', 'citation key ' || r.citation_key || ' names different works: ' || string_agg({NAMED} || ':' || item_key || ' "' || title || '"' || coalesce(' (' || year || ')', ''), '; ' ORDER BY rank) FROM ranked r JOIN conflicts c ON c.citation_key = r.citation_key JOIN library l ON l.library_id = r.library_id GROUP BY r.citation_key
-UNION ALL SELECT 12, 'warning', 'file_only', key || ' is in the citation file but not in the library' FROM drift WHERE kind = 'only_in_file'
-UNION ALL SELECT 13, 'warning', 'metadata_drift', key || ': ' || field || ' differs (file: ' || entry_value || ', library: ' || source_value || ')' FROM drift WHERE kind = 'differs'
-UNION ALL SELECT 14, 'warning', 'review_open', count(*) || ' open review item(s)' FROM queue WHERE resolved_at IS NULL HAVING count(*) > 0)"""
+SELECT 3 AS ord, 'info' AS severity, 'library' AS code, {NAMED} || ' "' || name || '" holds ' || coalesce(a.n, 0) || ' active sources as of ' || CAST((epoch({NOW}) - floor(epoch(ok_at))) // 86400 AS BIGINT) || ' d before' AS message FROM library l LEFT JOIN active a ON a.library_id = l.library_id JOIN run r ON r.library_id = l.library_id WHERE ok_at IS NOT NULL
+UNION ALL SELECT 3, 'warning', 'library', {NAMED} || ' "' || name || '": newest sync broke off with ' || latest_error FROM library l JOIN run r ON r.library_id = l.library_id WHERE latest_error IS NOT NULL
+UNION ALL SELECT 4, 'warning', 'missing_citation_key', n || ' sources cannot be cited for lack of a key: ' || items FROM {MISSING}
+UNION ALL SELECT 5, 'warning', 'missing_pdf_file', n || ' attached files are not where their paths say: ' || items FROM {sql_list("attachment WHERE status = 'active' AND path IS NOT NULL AND id % 3 = 0", 'path', 'path')}
+UNION ALL SELECT 6, 'info', 'pdf_without_file', n || ' attachments exist on the server alone: ' || items FROM {sql_list('bare', 'described', "kind = 'group', number, item_key")}
+UNION ALL SELECT 7, 'info', 'retired_sources', count(*) || ' retired sources remain in the store' FROM source WHERE status = 'retired' HAVING count(*) > 0
+UNION ALL SELECT 9, 'warning', 'library_unknown', 'the project lists library 9, which the store lacks'
+UNION ALL SELECT 10, 'warning', 'key_conflict', 'several works share ' || r.citation_key || ': ' || array_to_string(list({NAMED} || ':' || item_key || ' "' || title || '"' || coalesce(' (' || year || ')', '') ORDER BY rank)[1:10], ', ') || CASE WHEN count(*) > 10 THEN ', +' || (count(*) - 10) || ' others' ELSE '' END FROM ranked r JOIN conflicts c ON c.citation_key = r.citation_key JOIN library l ON l.library_id = r.library_id GROUP BY r.citation_key
+UNION ALL SELECT 12, 'warning', 'file_only', 'no source for entry ' || key FROM drift WHERE kind = 'only_in_file'
+UNION ALL SELECT 13, 'warning', 'metadata_drift', field || ' of ' || key || ' is ' || entry_value || ' in the file and ' || source_value || ' in the store' FROM drift WHERE kind = 'differs'
+UNION ALL SELECT 14, 'warning', 'review_open', count(*) || ' items await review' FROM queue WHERE resolved_at IS NULL HAVING count(*) > 0)"""
 
 
 @query(f"{FINDINGS} SELECT * FROM findings")
@@ -430,10 +447,14 @@ def exit_code(spark, sf_dir):
     return findings.exit_code(all_findings(spark, sf_dir))
 
 
-@query("SELECT source, CASE WHEN count(*) > 10 THEN array_to_string(list(doc_id ORDER BY doc_id)[1:10], ', ') || ', and ' || (count(*) - 10) || ' more' ELSE array_to_string(list(doc_id ORDER BY doc_id), ', ') END AS ids FROM documents GROUP BY source")
+@query("SELECT source, array_to_string(list(doc_id ORDER BY doc_id)[1:10], ', ') || CASE WHEN count(*) > 10 THEN ', +' || (count(*) - 10) || ' others' ELSE '' END AS ids FROM documents GROUP BY source")
 def list_capped(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return d.select("source", T.capped_list(F.transform("ids", lambda x: x.cast("string"))).alias("ids"))
+    """Ten ids of each source are gathered; the others are only counted."""
+    d = read(spark, sf_dir, "documents").select("source", "doc_id")
+    first = d.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("r <= 10")
+    first = first.groupBy(F.col("source").alias("s")).agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")).alias("ids"))
+    n = d.groupBy("source").agg(F.count("*").alias("n"))
+    return n.join(first, n["source"].eqNullSafe(first["s"])).select("source", T.capped_list(F.col("ids"), F.col("n")).alias("ids"))
 
 
 # boxes
@@ -493,11 +514,18 @@ def lock_status(spark, sf_dir):
 
 
 def marked(spark, sf_dir) -> DataFrame:
+    """The documents with some citations after their texts."""
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat(F.lit("see @k"), (F.col("doc_id") % 50).cast("string"), F.lit("."), F.lit("\nmail a@b \\@no, @x"), (F.col("doc_id") % 3).cast("string"), F.lit(":y- ")).alias("text"))
+    return d.select("doc_id", F.concat("text", F.lit("\nsee @k"), (F.col("doc_id") % 50).cast("string"), F.lit(". mail a@b \\@no, @x"), (F.col("doc_id") % 3).cast("string"), F.lit(":y- ")).alias("text"))
 
 
-HITS = "hits AS (SELECT doc_id, 'k' || doc_id % 50 AS key, 0::BIGINT AS line, 4::BIGINT AS start, CAST(6 + length(CAST(doc_id % 50 AS VARCHAR)) AS BIGINT) AS \"end\" FROM documents UNION ALL SELECT doc_id, 'x' || doc_id % 3 || ':y', 1, 15, 20 FROM documents)"
+#: The same cuts as in RE2, which has no look-behind: the character before a marker belongs to what is before it.
+GAP, KEY = r"((?s:.*?)(?:^|[^\p{L}\p{N}\\]))", r"@(\p{L}(?:[\p{L}\p{N}_\-:.]*[\p{L}\p{N}_])?)"
+HITS = f"""marked AS (SELECT doc_id, text || chr(10) || 'see @k' || doc_id % 50 || '. mail a@b \\@no, @x' || doc_id % 3 || ':y- ' AS text FROM documents),
+cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM marked),
+pieces AS (SELECT doc_id, line, regexp_extract_all(s, '{GAP}{KEY}', 1) AS gaps, regexp_extract_all(s, '{GAP}{KEY}', 2) AS keys FROM cut WHERE contains(s, '@')),
+each AS (SELECT doc_id, line, gaps, keys, unnest(range(1, len(keys) + 1)) AS i FROM pieces),
+hits AS (SELECT doc_id, keys[i] AS key, CAST(line AS BIGINT) AS line, CAST(list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) + 1 for x in keys[1:i - 1]]), 0) AS BIGINT) AS start, CAST(list_sum([length(x) for x in gaps[1:i]]) + list_sum([length(x) + 1 for x in keys[1:i]]) AS BIGINT) AS "end" FROM each)"""
 
 
 @query(f"WITH {HITS} SELECT * FROM hits")
@@ -505,9 +533,14 @@ def find_keys(spark, sf_dir):
     return T.marker_hits(marked(spark, sf_dir))
 
 
-@query(f"WITH {HITS} SELECT key, CAST(count(*) AS INT) AS n_places FROM hits GROUP BY key")
+@query(f"WITH {HITS} SELECT * FROM hits")
 def references(spark, sf_dir):
-    return T.references(T.marker_hits(marked(spark, sf_dir))).select("key", F.size("places").alias("n_places"))
+    return T.references(T.marker_hits(marked(spark, sf_dir)))
+
+
+@query(f"WITH {HITS} SELECT key, count(*) AS n_places, count(DISTINCT doc_id) AS n_docs FROM hits GROUP BY key")
+def reference_counts(spark, sf_dir):
+    return T.marker_hits(marked(spark, sf_dir)).groupBy("key").agg(F.count("*").alias("n_places"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query(f"{with_views('quote')}, s AS (SELECT q.quote_id, contains(d.text, q.quote) AS found, d.doc_id IS NOT NULL AS known FROM quote q LEFT JOIN documents d ON d.doc_id = q.doc_id) SELECT quote_id, CASE WHEN NOT known THEN 'source_missing' WHEN found AND quote_id % 2 = 0 THEN 'known' WHEN found THEN 'new_anchored' WHEN quote_id % 2 = 0 THEN 'known_lost' ELSE 'new_unanchored' END AS outcome FROM s")

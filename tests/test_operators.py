@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from foliant.functions import records
+from foliant.functions import text as text_functions
 from foliant.operators import drift, findings, resolve, review, snapshot, spans, wording
 
 SOURCE = "id long, library_id long, citation_key string, title string, year int, doi string, status string"
@@ -19,7 +21,8 @@ def test_agreement_is_not_transitive(spark):
         assert [r["citation_key"] for r in resolve.conflicts(s, order(spark)).collect()] == ["k"]
     two = spark.createDataFrame(rows[:2], SOURCE)
     r = resolve.resolve(two, order(spark), spark.createDataFrame([("k",), ("none",)], "citation_key string")).orderBy("citation_key").collect()
-    assert [(x["status"], x["winner"], x["others"]) for x in r] == [("found", 1, [2]), ("not_found", None, None)]
+    assert [(x["status"], x["winner"], x["n_others"]) for x in r] == [("found", 1, 1), ("not_found", None, None)]
+    assert [tuple(x) for x in resolve.others(two, order(spark), spark.createDataFrame([("k",)], "citation_key string")).collect()] == [("k", 2, 2)]
 
 
 def test_equal_sources_without_anything_conflict(spark):
@@ -70,10 +73,10 @@ def test_findings(spark):
     st = findings.library_status(lib, src, runs, F.lit(dt.datetime(2020, 1, 1, 3)))
     f = findings.library_findings(st).union(findings.source_findings(src, lib))
     text = {(r["severity"], r["code"]): r["message"] for r in f.collect()}
-    assert text["info", "library"] == 'user "U": 12 active sources, last sync 3 h ago'
-    assert text["warning", "library"] == 'user "U": last sync failed: down'
-    assert text["warning", "never_synced"] == "group:4 has never been synced successfully"
-    assert text["warning", "missing_citation_key"].startswith("12 source(s)") and text["warning", "missing_citation_key"].endswith(', and 2 more')
+    assert text["info", "library"] == 'user "U" holds 12 active sources as of 3 h before'
+    assert text["warning", "library"] == 'user "U": newest sync broke off with down'
+    assert text["warning", "never_synced"].startswith("group:4")
+    assert text["warning", "missing_citation_key"].startswith("12 sources") and text["warning", "missing_citation_key"].endswith('user:K09 "T", +2 others')
     assert findings.exit_code(f).first()["exit_code"] == 1 and findings.exit_code(f.filter("severity = 'info'")).first()["exit_code"] == 0
 
 
@@ -95,12 +98,33 @@ def test_spans(spark):
     assert spans.document_text(pages).first()["text"] == "a\nb"
 
 
-def test_wording_search_both_ways(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "x The quick-\nbrown fox jumps over it"), (2, "nothing"), (3, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "QUICKBROWN fox jumps over"), (2, "noth"), (3, ""), (4, None)], "item_id long, text string")
-    small = sorted(map(tuple, wording.find_wordings(docs, items).collect()))
-    monkeypatch.setattr(wording, "BROADCAST_ROWS", 0)
-    assert sorted(map(tuple, wording.find_wordings(docs, items).collect())) == small == [(1, 1, 6), (2, 2, 0)]
+def test_conflicts_as_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [(n, rng.choice([0, 42, 99]), f"k{rng.randrange(60)}", rng.choice(["", "A", "a", "B"]), rng.choice([None, 1, 2]), rng.choice([None, "", "10.1/X", "10.1/x", "10.1/y"]), "active") for n in range(170)]
+    same = lambda a, b: bool(a[5]) and bool(b[5]) and a[5].lower() == b[5].lower() or a[3] != "" and a[3].lower() == b[3].lower() and a[4] is not None and a[4] == b[4]
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            if a[2] == b[2] and not same(a, b):
+                want[a[2]] = sum(r[2] == a[2] for r in rows)
+    got = {r["citation_key"]: r["members"] for r in resolve.conflicts(spark.createDataFrame(rows, SOURCE), order(spark)).collect()}
+    assert got == want and 0 < len(got) < 60
+
+
+def test_wording_search(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = ["x The quick-\nbrown fox jumps over it", "nothing", None, "", "over \ufb01ne lines over fine lines"]
+    texts += [" ".join(rng.choice(["ab", "abc", "bc", "b"]) for _ in range(rng.randint(1, 14))) for _ in range(25)]
+    asked = ["QUICKBROWN fox jumps over", "noth", "", None, "er fine li", "b", "c a", "ab bc abc", "bc abc b", "abc b ab bc ab b", "bc ab b abc bc", "ab ab", "z", "lines"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    plain = lambda x: text_functions.normalize(x).text if x is not None else ""
+    want = sorted((i, k, plain(t).find(plain(w))) for i, t in enumerate(texts) for k, w in enumerate(asked) if plain(w) and plain(w) in plain(t))
+    assert (0, 0, 6) in want and len(want) > 30
+    for most in (wording.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(wording, "BROADCAST_BYTES", most)
+        assert sorted(map(tuple, wording.find_wordings(docs, items).collect())) == want
+    assert wording.find_wordings(docs, items.filter("item_id < 0")).count() == 0
 
 
 def test_anchors(spark):

@@ -5,17 +5,20 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 
+#: One case for each rule, and some of rules that meet.
 CASES = [
-    ("ϵ-Differential \U0001d716 \U0001d700", "ε-differential ε ε"),
-    ("differ-\n   ential privacy", "differential privacy"),
-    ("state-of-the-art", "state-of-the-art"),
-    ("1–\n2", "1- 2"),
-    ("pri­vacy", "privacy"),
-    ("“a” ‘b’ c—d", "\"a\" 'b' c-d"),
-    ("  a \t\n b  ", "a b"),
-    ("é", "é"),
-    ("ΟΔΟΣ ΣΑΣ Σ", "οδος σας σ"),
-    ("tail-\n", "tail"),
+    ("Stra\u00dfe \uff21\u2460 \u212b", "stra\u00dfe a1 \u00e5"),
+    ("o\u0308l u\u0308ber Cafe\u0301", "\u00f6l \u00fcber caf\u00e9"),
+    ("wind-\n\t mill", "windmill"),
+    ("well-known wind- mill", "well-known wind- mill"),
+    ("pages 3\u2014\n9", "pages 3- 9"),
+    ("co\xadoper\xadate", "cooperate"),
+    ("\u201eso\u201c \u201asagt\u2019 er \u2012 oder", "\"so\" 'sagt' er - oder"),
+    ("\u3000one\u2003two\r\n three \x0b", "one two three"),
+    ("\u039b\u039f\u0393\u039f\u03a3 \u03a3\u039f\u03a6\u039f\u03a3. \u03a3", "\u03bb\u03bf\u03b3\u03bf\u03c2 \u03c3\u03bf\u03c6\u03bf\u03c2. \u03c3"),
+    ("end -\n", "end"),
+    ("a -\n-\n b", "a b"),
+    ("-\n", ""),
     ("", ""),
 ]
 
@@ -27,12 +30,11 @@ def test_normalize(raw, want):
 
 
 def test_offsets():
-    n = T.normalize("ﬁnd")
-    assert n.text == "find" and n.source_range(0, 2) == (0, 3) and n.source_range(2, 3) == (3, 4)
-    raw = "differ-\n  ential"
-    n = T.normalize(raw)
-    assert n.source_range(0, len(n.text)) == (0, len(raw))
-    assert n.source_range(1, 1) is None and n.source_range(2, 99) is None
+    n = T.normalize("wa\ufb04e ")
+    assert n.text == "waffle" and [n.source_range(k, k + 1) for k in range(6)] == [(0, 1), (1, 2), (2, 5), (2, 5), (2, 5), (5, 6)]
+    n = T.normalize("e\u0301 \n over-\nall")
+    assert n.text == "\u00e9 overall" and n.source_range(0, 2) == (0, 3) and n.source_range(2, 3) == (3, 4) and n.source_range(6, 8) == (9, 13)
+    assert n.source_range(3, 3) is None and n.source_range(0, 99) is None and n.source_range(-1, 2) is None
 
 
 @given(st.text(alphabet="ab- \n\tÉ“–'", max_size=30))
@@ -54,6 +56,14 @@ def test_jvm_form_agrees_where_it_may(spark):
             assert r["c"] == r["n"], r["raw"]
 
 
+def test_compared_is_the_full_form(spark):
+    rows = [(r, [r, None, "A-\nb"]) for r, _ in CASES] + [(None, None)]
+    got = spark.createDataFrame(rows, "raw string, each array<string>").select("raw", T.compared(F.col("raw")).alias("c"), T.compared_each(F.col("each")).alias("e")).collect()
+    want = {**dict(CASES), None: None}
+    assert all(r["c"] == want[r["raw"]] for r in got)
+    assert all(r["e"] == ([want[r["raw"]], None, "ab"] if r["raw"] is not None else None) for r in got)
+
+
 def test_scalars(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(T.trimmed(F.lit("  a b \n"))) == "a b" and one(T.trimmed(F.lit(" \t"))) is None
@@ -63,9 +73,15 @@ def test_scalars(spark):
     assert one(T.described(F.lit("user"), F.lit("K"), F.lit("T"), F.lit(None).cast("int"))) == 'user:K "T"'
 
 
+def hits(spark, *texts):
+    rows = T.marker_hits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return sorted(tuple(r) for r in rows.collect())
+
+
 def test_markers(spark):
-    assert T.markers("see @dwork2006. a@b \\@c") == [{"key": "dwork2006", "line": 0, "start": 4, "end": 14}]
-    assert T.markers("\U0001d716 @x_1:-\n@é") == [{"key": "x_1", "line": 0, "start": 3, "end": 7}, {"key": "é", "line": 1, "start": 0, "end": 2}]
-    hits = T.marker_hits(spark.createDataFrame([(1, "@a @b"), (2, None), (3, "@a")], "doc_id long, text string"))
-    assert T.marker_at(hits, 0, 2).filter("doc_id = 1").first()["key"] == "a"
-    assert {r["key"]: len(r["places"]) for r in T.references(hits).collect()} == {"a": 2, "b": 1}
+    assert hits(spark, "cf. @lee-2019: x@y \\@no @@q", None, "no sign") == [(0, "lee-2019", 0, 4, 13), (0, "q", 0, 25, 27)]
+    assert hits(spark, "\U0001f600 @a_1:-\n@\u00e9,@b;@9\r\n@c.\r") == [(0, "a_1", 0, 3, 7), (0, "b", 1, 3, 5), (0, "c", 2, 0, 2), (0, "\u00e9", 1, 0, 2)]
+    assert hits(spark, "@x@y.@z", "@") == [(0, "x", 0, 0, 2), (0, "z", 0, 5, 7)]
+    rows = T.marker_hits(spark.createDataFrame([(1, "@a @b"), (2, None), (3, "@a")], "doc_id long, text string"))
+    assert T.marker_at(rows, 0, 2).filter("doc_id = 1").first()["key"] == "a"
+    assert [(r["key"], r["doc_id"]) for r in T.references(rows).collect()] == [("a", 1), ("a", 3), ("b", 1)]
