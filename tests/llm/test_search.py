@@ -61,12 +61,61 @@ def test_top_k(spark, vectors, monkeypatch, shard, block):
         if r["vec_id"] is not None and r["embedding"] is not None and all(v is not None and math.isfinite(v) for v in r["embedding"]):
             x = [math.floor(64 * v) for v in r["embedding"]]
             rows.append((r["vec_id"], np.array(x + [0] * (16 - len(x)), np.int64)))
-    for q in {i for i, _ in rows if i % 20 == 0}:
-        v = next(v for i, v in rows if i == q)
-        want = sorted((-int(v @ w), i) for i, w in rows if i != q)[:12]
+    rows = dict(rows)  # a repeated row counts once
+    for q in {i for i in rows if i % 20 == 0}:
+        want = sorted((-int(rows[q] @ w), i) for i, w in rows.items() if i != q)[:12]
         assert got[q] == [(i, -s) for s, i in want]
 
 
+def test_impacts_of_any_size(spark, monkeypatch):
+    """Components whose products leave 64 bits are scored and ranked exactly."""
+    monkeypatch.setattr(topk, "SHARD", 16)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 6))
+    x[::7] *= 1e12
+    x[::11] *= 1e40
+    x[3], x[4] = [1e12, 0, 0, 0, 0, 1], [0.05, 1, 0, 0, 0, 1]
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], "vec_id long, embedding array<double>")
+    e = topk.vector_entries(df)
+    got = lists(topk.top_k(e, e.filter("id % 5 in (0, 4)"), 8).withColumnRenamed("id", "vec_id").collect())
+    whole = [[math.floor(64 * c) for c in v] for v in x.tolist()]
+    dot = lambda a, b: sum(p * q for p, q in zip(whole[a], whole[b]))
+    assert dot(4, 3) > 2**40 and abs(dot(11, 22)) > 2**64
+    for q in (n for n in range(90) if n % 5 in (0, 4)):
+        want = sorted((-dot(q, i), i) for i in range(90) if i != q)[:8]
+        assert got[q] == [(i, min(max(-s, -(2**63)), 2**63 - 1)) for s, i in want]
+
+
+def test_rows_of_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [2.0, 9.0]), (2, [0.5, 0.0])]
+    for n in (1, 3):
+        e = topk.vector_entries(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(n))
+        assert [tuple(r) for r in topk.top_k(e, e.filter("id = 0"), 5).orderBy("rank").collect()] == [(0, 1, 1, 2 * 64 * 64), (0, 2, 2, 32 * 64)]
+
+
+def test_clusters_visit_few_shards(spark, monkeypatch):
+    """On vectors in clusters the (query, shard) pairs grow with the vectors, not with their square."""
+    monkeypatch.setattr(topk, "SHARD", 50)
+    visits = {}
+    held = topk.answered
+    for n in (1000, 2000):
+        rng = np.random.default_rng(n)
+        centre = rng.normal(size=(n // 50, 16)) * 3
+        x = centre[np.arange(n) % len(centre)] + rng.normal(size=(n, 16)) * 0.05
+        e = topk.vector_entries(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+        asked = []
+        monkeypatch.setattr(topk, "answered", lambda a, b, k: asked.append(b.count()) or held(a, b, k))  # noqa: B023
+        got = lists(topk.top_k(e, e.filter("id % 20 = 0"), 10).withColumnRenamed("id", "vec_id").collect())
+        whole = np.floor(64 * x).astype(np.int64)
+        for q in range(0, n, 100):
+            score = whole @ whole[q]
+            want = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:10]
+            assert got[q] == [(i, -s) for s, i in want]
+        visits[n] = sum(asked) / (n // 20)
+    shards = 2000 // 50
+    assert visits[2000] < 0.5 * shards and visits[2000] <= 2 * visits[1000], visits
+
+
 def test_sparse_terms(spark):
     rng = np.random.default_rng(1)
     rows = [(n, sorted(rng.choice(40, 5, replace=False).tolist()), rng.integers(-3, 9, 5).tolist()) for n in range(700)]
