@@ -552,3 +552,22 @@ def classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     out = seen.select("doc_id", "th", "fp", F.col("n").alias("n_shingles")).join(final, "fp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def oracle(k: int = 5, percent: int = 75) -> str:
+    """DuckDB SQL for near_duplicates() over documents whose doc_ids are unique."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct([array_to_string(words[i:i + {k - 1}], ' ') for i in range(1, greatest(len(words) - {k - 2}, 2))]) END AS s
+  FROM split),
+sized AS (SELECT doc_id, len(s) AS n FROM sets),
+elements AS (SELECT doc_id, hash(unnest(s)) AS h, unnest(s) AS e FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM elements a JOIN elements b ON a.h = b.h AND a.e = b.e AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM common c JOIN sized a ON a.doc_id = c.x JOIN sized b ON b.doc_id = c.y WHERE 100 * shared >= {percent} * (a.n + b.n - shared)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM sized UNION SELECT e.y, r.root FROM reach r JOIN edges e ON e.x = r.doc_id),
+least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, l.component_id, l.component_id = s.doc_id AS kept FROM sized s JOIN least l ON l.doc_id = s.doc_id"""

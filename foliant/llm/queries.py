@@ -86,6 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from foliant.llm import licenses, mixing, topk, url_filter
+    from foliant.llm import licenses, mixing, near_dup, topk, url_filter
 
-    return {"op1_url_filter": url_filter.oracle(), "op3_mixing": mixing.oracle(), "op8_top_k": topk.oracle(), "op9_licenses": licenses.oracle()}
+    return {"op1_url_filter": url_filter.oracle(), "op3_mixing": mixing.oracle(), "op5_near_dup": near_dup.oracle(), "op8_top_k": topk.oracle(), "op9_licenses": licenses.oracle()}
