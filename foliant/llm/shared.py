@@ -103,6 +103,9 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
 class Scratch:
     """Written tables that are deleted together once nothing reads them any more."""
 
+    #: After so many tables, what the driver no longer refers to is collected, and with it go its shuffle files.
+    EVERY = 4
+
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.parts = spark, [], []
 
@@ -110,6 +113,9 @@ class Scratch:
         path = new_dir(self.spark, name)
         self.paths.append(path)
         df.write.parquet(path)
+        if len(self.paths) % self.EVERY == 0:
+            gc.collect()
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def inner(self) -> Scratch:

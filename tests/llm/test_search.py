@@ -42,6 +42,45 @@ def test_neighbours(spark, vectors):
     assert copies == [0, *range(50, 60), *range(61, 90)][: len(copies)]
 
 
+def recall_of(spark, x, k=10, every=20):
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = lists(ann.nearest(df, k, every).collect())
+    hit = 0
+    for q, own in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len({i for i, _ in own} & set(np.lexsort((np.arange(len(x)), -score))[:k].tolist()))
+    assert sorted(got) == list(range(0, len(x), every))
+    return hit / (k * len(got))
+
+
+@pytest.mark.parametrize("kind", ["one long vector", "lengths of all sizes", "tiny and huge"])
+def test_neighbours_of_all_lengths(spark, kind):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1200, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "one long vector":
+        x[17] *= 1000
+    elif kind == "lengths of all sizes":
+        x *= np.exp(rng.normal(size=len(x)))[:, None]
+    else:
+        x[::2] *= 1e-150
+        x[1::6] *= 1e120
+    assert recall_of(spark, x) >= 0.9
+
+
+def test_shells(spark):
+    steps = [40, 39, 33, 32, 3, 2, -400]
+    rows = spark.createDataFrame([(n, s) for n, s in enumerate(steps)], "id long, step int")
+    assert [(low, high, size) for low, high, _, size in ann.shells_of(rows)] == [(33, 40, 3), (25, 32, 1), (-4, 3, 2), (-407, -400, 1)]
+
+
+def test_low_recall_is_no_result(spark, vectors):
+    """A search that cannot find what brute force finds goes on, and says so if that does not help."""
+    with pytest.raises(RuntimeError, match="recall"):
+        ann.nearest(vectors.filter("vec_id between 0 and 399"), 10, 20, ann.Settings(links=1, sample=1, rounds=0, steps=0, again=1))
+
+
 def test_few_and_none(spark, vectors):
     few = vectors.filter("vec_id < 3")
     assert {q: [i for i, _ in v] for q, v in lists(ann.nearest(few, 10, 1).collect()).items()}.keys() == {0, 1, 2}
