@@ -1,14 +1,17 @@
 """Licence scan by a positional rare-token index; DataFrame operations only.
 
 A template is a licence's words in order, with key phrases (runs of its words) that must stand at their places. The
-corpus gives the document frequency of every word of the templates; each template is indexed by the highest-IDF word
-of its key phrases with that word's positions. A file's words are looked up in the index; an occurrence at i of an
-index word at position p proposes the template at i - p. There the key phrases are verified, and the share of the
-template's words that stand in their relative positions must reach ``SHARE``. Phrases of the base list are templates
-that are one key phrase. Which word indexes a template decides the work, never the result.
+corpus gives the document frequency of every word of the key phrases. The index has a posting list for each rare word:
+a template stands there with the word's position if the word is the one of its key phrases with the highest IDF, and
+with the position of the one that is next. A file's words are intersected with the index; an occurrence at i of a
+word with a posting at position p proposes the template at i - p, and stays if the template's other posting agrees
+on the relative position. There the key phrases are verified, and the share of the template's words that stand in their
+relative positions must reach ``SHARE``. Phrases of the base list are templates that are one key phrase. Which words
+index a template decides the work, never the result.
 
 All work is inside a row: files are neither shuffled nor grouped; only the word counts of the templates (one row a
-word, whatever the input) meet at the driver. Words are runs of 0-9, a-z (A-Z folded) and non-ASCII characters.
+word, whatever the input) meet at the driver. The index reaches the tasks as constants of a checked size, and the plan
+is the same however many templates there are. Words are runs of 0-9, a-z (A-Z folded) and non-ASCII characters.
 
 Edge cases: a null or wordless text has no places, no labels (empty strings) and score 0; repeated rows are judged
 alike; an empty table gives an empty result; other columns are ignored. Overlapping places all count; a template that
@@ -17,15 +20,22 @@ starts before the text's first word matches with the part that is there.
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.license_texts import TEXTS
+
 SHARE = 0.8
+#: Bytes of an index that may be a constant of the plan.
+MOST = 16 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FOLD = str.maketrans(UPPER, LOWER)
 
 
 @dataclass(frozen=True)
@@ -35,11 +45,11 @@ class Template:
     keys: tuple[str, ...]
     base: bool = False
 
-    @property
+    @cached_property
     def words(self) -> list[str]:
-        return self.text.split(" ")
+        return re.findall(WORD, self.text.translate(FOLD))
 
-    @property
+    @cached_property
     def key_places(self) -> list[int]:
         """Positions of the words of key phrases."""
         out: set[int] = set()
@@ -56,16 +66,8 @@ def phrase(label: str, text: str) -> Template:
 
 #: Phrases and labels of the base list.
 BASE = (phrase("mit", "under the mit license"), phrase("apache-2", "apache license version 2"), phrase("cc-by-nc", "cc by nc"))
-#: Licence sentences that the method knows besides.
-OWN = (
-    Template("apache-2", "licensed under the apache license version 2 0", ("apache license",)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    Template("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
-    Template("mit", "released under the mit license", ("mit license",)),
-    Template("mpl-2", "subject to the terms of the mozilla public license version 2 0", ("mozilla public license",)),
-)
+#: Licences that the method knows besides.
+OWN = tuple(Template(label, text, keys) for label, keys, text in TEXTS)
 
 
 def need(t: Template) -> int:
@@ -73,83 +75,83 @@ def need(t: Template) -> int:
     return -int(-len(t.words) * SHARE // 1)
 
 
-def frequencies(docs: DataFrame, templates: tuple[Template, ...]) -> dict[str, int]:
-    """In how many texts each word of the key phrases stands."""
-    vocabulary = sorted({t.words[i] for t in templates for i in t.key_places})
-    pattern = rf"(?i)(?<!{ANY_CASE})(?:{'|'.join(vocabulary)})(?!{ANY_CASE})"
-    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0)))).alias("w"))
-    # A word may be found in several spellings of one text; array_distinct of the folded ones would cost every text.
-    counts = found.groupBy(F.translate("w", UPPER, LOWER).alias("w")).count()
-    return {w: 0 for w in vocabulary} | {r["w"]: r["count"] for r in counts.collect()}
-
-
-def anchor(t: Template, df: dict[str, int]) -> str:
-    """The index word: of the key phrases' words, the one in the fewest texts (the highest IDF), then the first."""
-    return min((t.words[i] for i in t.key_places), key=lambda w: (df[w], t.words.index(w)))
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def places(words: Column, t: Template, word: str) -> Column:
-    """Places of a template as structs of start and matched words, in ascending start of the index word."""
-    hits = F.filter(F.transform(words, lambda w, i: F.when(w == word, i)), lambda i: i.isNotNull())
-    out = []
-    for p in [i for i in t.key_places if t.words[i] == word]:
-        same = lambda s, k: F.coalesce(F.get(words, s + k) == t.words[k], F.lit(False))
+def constant(value: object, schema: str) -> Column:
+    """A value as one constant, whatever its size."""
+    text = json.dumps(value, ensure_ascii=False)
+    if len(text.encode()) > MOST:
+        raise ValueError(f"an index of {len(text)} characters is too large to send to every task")
+    return F.from_json(F.lit(text), schema)
 
-        def keys(s: Column) -> Column:
-            ok = F.lit(True)
-            for k in t.key_places:
-                ok = ok & same(s, k)
-            return ok
 
-        shift = F.lit(p)
-        found = F.filter(F.transform(hits, lambda i: i - shift), keys)  # noqa: B023
-        out.append(F.transform(found, lambda s: F.struct(s.alias("start"), sum((same(s, k).cast("int") for k in range(len(t.words))), F.lit(0)).alias("n"))))
-    every = F.array_distinct(F.concat(*out)) if len(out) > 1 else out[0]
-    return F.filter(every, lambda x: x["n"] >= need(t))
+def frequencies(docs: DataFrame, templates: tuple[Template, ...]) -> dict[str, int]:
+    """In how many texts each word of the key phrases stands."""
+    vocabulary = sorted({t.words[i] for t in templates for i in t.key_places})
+    found = docs.filter("text is not null").select(F.explode(F.array_intersect(words_of(F.col("text")), constant(vocabulary, "array<string>"))).alias("w"))
+    return {w: 0 for w in vocabulary} | {r["w"]: r["count"] for r in found.groupBy("w").count().collect()}
 
 
-def labelled(found: str, label: str) -> Column:
-    return F.transform(found, lambda x: F.struct(F.lit(label).alias("label"), x["start"].alias("start"), x["n"].alias("matched")))
+def postings(templates: tuple[Template, ...], df: dict[str, int]) -> dict[str, list[tuple[int, int, int, str]]]:
+    """For each index word: template, position, and the position and word of the template's other posting."""
+    out: dict[str, list[tuple[int, int, int, str]]] = {}
+    for n, t in enumerate(templates):
+        rare = sorted(t.key_places, key=lambda i: (df[t.words[i]], i))
+        p, q = rare[0], next((i for i in rare if t.words[i] != t.words[rare[0]]), rare[0])
+        out.setdefault(t.words[p], []).append((n, p, q, t.words[q]))
+    return out
 
 
 def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, own: tuple[Template, ...] = OWN) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and places (label, start, matched)."""
     templates = (*base, *own)
-    df = frequencies(docs, templates)
-    index = [anchor(t, df) for t in templates]
-    possible = F.col("text").rlike(f"(?i){'|'.join(sorted(set(index)))}")
-    folded = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0))
-    out = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(f"{ANY_CASE}+")), F.lit(0)).cast("long").alias("n_words"), F.when(possible, folded).otherwise(F.array().cast("array<string>")).alias("_words"))
-    none = F.array().cast("array<struct<start:int,n:int>>")
-    out = out.select("doc_id", "n_words", *(F.when(F.size("_words") > 0, places(F.col("_words"), t, w)).otherwise(none).alias(f"_{k}") for k, (t, w) in enumerate(zip(templates, index))))
-    starts = lambda ks: F.array_distinct(F.flatten(F.array(*(F.transform(f"_{k}", lambda x: x["start"]) for k in ks))))
-    labels = lambda ks: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(F.size(f"_{k}") > 0, templates[k].label) for k in ks)), lambda x: x.isNotNull()))), ",")
-    nb, every = range(len(base)), range(len(templates))
-    best = F.greatest(F.lit(0.0), *(F.coalesce(F.array_max(F.transform(f"_{k}", lambda x: x["n"])) / len(templates[k].words), F.lit(0.0)) for k in every))
-    n_base = sum((F.size(f"_{k}") for k in nb), F.lit(0)).cast("long")
-    spans = F.flatten(F.array(*(labelled(f"_{k}", templates[k].label) for k in every)))
-    return out.select("doc_id", "n_words", n_base.alias("n_base"), F.array_min(starts(nb)).cast("long").alias("first_word"), F.array_max(starts(nb)).cast("long").alias("last_word"), labels(nb).alias("base_labels"), labels(every).alias("labels"), best.alias("score"), spans.alias("places"))
+    index = postings(templates, frequencies(docs, templates))
+    names = sorted(index)
+    lists = constant([[dict(zip("tpqw", e)) for e in index[w]] for w in names], "array<array<struct<t:int,p:int,q:int,w:string>>>")
+    known = constant([{"label": t.label, "base": t.base, "words": t.words, "keys": t.key_places, "need": need(t)} for t in templates], "array<struct<label:string,base:boolean,words:array<string>,keys:array<int>,need:int>>")
+    words = F.col("_words")
+    out = docs.select("doc_id", F.coalesce(words_of(F.col("text")), F.array().cast("array<string>")).alias("_words"))
+    out = out.select("doc_id", "_words", F.array_intersect(words, constant(names, "array<string>")).alias("_rare"))
+    stands = lambda i, w: F.coalesce(F.get(words, i) == w, F.lit(False))
+    # The places of a file's rare words, and what their posting lists propose there.
+    hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains("_rare", w), F.struct(i.alias("i"), w.alias("w")))), lambda x: x.isNotNull())
+    listed = lambda w: F.get(lists, (F.array_position(constant(names, "array<string>"), w) - 1).cast("int"))
+    met = lambda h: F.filter(listed(h["w"]), lambda e: stands(h["i"] - e["p"] + e["q"], e["w"]))
+    proposed = F.flatten(F.transform(hits, lambda h: F.transform(met(h), lambda e: F.struct(e["t"].alias("t"), (h["i"] - e["p"]).alias("start")))))
+    # Key phrases first, then the share of all words.
+    at = lambda x: F.get(known, x["t"])
+    keyed = F.filter(proposed, lambda x: F.forall(at(x)["keys"], lambda k: stands(x["start"] + k, F.get(at(x)["words"], k))))
+    counted = F.transform(keyed, lambda x: F.struct(x["t"].alias("t"), x["start"].alias("start"), F.size(F.filter(F.transform(at(x)["words"], lambda w, k: stands(x["start"] + k, w)), lambda same: same)).alias("n")))
+    found = F.filter(counted, lambda x: x["n"] >= at(x)["need"])
+    none = F.array().cast("array<struct<t:int,start:int,n:int>>")
+    out = out.select("doc_id", F.size("_words").cast("long").alias("n_words"), F.when(F.size("_rare") > 0, found).otherwise(none).alias("_found"))
+    out = out.withColumn("_base", F.filter("_found", lambda x: at(x)["base"]))
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: at(x)["label"]))), ",")
+    starts = F.transform("_base", lambda x: x["start"])
+    best = F.array_max(F.transform("_found", lambda x: x["n"] / F.size(at(x)["words"])))
+    spans = F.transform("_found", lambda x: F.struct(at(x)["label"].alias("label"), x["start"].alias("start"), x["n"].alias("matched")))
+    return out.select("doc_id", "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), labels("_base").alias("base_labels"), labels("_found").alias("labels"), F.coalesce(best, F.lit(0.0)).alias("score"), spans.alias("places"))
 
 
 def oracle(base: tuple[Template, ...] = BASE, own: tuple[Template, ...] = OWN) -> str:
-    """DuckDB SQL for scan() over documents, without places."""
+    """DuckDB SQL for scan() over documents, without places: words of texts and templates meet in a join."""
     templates = (*base, *own)
-    cols = []
-    for n, t in enumerate(templates):
-        p = t.key_places[0]
-        same = lambda k: f"coalesce(CASE WHEN i - {p} + {k} >= 0 THEN words[i - {p} + {k} + 1] END = '{t.words[k]}', false)"  # noqa: E731, B023
-        keys = " AND ".join(same(k) for k in t.key_places)
-        count = " + ".join(f"CAST({same(k)} AS INTEGER)" for k in range(len(t.words)))
-        cols.append(f"[{{'start': i - {p}, 'n': {count}}} for i in range(len(words)) if words[i + 1] = '{t.words[p]}' AND {keys} AND ({count}) >= {need(t)}] AS t{n}")
-    nb = range(len(base))
-    starts = "list_concat(" * (len(base) - 1) + "[x.start for x in t0]" + "".join(f", [x.start for x in t{k}])" for k in nb[1:])
-    labels = lambda ks: "array_to_string(list_sort(list_distinct([x for x in [" + ", ".join(f"CASE WHEN len(t{k}) > 0 THEN '{templates[k].label}' END" for k in ks) + "] if x IS NOT NULL])), ',')"
-    best = ", ".join(f"coalesce(list_max([x.n for x in t{k}]) / CAST({len(t.words)} AS DOUBLE), 0.0::DOUBLE)" for k, t in enumerate(templates))
+    rows = ", ".join(f"({n}, {k}, '{w}', {int(k in set(t.key_places))})" for n, t in enumerate(templates) for k, w in enumerate(t.words))
+    about = ", ".join(f"({n}, '{t.label}', {str(t.base).lower()}, {len(t.words)}, {len(t.key_places)}, {need(t)})" for n, t in enumerate(templates))
     return f"""
 WITH split AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM documents),
-found AS (SELECT doc_id, len(words) AS n_words, {', '.join(cols)} FROM split)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST({' + '.join(f'len(t{k})' for k in nb)} AS BIGINT) AS n_base,
-       CAST(list_min({starts}) AS BIGINT) AS first_word, CAST(list_max({starts}) AS BIGINT) AS last_word,
-       {labels(nb)} AS base_labels, {labels(range(len(templates)))} AS labels, greatest(0.0::DOUBLE, {best}) AS score
-FROM found"""
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM documents),
+tokens AS (SELECT r, unnest(words) AS w, unnest(range(len(words))) AS i FROM split),
+template(t, k, w, key) AS (VALUES {rows}),
+about(t, label, base, size, keys, need) AS (VALUES {about}),
+met AS (SELECT x.r, y.t, x.i - y.k AS start, count(*) AS n, sum(y.key) AS keyed FROM tokens x JOIN template y ON x.w = y.w GROUP BY 1, 2, 3),
+found AS (SELECT m.r, m.start, a.label, a.base, m.n / CAST(a.size AS DOUBLE) AS share FROM met m JOIN about a ON a.t = m.t WHERE m.keyed = a.keys AND m.n >= a.need),
+judged AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM found GROUP BY r)
+SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, CAST(coalesce(j.n_base, 0) AS BIGINT) AS n_base, CAST(j.first_word AS BIGINT) AS first_word, CAST(j.last_word AS BIGINT) AS last_word,
+       coalesce(j.base_labels, '') AS base_labels, coalesce(j.labels, '') AS labels, coalesce(j.score, 0.0::DOUBLE) AS score
+FROM split s LEFT JOIN judged j ON j.r = s.r"""

@@ -95,6 +95,10 @@ def test_schedule_inverse(spark):
 TEXTS = ["Released under the MIT License.", "under the mit license under the MIT-license", "Licensed under the Apache License, Version 2.0.", "cc by nc cc-by-nc 4.0", "This work is licensed under the GNU General Public License, version 3.", "the mit license", "redistribution AND use in source and binary forms, with or without changes are permitted", "general public license version 3 gnu", "", None, "mitö under the mit license", "word " * 50_000 + "cc by nc", "permission is hereby granted free of charge to any"]
 
 
+TEXTS += [f"// Copyright someone\n{t.text}\nint main" for t in licenses.OWN]
+TEXTS += [" ".join(w for k, w in enumerate(t.text.split()) if k % 11) for t in licenses.OWN] + ["cc by nc " * 3000]
+
+
 def places(words, t):
     out = []
     for i in range(-len(t.words), len(words)):
@@ -120,3 +124,14 @@ def test_licenses(spark):
         assert r["score"] == pytest.approx(max((m / len(t.words) for t, (_, m) in found), default=0.0))
         assert sorted((p["label"], p["start"]) for p in r["places"]) == sorted((t.label, p) for t, (p, _) in found)
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_license_plan_does_not_grow(spark):
+    """The plan has as many nodes and expressions for a hundred templates as for three."""
+    docs = spark.createDataFrame([(1, "permission is hereby granted")], "doc_id long, text string")
+    many = tuple(licenses.Template(f"x{k}", f"some licence number {k} of a hundred", (f"number {k}",)) for k in range(100))
+    nodes = lambda own: licenses.scan(docs, own=own)._jdf.queryExecution().analyzed().treeString().count("from_json")
+    assert nodes(many) == nodes(licenses.OWN[:3])
+    assert len({t.label for t in licenses.OWN}) >= 20
+    with pytest.raises(ValueError):
+        licenses.constant("x" * (licenses.MOST + 1), "string")
