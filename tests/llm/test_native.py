@@ -1,11 +1,12 @@
 import re
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import licenses, mixing, url_filter
 
-URLS = ["http://A.com/x", "https://example.com/en/1", "https://www.Example.com/en/1?q#f", "http://a.net/es/", "http://a.net/es", "http://net/fr/x", "http://m.casino-win.example.net", "http://m.casino-win.example.net/", "nothing", "", None, "x://y://z.com/", "http://com", "http://b.example.com/en/", "http://a.com:80/", "://", "http://?q/", "http://notexample.com/en/\n/x"]
+URLS = ["http://A.com/x", "https://example.com/en/1", "https://www.Example.com/en/1?q#f", "http://a.net/es/", "http://a.net/es", "http://net/fr/x", "http://m.casino-win.example.net", "http://m.casino-win.example.net/", "nothing", "", None, "x://y://z.com/", "http://com", "http://b.example.com/en/", "http://a.com:80/", "://", "http://?q/", "http://notexample.com/en/\n/x", "http://me:pw@spam-farm.example.org.:8080", "http://x.FREE-bets.example.net:/%41?q", "http://u@net/es/", "http://net./es/"]
 
 
 def parse(u):
@@ -18,7 +19,8 @@ def judge(u):
     host, path = parse(u)
     fits = lambda h, p: (host == h or host.endswith("." + h)) and path.startswith(p)
     best = max(((len(h + p), len(h), h + p, v) for v, h, p in url_filter.RULES if fits(h, p)), default=None)
-    listed = any(fits(h, p) for h, p in url_filter.LISTED)
+    canon = re.sub(r"\.+$", "", re.sub(r":\d*$", "", re.sub(r"(?s)^.*@", "", host))), unquote(path) or "/"
+    listed = host != "" and any((canon[0] == h or canon[0].endswith("." + h)) and canon[1].startswith(p) for h, p in url_filter.LISTED)
     return host, path, best and best[2], best[3] if best else ("block" if listed else "allow"), listed
 
 
@@ -33,6 +35,27 @@ def test_urls(spark, monkeypatch, most):
     assert {r["verdict"] for r in url_filter.judge_urls(pages, url_filter.entries_of(spark, (), ())).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("most", [1 << 17, 0])
+def test_many_entries_and_a_hot_url(spark, monkeypatch, most):
+    """A list of 100,000 entries from a table, with paths; a third of the rows has one URL."""
+    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", most)
+    n = 100_000
+    path = F.when(F.col("id") % 3 == 0, "/").when(F.col("id") % 3 == 1, "/a%20b/").otherwise("/deep/er/")
+    entries = spark.range(n).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example.net:80")).alias("host"), path.alias("path"), F.lit(None).cast("string").alias("verdict"))
+    entries = entries.union(spark.createDataFrame([("h7.example.net", "/a b/ok", "allow"), (None, "/", "block")], "host string, path string, verdict string"))
+    hosts = [f"h{k}.example.net" for k in range(0, 2 * n, 997)]
+    urls = [f"http://w{k}.{h}{p}" for k, h in enumerate(hosts) for p in ("", "/a b/x", "/deep/er/y")] + ["https://h7.example.net/a b/ok/1"] * 200
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, entries).collect()}
+    assert len(got) == len(urls)
+    for k, u in enumerate(urls):
+        m = re.match(r"https?://(?:w\d+\.)?h(\d+)\.example\.net(.*)", u)
+        number, path = int(m[1]), m[2] or "/"
+        listed = number < n and path.startswith(("/", "/a b/", "/deep/er/")[number % 3])
+        rule = number == 7 and path.startswith("/a b/ok")
+        assert (got[k]["listed"], got[k]["verdict"], got[k]["rule"]) == (listed, "allow" if rule or not listed else "block", "h7.example.net/a b/ok" if rule else None), u
+
+
 def fill(sizes, budget=1.5, most=2.0):
     """Targets by resharing until none is above its cap."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
