@@ -2,8 +2,10 @@
 
 Features are hashed n-grams of 1 to 3 characters (A-Z and the Latin-1 capitals folded) of the whole text, weighted
 (1 + ln tf) * idf and scaled to length 1. Document frequencies cover all documents to learn from. The weights are
-fitted by follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties) on a bounded sample of them,
-``sample`` documents a language; a fifth of the sample is kept apart and sets the temperature of the softmax.
+fitted by follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties) on a bounded sample of them:
+``sample`` documents a language at most, ``total`` in all, those with the least hashes of id and text; a fifth of the
+sample is kept apart and sets the temperature of the softmax. The ``languages`` most frequent languages are learned (of
+as frequent ones the first by code point).
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if there is nothing to
 learn from; repeated rows are predicted alike; a null doc_id is never learned from; other columns are ignored. Ties
@@ -18,7 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.shared import chunks, lean, ship, utf8
@@ -26,13 +28,18 @@ from foliant.llm.shared import chunks, lean, ship, utf8
 BUCKETS = 1 << 15
 ORDERS = 3
 UNKNOWN = "und"
+#: A score is no guess if it is better than that of a guess by this share of it.
+MARGIN = 0.1
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: the bound on documents a language that the weights are fitted on."""
+    """sample and total: the bounds on documents, of a language and of all, that the weights are fitted on; languages: how
+    many are learned at most."""
 
     sample: int = 800
+    total: int = 8000
+    languages: int = 200
     epochs: int = 3
     alpha: float = 1.0
     beta: float = 1.0
@@ -166,9 +173,10 @@ class Model:
 
 def fit(learn: DataFrame, s: Settings = Settings()) -> Model:
     """A model of the rows (doc_id, text, lang) to learn from; the sample is the same at every run."""
-    ship(learn.sparkSession)
+    spark = learn.sparkSession
+    ship(spark)
     learn = learn.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(s.languages).collect()}
     langs = sorted(counts, key=lambda x: x.encode())
     idf = np.zeros(BUCKETS, np.float32)
     if not langs:
@@ -177,10 +185,12 @@ def fit(learn: DataFrame, s: Settings = Settings()) -> Model:
     seen = np.zeros(BUCKETS + 1, np.int64)
     seen[df["bucket"].to_numpy()] = df["df"].to_numpy()
     idf = (np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])) + 1).astype(np.float32)
-    share = F.lit(0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-s.sample * (1 << 20) // counts[lang])))).otherwise(share)
-    some = learn.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share)
+    most = min(s.sample, max(1, s.total // len(langs)))
+    # Rows below a hash that about twice as many pass as are wanted, and of those the first.
+    limits = spark.createDataFrame([(lang, min(1 << 20, -(-2 * most * (1 << 20) // counts[lang]) + (1 << 12))) for lang in langs], "lang string, share long")
+    hashed = learn.withColumn("h", F.xxhash64("doc_id", "text", F.lit(7))).join(F.broadcast(limits), "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.col("share"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h"))
+    some = hashed.withColumn("r", first).filter(F.col("r") <= most)
     rows = some.select("text", "lang").mapInArrow(lean(vectors), "lang string, idx binary, count binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["lang"], r["idx"], r["count"]))
     number = {x: k for k, x in enumerate(langs)}
@@ -213,10 +223,12 @@ def identify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return rows.mapInArrow(lean(predictor(shared)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, s: Settings = Settings(), least: float = 0.0) -> DataFrame:
-    """The documents, with all their columns, in a language the model knows: not ``und``, and scored at least ``least``."""
+def keep_known(docs: DataFrame, s: Settings = Settings(), margin: float = MARGIN) -> DataFrame:
+    """The documents, with all their columns, in a language the model knows: not ``und``, and scored better than a guess
+    among the learned languages by the margin (a share of the guess); a single learned language is never a guess."""
     model = fit(docs.filter(fold_of() != 0), s)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    least = (1 + margin) / len(model.langs) if len(model.langs) > 1 else 0.0
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

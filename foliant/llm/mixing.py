@@ -12,8 +12,9 @@ the rows is spread over as many tasks as there are buckets (the square root of t
 buckets, never its documents. One task sees the list of sources.
 
 Edge cases: a null text has size 0 and is never taken; a null source is a source, the last; sources of size 0 have
-target 0; a null doc_id orders as the empty text; repeated rows are documents of their own; an empty table gives an
-empty result; other columns pass through ``mixed_documents`` untouched, whatever their names (its own begin with ``_``).
+target 0; a null doc_id orders as the empty text; rows of one doc_id are ordered by their texts, so neither a doc_id
+that many rows share nor a null one meets in one bucket; repeated rows are documents of their own; an empty table gives
+an empty result; other columns pass through ``mixed_documents`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
 
 def sized(docs: DataFrame) -> DataFrame:
     """Documents with size, source key and the place in their source's order."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_sk", key).withColumn("_ord", order)
 
@@ -112,16 +113,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     return out.orderBy("_late", "doc_id").drop("_late")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, text: str = "text") -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
     """The training order itself: a row with all columns for each copy taken, its text cut where the target ends it."""
-    rows = sized(docs)
+    # All columns travel as one, so that none of theirs is taken for one of ours.
+    rows = sized(docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))).drop("text")
     placed_rows = placed(rows, rows.select("doc_id", "source", "_sk", "_ord", "_size"), weights, budget, most)
     copies = placed_rows.withColumn("_copy", F.explode(F.array(*(F.lit(e) for e in range(math.ceil(most)))))).withColumn("_taken", taken_of(F.col("_copy"))).filter("_taken > 0")
     share = "CAST(_copy * _total + _start AS DOUBLE) / CAST(_due AS DOUBLE)"
     copies = copies.withColumn("_position", F.expr(position_sql(share)))
-    cut = F.when(F.col("_taken") < F.col("_size"), first_words(F.col(text), F.col("_taken"))).otherwise(F.col(text))
-    kept = [F.col(f"`{c}`") if c != text else cut.alias(text) for c in docs.columns]
-    return copies.orderBy("_position", "doc_id", "_copy").select(*kept)
+    text = F.col("_row.text")
+    cut = F.when(F.col("_taken") < F.col("_size"), first_words(text, F.col("_taken"))).otherwise(text)
+    kept = [F.col("_row").getField(c).alias(c) if c != "text" else cut.alias(c) for c in docs.columns]
+    return copies.orderBy("_position", "_ord", "_copy").select(*kept)
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -136,7 +139,7 @@ def oracle() -> str:
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS sk,
          CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS ord
   FROM documents),
 sources AS (SELECT sk, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS total FROM sized GROUP BY sk),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS _rank FROM sources),

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.shared import lean, ship
+from foliant.llm.tokens import __name__ as TOKENS
 from foliant.llm.tokens import crc32_of, encoder_of
 
 
@@ -180,4 +181,4 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
     """Pieces of every example with their sequence and the offset there; ``prompt`` names the column of prompts."""
     ship(docs.sparkSession)
     columns = ["doc_id", "text", *([F.col(prompt).alias("prompt")] if prompt else [])]
-    return docs.select(*columns).mapInArrow(lean(packer(tokenizer, limits, end_id, pool)), PIECES)
+    return docs.select(*columns).mapInArrow(lean(packer(tokenizer, limits, end_id, pool), TOKENS), PIECES)

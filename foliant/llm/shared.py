@@ -14,7 +14,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, wraps
 
 import numpy as np
@@ -40,11 +40,19 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment.setdefault(k, v)
 
 
-def lean(f):
-    """A function of batches that gives freed memory back when its task ends, as the worker lives on."""
+#: What a worker keeps between tasks: who may use it (a module), and what lets it go.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def lean(f, keeps: str | None = None):
+    """A function of batches that gives freed memory back when its task ends, as the worker lives on; what other
+    operators have kept in this worker goes before it begins."""
 
     @wraps(f)
     def run(batches):
+        for owner, drop in list(KEPT.items()):
+            if owner != keeps:
+                drop()
         try:
             yield from f(batches)
         finally:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.shared import lean, new_dir, ship, written
+from foliant.llm.tokens import __name__ as TOKENS
 from foliant.llm.tokens import crc32_of, encoder_of
 
 MAGIC = b"FOLTOK01"
@@ -208,7 +209,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     ship(docs.sparkSession)
     order = [F.col("doc_id").asc_nulls_first(), F.col("th").asc_nulls_first()]
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first()).select("doc_id", "text")
-    manifest = written(ordered.mapInArrow(lean(writer(folder, tokenizer, end_id)), MANIFEST), "manifest")
+    manifest = written(ordered.mapInArrow(lean(writer(folder, tokenizer, end_id), TOKENS), MANIFEST), "manifest")
     # One row a file: what meets in one task here grows with the files, not with the documents.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

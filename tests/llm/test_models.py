@@ -1,9 +1,11 @@
+import math
 import random
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,87 @@ def test_language_without_anything(spark, texts):
     assert {r["lang_pred"] for r in language_id.identify(mute).collect()} == {"und"}
 
 
+def plain_buckets(text):
+    """Counts of hashed n-grams, one character after the other."""
+    c = [ord(x) + 32 if "A" <= x <= "Z" or "\u00c0" <= x <= "\u00de" and x != "\u00d7" else ord(x) for x in text]
+    out = defaultdict(int)
+    for k in range(1, 4):
+        for i in range(len(c) - k + 1):
+            h = 0
+            for x in c[i : i + k]:
+                h = (h * 0x01000193 + (x + 1) * 0x9E3779B1) % 2**32
+            h ^= h >> 15
+            out[((h * 0x85EBCA6B + (k - 1) * 0x27D4EB2F) % 2**32) >> 17] += 1
+    return dict(out)
+
+
+def test_features_and_weights_as_one_by_one():
+    texts = ["Ab \u00c4b ba", "x", "aaa aaa", "\u65e5\u672c x\U0001f600y"]
+    got = list(language_id.features(pa.array([*texts, "12", None])))
+    assert got[4:] == [None, None] and [dict(zip(i.tolist(), n.tolist())) for i, n in got[:4]] == [plain_buckets(t) for t in texts]
+    df = defaultdict(int)
+    for t in texts:
+        for b in plain_buckets(t):
+            df[b] += 1
+    idf = np.zeros(language_id.BUCKETS, np.float32)
+    for b, n in df.items():
+        idf[b] = math.log((1 + len(texts)) / (1 + n)) + 1
+    for t, (idx, n) in zip(texts, got):
+        x = {b: (1 + math.log(k)) * float(idf[b]) for b, k in plain_buckets(t).items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        assert np.allclose(language_id.weigh(idx, n, idf), [x[b] / size for b in idx.tolist()], atol=1e-6)
+
+
+def test_ftrl_as_one_by_one():
+    s = language_id.Settings(epochs=2)
+    rng = np.random.default_rng(2)
+    examples = [(np.sort(rng.choice(50, 6, replace=False)), rng.random(6), int(rng.integers(3))) for _ in range(12)]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(key):
+        if abs(z[key]) <= s.l1:
+            return 0.0
+        return -(z[key] - math.copysign(s.l1, z[key])) / ((s.beta + math.sqrt(n[key])) / s.alpha + s.l2)
+
+    order = np.random.default_rng(11)
+    for _ in range(s.epochs):
+        for e in order.permutation(len(examples)):
+            idx, x, y = examples[e]
+            w = {(i, c): weight((i, c)) for i in idx.tolist() for c in range(3)}
+            score = [sum(v * w[i, c] for i, v in zip(idx.tolist(), x)) for c in range(3)]
+            p = [math.exp(v - max(score)) for v in score]
+            for i, v in zip(idx.tolist(), x):
+                for c in range(3):
+                    g = v * (p[c] / sum(p) - (c == y))
+                    sigma = (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / s.alpha
+                    z[i, c] += g - sigma * w[i, c]
+                    n[i, c] += g * g
+    got = language_id.ftrl(examples, 3, s)
+    assert np.allclose(got[:50], [[weight((i, c)) for c in range(3)] for i in range(50)], atol=1e-6) and not got[50:].any()
+
+
+def test_temperature_is_the_best():
+    rng = np.random.default_rng(7)
+    y = rng.integers(0, 3, 300)
+    logits = rng.normal(size=(300, 3)) * 4
+    logits[np.arange(300), y] += 3
+    t = language_id.temperature(logits, y)
+    loss = lambda t: -np.log(language_id.softmax(logits / t)[np.arange(300), y]).mean()
+    assert all(loss(t) <= loss(t * f) + 1e-6 for f in (0.5, 0.9, 1.1, 2)) and t > 1
+
+
+def test_the_sample_is_bounded_by_rows(spark, texts, monkeypatch):
+    """Rows of one id are no way around the bound, and rare languages beyond the most are not learned."""
+    many = texts.union(texts.filter("doc_id = 3").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300)))).withColumn("text", F.concat("text", F.lit(" "), F.col("n").cast("string"))).drop("n"))
+    seen = []
+    real = language_id.ftrl
+    monkeypatch.setattr(language_id, "ftrl", lambda e, c, s: seen.append((len(e), c)) or real(e, c, s))
+    language_id.fit(many.filter("lang is not null"), language_id.Settings(sample=20))
+    language_id.fit(many, language_id.Settings(total=30))
+    language_id.fit(many, language_id.Settings(languages=2))
+    assert 40 <= seen[0][0] <= 48 and seen[0][1] == 3 and seen[1][0] <= 24 and seen[2][1] == 2
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(2)

@@ -103,6 +103,18 @@ def test_mixed_documents(documents):
     assert words == want
 
 
+def test_mixing_of_one_id_and_clashing_names(spark):
+    """Most rows have one doc_id, or none; columns are named like what the operator adds."""
+    rows = [(7 if n % 3 else None, f"word{n} " * (1 + n % 5), "s", n, n, n, n) for n in range(300)] + [(n, "a b c", "t", n, n, n, n) for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int, _ord int, _row int, _position int")
+    runs = [[tuple(map(str, r)) for r in mixing.mixed_documents(docs.repartition(n)).collect()] for n in (1, 4)]
+    assert runs[0] == runs[1] and mixing.mixed_documents(docs).columns == docs.columns
+    whole = {(str(r[0]), str(r[1])): str(r[3]) for r in rows}
+    assert all(whole.get((r[0], r[1]), r[3]) == r[3] for r in runs[0])
+    buckets = mixing.sized(docs.select("doc_id", "source", "text")).groupBy(F.substring("_ord", 1, 1)).count().agg(F.max("count")).first()[0]
+    assert buckets < 60
+
+
 def test_schedule_inverse(spark):
     for knots in mixing.SCHEDULES:
         rows = spark.range(101).select((F.col("id") / 100).alias("y")).select("y", F.expr(mixing.inverse_sql(knots, "y")).alias("t")).collect()
