@@ -102,6 +102,21 @@ def project_findings(order: DataFrame, libraries: DataFrame, ranked: DataFrame,
     return reduce(DataFrame.union, (unknown, clash, only, differs))
 
 
+def project_finding(spark, name: str, libraries: int) -> DataFrame:
+    return spark.createDataFrame([(8, "info", "project", f"project {name} cites from {libraries} libraries")], "ord int, severity string, code string, message string")
+
+
+def unreadable(entries: DataFrame) -> DataFrame:
+    """Citation files that cannot be parsed, from the error rows among their entries."""
+    return finding(entries.filter("error is not null"), 11, "error", "citation_file", F.concat(F.lit("no citations could be read: "), F.col("error")))
+
+
+def conflict_items(conflicts: DataFrame, project: str, now: Column) -> DataFrame:
+    """A review item for each key that names different works."""
+    key = F.col("citation_key")
+    return conflicts.select(F.lit("key_conflict").alias("kind"), F.concat(F.lit(f"key_conflict:{project}:"), key).alias("dedupe_key"), F.concat(key, F.lit(" stands for "), F.col("members").cast("string"), F.lit(" sources that are not one work")).alias("message"), F.to_json(F.struct(key.alias("key"), F.col("members").alias("sources"))).alias("details"), F.xxhash64(key).alias("position"), now.alias("created_at"))
+
+
 def review_finding(open_count: DataFrame) -> DataFrame:
     return finding(open_count.filter("n_open > 0"), 14, "warning", "review_open", F.concat(F.col("n_open").cast("string"), F.lit(" items await review")))
 

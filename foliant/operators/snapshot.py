@@ -36,11 +36,20 @@ def counters(classified: DataFrame) -> DataFrame:
     return classified.groupBy("library_id").agg(*(count(c) for c in ("is_seen", "is_new", "is_changed", "is_reactivated", "is_retired")))
 
 
-def next_sources(stored: DataFrame, fetched: DataFrame, now: Column, fields: list[str]) -> DataFrame:
+def next_sources(stored: DataFrame, fetched: DataFrame, now: Column, fields: list[str], libraries: DataFrame | None = None) -> DataFrame:
     """The next version of the sources: fetched values win, vanished rows are retired, new rows get the next ids.
 
-    Ids follow the largest stored one in the order of library and the ordinal ``position`` of the fetch.
+    Ids follow the largest stored one in the order of library and the ordinal ``position`` of the fetch. libraries:
+    library_id of those that were fetched, if not all; the others' sources stay as they are.
     """
+    if libraries is not None:
+        own = stored.join(libraries, "library_id", "left_semi")
+        columns = [*KEY, "id", "data_hash", *fields, "status", "first_seen", "last_seen"]
+        # Ids go on after the largest of all libraries.
+        after = next_sources(own, fetched, now, fields)
+        top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_all")).join(F.broadcast(own.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_own"))))
+        moved = after.join(F.broadcast(top)).withColumn("id", F.when(F.col("id") > F.col("_own"), F.col("id") - F.col("_own") + F.col("_all")).otherwise(F.col("id")))
+        return stored.join(libraries, "library_id", "left_anti").select(*columns).unionByName(moved.select(*columns))
     o, n = stored.alias("o"), fetched.alias("n")
     rows = o.join(n, KEY, "full_outer")
     seen = F.col("n.data_hash").isNotNull()
@@ -76,6 +85,14 @@ def memberships(fetched: DataFrame, collections: DataFrame) -> DataFrame:
     return keys.join(collections.select("library_id", "collection_key", F.col("id").alias("collection_id")), ["library_id", "collection_key"]).select("source_id", "collection_id").dropDuplicates()
 
 
+def next_memberships(stored: DataFrame, fetched: DataFrame, old: DataFrame, new: DataFrame, libraries: DataFrame) -> DataFrame:
+    """The next (source_id, collection_id): of fetched sources what is fetched; what is stored of sources that were not
+    fetched stays, unless its collection vanished from a fetched library."""
+    gone = old.join(libraries, "library_id", "left_semi").join(new.select("id"), "id", "left_anti").select(F.col("id").alias("collection_id"))
+    kept = stored.join(fetched.select("source_id").distinct(), "source_id", "left_anti").join(gone, "collection_id", "left_anti")
+    return kept.select("source_id", "collection_id").unionByName(memberships(fetched, new))
+
+
 def replace_tags(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     """(source_id, tag): the tags of fetched sources are replaced, those of others stay."""
     untouched = stored.join(fetched.select("source_id").distinct(), "source_id", "left_anti")
@@ -99,6 +116,14 @@ def last_ok_age(runs: DataFrame, now: Column) -> DataFrame:
     return runs.filter("status = 'ok'").agg((F.unix_timestamp(now) - F.unix_timestamp(F.max("finished_at"))).alias("age"))
 
 
+def begin_runs(runs: DataFrame, libraries: DataFrame, now: Column) -> DataFrame:
+    """The run log with a running row for each library_id, numbered after the last in the order of library."""
+    last = runs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    number = F.row_number().over(Window.orderBy("library_id"))  # one row a library
+    rows = libraries.select("library_id").withColumn("_r", number).join(F.broadcast(last)).select((F.col("_last") + F.col("_r")).alias("id"), "library_id", F.lit("running").alias("status"), now.alias("started_at"))
+    return runs.unionByName(rows, allowMissingColumns=True)
+
+
 def finish_run(runs: DataFrame, run_id: int, status: str, error: str | None, now: Column) -> DataFrame:
     """The run log with one run brought to its end."""
     own = F.col("id") == run_id

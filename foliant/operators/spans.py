@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.text import trimmed
+
 SPAN = "array<struct<text:string,left:double,top:double,right:double,bottom:double>>"
 
 
@@ -24,7 +26,8 @@ def join_spans(spans: Column) -> Column:
 
 
 def not_blank(spans: Column) -> Column:
-    return F.filter(spans, lambda s: F.trim(s["text"]) != "")
+    """Spans of more than white space."""
+    return F.filter(spans, lambda s: trimmed(s["text"]).isNotNull())
 
 
 def page_text(spans: Column, plain: Column) -> Column:

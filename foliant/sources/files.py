@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.operators.spans import not_blank
 from foliant.workers import importable
 
 ENTRIES = "key string, title string, year int, doi string, position int, error string"
@@ -173,19 +174,33 @@ def corpus(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "doc_id string, url string, category string, sentences array<string>, before array<struct<first:string,second:string>>, chars array<string>")
 
 
+PAGE = "_width double, _height double, block array<struct<line:array<struct<font:array<struct<_name:string,_size:double,char:array<struct<_c:string,_quad:string>>>>>>>>"
+
+
 def stext_pages(spark: SparkSession, path: str) -> DataFrame:
-    """path, index, size and spans of structured-text XML: a span for each font run, its box around its characters."""
-    schema = "_width double, _height double, block array<struct<line:array<struct<font:array<struct<_name:string,_size:double,char:array<struct<_c:string,_quad:string>>>>>>>>"
-    pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path).withColumn("path", F.input_file_name())
-    runs = F.flatten(F.transform(F.flatten(F.transform("block", lambda b: b["line"])), lambda x: x["font"]))
+    """path, index, size and spans of structured-text XML files; index is the page's place in its file."""
+    return pages_of_stext(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("xml")))
+
+
+def pages_of_stext(files: DataFrame) -> DataFrame:
+    """The same of files (path, xml): a span for each font run, its box around its characters."""
+    pages = files.select("path", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<page\b[^>]*?(?:/>|>.*?</page>)"), F.lit(0))).alias("index", "x"))
+    pages = pages.select("path", "index", F.from_xml("x", PAGE, {"rowTag": "page"}).alias("p"))
+    runs = F.flatten(F.transform(F.flatten(F.transform("p.block", lambda b: b["line"])), lambda x: x["font"]))
 
     def span(run):
         q = F.flatten(F.transform(F.filter(run["char"], lambda c: c["_quad"].isNotNull()), lambda c: F.transform(F.split(c["_quad"], " +"), lambda v: v.cast("double"))))
         x, y = F.filter(q, lambda v, i: i % 2 == 0), F.filter(q, lambda v, i: i % 2 == 1)
         return F.struct(F.array_join(F.transform(run["char"], lambda c: c["_c"]), "").alias("text"), F.array_min(x).alias("left"), F.array_min(y).alias("top"), F.array_max(x).alias("right"), F.array_max(y).alias("bottom"), run["_name"].alias("font"))
 
-    spans = F.filter(F.transform(runs, span), lambda s: (F.trim(s["text"]) != "") & s["left"].isNotNull())
-    return pages.select("path", F.monotonically_increasing_id().alias("index"), F.col("_width").alias("width"), F.col("_height").alias("height"), F.coalesce(spans, F.array()).alias("spans"))
+    spans = F.filter(not_blank(F.transform(runs, span)), lambda s: s["left"].isNotNull())
+    return pages.select("path", "index", F.col("p._width").alias("width"), F.col("p._height").alias("height"), F.coalesce(spans, F.array()).alias("spans"))
+
+
+def version_of_keys(text: str) -> str:
+    """A version from lines like ``MAJOR=1``: the numbers of MAJOR, MINOR, BUILD and PATCH that are there."""
+    pairs = dict(line.split("=", 1) for line in text.split() if "=" in line)
+    return ".".join(pairs[k] for k in ("MAJOR", "MINOR", "BUILD", "PATCH") if k in pairs)
 
 
 class Backend(Protocol):
@@ -238,7 +253,14 @@ class PlainText:
         return content.decode("utf-8").split("\f")
 
 
-BACKENDS: dict[str, Backend] = {"plain": PlainText(), "pdftotext": ProcessBackend("pdftotext", ["pdftotext", "-layout"], ["pdftotext", "-v"]), "mutool": ProcessBackend("mutool", ["mutool", "draw", "-q", "-F", "txt"], ["mutool", "-v"])}
+class StextProcess(ProcessBackend):
+    """An external program that writes a file's structured text as one XML document, a page here."""
+
+    def extract(self, content: bytes) -> list[str]:
+        return ["\f".join(super().extract(content))]
+
+
+BACKENDS: dict[str, Backend] = {"plain": PlainText(), "pdftotext": ProcessBackend("pdftotext", ["pdftotext", "-layout"], ["pdftotext", "-v"]), "mutool": StextProcess("mutool", ["mutool", "draw", "-q", "-F", "stext"], ["mutool", "-v"])}
 
 
 def chosen_backends(names: list[str] | None = None) -> list[Backend]:
@@ -267,3 +289,8 @@ def extract(files: DataFrame, backends: list[Backend]) -> DataFrame:
 
     importable(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, "path string, backend string, version string, index int, plain string, error string")
+
+
+def extract_spans(files: DataFrame, backend: Backend) -> DataFrame:
+    """path, index, size and spans of files (path, content) by a backend that writes structured text."""
+    return pages_of_stext(extract(files, [backend]).filter("error is null").select("path", F.col("plain").alias("xml")))

@@ -10,15 +10,41 @@ from foliant.operators.snapshot import next_sources
 from foliant.store import Store
 
 
+LANDING = ["library_id", "landing"]
+
+
+def whole_landings(rows: DataFrame) -> DataFrame:
+    """(library_id, landing) of landings of which all rows are there, the newest of each library."""
+    counts = rows.groupBy(*LANDING).agg(F.count("*").alias("n"), F.max("n_rows").alias("n_rows")).filter("n >= n_rows")
+    return counts.groupBy("library_id").agg(F.max("landing").alias("landing"))
+
+
 def sync_stream(landed: DataFrame, store: Store, checkpoint: str, fields: list[str]) -> StreamingQuery:
-    """Bring the sources up to date with each landed snapshot (library_id, item_key, position, data_hash, fields)."""
+    """Bring the sources up to date with landed snapshots (library_id, landing, n_rows, item_key, position, data_hash,
+    fields).
+
+    A landing is a whole snapshot of a library, in n_rows rows that may come in several batches. Rows wait in the store
+    until their landing is whole; of several whole ones of a library the newest counts, and older rows are dropped. A
+    batch that is repeated after a failure changes nothing more. Without a stored table all sources are new.
+    """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        stored = store.read("source")
-        if stored is not None and not batch.isEmpty():
-            own = batch.select("library_id").distinct()
-            after = next_sources(stored.join(own, "library_id", "left_semi"), batch, F.lit(str(epoch)), fields)
-            store.write("source", stored.join(own, "library_id", "left_anti").unionByName(after))
+        waiting = store.read("landed")
+        rows = (batch if waiting is None else waiting.unionByName(batch)).dropDuplicates([*LANDING, "item_key"])
+        newest = whole_landings(rows)
+        ready = rows.join(newest, LANDING, "left_semi").drop("landing", "n_rows")
+        done = newest.withColumnRenamed("landing", "done")
+        tables = {"landed": rows.join(done, "library_id", "left").filter("done is null or landing > done").drop("done")}
+        if not newest.isEmpty():
+            stored = store.read("source")
+            if stored is None:
+                types = dict(batch.dtypes)
+                schema = ", ".join(["library_id long, item_key string, id long, data_hash string", *(f"{f} {types[f]}" for f in fields), "status string, first_seen string, last_seen string"])
+                stored = batch.sparkSession.createDataFrame([], schema)
+            own = newest.select("library_id")
+            after = next_sources(stored, ready, F.lit(str(epoch)), fields, own)
+            tables["source"] = after
+        store.write_all(tables)
 
     return landed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

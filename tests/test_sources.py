@@ -95,12 +95,29 @@ def test_extract_and_stext(spark, tmp_path):
     assert [(s["text"], s["left"], s["bottom"], s["right"]) for s in p["spans"]] == [("a&", 0.0, 2.0, 2.0)]
 
 
+def test_pages_are_numbered_in_their_file(spark, tmp_path):
+    page = '<page width="1" height="2"><block><line><font name="F" size="9"><char c="{}" quad="0 0 1 0 0 2 1 2"/></font></line></block></page>'
+    for name, letters in (("a", "xyz"), ("b", "pq")):
+        (tmp_path / f"{name}.xml").write_text("<document>" + "\n".join(page.format(c) for c in letters) + '<page width="3" height="4"/></document>')
+    rows = files.stext_pages(spark, f"{tmp_path}/*.xml").collect()
+    assert sorted((r["path"][-5:], r["index"], "".join(s["text"] for s in r["spans"]), r["width"]) for r in rows) == [("a.xml", 0, "x", 1.0), ("a.xml", 1, "y", 1.0), ("a.xml", 2, "z", 1.0), ("a.xml", 3, "", 3.0), ("b.xml", 0, "p", 1.0), ("b.xml", 1, "q", 1.0), ("b.xml", 2, "", 3.0)]
+    script = tmp_path / "tool"
+    script.write_text("#!/bin/sh\ncat \"$1\"\n")
+    script.chmod(0o755)
+    content = spark.createDataFrame([("f", bytearray((tmp_path / "a.xml").read_bytes()))], "path string, content binary")
+    spans = files.extract_spans(content, files.StextProcess("tool", [str(script)]))
+    assert [r["index"] for r in spans.orderBy("index").collect()] == [0, 1, 2, 3] and spans.filter("index = 1").first()["spans"][0]["text"] == "y"
+    assert files.version_of_keys("MAJOR=1\nMINOR=2\nBUILD=33\nPATCH=0\n") == "1.2.33.0"
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/s")
     step = lambda st: st.write("t", spark.range(3))
-    assert s.migrate([step]) == (0, 1) and s.migrate([step]) == (1, 1) and s.read("t").count() == 3
+    assert s.open([step], f"file://{tmp_path}/b") == (0, 1, None) and s.migrate([step]) == (1, 1) and s.read("t").count() == 3
     s.write("t", spark.range(5))
-    assert s.version("t") == 2 and s.read("t").count() == 5
+    assert s.version("t") == 2 and s.read("t").count() == 5 and s.read("none") is None
+    old, new, saved = s.open([step, lambda st: st.write("u", spark.range(1))], f"file://{tmp_path}/b")
+    assert (old, new) == (1, 2) and spark.read.parquet(f"{saved}/t").count() == 5 and s.tables == ["t", "u"]
     a, b = s.backup(f"file://{tmp_path}/b", "20290101T000000Z"), s.backup(f"file://{tmp_path}/b", "20290101T000000Z")
     assert a + "-1" == b and spark.read.parquet(f"{b}/t").count() == 5
     with pytest.raises(ValueError):
@@ -109,13 +126,47 @@ def test_store(spark, tmp_path):
     assert store.import_lines(spark, f"file://{tmp_path}/j", spark.range(2), "id").count() == 2
 
 
+def test_writers_do_not_lose_each_others_tables(spark, tmp_path, monkeypatch):
+    a, b = (store.Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    a.write("t", spark.range(1))
+    read, first = a._numbers, []
+
+    def slow(name):  # another writer comes between reading and writing
+        numbers = read(name)
+        if not first:
+            first.append(b.write("u", spark.range(2)))
+        return numbers
+
+    monkeypatch.setattr(a, "_numbers", slow)
+    a.write("t", spark.range(3))
+    assert (b.version("t"), b.version("u"), b.read("t").count(), b.read("u").count()) == (2, 1, 3, 2)
+    for k in range(store.KEPT + 5):
+        b._change("_current", lambda now: now)
+    assert len(b._numbers("_current")) <= store.KEPT + 2 and b.read("t").count() == 3
+    (tmp_path / "s" / f"_current.{b._numbers('_current')[-1] + 1:012d}").write_text('{"t":')  # half written
+    monkeypatch.setattr(store, "ABANDONED", 0.2)
+    assert b.read("t").count() == 3 and b.write("t", spark.range(7)) == 3 and b.read("u").count() == 2
+
+
+LANDED = "library_id long, landing long, n_rows long, item_key string, position long, data_hash string, title string"
+
+
 def test_stream(spark, tmp_path):
     from foliant.streaming.snapshots import sync_stream
 
     s = store.Store(spark, f"file://{tmp_path}/s")
-    cols = "library_id long, item_key string, id long, data_hash string, title string, status string, first_seen string, last_seen string"
-    s.write("source", spark.createDataFrame([(1, "A", 1, "h", "t", "active", "x", "x"), (2, "Z", 2, "h", "t", "active", "x", "x")], cols))
-    schema = "library_id long, item_key string, position long, data_hash string, title string"
-    spark.createDataFrame([(1, "B", 0, "h", "t")], schema).write.parquet(f"{tmp_path}/in")
-    sync_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), s, f"{tmp_path}/c", ["title"]).awaitTermination()
-    assert sorted((r["item_key"], r["status"]) for r in s.read("source").collect()) == [("A", "retired"), ("B", "active"), ("Z", "active")]
+
+    def land(rows):
+        spark.createDataFrame(rows, LANDED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        sync_stream(spark.readStream.schema(LANDED).parquet(f"{tmp_path}/in"), s, f"{tmp_path}/c", ["title"]).awaitTermination()
+        return s.read("source") and sorted((r["library_id"], r["item_key"], r["status"], r["title"]) for r in s.read("source").collect())
+
+    assert land([(1, 1, 2, "A", 0, "h", "t")]) is None  # half a landing waits, and nothing is stored
+    assert land([(1, 1, 2, "Z", 1, "h", "t"), (2, 5, 1, "Z", 0, "h", "t")]) == [(1, "A", "active", "t"), (1, "Z", "active", "t"), (2, "Z", "active", "t")]
+    ids = {(r["library_id"], r["item_key"]): r["id"] for r in s.read("source").collect()}
+    assert sorted(ids.values()) == [1, 2, 3]
+    # two landings of one library at once: the newest counts; half of a third one waits
+    rows = [(1, 2, 1, "B", 0, "h", "old"), (1, 3, 1, "A", 0, "h", "new"), (1, 4, 2, "C", 0, "h", "t")]
+    assert land(rows) == [(1, "A", "active", "new"), (1, "Z", "retired", "t"), (2, "Z", "active", "t")]
+    assert land([(1, 4, 2, "A", 1, "h", "t4")]) == [(1, "A", "active", "t4"), (1, "C", "active", "t"), (1, "Z", "retired", "t"), (2, "Z", "active", "t")]
+    assert {(r["library_id"], r["item_key"]): r["id"] for r in s.read("source").collect()} == ids | {(1, "C"): 4} and s.read("landed").count() == 0
