@@ -8,10 +8,12 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant import reports
 from foliant.functions import records
 from foliant.functions import text as T
-from foliant.operators import drift, findings, resolve, review, snapshot, spans, wording
+from foliant.operators import doctor, drift, findings, resolve, review, snapshot, spans, sync, wording
 from foliant.plans.domain import NOW, sql_of, view
+from foliant.store import STAMP, moment
 from foliant.workers import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -549,3 +551,162 @@ def import_classify(spark, sf_dir):
     q, d = view(spark, sf_dir, "quote"), read(spark, sf_dir, "documents").select("doc_id", "text")
     j = q.join(d, "doc_id", "left").select("quote_id", F.contains("text", F.col("quote")).alias("found"), F.col("text").isNotNull().alias("has"), (F.col("quote_id") % 2 == 0).alias("known"))
     return j.select("quote_id", F.when(~F.col("has"), "source_missing").when(F.col("found"), F.when(F.col("known"), "known").otherwise("new_anchored")).otherwise(F.when(F.col("known"), "known_lost").otherwise("new_unanchored")).alias("outcome"))
+
+
+# a sync of five libraries, of which one does not answer
+
+KEPT_SETS = "('c0', 1), ('c9', 2)"
+NEW_SETS = "('c0'), ('c1'), ('c2')"
+
+
+def synced(spark, sf_dir) -> dict[str, DataFrame]:
+    library = view(spark, sf_dir, "library").select("library_id", "name")
+    stored, empty = view(spark, sf_dir, "stored"), lambda t: spark.createDataFrame([], sync.TABLES[t])
+    tables = {
+        "source": stored,
+        "collection": spark.sql(f"SELECT l.id AS library_id, k AS collection_key, l.id * 10 + n AS id, k AS name, CAST(NULL AS STRING) AS parent_key FROM range(5) l CROSS JOIN VALUES {KEPT_SETS} AS t(k, n)"),
+        "source_collection": stored.select(F.col("id").alias("source_id"), (F.col("library_id") * 10 + 1 + F.col("id") % 2).alias("collection_id")),
+        "source_tag": stored.select(F.col("id").alias("source_id"), F.lit("old").alias("tag")),
+        "attachment": view(spark, sf_dir, "old_attachment").withColumn("status", F.lit("active")),
+        "sync_run": snapshot.begin_runs(empty("sync_run"), library, F.lit("before")),
+        "review": empty("review"),
+    }
+    answers = F.col("library_id") != 3
+    kind = F.when(F.col("position") % 9 == 0, "note").otherwise("book")
+    items = view(spark, sf_dir, "fetched").filter(answers).select("library_id", "item_key", kind.alias("item_type"), "position", "data_hash", "title", F.array(F.concat(F.lit("t"), (F.col("position") % 3).cast("string"))).alias("tags"), F.array(F.concat(F.lit("c"), (F.col("position") % 4).cast("string")), F.lit("none")).alias("collections"))
+    sets = spark.sql(f"SELECT l.id AS library_id, k AS collection_key, 'Set ' || k AS name, CAST(NULL AS STRING) AS parent_key FROM range(5) l CROSS JOIN VALUES {NEW_SETS} AS t(k)").filter(answers)
+    fetched = sync.Fetched(items, sets, view(spark, sf_dir, "new_attachment").filter(answers))
+    failures = spark.createDataFrame([(3, "timeout")], "library_id long, error string")
+    return sync.synced(tables, fetched, library, failures, F.lit("now"), ["title"])
+
+
+SYNC = f"""{with_views('stored', 'fetched', 'new_attachment', 'library')}, f AS (SELECT * FROM fetched WHERE library_id <> 3 AND position % 9 <> 0),
+j AS (SELECT coalesce(o.library_id, n.library_id) AS library_id, coalesce(o.item_key, n.item_key) AS item_key, o.id, o.status, o.data_hash AS old_hash, n.data_hash AS new_hash, n.position, n.item_key IS NOT NULL AS seen FROM stored o FULL JOIN f n ON o.library_id = n.library_id AND o.item_key = n.item_key),
+ids AS (SELECT *, coalesce(id, (SELECT max(id) FROM stored) + row_number() OVER (PARTITION BY id IS NULL ORDER BY library_id, position, item_key)) AS new_id FROM j)"""
+
+
+@query(f"""{SYNC}, c AS (SELECT library_id, count(*) FILTER (id IS NULL) AS n_new, count(*) FILTER (seen AND old_hash <> new_hash) AS n_changed, count(*) FILTER (NOT seen AND status <> 'retired') AS n_retired, count(*) FILTER (seen AND status = 'retired') AS n_reactivated FROM j WHERE library_id <> 3 GROUP BY library_id)
+SELECT l.library_id + 1 AS id, l.library_id, CASE WHEN l.library_id = 3 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN l.library_id = 3 THEN 'timeout' END AS error, 'before' AS started_at, 'now' AS finished_at,
+ {', '.join(f'coalesce(c.{x}, 0) AS {x}' for x in sync.COUNTERS[:4])}, (SELECT count(*) FROM new_attachment a WHERE a.library_id = l.library_id AND l.library_id <> 3) AS n_attachments, (SELECT count(*) FROM fetched x WHERE x.library_id = l.library_id AND l.library_id <> 3 AND x.position % 9 = 0) AS n_skipped
+FROM library l LEFT JOIN c ON c.library_id = l.library_id""")
+def sync_runs(spark, sf_dir):
+    return synced(spark, sf_dir)["sync_run"]
+
+
+@query(f"{SYNC} SELECT library_id, item_key, new_id AS id, CASE WHEN seen THEN 'active' WHEN library_id = 3 THEN status ELSE 'retired' END AS status FROM ids")
+def sync_sources(spark, sf_dir):
+    return synced(spark, sf_dir)["source"].select("library_id", "item_key", "id", "status")
+
+
+@query(f"""{SYNC} SELECT 'source_retired' AS kind, 'source_retired:' || l.name || ':' || j.item_key AS dedupe_key, l.name || ':' || j.item_key || ' vanished from its library; look at what builds on it' AS message, CAST(to_json({{'library': l.name, 'item_key': j.item_key}}) AS VARCHAR) AS details, j.id AS position, 'now' AS created_at, CAST(NULL AS VARCHAR) AS resolved_at
+FROM j JOIN library l ON l.library_id = j.library_id WHERE NOT seen AND status <> 'retired' AND j.library_id <> 3""")
+def sync_review(spark, sf_dir):
+    return synced(spark, sf_dir)["review"]
+
+
+@query(f"""{SYNC}, sets AS (SELECT l.library_id, k, n FROM library l, (VALUES ('c0', 1), ('c1', NULL), ('c2', NULL)) t(k, n) WHERE l.library_id <> 3),
+numbered AS (SELECT library_id, k, coalesce(library_id * 10 + n, 42 + row_number() OVER (PARTITION BY n IS NULL ORDER BY library_id, k)) AS id FROM sets)
+SELECT i.new_id AS source_id, s.id AS collection_id FROM ids i JOIN numbered s ON s.library_id = i.library_id AND s.k = 'c' || i.position % 4 WHERE i.seen
+UNION ALL SELECT id, library_id * 10 + 1 + id % 2 FROM j WHERE NOT seen AND (library_id = 3 OR id % 2 = 0)""")
+def sync_memberships(spark, sf_dir):
+    return synced(spark, sf_dir)["source_collection"]
+
+
+@query(f"{SYNC} SELECT new_id AS source_id, CASE WHEN seen THEN 't' || position % 3 ELSE 'old' END AS tag FROM ids")
+def sync_tags(spark, sf_dir):
+    return synced(spark, sf_dir)["source_tag"]
+
+
+def logged(spark, sf_dir) -> DataFrame:
+    """The run log, of which every tenth run has not ended."""
+    r = view(spark, sf_dir, "sync_run").withColumn("started_at", F.col("finished_at"))
+    return r.withColumn("status", F.when(F.col("id") % 10 == 0, "running").otherwise(F.col("status")))
+
+
+@query(f"{with_views('sync_run')} SELECT id, library_id FROM sync_run WHERE id % 10 = 0 AND epoch({NOW}) - floor(epoch(finished_at)) > 86400")
+def stale_runs(spark, sf_dir):
+    return snapshot.stale_runs(logged(spark, sf_dir), now(), 86400).select("id", "library_id")
+
+
+@query(f"{with_views('sync_run')} SELECT id, CASE WHEN id = 10 THEN 'failed' WHEN id % 10 = 0 THEN 'running' ELSE status END AS status, CASE WHEN id = 10 THEN 'broke off' ELSE error END AS error FROM sync_run")
+def finished_run(spark, sf_dir):
+    return snapshot.finish_run(logged(spark, sf_dir), 10, "failed", "broke off", now()).select("id", "status", "error")
+
+
+@query(f"{with_views('sync_run')} SELECT id, strftime(finished_at, '%Y-%m-%dT%H:%M:%SZ') AS moment, strftime(finished_at, '%Y%m%dT%H%M%SZ') AS stamp FROM sync_run")
+def run_moments(spark, sf_dir):
+    at = F.col("finished_at")
+    return view(spark, sf_dir, "sync_run").select("id", moment(at).alias("moment"), moment(at, STAMP).alias("stamp"))
+
+
+# a project looked at as a whole, and reports
+
+
+def examined(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    files = view(spark, sf_dir, "attachment")
+    queue = view(spark, sf_dir, "queue")
+    subject = doctor.Subject(view(spark, sf_dir, "library"), view(spark, sf_dir, "source"), view(spark, sf_dir, "sync_run"), files, queue, files.filter("id % 3 <> 0").select("path"), "store", 4, "no answer")
+    entries = view(spark, sf_dir, "entry").withColumn("error", F.lit(None).cast("string"))
+    broken = spark.createDataFrame([(None, None, None, None, 0, "no key at 17")], entries.schema)
+    return doctor.examine(subject, now(), doctor.Project("essay", order_of(spark), entries.union(broken)))
+
+
+EXAMINED = f"""{FINDINGS}, examined AS (SELECT * FROM findings WHERE code <> 'review_open' UNION ALL SELECT * FROM (VALUES (0, 'info', 'store', 'store holds schema 4'), (1, 'warning', 'remote_unreachable', 'no answer: results are as of the latest sync'), (8, 'info', 'project', 'project essay cites from 6 libraries'), (11, 'error', 'citation_file', 'no citations could be read: no key at 17')) t(ord, severity, code, message)
+UNION ALL SELECT 14, 'warning', 'review_open', ((SELECT count(*) FROM queue WHERE resolved_at IS NULL) + (SELECT count(*) FROM conflicts)) || ' items await review')"""
+
+
+@query(f"{EXAMINED} SELECT * FROM examined")
+def doctor_findings(spark, sf_dir):
+    return examined(spark, sf_dir)[0]
+
+
+@query(f"""{RANKED}, {CONFLICTS} SELECT 'key_conflict:essay:' || citation_key AS dedupe_key, citation_key || ' stands for ' || members || ' sources that are not one work' AS message, CAST(to_json({{'key': citation_key, 'sources': members}}) AS VARCHAR) AS details FROM conflicts""")
+def conflict_items(spark, sf_dir):
+    return examined(spark, sf_dir)[1].filter("kind = 'key_conflict'").select("dedupe_key", "message", "details")
+
+
+@query(f"{EXAMINED} SELECT ord, rpad(severity, 8, ' ') || message AS line FROM examined")
+def report_text(spark, sf_dir):
+    return reports.text_lines(doctor_findings(spark, sf_dir))
+
+
+@query(f"{EXAMINED} SELECT CAST(to_json({{'ord': ord, 'severity': severity, 'code': code, 'message': message}}) AS VARCHAR) AS line FROM examined")
+def report_json(spark, sf_dir):
+    return reports.json_lines(doctor_findings(spark, sf_dir))
+
+
+BACKENDS = ["a", "b", "c"]
+
+
+def benchmarked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    results = view(spark, sf_dir, "extraction").withColumn("error", F.when(F.col("doc_id") % 50 == 7, "unreadable"))
+    return wording.benchmark(read(spark, sf_dir, "documents"), BACKENDS, results, expected(spark, sf_dir))
+
+
+BENCHMARK = f"""WITH {SCORED}, pairs AS (SELECT d.doc_id, b.backend, b.position FROM documents d, (VALUES ('a', 1), ('b', 2), ('c', 3)) b(backend, position)),
+details AS (SELECT p.doc_id, p.backend, CASE WHEN s.doc_id IS NULL THEN 'no result' ELSE s.error END AS error, {', '.join(f'CASE WHEN s.error IS NULL THEN s.{c} END AS {c}' for c in wording.SUMMED)}, CASE WHEN s.error IS NULL THEN s.n_missing END AS n_missing, p.position FROM pairs p LEFT JOIN s ON s.doc_id = p.doc_id AND s.backend = p.backend)"""
+
+
+@query(f"{BENCHMARK} SELECT backend, {', '.join(f'CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}' for c in wording.SUMMED)}, count(*) FILTER (n_missing > 0) AS docs_missing_chars, count(error) AS errors, min(position) AS position FROM details GROUP BY backend")
+def benchmark_totals(spark, sf_dir):
+    return benchmarked(spark, sf_dir)[1]
+
+
+@query(f"""{BENCHMARK}, t AS (SELECT backend, CAST(sum(sentences_found) AS BIGINT) AS sentences_found, count(error) AS errors FROM details GROUP BY backend)
+SELECT '| ' || backend || ' | ' || coalesce(CAST(sentences_found AS VARCHAR), '0') || ' | ' || errors || ' |' AS line FROM t UNION ALL SELECT '| backend | sentences_found | errors |' UNION ALL SELECT '| - | - | - |'""")
+def benchmark_markdown(spark, sf_dir):
+    return reports.markdown_lines(benchmark_totals(spark, sf_dir).select("backend", "sentences_found", "errors"), ["backend"]).select("line")
+
+
+@query(f"""{with_views('quote')}, q AS (SELECT quote_id, doc_id, quote, CASE WHEN quote_id % 2 = 0 THEN '. ' ELSE '' END AS before FROM quote UNION ALL SELECT 100000 + doc_id, doc_id, split_part(text, ' ', 2), split_part(text, ' ', 1) || ' ' FROM documents WHERE split_part(text, ' ', 2) <> ''),
+j AS (SELECT q.*, d.text, string_split(d.text, q.quote) AS parts FROM q JOIN documents d ON d.doc_id = q.doc_id WHERE contains(d.text, q.quote)),
+p AS (SELECT *, [CAST(list_sum([length(x) for x in parts[1:i]]) + (i - 1) * length(quote) AS BIGINT) for i in range(1, len(parts))] AS places FROM j)
+SELECT quote_id, doc_id, 'exact' AS state, CAST(coalesce(list_filter(places, lambda i: ends_with(rtrim(substr(text, 1, i)), rtrim(before)))[1], places[1]) AS INT) AS position, CAST(len(places) AS INT) AS n_places FROM p
+UNION ALL SELECT quote_id, doc_id, 'normalized', CAST(strpos({norm('text')}, {norm('quote')}) - 1 AS INT), CAST(len(string_split({norm('text')}, {norm('quote')})) - 1 AS INT) FROM q JOIN documents d USING (doc_id) WHERE NOT contains(text, quote) AND contains({norm('text')}, {norm('quote')})""")
+def quote_places(spark, sf_dir):
+    """Quotes of the benchmark, and the second word of every document after its first."""
+    q, d = view(spark, sf_dir, "quote"), read(spark, sf_dir, "documents")
+    word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
+    asked = q.select("quote_id", "doc_id", "quote", F.when(F.col("quote_id") % 2 == 0, ". ").otherwise("").alias("before"))
+    asked = asked.union(d.select(F.col("doc_id") + 100000, "doc_id", word(2), F.concat(word(1), F.lit(" "))))
+    return wording.anchor_places(d, asked.filter("quote <> ''"))
