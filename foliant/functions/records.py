@@ -22,10 +22,10 @@ COLLECTION = "key string, name string, parentCollection string"
 GROUP = "id string, name string"
 
 
-def parsed(raw: DataFrame, column: str, data: str) -> DataFrame:
-    """Records as ``r``, their data as ``d``: each text is parsed once, and its data once more."""
-    rows = raw.select(F.from_json(F.col(column), RECORD).alias("r"))
-    return rows.select("r", F.from_json(F.col("r.data"), data).alias("d"))
+def parsed(raw: DataFrame, column: str, data: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records as ``r``, their data as ``d``: each text is parsed once, and its data once more; keep: other columns."""
+    rows = raw.select(*keep, F.from_json(F.col(column), RECORD).alias("r"))
+    return rows.select(*keep, "r", F.from_json(F.col("r.data"), data).alias("d"))
 
 
 def text_at(name: str) -> Column:
@@ -33,12 +33,13 @@ def text_at(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def items(raw: DataFrame, column: str = "value") -> DataFrame:
+def items(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Sources of item records; a record without ``data`` or key is an error in the column ``error``."""
     tags = F.filter(F.transform("d.tags", lambda t: t["tag"]), lambda t: t.isNotNull())
     lists = F.filter("d.collections", lambda c: c.isNotNull())
     none = F.array().cast("array<string>")
-    return parsed(raw, column, ITEM).select(
+    return parsed(raw, column, ITEM, keep).select(
+        *keep,
         trimmed(F.col("d.key")).alias("item_key"),
         text_at("d.itemType").alias("item_type"),
         trimmed(F.col("d.citationKey")).alias("citation_key"),

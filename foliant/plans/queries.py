@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliant import reports
 from foliant.functions import records
 from foliant.functions import text as T
-from foliant.operators import doctor, drift, findings, resolve, review, snapshot, spans, sync, wording
+from foliant.operators import doctor, drift, findings, resolve, review, snapshot, spans, sync, texts, wording
 from foliant.plans.domain import NOW, sql_of, view
 from foliant.store import STAMP, moment
 from foliant.workers import importable
@@ -710,3 +710,77 @@ def quote_places(spark, sf_dir):
     asked = q.select("quote_id", "doc_id", "quote", F.when(F.col("quote_id") % 2 == 0, ". ").otherwise("").alias("before"))
     asked = asked.union(d.select(F.col("doc_id") + 100000, "doc_id", word(2), F.concat(word(1), F.lit(" "))))
     return wording.anchor_places(d, asked.filter("quote <> ''"))
+
+
+# pages, corrections, search and chapters
+
+
+def paged(spark, sf_dir) -> DataFrame:
+    """The documents, each line a page."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    return d.select("doc_id", "page", F.concat(F.lit("p. "), (F.col("page") + 1).cast("string")).alias("label"), "text")
+
+
+@query(f"""WITH q AS (SELECT doc_id AS quote_id, doc_id, {norm("split_part(text, chr(10), 2)")} AS w, CASE WHEN doc_id % 3 = 0 THEN 'p. 2' WHEN doc_id % 3 = 1 THEN 'p. 1' END AS hint FROM documents),
+p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents),
+h AS (SELECT q.quote_id, min(CASE WHEN 'p. ' || (p.page + 1) = q.hint THEN 0 ELSE 1000000 END + p.page) AS best FROM q JOIN p ON p.doc_id = q.doc_id AND q.w <> '' AND contains({norm('p.t')}, q.w) GROUP BY q.quote_id)
+SELECT q.quote_id, CASE WHEN h.best IS NULL THEN 'not_found' WHEN h.best >= 1000000 AND q.hint IS NOT NULL THEN 'found_elsewhere' ELSE 'found' END AS state, CAST(h.best % 1000000 AS INT) AS page FROM q LEFT JOIN h ON h.quote_id = q.quote_id""")
+def quotes_verified(spark, sf_dir):
+    hint = F.when(F.col("doc_id") % 3 == 0, "p. 2").when(F.col("doc_id") % 3 == 1, "p. 1")
+    quotes = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("quote_id"), "doc_id", F.split_part("text", F.lit("\n"), F.lit(2)).alias("quote"), hint.alias("hint"))
+    return texts.verified(paged(spark, sf_dir), quotes)
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents),
+f AS (SELECT doc_id, CAST(page AS INT) AS page, (doc_id + page) % 4 = 0 OR trim(t) = '' AS bad_a, (doc_id + page) % 8 = 0 OR trim(t) = '' AS bad_b, trim(t) = '' AS blank FROM p)
+SELECT doc_id, page, CASE WHEN bad_a AND NOT bad_b THEN 'b' WHEN bad_a AND NOT blank AND bad_b THEN 'b' ELSE 'a' END AS backend, bad_a AND bad_b AS suspicious FROM f""")
+def page_cascade(spark, sf_dir):
+    """Of every page an extraction with two marks of unknown characters here and there, and one with a single one."""
+    p, n = paged(spark, sf_dir), F.col("doc_id") + F.col("page")
+    some = F.trim("text") != ""
+    a = p.select("doc_id", "page", F.lit("a").alias("backend"), F.lit(0).alias("position"), F.when((n % 4 == 0) & some, F.concat("text", F.lit(" (cid:7) (cid:9)"))).otherwise(F.col("text")).alias("text"))
+    b = p.select("doc_id", "page", F.lit("b"), F.lit(1), F.when((n % 8 == 0) & some, F.concat("text", F.lit(" (cid:7)"))).otherwise(F.col("text")))
+    return texts.cascade(a.union(b)).drop("text")
+
+
+@query("""WITH a AS (SELECT doc_id, text, contains(text, ' the ') AS one FROM documents), b AS (SELECT *, replace(text, ' the ', ' THE ') AS t1 FROM a),
+c AS (SELECT *, contains(t1, 'THE a') AS two, replace(t1, 'THE a', 'an') AS t2 FROM b)
+SELECT doc_id, sha256(t2) AS hash, CASE WHEN one THEN 'reapplied' WHEN contains(text, ' THE ') THEN 'obsolete' ELSE 'review' END AS first, CASE WHEN two THEN 'reapplied' WHEN contains(t1, 'an') THEN 'obsolete' ELSE 'review' END AS second FROM c""")
+def text_patches(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = spark.sql("SELECT * FROM VALUES (CAST(1 AS BIGINT), ' the ', ' THE '), (2, 'THE a', 'an') AS t(patch_id, find, put)")
+    done = texts.patched(d, d.select("doc_id").join(F.broadcast(rows)))
+    outcome = lambda n: F.get("outcomes", F.lit(n))["outcome"]
+    return done.select("doc_id", F.sha2("text", 256).alias("hash"), outcome(0).alias("first"), outcome(1).alias("second"))
+
+
+ASKED = "(1, 'the license'), (2, 'de la maison'), (3, 'Privacy policy of the'), (4, 'zzzz')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, [x for x in regexp_split_to_array({norm('text')}, '[^\p{{L}}\p{{N}}]+') if x <> ''] AS words FROM documents), about AS (SELECT count(*) AS docs, avg(len(words)) AS mean FROM w),
+asked AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(text), ' ')) AS word FROM (VALUES {ASKED}) t(query_id, text)),
+tokens AS (SELECT doc_id, len(words) AS size, unnest(words) AS word FROM w), n AS (SELECT word, doc_id, size, count(*) AS n FROM tokens GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM n GROUP BY word),
+s AS (SELECT a.query_id, n.doc_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * n * 2.2::DOUBLE / (n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 9) AS score FROM asked a JOIN n ON n.word = a.word JOIN df ON df.word = a.word, about GROUP BY a.query_id, n.doc_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s QUALIFY rank <= 10""")
+def text_search(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return texts.search(texts.text_index(d), d, values(spark, ASKED, "query_id, text"))
+
+
+def written_papers(spark, sf_dir) -> DataFrame:
+    """Every document as a paper: a chapter, a section in it, the text, another chapter, and citations in each."""
+    k = (F.col("doc_id") % 50).cast("string")
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("= One\nsee @k"), k, F.lit("\n== Part\n@k"), k, F.lit(" and @k"), k, F.lit("\n"), F.translate("text", "=@", ""), F.lit("\n= Two\n@z")).alias("text"))
+
+
+@query("""WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) + 4 AS two FROM documents)
+SELECT doc_id, 0::BIGINT AS line, 1 AS level, 'One' AS title, CAST(NULL AS BIGINT) AS parent FROM l UNION ALL SELECT doc_id, 2, 2, 'Part', 0 FROM l UNION ALL SELECT doc_id, two, 1, 'Two', NULL FROM l""")
+def chapter_tree(spark, sf_dir):
+    return texts.chapters(written_papers(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) + 4 AS BIGINT) AS two FROM documents)
+SELECT 'k' || doc_id % 50 AS key, doc_id, 0::BIGINT AS chapter, 1::BIGINT AS n FROM l UNION ALL SELECT 'k' || doc_id % 50, doc_id, 2, 2 FROM l UNION ALL SELECT 'z', doc_id, two, 1 FROM l""")
+def citation_usage(spark, sf_dir):
+    d = written_papers(spark, sf_dir)
+    return texts.citations(d, T.marker_hits(d))

@@ -53,6 +53,53 @@ def test_pages(spark, server, total):
         spark.read.format("paged_json").option("url", f"{server}/other").load().count()
 
 
+class Library(http.server.BaseHTTPRequestHandler):
+    """A user's library, one group that answers, and one that does not."""
+
+    data = {"itemType": "book", "title": "T", "date": "2001", "tags": [{"tag": "x"}], "collections": ["C"]}
+    paths = {
+        "/users/0/groups": [{"id": 9, "data": {"name": "Nine"}}, {"id": 4, "data": {"name": "Four"}}],
+        "/users/0/items/top": [{"key": "A", "library": {"name": "Me"}, "data": {"key": "A", "version": 3} | data}, {"key": "N", "data": {"key": "N", "itemType": "note"}}],
+        "/users/0/collections": [{"key": "C", "data": {"key": "C", "name": "c", "parentCollection": False}}],
+        "/users/0/items": [{"key": "P", "data": {"key": "P", "itemType": "attachment", "parentItem": "A", "contentType": "application/pdf"}, "links": {"enclosure": {"href": "file:///a%20b.pdf"}}}, {"key": "H", "data": {"key": "H", "itemType": "attachment", "contentType": "text/html"}}],
+        "/groups/4/items/top": [{"key": "G", "data": {"key": "G"} | data}],
+        "/groups/4/collections": [],
+        "/groups/4/items": [],
+    }
+
+    def do_GET(self):
+        path = urllib.parse.urlparse(self.path).path
+        if path not in self.paths:
+            self.send_error(503)
+            return
+        self.send_response(200)
+        self.send_header("Total-Results", str(len(self.paths[path])))
+        self.end_headers()
+        self.wfile.write(json.dumps(self.paths[path]).encode())
+
+    def log_message(self, *a):
+        pass
+
+
+def test_sync_over_http(spark, tmp_path):
+    from foliant.operators.sync import sync_all
+    from foliant.sources import library
+
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Library)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    base, own = f"http://127.0.0.1:{s.server_port}", store.Store(spark, f"file://{tmp_path}/s")
+    found = library.groups(spark, base)
+    assert found == [(4, "Four"), (9, "Nine")]
+    places = {0: ("user", 0)} | {n: ("group", n) for n, _ in found}
+    runs = sync_all(own, [(0, "user"), *((n, f"group:{n}") for n, _ in found)], lambda n: library.fetch(own, base, n, *places[n]), "now", ["title", "citation_key", "doi"]).orderBy("id").collect()
+    s.shutdown()
+    assert [(r["library_id"], r["status"], r["n_new"], r["n_attachments"], r["n_skipped"]) for r in runs] == [(0, "ok", 1, 1, 1), (4, "ok", 1, 0, 0), (9, "failed", 0, 0, 0)] and "503" in runs[2]["error"]
+    assert sorted((r["library_id"], r["item_key"], r["title"]) for r in own.read("source").collect()) == [(0, "A", "T"), (4, "G", "T")]
+    assert [r["path"] for r in own.read("attachment").collect()] == ["/a b.pdf"] and own.read("source_tag").count() == 2 and own.read("source_collection").count() == 1
+    with pytest.raises(library.BadRecord):
+        library.checked(spark.createDataFrame([("item without key",)], "error string"))
+
+
 BOOKS = """@string{ann = "Annals"}
 @article{dwork2006, title = {Calibrating {Noise} to
   Sensitivity}, year = 2006, doi = {10.1/x}, journal = ann # " of X"}
