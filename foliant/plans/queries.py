@@ -545,12 +545,19 @@ def reference_counts(spark, sf_dir):
     return T.marker_hits(marked(spark, sf_dir)).groupBy("key").agg(F.count("*").alias("n_places"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@query(f"{with_views('quote')}, s AS (SELECT q.quote_id, contains(d.text, q.quote) AS found, d.doc_id IS NOT NULL AS known FROM quote q LEFT JOIN documents d ON d.doc_id = q.doc_id) SELECT quote_id, CASE WHEN NOT known THEN 'source_missing' WHEN found AND quote_id % 2 = 0 THEN 'known' WHEN found THEN 'new_anchored' WHEN quote_id % 2 = 0 THEN 'known_lost' ELSE 'new_unanchored' END AS outcome FROM s")
+def partly_read(spark, sf_dir) -> DataFrame:
+    """The documents, some of which have no text, and some of which are not there."""
+    d = read(spark, sf_dir, "documents").filter("doc_id % 31 <> 3")
+    return d.select("doc_id", F.when(F.col("doc_id") % 29 != 5, F.col("text")).alias("text"))
+
+
+@query(f"""{with_views('quote')}, d AS (SELECT doc_id, CASE WHEN doc_id % 29 <> 5 THEN text END AS text FROM documents WHERE doc_id % 31 <> 3),
+j AS (SELECT q.quote_id, q.quote, d.doc_id AS there, d.text, {norm('q.quote')} AS qn, {norm('d.text')} AS tn FROM quote q LEFT JOIN d ON d.doc_id = q.doc_id),
+s AS (SELECT *, CASE WHEN contains(text, quote) THEN len(string_split(text, quote)) - 1 WHEN contains(tn, qn) THEN len(string_split(tn, qn)) - 1 END AS places,
+ len([i for i in range(1, greatest(len(string_split(tn, ' ')) - len(string_split(qn, ' ')) + 1, 1) + 1) if levenshtein(array_to_string(string_split(tn, ' ')[i:i + len(string_split(qn, ' ')) - 1], ' '), qn) <= ceil(length(qn) * 0.05)]) > 0 AS near FROM j)
+SELECT quote_id, CASE WHEN there IS NULL THEN 'source_missing' WHEN coalesce(trim(text), '') = '' THEN 'unanchored' WHEN places > 1 THEN 'ambiguous' WHEN places = 1 OR near THEN 'verified' WHEN quote_id % 2 = 0 THEN 'confirmed_by_hand' ELSE 'review' END AS outcome FROM s""")
 def import_classify(spark, sf_dir):
-    """Quotes for import by whether their source is there, whether they are known already, and whether they are found."""
-    q, d = view(spark, sf_dir, "quote"), read(spark, sf_dir, "documents").select("doc_id", "text")
-    j = q.join(d, "doc_id", "left").select("quote_id", F.contains("text", F.col("quote")).alias("found"), F.col("text").isNotNull().alias("has"), (F.col("quote_id") % 2 == 0).alias("known"))
-    return j.select("quote_id", F.when(~F.col("has"), "source_missing").when(F.col("found"), F.when(F.col("known"), "known").otherwise("new_anchored")).otherwise(F.when(F.col("known"), "known_lost").otherwise("new_unanchored")).alias("outcome"))
+    return texts.imports(partly_read(spark, sf_dir), view(spark, sf_dir, "quote").withColumn("validated", F.col("quote_id") % 2 == 0))
 
 
 # a sync of five libraries, of which one does not answer
@@ -757,7 +764,7 @@ def text_patches(spark, sf_dir):
 ASKED = "(1, 'the license'), (2, 'de la maison'), (3, 'Privacy policy of the'), (4, 'zzzz')"
 
 
-@query(f"""WITH w AS (SELECT doc_id, [x for x in regexp_split_to_array({norm('text')}, '[^\p{{L}}\p{{N}}]+') if x <> ''] AS words FROM documents), about AS (SELECT count(*) AS docs, avg(len(words)) AS mean FROM w),
+@query(f"""WITH w AS (SELECT doc_id, [x for x in regexp_split_to_array({norm('text')}, '[^\\p{{L}}\\p{{N}}]+') if x <> ''] AS words FROM documents), about AS (SELECT count(*) AS docs, avg(len(words)) AS mean FROM w),
 asked AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(text), ' ')) AS word FROM (VALUES {ASKED}) t(query_id, text)),
 tokens AS (SELECT doc_id, len(words) AS size, unnest(words) AS word FROM w), n AS (SELECT word, doc_id, size, count(*) AS n FROM tokens GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM n GROUP BY word),
 s AS (SELECT a.query_id, n.doc_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * n * 2.2::DOUBLE / (n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 9) AS score FROM asked a JOIN n ON n.word = a.word JOIN df ON df.word = a.word, about GROUP BY a.query_id, n.doc_id)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import subprocess
 import tempfile
 import tomllib
+import urllib.request
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -165,6 +167,24 @@ def data_dir(env: dict[str, str] | None = None, own: str = "FOLIANT_DATA_DIR", n
     raise ValueError("no data folder: neither a home nor a data folder is set")
 
 
+def download(wanted: DataFrame, seconds: int = 60) -> DataFrame:
+    """id, content, hash (SHA-256) and error of files (id, url), fetched by the tasks; a failure is a row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, url in zip(batch["id"], batch["url"]):
+                try:
+                    with urllib.request.urlopen(url, timeout=seconds) as answer:
+                        content = answer.read()
+                    row = (name, content, hashlib.sha256(content).hexdigest(), None)
+                except (OSError, ValueError) as e:
+                    row = (name, None, None, f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([row], columns=["id", "content", "hash", "error"])  # one file at a time in memory
+
+    importable(wanted.sparkSession)
+    return wanted.select("id", "url").mapInPandas(run, "id string, content binary, hash string, error string")
+
+
 def corpus(spark: SparkSession, text: str) -> DataFrame:
     """Expectations (doc_id, sentences, before, chars) of a corpus description in TOML."""
     rows = []

@@ -1,3 +1,4 @@
+import hashlib
 import http.server
 import json
 import threading
@@ -53,6 +54,18 @@ def test_pages(spark, server, total):
         spark.read.format("paged_json").option("url", f"{server}/other").load().count()
 
 
+def test_download_and_lock(spark, server):
+    url = f"{server}/items?limit=2"
+    wanted = spark.createDataFrame([("a", url), ("b", f"{server}/none"), ("c", "nonsense"), ("d", url)], "id string, url string")
+    got = {r["id"]: r for r in files.download(wanted).collect()}
+    body = json.dumps(Fake.rows[:2]).encode()
+    assert bytes(got["a"]["content"]) == body and got["a"]["hash"] == hashlib.sha256(body).hexdigest()
+    assert "404" in got["b"]["error"] and got["c"]["error"].startswith("ValueError") and got["b"]["content"] is None
+    locked = spark.createDataFrame([("a", got["a"]["hash"]), ("d", "other")], "id string, hash string")
+    fetched = files.download(wanted).filter("error is null").select("id", "hash")
+    assert sorted(map(tuple, store.lock_status(locked, fetched).collect())) == [("a", "match"), ("d", "mismatch")]
+
+
 class Library(http.server.BaseHTTPRequestHandler):
     """A user's library, one group that answers, and one that does not."""
 
