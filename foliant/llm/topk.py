@@ -282,9 +282,9 @@ def top_k(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def impacts_of(vector: Column, scale: int = 64) -> Column:
     """Integer impacts floor(scale * x) of a dense vector, in doubles, which hold them exactly; null where it has a null
-    or non-finite component."""
-    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    or non-finite component, or one whose product with the scale is no double any more (beyond 1e306)."""
     x = lambda v: v.cast("double") * scale
+    whole = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(x(v)) < float("inf")))
     # beyond 2 ** 52 a double is whole, and floor() would leave the range of a long
     each = F.transform(vector, lambda v: F.when(F.abs(x(v)) < float(1 << 52), F.floor(x(v)).cast("double")).otherwise(x(v)))
     return F.when(whole, each)

@@ -54,7 +54,7 @@ FLOOR = 3.0
 BACKOFF = 0.2
 MATTERS = 1e-6
 #: Distinct pairs that a task adds up before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 MEMBER = np.zeros(256, bool)
 MEMBER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 

@@ -181,6 +181,13 @@ def test_packing_limits(spark, encoder, documents):
     check_pieces(rows, encoder, documents, lim)
 
 
+def test_packing_with_clashing_names(spark):
+    rows = [(n, "some words " * (n % 7), n, n, "x", n) for n in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length int, offset int, prompt string, sequence_id int").coalesce(2)
+    got, want = ([tuple(r) for r in pack(d, tokenizer_path()).collect()] for d in (docs, docs.select("doc_id", "text")))
+    assert sorted(got) == sorted(want) and len({r[6] for r in got}) >= 2
+
+
 def test_each_limit_binds(spark, encoder):
     """Instructions with long prompts, long answers, and many short ones: each limit is what ends some sequence."""
     rng = np.random.default_rng(8)
