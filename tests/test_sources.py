@@ -1,6 +1,8 @@
+import contextlib
 import hashlib
 import http.server
 import json
+import sqlite3
 import threading
 import urllib.parse
 
@@ -66,6 +68,17 @@ def test_download_and_lock(spark, server):
     assert sorted(map(tuple, store.lock_status(locked, fetched).collect())) == [("a", "match"), ("d", "mismatch")]
 
 
+def test_sqlite_copy(spark, tmp_path):
+    path = tmp_path / "lib.sqlite"
+    with contextlib.closing(sqlite3.connect(path)) as con:
+        con.execute("CREATE TABLE item (key TEXT, year INTEGER)")
+        con.executemany("INSERT INTO item VALUES (?, ?)", [(f"K{n}", n if n % 3 else None) for n in range(25)])
+        con.commit()
+        con.execute("BEGIN EXCLUSIVE")  # its own program holds it
+        rows = files.read_sqlite(spark, str(path), "SELECT key, year FROM item WHERE key <> 'K1'", "key string, year long", batch=7).collect()
+    assert sorted((r["key"], r["year"]) for r in rows) == sorted((f"K{n}", n if n % 3 else None) for n in range(25) if n != 1)
+
+
 class Library(http.server.BaseHTTPRequestHandler):
     """A user's library, one group that answers, and one that does not."""
 
