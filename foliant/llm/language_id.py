@@ -225,14 +225,19 @@ def identify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def keep_known(docs: DataFrame, s: Settings = Settings(), margin: float = MARGIN) -> DataFrame:
     """The documents, with all their columns, in a language the model knows: not ``und``, and scored better than a guess
-    among the learned languages by the margin (a share of the guess); a single learned language is never a guess."""
+    among the learned languages by the margin (a share of the guess); a single learned language is never a guess, and with
+    nothing to learn from all texts with a letter stay."""
     model = fit(docs.filter(fold_of() != 0), s)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     least = (1 + margin) / len(model.langs) if len(model.langs) > 1 else 0.0
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = shared.value.predict(batch.column("text"))
-            yield batch.filter(pa.array([x != UNKNOWN and p >= least for x, p in zip(lang, score)], pa.bool_()))
+            if shared.value.langs:
+                lang, score = shared.value.predict(batch.column("text"))
+                stays = [x != UNKNOWN and p >= least for x, p in zip(lang, score)]
+            else:
+                stays = [f is not None for f in features(batch.column("text"))]
+            yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(lean(keep), docs.schema)

@@ -450,13 +450,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row per document."""
-    return classified(docs, k, percent).drop("th")
+    return classified(docs, k, percent, Scratch(docs.sparkSession)).drop("th")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """The documents that near_duplicates() keeps, with all their columns; of rows with equal id and text, the one whose
     columns have the least hash."""
-    found = written(classified(docs, k, percent), "found")
+    held = Scratch(docs.sparkSession)
+    found = written(classified(docs, k, percent, held), "found")
+    held.drop()
     name = unused("key", docs.columns)
     key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"))
     of = F.struct(F.col("doc_id").alias("i"), F.col("th").alias("t")).alias(name)
@@ -473,11 +475,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     return best.join(again, name, "left_anti").select(*columns).union(twice.select("row.*"))
 
 
-def classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """near_duplicates() with a hash of each text, th."""
+def classified(docs: DataFrame, k: int, percent: int, result: Scratch) -> DataFrame:
+    """near_duplicates() with a hash of each text, th; what it reads stays in result, which the caller may drop."""
     spark = docs.sparkSession
     ship(spark)
-    scratch, result = Scratch(spark), Scratch(spark)
+    scratch = Scratch(spark)
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     seen = result(docs.mapInArrow(lean(describer(k)), "doc_id long, th long, fp binary, n long, sketch binary"), "described")
     full = seen.filter("n > 0")

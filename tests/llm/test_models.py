@@ -45,6 +45,7 @@ def test_language_without_anything(spark, texts):
     assert language_id.identify(none).count() == 0
     mute = texts.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.identify(mute).collect()} == {"und"}
+    assert language_id.keep_known(mute).count() == texts.count() - 3  # what has a letter
 
 
 def plain_buckets(text):
