@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,20 +19,27 @@ def whole_landings(rows: DataFrame) -> DataFrame:
     return counts.groupBy("library_id").agg(F.max("landing").alias("landing"))
 
 
+def last_of(rows: DataFrame) -> DataFrame:
+    """Of each item of a library, the row with the last position."""
+    last = F.row_number().over(Window.partitionBy("library_id", "item_key").orderBy(F.col("position").desc()))
+    return rows.withColumn("_r", last).filter("_r = 1").drop("_r")
+
+
 def sync_stream(landed: DataFrame, store: Store, checkpoint: str, fields: list[str]) -> StreamingQuery:
     """Bring the sources up to date with landed snapshots (library_id, landing, n_rows, item_key, position, data_hash,
     fields).
 
-    A landing is a whole snapshot of a library, in n_rows rows that may come in several batches. Rows wait in the store
-    until their landing is whole; of several whole ones of a library the newest counts, and older rows are dropped. A
-    batch that is repeated after a failure changes nothing more. Without a stored table all sources are new.
+    A landing is a whole snapshot of a library, in n_rows rows (each at a position of its own) that may come in several
+    batches. Rows wait in the store until their landing is whole; of several whole ones of a library the newest counts,
+    and older rows are dropped. Of rows with one item key the last position counts. A batch that is repeated after a
+    failure changes nothing more. Without a stored table all sources are new.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
         waiting = store.read("landed")
-        rows = (batch if waiting is None else waiting.unionByName(batch)).dropDuplicates([*LANDING, "item_key"])
+        rows = (batch if waiting is None else waiting.unionByName(batch)).dropDuplicates([*LANDING, "position"])
         newest = whole_landings(rows)
-        ready = rows.join(newest, LANDING, "left_semi").drop("landing", "n_rows")
+        ready = last_of(rows.join(newest, LANDING, "left_semi").drop("landing", "n_rows"))
         done = newest.withColumnRenamed("landing", "done")
         tables = {"landed": rows.join(done, "library_id", "left").filter("done is null or landing > done").drop("done")}
         if not newest.isEmpty():

@@ -241,5 +241,7 @@ def test_stream(spark, tmp_path):
     # two landings of one library at once: the newest counts; half of a third one waits
     rows = [(1, 2, 1, "B", 0, "h", "old"), (1, 3, 1, "A", 0, "h", "new"), (1, 4, 2, "C", 0, "h", "t")]
     assert land(rows) == [(1, "A", "active", "new"), (1, "Z", "retired", "t"), (2, "Z", "active", "t")]
-    assert land([(1, 4, 2, "A", 1, "h", "t4")]) == [(1, "A", "active", "t4"), (1, "C", "active", "t"), (1, "Z", "retired", "t"), (2, "Z", "active", "t")]
+    assert land([(1, 4, 2, "A", 1, "h", "t4"), (3, 1, 2, "D", 0, "h", "one"), (3, 1, 2, "D", 1, "h", "two")])[-1] == (3, "D", "active", "two")
+    s.write("source", s.read("source").filter("library_id < 3"))
+    assert sorted((r["library_id"], r["item_key"], r["status"], r["title"]) for r in s.read("source").collect()) == [(1, "A", "active", "t4"), (1, "C", "active", "t"), (1, "Z", "retired", "t"), (2, "Z", "active", "t")]
     assert {(r["library_id"], r["item_key"]): r["id"] for r in s.read("source").collect()} == ids | {(1, "C"): 4} and s.read("landed").count() == 0
