@@ -44,15 +44,20 @@ def ship(spark: SparkSession) -> None:
 KEPT: dict[str, Callable[[], None]] = {}
 
 
+def let_go(keeps: str | None) -> None:
+    """Drop what this worker keeps for others. (A function of the module, as closures are sent with copies of globals.)"""
+    for owner, drop in list(KEPT.items()):
+        if owner != keeps:
+            drop()
+
+
 def lean(f, keeps: str | None = None):
     """A function of batches that gives freed memory back when its task ends, as the worker lives on; what other
     operators have kept in this worker goes before it begins."""
 
     @wraps(f)
     def run(batches):
-        for owner, drop in list(KEPT.items()):
-            if owner != keeps:
-                drop()
+        let_go(keeps)
         try:
             yield from f(batches)
         finally:
