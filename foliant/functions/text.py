@@ -123,9 +123,14 @@ def comparison_form(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(plain), f"{SPACE_CLASS}+", " "))
 
 
+#: What only ``normalize`` treats exactly: beyond ASCII, Latin-1 letters and signs that stay, and the stand-ins. ASCII is
+#: ruled out first, as it is most of a text.
+SPECIAL = r"[[^\x00-\x7F]&&[^\xA1-\xA7\xA9\xAB\xAC\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\xFF\x{2010}\x{2012}-\x{2014}\x{2018}-\x{201F}]]"
+
+
 def needs_full_rules(raw: Column) -> Column:
-    """Whether a text may hold anything that only ``normalize`` treats exactly: beyond Latin-1 letters and the stand-ins."""
-    return raw.rlike("[^\\x00-\\x7F\\xA1-\\xA7\\xA9\\xAB\\xAC\\xAE\\xB0\\xB1\\xB6\\xB7\\xBB\\xBF-\\xFF\\x{2010}-\\x{2014}\\x{2018}-\\x{201F}]|\\x{2011}")
+    """Whether a text may hold anything that only ``normalize`` treats exactly; a text of single bytes holds nothing."""
+    return (F.octet_length(raw) != F.length(raw)) & raw.rlike(SPECIAL)
 
 
 def compared(raw: Column) -> Column:
