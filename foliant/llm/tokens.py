@@ -17,7 +17,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from foliant.llm.shared import KEPT as KEPT_HERE
 from foliant.llm.shared import chunks, utf8
 
 #: Distinct pre-tokens that are kept; beyond it the table starts anew, which costs time and changes no id.
@@ -314,7 +313,6 @@ _held: dict[tuple[str, int], Encoder] = {}
 
 def encoder_of(path: str, end_id: int = 0) -> Encoder:
     """This worker's encoder: one is kept between tasks, so that what a task has learned serves the next."""
-    KEPT_HERE[__name__] = _held.clear
     if (path, end_id) not in _held:
         _held.clear()
         _held[path, end_id] = Encoder(path, end_id)

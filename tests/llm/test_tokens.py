@@ -80,19 +80,6 @@ def test_many_words():
     assert e.table.n > 40_000
 
 
-def test_what_a_worker_keeps_goes_before_others_begin(monkeypatch):
-    """Also in a function that was sent to a worker, which has copies of what it refers to."""
-    from pyspark import cloudpickle
-
-    from foliant.llm import shared
-
-    dropped = []
-    monkeypatch.setattr(shared, "KEPT", {"tokens": lambda: dropped.append(1)})
-    for keeps, want in (("tokens", 0), (None, 1)):
-        sent = cloudpickle.loads(cloudpickle.dumps(shared.lean(lambda batches: (x for x in batches), keeps)))
-        assert list(sent(iter([1, 2]))) == [1, 2] and len(dropped) == want
-
-
 def test_other_rules(tmp_path):
     """A file with another pre-tokenizer goes to the library."""
     from tokenizers import Tokenizer
