@@ -93,11 +93,17 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.vector_codes import code_digest
+
+    return code_digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from foliant.llm import licenses, mixing, near_dup, topk, url_filter
+    from foliant.llm import licenses, mixing, near_dup, topk, url_filter, vector_codes
 
-    return {"op1_url_filter": url_filter.oracle(), "op3_mixing": mixing.oracle(), "op5_near_dup": near_dup.oracle(), "op8_top_k": topk.oracle(), "op9_licenses": licenses.oracle()}
+    return {"op1_url_filter": url_filter.oracle(), "op3_mixing": mixing.oracle(), "op5_near_dup": near_dup.oracle(), "op8_top_k": topk.oracle(), "op9_licenses": licenses.oracle(), "op13_vector_codes": vector_codes.oracle()}
