@@ -9,8 +9,9 @@ is taken whose union with the piece before it, merged anew, falls apart into jus
 last piece is taken back, its end marked in a bitfield of places that no encoding passes, and the next shorter one
 tried. As a place is marked once, the work is linear in the text.
 
-Where no piece has the space sign after another character, no merge crosses the start of a run of spaces; the text is cut
-there, and each distinct unit (a run of spaces with what follows) is encoded once and kept in a table of bounded size.
+Where no piece has the space sign after another character, no merge crosses the start of a run of spaces, and none a
+border of two characters that stand together in no piece. Texts are cut there, and each distinct unit (mostly a word with
+the space before it) is encoded once and kept in a table of bounded size.
 Characters without a piece become byte pieces (or the unknown piece, if the model has none).
 
 No shuffle; a task holds one Arrow batch, and of a text without spaces two bytes a piece besides. Edge cases: null and
@@ -39,13 +40,14 @@ from foliant.llm.shared import lean, ship
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Units and pairs that are kept; beyond it the tables start anew, which costs time and changes no id.
-KEPT = 200_000
+#: Units of a generation and pairs that are kept; beyond it the tables start anew, which costs time and changes no id.
+KEPT = 400_000
 #: Longer units are encoded anew each time.
 LONGEST = 64
+#: With more pairs of a word character and another in pieces, texts are not cut between these.
+GLUED = 40
 #: Characters of a unit whose matches are held together.
 WINDOW = 4096
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 # A byte that is no part of a character becomes a character of its own.
 codecs.register_error("one-by-one", lambda e: ("\ufffd", e.start + 1))
 
@@ -101,6 +103,24 @@ class Model:
             raise ValueError("only BPE models are known here that neither change characters nor drop white space, without pieces of a user's own")
 
 
+class Units(dict):
+    """Ids of units as bytes of 32-bit integers, made when they are first asked for. Two generations are kept: what is
+    not asked for while a new one fills up goes with the old one."""
+
+    def __init__(self, encode: Callable[[str], array]):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        got = self.older.get(unit) or self.encode(unit).tobytes()
+        if len(unit) <= LONGEST:
+            if len(self) >= KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[unit] = got
+        return got
+
+
 class PieceCodec:
     """Encoder and decoder of one model."""
 
@@ -111,13 +131,13 @@ class PieceCodec:
         self.id_of_byte = {int(p[1:-1], 16): i for i, p in enumerate(m.pieces) if m.kinds[i] == BYTE}
         self.byte_of_id = {i: b for b, i in self.id_of_byte.items()}
         self.widest = max(map(len, self.ids), default=1)
-        #: Where no piece has a space sign behind another character, texts can be cut before runs of them.
-        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.unit_pattern = self.units_between(p for p in self.ids if len(p) > 1)
         self.matcher = ahocorasick.Automaton()
         for p in self.ids:
-            self.matcher.add_word(p, len(p))
+            if len(p) > 1:
+                self.matcher.add_word(p, p)
         self.matcher.make_automaton()
-        self.units: dict[str, bytes] = {}
+        self.units = Units(self.encode_unit)
         self.fits: dict[tuple[str, str], bool] = {}
         # Of each id the bytes it decodes to; what says more than that (unknown, control) is left to decode().
         surfaces = [bytes([self.byte_of_id[i]]) if i in self.byte_of_id else p.replace(SPACE, " ").encode() if m.kinds[i] == NORMAL else b"" for i, p in enumerate(m.pieces)]
@@ -127,6 +147,24 @@ class PieceCodec:
         self.plain = np.array([k in (NORMAL, BYTE) for k in m.kinds])
         self.spaced = np.array([m.kinds[i] == NORMAL and p.startswith(SPACE) for i, p in enumerate(m.pieces)])
 
+    def units_between(self, pieces: Iterable[str]) -> re.Pattern | None:
+        """What texts can be cut into, as no piece reaches over the cuts: before runs of space signs, around characters
+        that no longer piece has, and between a word character and another. None if pieces do reach over these."""
+        pairs, joined = set(), set()
+        for p in pieces:
+            pairs.update(zip(p, p[1:]))
+            joined.update(p)
+        joined.discard(SPACE)
+        words, others = ("".join(map(re.escape, sorted(c for c in joined if c.isalnum() == w))) for w in (True, False))
+        if not words or not others or any(b == SPACE != a for a, b in pairs) or not self.model.fallback:
+            return None
+        # The few pairs of a word character and another that a piece has hold their unit together.
+        glued = sorted((a, b) for a, b in pairs if a.isalnum() and not b.isalnum())
+        if len(glued) > GLUED:
+            return re.compile(f"{SPACE}+[{words}{others}]*|[{words}{others}]+|[^{SPACE}]", re.DOTALL)
+        more = f"(?:(?:{'|'.join(f'(?<={re.escape(a)}){re.escape(b)}' for a, b in glued)})[{others}]*[{words}]*)*" if glued else ""
+        return re.compile(f"{SPACE}+[{others}]*[{words}]*{more}|[{others}]+[{words}]*{more}|[{words}]+{more}|[^{SPACE}]", re.DOTALL)
+
     def merged(self, text: str) -> list[str]:
         """The merges themselves, for the short texts of two neighbours."""
         parts, scores, ids = list(text), self.model.scores, self.ids
@@ -149,19 +187,20 @@ class PieceCodec:
             got = self.fits[before, this] = self.merged(before + this) == ([before, this] if before else [this])
         return got
 
-    def lengths(self, text: str) -> Callable[[int], list[int]]:
-        """Of a place: how long the pieces are that start there, and one for the character itself, shortest first."""
-        held: dict[int, list[list[int]]] = {}
+    def starting(self, text: str) -> Callable[[int], list[str]]:
+        """Of a place: the pieces that start there, the character itself first, then longer ones."""
+        held: dict[int, list[list[str]]] = {}
 
-        def window(k: int) -> list[list[int]]:
+        def window(k: int) -> list[list[str]]:
             lo = k * WINDOW
-            own: list[list[int]] = [[1] for _ in range(min(WINDOW, len(text) - lo))]
-            for end, size in self.matcher.iter(text[lo : lo + WINDOW + self.widest - 1]):
-                if size > 1 and (at := end + 1 - size) < len(own):
-                    own[at].append(size)
+            own = [[c] for c in text[lo : lo + WINDOW]]
+            n = len(own)
+            for end, piece in self.matcher.iter(text[lo : lo + WINDOW + self.widest - 1]):
+                if (at := end + 1 - len(piece)) < n:
+                    own[at].append(piece)
             return own
 
-        def at(place: int) -> list[int]:
+        def at(place: int) -> list[str]:
             k = place // WINDOW
             if k not in held:
                 if len(held) > 3:
@@ -169,35 +208,36 @@ class PieceCodec:
                 held[k] = window(k)
             return held[k][place % WINDOW]
 
-        return at
+        return window(0).__getitem__ if len(text) <= WINDOW else at
 
     def encode_unit(self, unit: str) -> array:
         """Ids of a text in which spaces are space signs."""
-        n, at, most, starting = len(unit), 0, self.widest, self.lengths(unit)
+        n, at, most, before, starting, fits = len(unit), 0, self.widest, "", self.starting(unit), self.fits
         failed = bytearray(n // 8 + 1)
-        sizes = array("H")
+        stack: list[str] = []
         while at < n:
-            before = unit[at - sizes[-1] : at] if sizes else ""
-            for size in reversed(starting(at)):
+            for this in reversed(starting(at)):
+                size = len(this)
                 end = at + size
-                if size <= most and not failed[end >> 3] >> (end & 7) & 1 and self.compatible(before, unit[at:end]):
-                    sizes.append(size)
-                    at, most = end, self.widest
-                    break
+                if size <= most and not failed[end >> 3] >> (end & 7) & 1:
+                    fit = fits.get((before, this))
+                    if fit or fit is None and self.compatible(before, this):
+                        stack.append(this)
+                        at, most, before = end, self.widest, this
+                        break
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                size = sizes.pop()
-                at, most = at - size, size - 1
-        out, at = array("i"), 0
-        for size in sizes:
-            i = self.ids.get(unit[at : at + size])
+                size = len(stack.pop())
+                at, most, before = at - size, size - 1, stack[-1] if stack else ""
+        out, get = array("i"), self.ids.get
+        for this in stack:
+            i = get(this)
             if i is not None:
                 out.append(i)
             elif self.model.fallback:
-                out.extend(self.id_of_byte[b] for b in unit[at : at + size].encode("utf-8"))
+                out.extend(self.id_of_byte[b] for b in this.encode("utf-8"))
             elif not out or out[-1] != self.unknown:  # neighbours that are unknown are one
                 out.append(self.unknown)
-            at += size
         return out
 
     def units_of(self, text: str) -> list[str]:
@@ -205,22 +245,12 @@ class PieceCodec:
         if not text:
             return []
         text = (SPACE if self.model.prefix else "") + text.replace(" ", SPACE)
-        return UNIT.findall(text) if self.cuts and self.model.fallback else [text]
-
-    def unit(self, text: str) -> bytes:
-        """Ids of a unit, as bytes of 32-bit integers."""
-        got = self.units.get(text)
-        if got is None:
-            got = self.encode_unit(text).tobytes()
-            if len(text) <= LONGEST:
-                if len(self.units) >= KEPT:
-                    self.units.clear()
-                self.units[text] = got
-        return got
+        return self.unit_pattern.findall(text) if self.unit_pattern else [text]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text, as bytes of 32-bit integers."""
-        return b"".join(map(self.unit, self.units_of(text or "")))
+        known = self.units
+        return b"".join([known[u] for u in self.units_of(text or "")])
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: a first space sign goes, byte pieces become characters, and bytes that are none U+FFFD."""

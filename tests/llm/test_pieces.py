@@ -36,7 +36,7 @@ def ids(codec, text):
 def test_odd_texts(codec, library):
     assert [ids(codec, t) for t in ODD] == [library.encode(t) for t in ODD]
     assert [codec.decode(ids(codec, t)) for t in ODD] == [library.decode(library.encode(t)) for t in ODD]
-    assert codec.cuts and codec.model.prefix and codec.model.fallback
+    assert codec.unit_pattern and codec.model.prefix and codec.model.fallback
 
 
 ANY = st.one_of(st.text(alphabet="ab \nthe▁ingrstion.,", max_size=60), st.text(max_size=30), st.text(alphabet="aAlLrReEtT", max_size=80))
@@ -69,7 +69,7 @@ def test_merges_in_any_order():
         codec.model.scores = [float(rng.randrange(12)) for _ in own]
         codec.matcher = pieces.ahocorasick.Automaton()
         for p in own:
-            codec.matcher.add_word(p, len(p))
+            codec.matcher.add_word(p, p)
         codec.matcher.make_automaton()
         codec.fits.clear()
         for _ in range(30):
@@ -95,6 +95,18 @@ def test_other_models_are_refused(tmp_path):
         PieceCodec(str(tmp_path / "m"))
 
 
+def test_units(codec, monkeypatch):
+    """Cuts stand where no piece reaches over them, and only there where a vocabulary allows it."""
+    text = "naïve words, (so)\n12 x.y  \t%%% 日本"
+    units = codec.units_of(text)
+    assert "".join(units) == "▁" + text.replace(" ", "▁") and "▁words" in units and "\n" in units
+    assert codec.units_between(["ab", "a.", ".,"]).findall("▁▁ab.a.,ba,b\n") == ["▁▁ab", ".a.,ba", ",b", "\n"]
+    assert codec.units_between(["ab", ".a"]).findall("▁ab.a..") == ["▁ab", ".a", ".."]
+    assert codec.units_between(["ab", ".a", "a▁"]) is None
+    monkeypatch.setattr(pieces, "GLUED", 0)
+    assert codec.units_between(["ab", "a.", ".,"]).findall("▁▁ab.a.,ba,b\n") == ["▁▁ab.a.,ba,b", "\n"]
+
+
 def test_query(spark, documents, nothing, library):
     rows = documents.select("doc_id", "text").collect()
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
