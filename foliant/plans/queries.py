@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliant import reports
 from foliant.functions import records
 from foliant.functions import text as T
-from foliant.operators import doctor, drift, findings, resolve, review, snapshot, spans, sync, texts, wording
+from foliant.operators import doctor, drift, findings, places, resolve, review, snapshot, spans, sync, texts, wording
 from foliant.plans.domain import NOW, sql_of, view
 from foliant.store import STAMP, moment
 from foliant.workers import importable
@@ -124,9 +124,26 @@ def decision_rule(spark, sf_dir):
     return wording.decision(wording.totals(scored(spark, sf_dir)), "a", ["b"])
 
 
-@query(f"""{with_views('quote')}, j AS (SELECT q.quote_id, q.doc_id, q.quote, d.text, {norm('q.quote')} AS qn, {norm('d.text')} AS tn FROM quote q LEFT JOIN documents d ON d.doc_id = q.doc_id)
-SELECT quote_id, doc_id, CASE WHEN contains(text, quote) THEN 'exact' WHEN contains(tn, qn) AND qn <> '' THEN 'normalized'
- WHEN len([i for i in range(1, greatest(len(string_split(tn, ' ')) - len(string_split(qn, ' ')) + 1, 1) + 1) if levenshtein(array_to_string(string_split(tn, ' ')[i:i + len(string_split(qn, ' ')) - 1], ' '), qn) <= ceil(length(qn) * 0.05)]) > 0 THEN 'fuzzy' ELSE 'unanchored' END AS state FROM j""")
+#: Places (from 0) of a piece in a text, none overlapping the one before.
+def duck_places(text: str, piece: str) -> str:
+    return f"[CAST(coalesce(list_sum([length(x) for x in string_split({text}, {piece})[1:i]]), 0) + (i - 1) * length({piece}) AS BIGINT) for i in range(1, len(string_split({text}, {piece})))]"
+
+
+def near(asked: str) -> str:
+    """Nearest windows of the quotes of a table (quote_id, qn, tn), tried one by one: start, end and distance. DuckDB's
+    distances are of bytes, so letters beyond ASCII are stood in for by single bytes."""
+    flat = lambda x: f"translate({x}, 'ßäçèéêíñóöü', '\x01\x02\x03\x04\x05\x06\x0e\x0f\x10\x11\x12')"
+    return f"""asked_ AS MATERIALIZED (SELECT quote_id, {flat('qn')} AS qn, {flat('tn')} AS tn, CAST(ceil(length(qn) * 0.05) AS BIGINT) AS most, length(qn) - length(replace(qn, ' ', '')) + 1 AS n FROM {asked} WHERE qn <> ''),
+words_ AS (SELECT quote_id, unnest(string_split(tn, ' ')) AS word, generate_subscripts(string_split(tn, ' '), 1) AS i FROM asked_),
+placed_ AS MATERIALIZED (SELECT quote_id, i, sum(length(word) + 1) OVER (PARTITION BY quote_id ORDER BY i) - 1 AS b, sum(length(word) + 1) OVER (PARTITION BY quote_id ORDER BY i) - 1 - length(word) AS a FROM words_),
+tries_ AS (SELECT quote_id, tn, qn, most, x.a, x.i + t.n - 1 AS last FROM asked_ JOIN placed_ x USING (quote_id), unnest(range(greatest(1, asked_.n - most), asked_.n + most + 1)) AS t(n)),
+windows_ AS (SELECT quote_id, CAST(t.a AS BIGINT) AS a, substr(tn, CAST(t.a AS BIGINT) + 1, CAST(y.b - t.a AS BIGINT)) AS w, qn, most FROM tries_ t JOIN placed_ y USING (quote_id) WHERE y.i = t.last AND abs(y.b - t.a - length(qn)) <= most),
+near_ AS (SELECT quote_id, a, a + length(w) AS b, CAST(levenshtein(w, qn) AS INT) AS d FROM windows_ WHERE levenshtein(w, qn) <= most),
+near AS (SELECT * FROM near_ QUALIFY d = min(d) OVER (PARTITION BY quote_id))"""
+
+
+@query(f"""{with_views('quote')}, j AS (SELECT q.quote_id, q.doc_id, q.quote, d.text, {norm('q.quote')} AS qn, {norm('d.text')} AS tn FROM quote q LEFT JOIN documents d ON d.doc_id = q.doc_id), {near('j')}
+SELECT quote_id, doc_id, CASE WHEN contains(text, quote) THEN 'exact' WHEN contains(tn, qn) AND qn <> '' THEN 'normalized' WHEN quote_id IN (SELECT quote_id FROM near) THEN 'fuzzy' ELSE 'unanchored' END AS state FROM j""")
 def anchor_states(spark, sf_dir):
     return wording.anchors(read(spark, sf_dir, "documents"), view(spark, sf_dir, "quote"))
 
@@ -552,10 +569,9 @@ def partly_read(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""{with_views('quote')}, d AS (SELECT doc_id, CASE WHEN doc_id % 29 <> 5 THEN text END AS text FROM documents WHERE doc_id % 31 <> 3),
-j AS (SELECT q.quote_id, q.quote, d.doc_id AS there, d.text, {norm('q.quote')} AS qn, {norm('d.text')} AS tn FROM quote q LEFT JOIN d ON d.doc_id = q.doc_id),
-s AS (SELECT *, CASE WHEN contains(text, quote) THEN len(string_split(text, quote)) - 1 WHEN contains(tn, qn) THEN len(string_split(tn, qn)) - 1 END AS places,
- len([i for i in range(1, greatest(len(string_split(tn, ' ')) - len(string_split(qn, ' ')) + 1, 1) + 1) if levenshtein(array_to_string(string_split(tn, ' ')[i:i + len(string_split(qn, ' ')) - 1], ' '), qn) <= ceil(length(qn) * 0.05)]) > 0 AS near FROM j)
-SELECT quote_id, CASE WHEN there IS NULL THEN 'source_missing' WHEN coalesce(trim(text), '') = '' THEN 'unanchored' WHEN places > 1 THEN 'ambiguous' WHEN places = 1 OR near THEN 'verified' WHEN quote_id % 2 = 0 THEN 'confirmed_by_hand' ELSE 'review' END AS outcome FROM s""")
+j AS (SELECT q.quote_id, q.quote, d.doc_id AS there, d.text, {norm('q.quote')} AS qn, {norm('d.text')} AS tn FROM quote q LEFT JOIN d ON d.doc_id = q.doc_id), {near('j')}, n AS (SELECT quote_id, count(*) AS windows FROM near GROUP BY quote_id),
+s AS (SELECT j.*, CASE WHEN contains(text, quote) THEN len(string_split(text, quote)) - 1 WHEN contains(tn, qn) THEN len(string_split(tn, qn)) - 1 ELSE windows END AS places FROM j LEFT JOIN n USING (quote_id))
+SELECT quote_id, CASE WHEN there IS NULL THEN 'source_missing' WHEN coalesce(trim(text), '') = '' THEN 'unanchored' WHEN places > 1 THEN 'ambiguous' WHEN places = 1 THEN 'verified' WHEN quote_id % 2 = 0 THEN 'confirmed_by_hand' ELSE 'review' END AS outcome FROM s""")
 def import_classify(spark, sf_dir):
     return texts.imports(partly_read(spark, sf_dir), view(spark, sf_dir, "quote").withColumn("validated", F.col("quote_id") % 2 == 0))
 
@@ -705,18 +721,53 @@ def benchmark_markdown(spark, sf_dir):
     return reports.markdown_lines(benchmark_totals(spark, sf_dir).select("backend", "sentences_found", "errors"), ["backend"]).select("line")
 
 
-@query(f"""{with_views('quote')}, q AS (SELECT quote_id, doc_id, quote, CASE WHEN quote_id % 2 = 0 THEN '. ' ELSE '' END AS before FROM quote UNION ALL SELECT 100000 + doc_id, doc_id, split_part(text, ' ', 2), split_part(text, ' ', 1) || ' ' FROM documents WHERE split_part(text, ' ', 2) <> ''),
-j AS (SELECT q.*, d.text, string_split(d.text, q.quote) AS parts FROM q JOIN documents d ON d.doc_id = q.doc_id WHERE contains(d.text, q.quote)),
-p AS (SELECT *, [CAST(list_sum([length(x) for x in parts[1:i]]) + (i - 1) * length(quote) AS BIGINT) for i in range(1, len(parts))] AS places FROM j)
-SELECT quote_id, doc_id, 'exact' AS state, CAST(coalesce(list_filter(places, lambda i: ends_with(rtrim(substr(text, 1, i)), rtrim(before)))[1], places[1]) AS INT) AS position, CAST(len(places) AS INT) AS n_places FROM p
-UNION ALL SELECT quote_id, doc_id, 'normalized', CAST(strpos({norm('text')}, {norm('quote')}) - 1 AS INT), CAST(len(string_split({norm('text')}, {norm('quote')})) - 1 AS INT) FROM q JOIN documents d USING (doc_id) WHERE NOT contains(text, quote) AND contains({norm('text')}, {norm('quote')})""")
+#: A text's first hundred characters, of which one became two others.
+MISQUOTED = "substr(text, 1, 7) || 'zq' || substr(text, 9, 92)"
+
+
+@query(f"""{with_views('quote')}, q AS (SELECT quote_id, doc_id, quote, CASE WHEN quote_id % 2 = 0 THEN '. ' ELSE '' END AS before FROM quote UNION ALL SELECT 100000 + doc_id, doc_id, split_part(text, ' ', 2), split_part(text, ' ', 1) || ' ' FROM documents WHERE split_part(text, ' ', 2) <> ''
+UNION ALL SELECT 10000000 + doc_id, doc_id, {MISQUOTED}, '' FROM documents),
+j AS (SELECT q.*, d.text, {norm('q.quote')} AS qn, {norm('d.text')} AS tn, rtrim({norm('before')}) AS bn FROM q JOIN documents d ON d.doc_id = q.doc_id WHERE d.text <> ''),
+rest AS (SELECT * FROM j WHERE NOT contains(text, quote) AND NOT contains(tn, qn)), {near('rest')},
+p AS (SELECT quote_id, 'exact' AS state, 0 AS errors, unnest({duck_places('text', 'quote')}) AS a, CAST(NULL AS BIGINT) AS b FROM j WHERE contains(text, quote) UNION ALL SELECT quote_id, 'normalized', 0, unnest({duck_places('tn', 'qn')}), NULL FROM j WHERE NOT contains(text, quote) AND contains(tn, qn) AND qn <> '' UNION ALL SELECT quote_id, 'fuzzy', d, a, b FROM near),
+f AS (SELECT j.quote_id, doc_id, state, errors, a, coalesce(b, a + length(CASE state WHEN 'exact' THEN quote ELSE qn END)) AS b, CASE state WHEN 'exact' THEN ends_with(rtrim(substr(text, 1, a)), rtrim(before)) ELSE ends_with(rtrim(substr(tn, 1, a)), bn) END AS fits, count(*) OVER (PARTITION BY quote_id) AS n_places FROM p JOIN j USING (quote_id))
+SELECT quote_id, doc_id, state, CAST(errors AS INT) AS errors, CAST(a AS BIGINT) AS position, CAST(b AS BIGINT) AS "end", n_places FROM f QUALIFY row_number() OVER (PARTITION BY quote_id ORDER BY fits DESC, a, b) = 1""")
 def quote_places(spark, sf_dir):
-    """Quotes of the benchmark, and the second word of every document after its first."""
+    """Quotes of the benchmark, the second word of every document after its first, and every document's beginning misquoted."""
     q, d = view(spark, sf_dir, "quote"), read(spark, sf_dir, "documents")
     word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
     asked = q.select("quote_id", "doc_id", "quote", F.when(F.col("quote_id") % 2 == 0, ". ").otherwise("").alias("before"))
     asked = asked.union(d.select(F.col("doc_id") + 100000, "doc_id", word(2), F.concat(word(1), F.lit(" "))))
-    return wording.anchor_places(d, asked.filter("quote <> ''"))
+    asked = asked.union(d.select(F.col("doc_id") + 10000000, "doc_id", F.expr(MISQUOTED), F.lit("")))
+    return wording.anchor_places(d, asked.filter("quote <> ''")).drop("raw_start", "raw_end")
+
+
+#: Text as a typesetter may leave it: wider spaces, dashes, quotation marks, hyphens at line ends.
+TYPESET = "replace(replace(replace(text, ', ', ' –  '), ' de ', ' “d-' || chr(10) || ' e” '), 'en ', 'e-' || chr(10) || 'n ')"
+
+
+def typeset(x: str) -> str:
+    return TYPESET.replace("text", x, 1)
+
+
+def set_form(x: str) -> str:
+    """DuckDB's comparison form of typeset text."""
+    return f"trim(regexp_replace(regexp_replace(translate(lower({x}), '–“”', '-\"\"'), '([a-z])-\\s*\\n\\s*', '\\1', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH l AS (SELECT doc_id, split_part(text, chr(10), 1) AS one, split_part(text, chr(10), 2) AS two, text FROM documents),
+t AS (SELECT doc_id, {typeset('one')} AS one, {typeset('two')} AS two, {typeset('text')} AS text FROM l WHERE trim(two) <> ''),
+n AS (SELECT *, {set_form('two')} AS form, strpos({set_form('text')}, {set_form('two')}) - 1 AS position FROM t)
+SELECT doc_id, CAST(position AS BIGINT) AS position, CAST(strlen(one) + 1 + strlen(two) - strlen(ltrim(two)) AS BIGINT) AS raw_start, CAST(strlen(one) + 1 + strlen(rtrim(two)) AS BIGINT) AS raw_end, sha256(trim(two)) AS raw FROM n WHERE position = length({set_form('one')}) + 1""")
+def raw_ranges(spark, sf_dir):
+    """Where the comparison form of every document's second line stands in the typeset document, in bytes."""
+    d = read(spark, sf_dir, "documents")
+    line = lambda k: T.compared(F.expr(typeset(f"split_part(text, '\n', {k})")))
+    docs = d.select("doc_id", F.expr(TYPESET).alias("text"))
+    lines = d.filter("trim(split_part(text, '\n', 2)) <> ''").select("doc_id", line(1).alias("one"), line(2).alias("two"), T.compared(F.expr(TYPESET)).alias("whole"))
+    hits = lines.select("doc_id", (F.call_function("instr", "whole", "two") - 1).cast("long").alias("position"), F.length("two").cast("long").alias("size"), "one")
+    hits = hits.filter(F.col("position") == F.length("one") + 1).drop("one")  # of lines that come again the first place may be another's
+    return places.raw_ranges(hits, docs).select("doc_id", "position", "raw_start", "raw_end", F.sha2("raw", 256).alias("raw"))
 
 
 # pages, corrections, search and chapters
@@ -728,13 +779,33 @@ def paged(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", "page", F.concat(F.lit("p. "), (F.col("page") + 1).cast("string")).alias("label"), "text")
 
 
-@query(f"""WITH q AS (SELECT doc_id AS quote_id, doc_id, {norm("split_part(text, chr(10), 2)")} AS w, CASE WHEN doc_id % 3 = 0 THEN 'p. 2' WHEN doc_id % 3 = 1 THEN 'p. 1' END AS hint FROM documents),
-p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents),
-h AS (SELECT q.quote_id, min(CASE WHEN 'p. ' || (p.page + 1) = q.hint THEN 0 ELSE 1000000 END + p.page) AS best FROM q JOIN p ON p.doc_id = q.doc_id AND q.w <> '' AND contains({norm('p.t')}, q.w) GROUP BY q.quote_id)
-SELECT q.quote_id, CASE WHEN h.best IS NULL THEN 'not_found' WHEN h.best >= 1000000 AND q.hint IS NOT NULL THEN 'found_elsewhere' ELSE 'found' END AS state, CAST(h.best % 1000000 AS INT) AS page FROM q LEFT JOIN h ON h.quote_id = q.quote_id""")
+def verified_sql(quotes: str) -> str:
+    """Quotes (quote_id, doc_id, w, hint) found in whole documents; pages by where their comparison forms begin there."""
+    return f"""q AS ({quotes}), d AS (SELECT doc_id, {norm('text')} AS t FROM documents),
+p AS (SELECT doc_id, page, {norm('x')} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents)),
+s AS (SELECT doc_id, page, length(t) AS size, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY page) - length(t) - 1 AS a FROM p WHERE t <> ''),
+h AS (SELECT q.quote_id, q.doc_id, q.hint, length(q.w) AS size, unnest({duck_places('d.t', 'q.w')}) AS a FROM q JOIN d USING (doc_id) WHERE q.w <> ''),
+f AS (SELECT h.quote_id, h.hint, h.a, min(s.page) AS first, max(s.page) AS last FROM h JOIN s ON s.doc_id = h.doc_id AND s.a < h.a + h.size AND s.a + s.size > h.a GROUP BY ALL),
+best AS (SELECT *, coalesce(hint IN ['p. ' || (x + 1) for x in range(first, last + 1)], false) AS named FROM f QUALIFY row_number() OVER (PARTITION BY quote_id ORDER BY coalesce(hint IN ['p. ' || (x + 1) for x in range(first, last + 1)], false) DESC, first, a) = 1)
+SELECT q.quote_id, CASE WHEN b.first IS NULL THEN 'not_found' WHEN NOT b.named AND q.hint IS NOT NULL THEN 'found_elsewhere' ELSE 'found' END AS state, CAST(b.first AS INT) AS page, CAST(b.last AS INT) AS last_page FROM q LEFT JOIN best b USING (quote_id)"""
+
+
+HINT = "CASE WHEN doc_id % 3 = 0 THEN 'p. 2' WHEN doc_id % 3 = 1 THEN 'p. 1' END"
+
+
+@query("WITH " + verified_sql(f"""SELECT doc_id AS quote_id, doc_id, {norm("split_part(text, chr(10), 2)")} AS w, {HINT} AS hint FROM documents"""))
 def quotes_verified(spark, sf_dir):
-    hint = F.when(F.col("doc_id") % 3 == 0, "p. 2").when(F.col("doc_id") % 3 == 1, "p. 1")
-    quotes = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("quote_id"), "doc_id", F.split_part("text", F.lit("\n"), F.lit(2)).alias("quote"), hint.alias("hint"))
+    quotes = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("quote_id"), "doc_id", F.split_part("text", F.lit("\n"), F.lit(2)).alias("quote"), F.expr(HINT).alias("hint"))
+    return texts.verified(paged(spark, sf_dir), quotes)
+
+
+#: The end of a page and the beginning of the next, with other spaces and letters than there.
+OVER = f"translate(split_part(split_part(text, chr(10), 1), ' ', -2), '{T.LOWER}', '{T.UPPER}') || '  ' || split_part(split_part(text, chr(10), 1), ' ', -1) || ' ' || split_part(split_part(text, chr(10), 2), ' ', 1)"
+
+
+@query("WITH " + verified_sql(f"""SELECT doc_id AS quote_id, doc_id, {norm(OVER)} AS w, {HINT} AS hint FROM documents"""))
+def quotes_across_pages(spark, sf_dir):
+    quotes = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("quote_id"), "doc_id", F.expr(OVER).alias("quote"), F.expr(HINT).alias("hint"))
     return texts.verified(paged(spark, sf_dir), quotes)
 
 

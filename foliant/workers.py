@@ -1,4 +1,4 @@
-"""Python workers that can import this package."""
+"""Python workers that can import this package, and get their rows in batches of bounded size."""
 
 from __future__ import annotations
 
@@ -9,8 +9,14 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def importable(spark: SparkSession) -> None:
-    """Put the package's folder on the path of Python workers, wherever the driver was started."""
+    """Put the package's folder on the path of Python workers, wherever the driver was started. Batches get a bound in
+    bytes where the session has set none."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, str((1 << 31) - 1), f"{(1 << 31) - 1}b"):
+        spark.conf.set(BATCH_BYTES, "4m")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
