@@ -57,15 +57,35 @@ def next_sources(stored: DataFrame, fetched: DataFrame, now: Column, fields: lis
     kept = rows.select(*KEY, F.col("o.id").alias("id"), *values, F.when(seen, "active").otherwise("retired").alias("status"), F.coalesce("o.first_seen", now).alias("first_seen"), F.when(seen, now).otherwise(F.col("o.last_seen")).alias("last_seen"), F.col("n.position").alias("_position"))
     fresh = kept.filter("id is null")
     last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    # Running numbers in two steps: by library, then within it, so that libraries are numbered in parallel.
-    sizes = fresh.groupBy("library_id").agg(F.count("*").alias("_n"))
-    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("library_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).crossJoin(F.broadcast(last))
-    order = F.row_number().over(Window.partitionBy("library_id").orderBy("_position", "item_key"))
-    numbered = fresh.withColumn("_r", order).join(base, "library_id").withColumn("id", F.col("_last") + F.col("_base") + F.col("_r"))
+    numbered = numbered_by(fresh, "library_id", "_position", "item_key").join(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("_number"))
     columns = [c for c in kept.columns if c != "_position"]
     return kept.filter("id is not null").select(*columns).union(numbered.select(*columns))
 
 
+#: Parts in which the rows of one group are numbered side by side.
+RANGES = 256
+
+
+def numbered_by(rows: DataFrame, group: str, position: str, tie: str) -> DataFrame:
+    """Rows with ``_number``, from 1 in the order of group, position (a number) and tie.
+
+    The rows of a group are cut into ranges of position of about equal size, so that no group is numbered in one task:
+    rows are counted by range, ranges before are summed (a row each), and each range is numbered by itself. Only rows that
+    share one position are never parted.
+    """
+    at = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
+    bounds = rows.groupBy(F.col(group).alias("_g")).agg(F.array_distinct(F.percentile_approx(position, at, F.lit(10 * RANGES))).alias("_bounds"))
+    dealt = rows.join(bounds, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(position))), F.lit(-1))).drop("_bounds", "_g")
+    counts = dealt.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_k")).agg(F.count("*").alias("_n"))
+    # A row a group, then a row a range.
+    groups = counts.groupBy("_g").agg(F.sum("_n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = Window.partitionBy("_g").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(inner), F.lit(0))).drop("_n").join(groups.select(F.col("_g").alias("_h"), "_before"), F.col("_g").eqNullSafe(F.col("_h")))
+    order = F.row_number().over(Window.partitionBy(group, "_range").orderBy(position, tie))
+    found = dealt.withColumn("_r", order).join(base, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_k")))
+    return found.withColumn("_number", F.col("_before") + F.col("_base") + F.col("_r")).drop("_range", "_r", "_g", "_h", "_k", "_base", "_before")
+
+
 def upsert_libraries(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     """(kind, number, name): a fetched name wins unless it is empty."""
     o, n = stored.alias("o"), fetched.alias("n")
@@ -73,6 +93,16 @@ def upsert_libraries(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     return o.join(n, ["kind", "number"], "full_outer").select("kind", "number", name.alias("name"))
 
 
+def next_libraries(stored: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(library_id, kind, number, name): names as in ``upsert_libraries``, and new libraries get the next ids in the order
+    of kind and number."""
+    names = upsert_libraries(stored, fetched).join(stored.select("library_id", "kind", "number"), ["kind", "number"], "left")
+    last = stored.agg(F.coalesce(F.max("library_id"), F.lit(-1)).alias("_last"))
+    fresh = numbered_by(names.filter("library_id is null"), "kind", "number", "name").join(F.broadcast(last)).withColumn("library_id", F.col("_last") + F.col("_number"))
+    columns = ["library_id", "kind", "number", "name"]
+    return names.filter("library_id is not null").select(*columns).unionByName(fresh.select(*columns))
+
+
 def replace_collections(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     """The fetched collections, each with its stored id if it had one; vanished ones are gone."""
     o, n = stored.alias("o"), fetched.alias("n")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.records import is_source
 from foliant.operators import review, snapshot
-from foliant.store import Store
+from foliant.store import Snapshot, Store
 
 COUNTERS = ("n_new", "n_changed", "n_retired", "n_reactivated", "n_attachments", "n_skipped")
 RUN = "id long, library_id long, status string, error string, started_at string, finished_at string, " + ", ".join(f"{c} long" for c in COUNTERS)
@@ -57,8 +57,11 @@ def number_collections(stored: DataFrame, fetched: DataFrame, libraries: DataFra
     kept = stored.join(libraries, "library_id", "left_anti")
     rows = snapshot.replace_collections(stored, fetched)
     last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    order = F.row_number().over(snapshot.Window.orderBy("library_id", "collection_key"))  # collections that are new
-    fresh = rows.filter("id is null").withColumn("_r", order).join(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("_r"))
+    fresh = rows.filter("id is null")
+    sizes = fresh.groupBy("library_id").agg(F.count("*").alias("_n"))  # a row a library
+    before = sizes.select(F.col("library_id").alias("_l"), F.coalesce(F.sum("_n").over(snapshot.Window.orderBy("library_id").rowsBetween(snapshot.Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    order = F.row_number().over(snapshot.Window.partitionBy("library_id").orderBy("collection_key"))
+    fresh = fresh.withColumn("_r", order).join(before, F.col("library_id") == F.col("_l")).join(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("_before") + F.col("_r"))
     columns = ["library_id", "collection_key", "id", "name", "parent_key"]
     return kept.select(*columns).unionByName(rows.filter("id is not null").select(*columns)).unionByName(fresh.select(*columns))
 
@@ -82,9 +85,10 @@ def counted(before: DataFrame, fetched: Fetched, sources: DataFrame, libraries:
     return rows.select("library_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTERS))
 
 
-def synced(tables: dict[str, DataFrame], fetched: Fetched, names: DataFrame, failures: DataFrame, now: Column, fields: list[str]) -> dict[str, DataFrame]:
+def synced(tables: dict[str, DataFrame], fetched: Fetched, names: DataFrame, failures: DataFrame, now: Column, fields: list[str], own_runs: tuple[int, int] | None = None) -> dict[str, DataFrame]:
     """The tables after a sync. names: library_id and name of the libraries that were attempted; failures: library_id and
-    error of those that failed, whose rows stay as they are. Runs that are running are finished."""
+    error of those that failed, whose rows stay as they are. Runs that are running are finished; own_runs: the first and
+    last id of this sync's, if others may be running."""
     libraries = names.select("library_id").join(failures, "library_id", "left_anti")
     sources = fetched.items.filter(is_source(F.col("item_type")))
     after = snapshot.next_sources(tables["source"], sources, now, fields, libraries)
@@ -96,6 +100,8 @@ def synced(tables: dict[str, DataFrame], fetched: Fetched, names: DataFrame, fai
     counts = counted(tables["source"], fetched, sources, libraries)
     runs = tables["sync_run"].drop(*COUNTERS).join(failures.withColumnRenamed("error", "_error"), "library_id", "left").join(counts, "library_id", "left")
     mine = (F.col("status") == "running") & F.col("library_id").isin([r[0] for r in names.select("library_id").collect()])
+    if own_runs is not None:
+        mine = mine & F.col("id").between(*own_runs)
     old = tables["sync_run"].select("id", *(F.col(c).alias(f"_{c}") for c in COUNTERS))
     runs = runs.join(old, "id")
     failed = F.col("_error").isNotNull()
@@ -113,17 +119,27 @@ def synced(tables: dict[str, DataFrame], fetched: Fetched, names: DataFrame, fai
 
 def sync_all(store: Store, libraries: list[tuple[int, str]], fetch: Callable[[int], Fetched], now: str, fields: list[str], kinds: dict[str, str] | None = None) -> DataFrame:
     """Fetch every (library_id, name), apply what arrived, and return the runs of this sync; every library is attempted.
+    Another sync may commit meanwhile: what was fetched is then applied to the tables that it left.
 
     fetch: raises what it will for a library that does not answer. fields: what sources keep of items; kinds: their types.
     """
     spark = store.spark
     schemas = TABLES | {"source": SOURCE.format(fields=", ".join(f"{f} {(kinds or {}).get(f, 'string')}" for f in fields))}
-    for name, schema in schemas.items():
-        if store.read(name) is None:
-            store.write(name, spark.createDataFrame([], schema))
+    def read(at: Snapshot, t: str) -> DataFrame:
+        stored = at.read(t)
+        return spark.createDataFrame([], schemas[t]) if stored is None else stored
+
     names = spark.createDataFrame(libraries, "library_id long, name string")
-    first = store.read("sync_run").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    store.write("sync_run", snapshot.begin_runs(store.read("sync_run"), names, F.lit(now)))
+    own = (1, 0)
+
+    def begin(at: Snapshot) -> dict[str, DataFrame]:
+        nonlocal own
+        runs = read(at, "sync_run")
+        last = runs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        own = last + 1, last + len({x for x, _ in libraries})
+        return {"sync_run": snapshot.begin_runs(runs, names.dropDuplicates(["library_id"]), F.lit(now))}
+
+    store.transact(begin)
     arrived, failures = None, []
     for library, _ in libraries:
         try:
@@ -135,6 +151,20 @@ def sync_all(store: Store, libraries: list[tuple[int, str]], fetch: Callable[[in
         empty = lambda schema: spark.createDataFrame([], schema)
         items = ", ".join(["library_id long, item_key string, item_type string, position long, data_hash string", *(f"{f} {(kinds or {}).get(f, 'string')}" for f in fields), "tags array<string>, collections array<string>"])
         arrived = Fetched(empty(items), empty("library_id long, collection_key string, name string, parent_key string"), empty("library_id long, item_key string, parent_key string, path string"))
-    after = synced({t: store.read(t) for t in schemas}, arrived, names, spark.createDataFrame(failures, "library_id long, error string"), F.lit(now), fields)
-    store.write_all(after)
-    return store.read("sync_run").filter(F.col("id") > first)
+    failed = spark.createDataFrame(failures, "library_id long, error string")
+    store.transact(lambda at: synced({t: read(at, t) for t in schemas}, arrived, names, failed, F.lit(now), fields, own))
+    return store.read("sync_run").filter(F.col("id").between(*own))
+
+
+def upsert_libraries(store: Store, fetched: DataFrame) -> list[tuple[int, str]]:
+    """Bring the stored libraries up to date with fetched ones (kind, number, name), and return library_id and name of
+    these, as ``sync_all`` takes them."""
+    empty = "library_id long, kind string, number long, name string"
+
+    def work(at: Snapshot) -> dict[str, DataFrame]:
+        stored = at.read("library")
+        return {"library": snapshot.next_libraries(store.spark.createDataFrame([], empty) if stored is None else stored, fetched)}
+
+    store.transact(work)
+    rows = store.read("library").join(fetched.select("kind", "number").distinct(), ["kind", "number"], "left_semi")
+    return [(r["library_id"], r["name"]) for r in rows.orderBy("library_id").collect()]  # a row a library
