@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from foliant import reports
 from foliant.functions import records
 from foliant.functions import text as T
-from foliant.operators import doctor, drift, findings, places, resolve, review, snapshot, spans, sync, texts, wording
+from foliant.operators import doctor, drift, findings, index, places, resolve, review, snapshot, spans, sync, texts, wording
 from foliant.plans.domain import NOW, sql_of, view
-from foliant.store import STAMP, moment
-from foliant.workers import importable
+from foliant.store import STAMP, Store, moment
+from foliant.workers import importable, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -845,6 +845,32 @@ def text_search(spark, sf_dir):
     return texts.search(texts.text_index(d), d, values(spark, ASKED, "query_id, text"))
 
 
+def indexed(spark, sf_dir) -> Store:
+    """A kept index of the documents: at first with other texts for some, and documents that are none, then updated."""
+    d, store = read(spark, sf_dir, "documents"), Store(spark, shared_folder(spark, "index"))
+    other = F.when(F.col("doc_id") % 3 == 0, F.reverse(F.col("text"))).otherwise(F.col("text"))
+    index.update(store, d.select("doc_id", other.alias("text")).union(d.select(F.col("doc_id") + 1_000_000_000_000, "text").filter("doc_id % 7 = 0")))
+    index.update(store, d.filter("doc_id % 3 = 0").select("doc_id", "text"), d.select((F.col("doc_id") + 1_000_000_000_000).alias("doc_id")))
+    return store
+
+
+@query(SQL["text_search"])
+def index_search(spark, sf_dir):
+    return index.search(indexed(spark, sf_dir), values(spark, ASKED, "query_id, text"))
+
+
+WORDS = f"[x for x in regexp_split_to_array({norm('text')}, '[^\\p{{L}}\\p{{N}}]+') if x <> '']"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {WORDS} AS words FROM documents), t AS MATERIALIZED (SELECT doc_id, ' ' || array_to_string(words, ' ') || ' ' AS t FROM w),
+q AS MATERIALIZED (SELECT doc_id AS query_id, ' ' || array_to_string(words[2:4], ' ') || ' ' AS p FROM w WHERE len(words) >= 4)
+SELECT query_id, doc_id, CAST(len(string_split(substr(t, 1, strpos(t, p)), ' ')) - 2 AS INT) AS first FROM q JOIN t ON contains(t, p)""")
+def index_phrases(spark, sf_dir):
+    """Three words of every document, as a phrase, in all documents."""
+    w = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), texts.words_of(F.col("text")).alias("w")).filter(F.size("w") >= 4)
+    return index.phrases(indexed(spark, sf_dir), w.select("query_id", F.array_join(F.slice("w", 2, 3), " ").alias("text"))).drop("n")
+
+
 def written_papers(spark, sf_dir) -> DataFrame:
     """Every document as a paper: a chapter, a section in it, the text, another chapter, and citations in each."""
     k = (F.col("doc_id") % 50).cast("string")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +26,19 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
+@cache
+def _local_dir() -> str:
+    d = tempfile.mkdtemp(prefix="foliant-store-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    return "file://" + d
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path where all executors see it: below ``spark.checkpoint.dir``; only a local session that names none
+    gets a temporary one."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(d or _local_dir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
