@@ -66,3 +66,23 @@ def near_boxes(a: DataFrame, b: DataFrame, by: list[str], within: float = 6.0) -
     """Whether two backends' boxes of the same thing start at the same place."""
     j = a.alias("a").join(b.alias("b"), by)
     return j.select(*by, ((F.abs(F.col("a.left") - F.col("b.left")) < within) & (F.abs(F.col("a.top") - F.col("b.top")) < within)).alias("same_place"))
+
+
+def boxes_near(a: DataFrame, b: DataFrame, by: list[str], within: float) -> DataFrame:
+    """Of each box of a (its columns, left and top among them) that has boxes of b with equal ``by`` and left and top each
+    less than ``within`` away: how many (n_near), and the sum of both differences to the nearest one. Others have no row.
+
+    The plane is cut into cells as wide as ``within``; a box meets what lies in its own cell and the eight around it. Boxes
+    of b at one place are counted before, so many copies of one box are one row, and equal rows of a are one. Boxes without a
+    place are near nothing.
+    """
+    cell = lambda c: F.floor(F.col(c) / within)
+    placed = lambda df: df.filter("left is not null and top is not null and not isnan(left) and not isnan(top)")
+    there = placed(b).groupBy(*by, F.col("left").alias("_left"), F.col("top").alias("_top")).agg(F.count("*").alias("_n"))
+    step = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+    there = there.withColumn("_x", F.explode(F.transform(step, lambda k: k + cell("_left")))).withColumn("_y", F.explode(F.transform(step, lambda k: k + cell("_top"))))
+    own = [c for c in a.columns if c not in by]
+    pairs = placed(a).distinct().withColumn("_x", cell("left")).withColumn("_y", cell("top")).join(there, [*by, "_x", "_y"])
+    dx, dy = F.abs(F.col("left") - F.col("_left")), F.abs(F.col("top") - F.col("_top"))
+    rows = pairs.filter((dx < within) & (dy < within)).groupBy(*by, *own).agg(F.sum("_n").alias("n_near"), F.min(dx + dy).alias("nearest"))
+    return rows.drop("left", "top")

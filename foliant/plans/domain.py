@@ -23,7 +23,7 @@ VIEWS = {
     "tagged": "SELECT doc_id AS source_id, doc_id % 5 AS library_id, lang AS tag, source AS tag2 FROM {documents} WHERE doc_id % 11 <> 0",
     "record": "SELECT doc_id, '{{\"key\":\"D' || CAST(doc_id AS STRING) || '\",\"version\":' || CAST(doc_id AS STRING) || ',\"library\":{{\"name\":\"L' || CAST(doc_id % 5 AS STRING) || '\"}},\"data\":{{\"key\":\"D' || CAST(doc_id AS STRING) || '\",\"itemType\":\"' || CASE WHEN doc_id % 4 = 0 THEN 'note' ELSE 'book' END || '\",\"title\":\"' || lang || '\",\"date\":\"March ' || CAST(1990 + n_chars % 30 AS STRING) || '\",\"DOI\":\" ' || CASE WHEN doc_id % 3 = 0 THEN '10.1/' || CAST(n_chars AS STRING) ELSE '' END || ' \",\"citationKey\":null,\"tags\":[{{\"tag\":\"' || source || '\"}}],\"collections\":[\"C1\"]}}}}' AS value FROM {documents}",
 }
-TABLES = ("documents", "events", "pages", "labels", "benchmark", "conversations", "orders", "lineitem", "customer")
+TABLES = ("documents", "events", "pages", "labels", "benchmark", "conversations", "orders", "lineitem", "customer", "part")
 
 
 def sql_of(name: str) -> str:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from foliant import reports
 from foliant.functions import records
 from foliant.functions import text as T
-from foliant.operators import doctor, drift, findings, index, places, resolve, review, snapshot, spans, sync, texts, wording
-from foliant.plans.domain import NOW, sql_of, view
-from foliant.store import STAMP, Store, moment
+from foliant.operators import doctor, drift, findings, index, papers, places, resolve, review, snapshot, spans, sync, texts, wording
+from foliant.plans.domain import NOW, TABLES, sql_of, view
+from foliant.store import STAMP, Store, moment, surplus
+from foliant.store import lock_status as lock_states
 from foliant.workers import importable, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,43 +166,60 @@ def word_counts(spark, sf_dir):
 
 # scalars
 
-DATES = "('2021-05-03'), ('March 2016'), ('vol. 12345, 1999'), ('n.d.'), (''), ('2006'), ('19999 2001')"
+#: Every order's date in one of several styles, some of which hold no year.
+DATED = "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN 'March ' || CAST(year(o_orderdate) AS STRING) WHEN 2 THEN 'vol. ' || CAST(10000 + o_custkey AS STRING) || ', ' || CAST(year(o_orderdate) AS STRING) WHEN 3 THEN 'n.d.' WHEN 4 THEN '' WHEN 5 THEN CAST(o_custkey AS STRING) || ' ' || o_orderpriority || CAST(year(o_orderdate) AS STRING) ELSE o_orderpriority END AS d FROM {orders}"
 
 
-@query(f"SELECT d, CAST(nullif(regexp_extract(d, '(^|[^0-9])([0-9]{{4}})([^0-9]|$)', 2), '') AS INT) AS year FROM {duck_values(DATES, 'd')}")
+def derived(spark, sf_dir, sql: str) -> DataFrame:
+    used = [t for t in TABLES if f"{{{t}}}" in sql]
+    return spark.sql(sql, **{t: read(spark, sf_dir, t) for t in used})
+
+
+def duck(sql: str) -> str:
+    return "(" + sql.format(**{t: t for t in TABLES}) + ")"
+
+
+@query(f"SELECT o_orderkey, CAST(nullif(regexp_extract(d, '(^|[^0-9])([0-9]{{4}})([^0-9]|$)', 2), '') AS INT) AS year FROM {duck(DATED)}")
 def year_from_date(spark, sf_dir):
-    return values(spark, DATES, "d").select("d", T.year_from_date(F.col("d")).alias("year"))
+    return derived(spark, sf_dir, DATED).select("o_orderkey", T.year_from_date(F.col("d")).alias("year"))
 
 
-URLS = "('file:///a/b%20c.pdf'), ('https://a/b.pdf'), ('a/b.pdf'), ('file://x'), ('file:///a+b'), ('file:///%C3%A9')"
+#: The pages' addresses as those of files: absolute, relative, encoded, or none.
+FILE_URLS = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'file://' || substr(url, 9) WHEN 2 THEN 'file:///' || substr(url, 9) WHEN 3 THEN 'file:///%C3%A9%20' || CAST(page_id AS STRING) || '+' || substr(url, 9) ELSE substr(url, 8) END AS u FROM {pages}"
 
 
-@query(f"SELECT u, CASE WHEN starts_with(u, 'file://') AND starts_with(url_decode(substr(u, 8)), '/') THEN url_decode(substr(u, 8)) END AS path FROM {duck_values(URLS, 'u')}")
+@query(f"SELECT page_id, CASE WHEN starts_with(u, 'file://') AND starts_with(url_decode(substr(u, 8)), '/') THEN url_decode(substr(u, 8)) END AS path FROM {duck(FILE_URLS)}")
 def file_url_to_path(spark, sf_dir):
-    return values(spark, URLS, "u").select("u", T.path_of_file_url(F.col("u")).alias("path"))
+    return derived(spark, sf_dir, FILE_URLS).select("page_id", T.path_of_file_url(F.col("u")).alias("path"))
 
 
-REFS = "('user'), ('group:42'), ('group:0'), ('group:-1'), ('group:'), ('group:x'), ('User'), (''), ('group:99999999999999999999')"
+#: References to libraries as the events' users write them, well or badly.
+REFERRED = "SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'user' WHEN 1 THEN 'group:' WHEN 2 THEN 'group:' || event_type WHEN 3 THEN 'User' WHEN 4 THEN 'group:-' || CAST(user_id AS STRING) WHEN 5 THEN 'group:99999999999999999999' || CAST(user_id AS STRING) ELSE 'group:' || CAST(user_id % 40 AS STRING) END AS r FROM {events}"
 
 
-@query(f"SELECT r, CASE WHEN r = 'user' THEN 'user' WHEN regexp_full_match(r, 'group:[0-9]+') AND TRY_CAST(substr(r, 7) AS BIGINT) > 0 THEN 'group' END AS kind, CASE WHEN r = 'user' THEN 0::BIGINT WHEN regexp_full_match(r, 'group:[0-9]+') AND TRY_CAST(substr(r, 7) AS BIGINT) > 0 THEN TRY_CAST(substr(r, 7) AS BIGINT) END AS number FROM {duck_values(REFS, 'r')}")
+@query(f"SELECT event_id, CASE WHEN r = 'user' THEN 'user' WHEN regexp_full_match(r, 'group:[0-9]+') AND TRY_CAST(substr(r, 7) AS BIGINT) > 0 THEN 'group' END AS kind, CASE WHEN r = 'user' THEN 0::BIGINT WHEN regexp_full_match(r, 'group:[0-9]+') AND TRY_CAST(substr(r, 7) AS BIGINT) > 0 THEN TRY_CAST(substr(r, 7) AS BIGINT) END AS number FROM {duck(REFERRED)}")
 def library_ref_parse(spark, sf_dir):
     r = F.col("r")
-    return values(spark, REFS, "r").select("r", T.library_kind(r).alias("kind"), T.library_number(r).alias("number"))
+    return derived(spark, sf_dir, REFERRED).select("event_id", T.library_kind(r).alias("kind"), T.library_number(r).alias("number"))
 
 
-@query(f"WITH library AS ({sql_of('library')}) SELECT library_id, CASE WHEN kind = 'user' THEN 'user' ELSE 'group:' || number END AS ref, CASE WHEN kind = 'user' THEN '/users/0' ELSE '/groups/' || number END AS path FROM library")
+#: The customers as libraries.
+OWNED = "SELECT c_custkey AS library_id, CASE WHEN c_custkey % 9 = 0 THEN 'user' ELSE 'group' END AS kind, c_custkey AS number, c_name AS name FROM {customer}"
+
+
+@query(f"SELECT library_id, CASE WHEN kind = 'user' THEN 'user' ELSE 'group:' || number END AS ref, CASE WHEN kind = 'user' THEN '/users/0' ELSE '/groups/' || number END AS path FROM {duck(OWNED)}")
 def library_ref_format(spark, sf_dir):
     k, n = F.col("kind"), F.col("number")
-    return view(spark, sf_dir, "library").select("library_id", T.library_name(k, n).alias("ref"), T.library_path(k, n).alias("path"))
+    return derived(spark, sf_dir, OWNED).select("library_id", T.library_name(k, n).alias("ref"), T.library_path(k, n).alias("path"))
 
 
-AGES = "(-5), (42), (60), (300), (10805), (86399), (1036800)"
+#: Seconds since the events, of which some are ahead.
+AGED = "SELECT event_id, CAST(unix_seconds AS BIGINT) % CASE event_id % 4 WHEN 0 THEN 60 WHEN 1 THEN 3600 WHEN 2 THEN 86400 ELSE 10000000 END - 5 AS s FROM (SELECT event_id, {seconds} AS unix_seconds FROM {events})"
 
 
-@query(f"SELECT s, CASE WHEN greatest(s, 0) < 60 THEN greatest(s, 0) || ' s' WHEN s < 3600 THEN s // 60 || ' min' WHEN s < 86400 THEN s // 3600 || ' h' ELSE s // 86400 || ' d' END AS age FROM {duck_values(AGES, 's')}")
+@query(f"SELECT event_id, CASE WHEN greatest(s, 0) < 60 THEN greatest(s, 0) || ' s' WHEN s < 3600 THEN s // 60 || ' min' WHEN s < 86400 THEN s // 3600 || ' h' ELSE s // 86400 || ' d' END AS age FROM {duck(AGED.replace('{seconds}', 'CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT)'))}")
 def format_age(spark, sf_dir):
-    return values(spark, AGES, "s").select("s", T.age_text(F.col("s")).alias("age"))
+    return derived(spark, sf_dir, AGED.replace("{seconds}", "unix_timestamp(CAST(ts AS TIMESTAMP))")).select("event_id", T.age_text(F.col("s")).alias("age"))
 
 
 @query(f"""{with_views('record')} SELECT value ->> '$.data.key' AS item_key, value ->> '$.data.itemType' AS item_type, CAST(NULL AS VARCHAR) AS citation_key, value ->> '$.data.title' AS title, CAST(substr(value ->> '$.data.date', 7) AS INT) AS year, nullif(trim(value ->> '$.data.DOI'), '') AS doi, value ->> '$.library.name' AS library_name, value ->> '$.data.tags[0].tag' AS tag, 1 AS n_collections FROM record WHERE value ->> '$.data.itemType' NOT IN ('attachment', 'note', 'annotation')""")
@@ -304,20 +322,30 @@ def attachment_upsert(spark, sf_dir):
     return snapshot.next_attachments(*(view(spark, sf_dir, x) for x in ("old_attachment", "new_attachment", "source")))
 
 
-OLD_LIBS, NEW_LIBS = "('user', 0, 'Mine'), ('group', 4, 'Old'), ('group', 5, 'Kept')", "('user', 0, ''), ('group', 4, 'New'), ('group', 6, 'Third')"
+OLD_LIBS = "SELECT CASE WHEN c_custkey % 9 = 0 THEN 'user' ELSE 'group' END AS kind, c_custkey AS number, c_name AS name, c_custkey * 3 AS library_id FROM {customer} WHERE c_custkey % 4 <> 0"
+NEW_LIBS = "SELECT CASE WHEN c_custkey % 9 = 0 THEN 'user' ELSE 'group' END AS kind, c_custkey AS number, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_mktsegment END AS name FROM {customer} WHERE c_custkey % 5 <> 0"
 
 
-@query(f"SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.number, n.number) AS number, coalesce(nullif(n.name, ''), o.name, '') AS name FROM (VALUES {OLD_LIBS}) o(kind, number, name) FULL JOIN (VALUES {NEW_LIBS}) n(kind, number, name) ON o.kind = n.kind AND o.number = n.number")
+@query(f"SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.number, n.number) AS number, coalesce(nullif(n.name, ''), o.name, '') AS name, CAST(coalesce(o.library_id, (SELECT max(library_id) FROM {duck(OLD_LIBS)}) + row_number() OVER (PARTITION BY o.kind IS NULL ORDER BY n.kind, n.number)) AS BIGINT) AS library_id FROM {duck(OLD_LIBS)} o FULL JOIN {duck(NEW_LIBS)} n ON o.kind = n.kind AND o.number = n.number")
 def library_upsert(spark, sf_dir):
-    return snapshot.upsert_libraries(values(spark, OLD_LIBS, "kind, number, name"), values(spark, NEW_LIBS, "kind, number, name"))
+    return snapshot.next_libraries(derived(spark, sf_dir, OLD_LIBS), derived(spark, sf_dir, NEW_LIBS))
 
 
-OLD_COLS, NEW_COLS = "(1, 'C1', 10, 'a', null), (1, 'C2', 11, 'b', 'C1')", "(1, 'C1', 'a2', null), (1, 'C3', 'c', 'C1')"
+OLD_COLS = "SELECT p_size AS library_id, p_brand AS collection_key, min(p_partkey) AS id, min(p_name) AS name, CAST(NULL AS STRING) AS parent_key FROM {part} WHERE p_partkey % 3 <> 0 GROUP BY p_size, p_brand"
+NEW_COLS = "SELECT p_size AS library_id, p_brand AS collection_key, max(p_name) AS name, min(p_type) AS parent_key FROM {part} WHERE p_partkey % 3 <> 1 AND p_size % 7 <> 0 GROUP BY p_size, p_brand"
 
 
-@query(f"SELECT n.library_id, n.collection_key, o.id, n.name, n.parent_key FROM (VALUES {NEW_COLS}) n(library_id, collection_key, name, parent_key) LEFT JOIN (VALUES {OLD_COLS}) o(library_id, collection_key, id, name, parent_key) ON o.library_id = n.library_id AND o.collection_key = n.collection_key")
+@query(f"SELECT n.library_id, n.collection_key, o.id, n.name, n.parent_key FROM {duck(NEW_COLS)} n LEFT JOIN {duck(OLD_COLS)} o ON o.library_id = n.library_id AND o.collection_key = n.collection_key")
 def collection_upsert_delete(spark, sf_dir):
-    return snapshot.replace_collections(values(spark, OLD_COLS, "library_id, collection_key, id, name, parent_key"), values(spark, NEW_COLS, "library_id, collection_key, name, parent_key"))
+    return snapshot.replace_collections(derived(spark, sf_dir, OLD_COLS), derived(spark, sf_dir, NEW_COLS))
+
+
+@query(f"""WITH o AS {duck(OLD_COLS)}, n AS {duck(NEW_COLS)}, l AS (SELECT DISTINCT library_id FROM n),
+f AS (SELECT n.*, (SELECT max(id) FROM o) + row_number() OVER (ORDER BY n.library_id, n.collection_key) AS new_id FROM n ANTI JOIN o ON o.library_id = n.library_id AND o.collection_key = n.collection_key)
+SELECT library_id, collection_key, id, name, parent_key FROM o WHERE library_id NOT IN (SELECT library_id FROM l) UNION ALL SELECT n.library_id, n.collection_key, o.id, n.name, n.parent_key FROM n JOIN o ON o.library_id = n.library_id AND o.collection_key = n.collection_key UNION ALL SELECT library_id, collection_key, new_id, name, parent_key FROM f""")
+def collection_numbers(spark, sf_dir):
+    new = derived(spark, sf_dir, NEW_COLS)
+    return sync.number_collections(derived(spark, sf_dir, OLD_COLS), new, new.select("library_id").distinct())
 
 
 @query(f"{with_views('tagged')} SELECT doc_id AS source_id, 'old' AS tag FROM documents WHERE doc_id % 11 = 0 UNION ALL (SELECT DISTINCT source_id, unnest([tag, tag2, tag]) AS tag FROM tagged)")
@@ -380,9 +408,10 @@ def pdf_without_file(spark, sf_dir):
     return findings.without_file(view(spark, sf_dir, "attachment"), view(spark, sf_dir, "source"), view(spark, sf_dir, "library"))
 
 
-@query(f"WITH library AS ({sql_of('library')}), ord(library_id, position) AS (VALUES {ORDER}) SELECT o.library_id, o.position FROM ord o ANTI JOIN library l ON l.library_id = o.library_id")
+@query(f"SELECT e.user_id % 9 AS library_id, min(e.event_id) AS position FROM events e WHERE e.user_id % 9 NOT IN (SELECT library_id FROM ({sql_of('library')})) GROUP BY 1")
 def library_unknown(spark, sf_dir):
-    return order_of(spark).join(view(spark, sf_dir, "library"), "library_id", "left_anti")
+    listed = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 9).alias("library_id")).agg(F.min("event_id").alias("position"))
+    return listed.join(view(spark, sf_dir, "library"), "library_id", "left_anti")
 
 
 DRIFT = f"""{RANKED}, {CONFLICTS}, entry AS ({sql_of('entry')}), e AS (SELECT * FROM entry e ANTI JOIN conflicts c ON c.citation_key = e.key QUALIFY row_number() OVER (PARTITION BY key ORDER BY position DESC) = 1),
@@ -478,58 +507,79 @@ def list_capped(spark, sf_dir):
 
 # boxes
 
-SPANS = "(1, 0, 'a', 0.0, 0.0, 10.0, 10.0), (1, 1, 'b', 10.5, 0.0, 20.0, 10.0), (1, 2, 'c', 25.0, 1.0, 30.0, 11.0), (1, 3, 'd', 0.0, 20.0, 9.0, 30.0), (2, 0, 'x', 50.0, 0.0, 60.0, 10.0), (2, 1, 'y', 0.0, 0.0, 5.0, 10.0)"
-SPAN_COLS = "page, i, text, x0, y0, x1, y1"
+#: The words of every document's first lines as spans on a page: a line of words is a line of the page, longer words touch.
+SPANS = """SELECT doc_id, n, i, word, CAST(x AS DOUBLE) AS "left", CAST(n * 12 + length(word) % 3 AS DOUBLE) AS top, CAST(x + 5 * length(word) AS DOUBLE) AS "right", CAST(n * 12 + 10 + length(word) % 3 AS DOUBLE) AS bottom FROM (
+  SELECT doc_id, n, i, word, 5 * (sum(length(word)) OVER (PARTITION BY doc_id, n ORDER BY i) - length(word)) + i * (CASE WHEN length(word) % 5 = 0 THEN 1 ELSE 4 END) AS x FROM ({words}))"""
+SPARK_WORDS = "SELECT doc_id, n, i, word FROM (SELECT doc_id, n, posexplode(split(s, ' ')) AS (i, word) FROM (SELECT doc_id, posexplode(split(text, '\n')) AS (n, s) FROM {documents}) WHERE n < 40)"
+DUCK_WORDS = "SELECT doc_id, n, unnest(string_split(s, ' ')) AS word, CAST(generate_subscripts(string_split(s, ' '), 1) - 1 AS INT) AS i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS n FROM documents) WHERE n < 40"
+DUCK_SPANS = "spans AS (" + SPANS.replace("{words}", DUCK_WORDS) + ")"
 
 
-def some_spans(spark) -> DataFrame:
-    d = lambda c, n: F.col(c).cast("double").alias(n)
-    return values(spark, SPANS, SPAN_COLS).select("page", "i", "text", d("x0", "left"), d("y0", "top"), d("x1", "right"), d("y1", "bottom"))
+def some_spans(spark, sf_dir) -> DataFrame:
+    sql = SPANS.replace('"left"', "left").replace('"right"', "right").replace("{words}", SPARK_WORDS)
+    return spark.sql(sql, documents=read(spark, sf_dir, "documents"))
 
 
-@query(f"""WITH s AS (SELECT page, i, text, x0::DOUBLE x0, y0::DOUBLE y0, x1::DOUBLE x1, y1::DOUBLE y1 FROM {duck_values(SPANS, SPAN_COLS)}), p AS (SELECT *, lag(x1) OVER w AS px1, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM s WINDOW w AS (PARTITION BY page ORDER BY i))
-SELECT page, string_agg(CASE WHEN px1 IS NULL THEN '' WHEN NOT (least(py1, y1) - greatest(py0, y0) > 0.5 * least(py1 - py0, y1 - y0)) OR x0 - px1 < -greatest(py1 - py0, y1 - y0) THEN chr(10) WHEN x0 - px1 < 0.15 * greatest(py1 - py0, y1 - y0) THEN '' ELSE ' ' END || text, '' ORDER BY i) AS text FROM p GROUP BY page""")
+@query(f"""WITH {DUCK_SPANS}, p AS (SELECT *, lag("right") OVER w AS px1, lag(top) OVER w AS py0, lag(bottom) OVER w AS py1 FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY n, i))
+SELECT doc_id, sha256(string_agg(CASE WHEN px1 IS NULL THEN '' WHEN NOT (least(py1, bottom) - greatest(py0, top) > 0.5 * least(py1 - py0, bottom - top)) OR "left" - px1 < -greatest(py1 - py0, bottom - top) THEN chr(10) WHEN "left" - px1 < 0.15 * greatest(py1 - py0, bottom - top) THEN '' ELSE ' ' END || word, '' ORDER BY n, i)) AS text FROM p GROUP BY doc_id""")
 def span_join(spark, sf_dir):
-    s = some_spans(spark).groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text", "left", "top", "right", "bottom"))), lambda x: x).alias("s"))
-    return s.select("page", spans.join_spans(F.col("s")).alias("text"))
+    s = some_spans(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "i", F.col("word").alias("text"), "left", "top", "right", "bottom"))).alias("s"))  # a page's spans
+    return s.select("doc_id", F.sha2(spans.join_spans(F.col("s")), 256).alias("text"))
 
 
-@query(f"SELECT page, min(x0::DOUBLE) AS \"left\", min(y0::DOUBLE) AS top, max(x1::DOUBLE) AS \"right\", max(y1::DOUBLE) AS bottom FROM {duck_values(SPANS, SPAN_COLS)} GROUP BY page")
+@query(f"""WITH {DUCK_SPANS} SELECT doc_id, n, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom FROM spans GROUP BY doc_id, n""")
 def bbox_union(spark, sf_dir):
-    return spans.box_union(some_spans(spark), ["page"])
+    return spans.box_union(some_spans(spark, sf_dir), ["doc_id", "n"])
 
 
-@query(f"SELECT page, arg_min(x0::DOUBLE, y0::DOUBLE * 100 + i) AS \"left\", min(y0::DOUBLE) AS top FROM {duck_values(SPANS, SPAN_COLS)} WHERE i > 1 OR page = 2 AND i = 0 GROUP BY page")
+@query(f"""WITH {DUCK_SPANS} SELECT doc_id, length(word) % 4 AS kind, min(top) AS top FROM spans WHERE length(word) > 3 GROUP BY ALL""")
 def first_box(spark, sf_dir):
-    return spans.topmost(some_spans(spark).filter("i > 1 or (page = 2 and i = 0)"), ["page"]).select("page", "left", "top")
+    s = some_spans(spark, sf_dir).filter("length(word) > 3").withColumn("kind", F.length("word") % 4)
+    return spans.topmost(s, ["doc_id", "kind"]).select("doc_id", "kind", "top")
 
 
-@query(f"SELECT page, i, x0::DOUBLE - 5 AS \"left\", 800 - (y0::DOUBLE + 12) AS top, x0::DOUBLE - 5 + 30 AS \"right\", 800 - (y0::DOUBLE + 12) + 12 AS bottom FROM {duck_values(SPANS, SPAN_COLS)}")
+@query(f"""WITH {DUCK_SPANS} SELECT doc_id, n, i, "left" - 5 AS "left", 800 - (top + (bottom - top)) AS top, "left" - 5 + ("right" - "left") AS "right", 800 - (top + (bottom - top)) + (bottom - top) AS bottom FROM spans""")
 def origin_flip(spark, sf_dir):
-    box = spans.from_bottom_left(F.col("left"), F.col("top"), F.lit(30.0), F.lit(12.0), F.lit(5.0), F.lit(800.0))
-    return some_spans(spark).select("page", "i", box.alias("b")).select("page", "i", "b.*")
+    box = spans.from_bottom_left(F.col("left"), F.col("top"), F.col("right") - F.col("left"), F.col("bottom") - F.col("top"), F.lit(5.0), F.lit(800.0))
+    return some_spans(spark, sf_dir).select("doc_id", "n", "i", box.alias("b")).select("doc_id", "n", "i", "b.*")
+
+
+@query(f"""WITH {DUCK_SPANS} SELECT doc_id, CAST(count(*) FILTER (trim(word) <> '') AS INT) AS n FROM spans GROUP BY doc_id""")
+def spans_with_text(spark, sf_dir):
+    s = some_spans(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("word").alias("text"))).alias("s"))  # a page's spans
+    return s.select("doc_id", F.size(spans.not_blank(F.col("s"))).alias("n"))
+
+
+#: The same words as another extractor sees them, some a little off, some far.
+MOVED = "doc_id, n, i, \"left\" + (n * 7 + i * 3) % 11 - 3 AS \"left\", top + (n + i) % 9 - 2 AS top"
+
+
+@query(f"""WITH {DUCK_SPANS}, b AS (SELECT {MOVED} FROM spans), pairs AS (SELECT a.doc_id, a.n, a.i, abs(a."left" - b."left") + abs(a.top - b.top) AS d FROM spans a JOIN b ON b.doc_id = a.doc_id AND abs(a."left" - b."left") < 6 AND abs(a.top - b.top) < 6)
+SELECT doc_id, n, i, count(*) AS n_near, min(d) AS nearest FROM pairs GROUP BY doc_id, n, i""")
+def near_boxes(spark, sf_dir):
+    a = some_spans(spark, sf_dir)
+    b = a.selectExpr(*(c.strip() for c in MOVED.replace('"left"', "left").split(",")))
+    return spans.boxes_near(a.select("doc_id", "n", "i", "left", "top"), b, ["doc_id"], 6.0)
 
 
 # storage and markers
 
-FILES = ", ".join(f"('store-202909{d:02d}T000000Z-v1')" for d in range(1, 13)) + ", ('notes.txt')"
+#: A folder with a backup of every order's day, and other files.
+FILES = "SELECT DISTINCT CASE WHEN o_custkey % 5 = 0 THEN 'notes-' || CAST(o_custkey AS STRING) ELSE 'store-' || replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', '') || 'T000000Z-v' || CAST(o_custkey % 3 AS STRING) END AS name FROM {orders}"
 
 
-@query(f"SELECT name FROM {duck_values(FILES, 'name')} WHERE starts_with(name, 'store-') QUALIFY row_number() OVER (ORDER BY name DESC) > 10")
+@query(f"SELECT name FROM {duck(FILES)} WHERE starts_with(name, 'store-') QUALIFY row_number() OVER (ORDER BY name DESC) > 10")
 def backup_prune(spark, sf_dir):
-    from foliant.store import surplus
-
-    return surplus(values(spark, FILES, "name"), keep=10)
+    return surplus(derived(spark, sf_dir, FILES), keep=10)
 
 
-LOCKED, FETCHED = "('a', 'h1'), ('b', 'h2')", "('a', 'h1'), ('b', 'hx'), ('c', 'h3')"
+LOCKED = "SELECT url AS id, min(CAST(length(html) AS STRING)) AS hash FROM {pages} WHERE page_id % 3 <> 0 GROUP BY url"
+FETCHED = "SELECT url AS id, max(CAST(length(html) + CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS STRING)) AS hash FROM {pages} GROUP BY url"
 
 
-@query(f"SELECT f.id, CASE WHEN l.hash IS NULL THEN 'new' WHEN l.hash = f.hash THEN 'match' ELSE 'mismatch' END AS status FROM (VALUES {FETCHED}) f(id, hash) LEFT JOIN (VALUES {LOCKED}) l(id, hash) ON l.id = f.id")
+@query(f"SELECT f.id, CASE WHEN l.hash IS NULL THEN 'new' WHEN l.hash = f.hash THEN 'match' ELSE 'mismatch' END AS status FROM {duck(FETCHED)} f LEFT JOIN {duck(LOCKED)} l ON l.id = f.id")
 def lock_status(spark, sf_dir):
-    from foliant.store import lock_status as check
-
-    return check(values(spark, LOCKED, "id, hash"), values(spark, FETCHED, "id, hash"))
+    return lock_states(derived(spark, sf_dir, LOCKED), derived(spark, sf_dir, FETCHED))
 
 
 def marked(spark, sf_dir) -> DataFrame:
@@ -871,20 +921,54 @@ def index_phrases(spark, sf_dir):
     return index.phrases(indexed(spark, sf_dir), w.select("query_id", F.array_join(F.slice("w", 2, 3), " ").alias("text"))).drop("n")
 
 
+#: A line s of a document as source: a heading, a comment, raw text, or text with a citation, by its length. What means
+#: something in sources is taken out of the line before.
+CLEAN = "translate(s, '=@#$[]*_`<>/~\"()', '')"
+LINE = f"CASE length(s) % 4 WHEN 0 THEN repeat('=', 1 + length(s) % 3) || ' ' || substr({CLEAN}, 1, 20) WHEN 1 THEN '// = ' || {CLEAN} || ' @no' WHEN 2 THEN '`= ' || {CLEAN} || ' @no`' ELSE {CLEAN} || ' @k' || CAST(length(s) % 50 AS STRING) END"
+INCLUDED = "'#include \"../d' || CAST({0} % 7 AS STRING) || '/f' || CAST({0} AS STRING) || '.typ\"'"
+HALF, NEXT = "CAST(floor(doc_id / 2) AS BIGINT)", "(doc_id + 1)"
+
+
 def written_papers(spark, sf_dir) -> DataFrame:
-    """Every document as a paper: a chapter, a section in it, the text, another chapter, and citations in each."""
-    k = (F.col("doc_id") % 50).cast("string")
-    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("= One\nsee @k"), k, F.lit("\n== Part\n@k"), k, F.lit(" and @k"), k, F.lit("\n"), F.translate("text", "=@", ""), F.lit("\n= Two\n@z")).alias("text"))
+    """Every document as a file of source, made of its lines, that includes one or two others and imports one."""
+    lines = f"array_join(transform(split(text, '\n'), s -> {LINE}), '\n')".replace("\n", "\\n")
+    more = f"'\\n' || {INCLUDED.format(HALF)} || CASE WHEN doc_id % 10 = 0 THEN '\\n// ' || {INCLUDED.format('doc_id')} || '\\n' || {INCLUDED.format(NEXT)} ELSE '' END"
+    path = "concat('d', CAST(doc_id % 7 AS STRING), '/f', CAST(doc_id AS STRING), '.typ')"
+    return read(spark, sf_dir, "documents").select("doc_id", F.expr(path).alias("path"), F.expr(f"{lines} || {more}").alias("text"))
+
+
+WRITTEN = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS line FROM documents),
+heads AS (SELECT doc_id, line, CAST(1 + length(s) % 3 AS INT) AS level, trim(regexp_replace(substr({CLEAN}, 1, 20), ' +', ' ', 'g')) AS title FROM lines WHERE length(s) % 4 = 0)"""
 
 
-@query("""WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) + 4 AS two FROM documents)
-SELECT doc_id, 0::BIGINT AS line, 1 AS level, 'One' AS title, CAST(NULL AS BIGINT) AS parent FROM l UNION ALL SELECT doc_id, 2, 2, 'Part', 0 FROM l UNION ALL SELECT doc_id, two, 1, 'Two', NULL FROM l""")
+@query(f"""WITH {WRITTEN} SELECT h.doc_id, h.line, h.level, h.title, max(p.line) AS parent FROM heads h LEFT JOIN heads p ON p.doc_id = h.doc_id AND p.line < h.line AND p.level < h.level GROUP BY ALL""")
 def chapter_tree(spark, sf_dir):
-    return texts.chapters(written_papers(spark, sf_dir))
+    return papers.chapters(papers.elements(written_papers(spark, sf_dir)))
 
 
-@query("""WITH l AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) + 4 AS BIGINT) AS two FROM documents)
-SELECT 'k' || doc_id % 50 AS key, doc_id, 0::BIGINT AS chapter, 1::BIGINT AS n FROM l UNION ALL SELECT 'k' || doc_id % 50, doc_id, 2, 2 FROM l UNION ALL SELECT 'z', doc_id, two, 1 FROM l""")
+@query(f"""WITH {WRITTEN}, marks AS (SELECT doc_id, line, 'k' || length(s) % 50 AS key FROM lines WHERE length(s) % 4 = 3), c AS (SELECT m.doc_id, m.line, m.key, max(h.line) AS chapter FROM marks m LEFT JOIN heads h ON h.doc_id = m.doc_id AND h.line <= m.line GROUP BY ALL)
+SELECT key, doc_id, chapter, count(*) AS n FROM c GROUP BY key, doc_id, chapter""")
 def citation_usage(spark, sf_dir):
-    d = written_papers(spark, sf_dir)
-    return texts.citations(d, T.marker_hits(d))
+    return papers.usage(papers.elements(written_papers(spark, sf_dir)))
+
+
+REACHED = f"""WITH RECURSIVE edges AS (SELECT doc_id AS a, {HALF} AS b FROM documents UNION SELECT doc_id, doc_id + 1 FROM documents WHERE doc_id % 10 = 0),
+there AS (SELECT a, b FROM edges WHERE b IN (SELECT doc_id FROM documents)),
+reached AS (SELECT doc_id AS entry, doc_id AS b, 0 AS depth FROM documents UNION SELECT r.entry, t.b, r.depth + 1 FROM reached r JOIN there t ON t.a = r.b WHERE r.depth < 30),
+members AS (SELECT entry, b, min(depth) AS depth FROM reached GROUP BY entry, b)"""
+PATH = "'d' || {0} % 7 || '/f' || {0} || '.typ'"
+
+
+@query(f"{REACHED} SELECT {PATH.format('entry')} AS entry, {PATH.format('b')} AS path, CAST(depth AS INT) AS depth FROM members")
+def project_files(spark, sf_dir):
+    """Every file as the entry of a project."""
+    files = written_papers(spark, sf_dir)
+    return papers.project_files(papers.elements(files, "path"), files, files.select(F.col("path").alias("entry")))
+
+
+@query(f"""{REACHED}, lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents), marks AS (SELECT doc_id, 'k' || length(s) % 50 AS key FROM lines WHERE length(s) % 4 = 3)
+SELECT key, {PATH.format('entry')} AS entry, count(*) AS n, count(DISTINCT doc_id) AS n_files FROM members JOIN marks ON doc_id = b GROUP BY key, entry""")
+def project_usage(spark, sf_dir):
+    files = written_papers(spark, sf_dir)
+    found = papers.elements(files, "path")
+    return papers.project_usage(found, papers.project_files(found, files, files.select(F.col("path").alias("entry"))))

@@ -153,3 +153,58 @@ def test_quotes_over_page_breaks(spark):
     want = [(1, "found", 0, 1), (2, "found", 0, 1), (3, "found", 1, 3), (4, "found", 3, 3), (5, "found_elsewhere", 0, 0), (6, "found", 0, 3), (7, "not_found", None, None), (8, "found", 1, 1), (9, "not_found", None, None), (10, "not_found", None, None), (11, "not_found", None, None)]
     assert rows(verified(p, q), "quote_id") == want
     assert rows(verified(p, q, 0.05), "quote_id") == [*want[:-1], (11, "found", 0, 3)]
+
+
+def test_near_boxes(spark):
+    from foliant.operators.spans import boxes_near
+
+    rng = random.Random(7)
+    place = lambda: rng.choice([rng.uniform(-30, 30), float(rng.randrange(-5, 6)), 12.0])
+    a = [(rng.randrange(2), k, place(), place()) for k in range(120)] + [(0, 500, None, 1.0), (0, 501, float("nan"), 1.0)]
+    b = [(rng.randrange(2), place(), place()) for _ in range(150)] + [(0, 12.0, 12.0)] * 400 + [(0, None, 1.0)]
+    got = boxes_near(spark.createDataFrame(a, "g int, k int, left double, top double"), spark.createDataFrame(b, "g int, left double, top double"), ["g"], 6.0).collect()
+    want = []
+    for g, k, x, y in a[:-2]:
+        near = [abs(x - p) + abs(y - q) for h, p, q in b if h == g and p is not None and abs(x - p) < 6 and abs(y - q) < 6]
+        if near:
+            want.append((g, k, len(near), min(near)))
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 60
+
+
+def test_window_agreement(spark):
+    from foliant.operators.wording import window_agreement
+
+    rng = random.Random(9)
+    words = lambda n: [rng.choice("aa ba ca ab a b".split()) for _ in range(n)]
+    rows = []
+    for d in range(30):
+        w = words(rng.choice([0, 1, 2, 5, 7, 8, 9, 30, 90]))
+        rows += [(d, "x", " ".join(w)), (d, "y", " ".join(rng.choice([v, v, v, v, v + "b", "a" + v]) for v in w)), (d, "z", " ".join(w[:-1] + ["q"] + w[3:]))]
+    rows += [(99, "x", None), (99, "y", "a"), (100, "x", "alone")]
+    got = {(r["doc_id"], r["reference"], r["other"]): r["percent"] for r in window_agreement(spark.createDataFrame(rows, "doc_id long, tool string, text string")).collect()}
+    want = {}
+    for d, a, t in rows:
+        for e, b, u in rows:
+            if d == e and a != b:
+                if t is None or u is None:
+                    want[d, a, b] = 0.0
+                    continue
+                w = t.split(" ")
+                starts = [i * 7919 % max(len(w) - 8, 1) for i in range(200)]
+                want[d, a, b] = sum(" ".join(w[i : i + 8]) in u for i in starts) * 100 / 200
+    assert got == want and len(set(want.values())) > 5
+
+
+def test_short_wordings_in_long_texts(spark, monkeypatch):
+    from foliant.operators import wording
+
+    monkeypatch.setattr(wording, "LONG", 200)
+    monkeypatch.setattr(wording, "SHORT", 50)
+    rng = random.Random(10)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 6))) for _ in range(rng.choice([0, 3, 200]))) for _ in range(25)]
+    asked = ["ab c", "é", "abc", "cc bb", "zzz", "a" * 30] + [t[k : k + 40].strip() for t in texts[:8] for k in (0, 190, 480)]
+    docs, wordings = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    want = sorted((d, i, t.find(w)) for d, t in enumerate(texts) for i, w in enumerate(asked) if w and w in t)
+    assert sorted(map(tuple, wording.find_wordings(docs, wordings).collect())) == want
+    monkeypatch.setattr(wording, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, wording.find_wordings(docs, wordings).collect())) == want
