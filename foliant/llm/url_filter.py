@@ -6,7 +6,8 @@ longest host, then the last by code point) or plain list entries, which block wh
 is allowed. Rules are compared with the host and path as they stand. List entries are compared in canonical form: no
 user, port or points at the end of the host, percent escapes decoded, an empty path is ``/``; so are the entries.
 
-A URL's candidates are its host's suffixes at dots, each with the starts of its path as long as some entry's path.
+A URL's candidates are its host's suffixes of as many labels as some entry has, each with the starts of its path as long
+as some entry's path; how many there are depends on the entries alone, and a very long host costs its length.
 Candidates are looked up in a filter of 256-bit blocks (one bit in each of eight words), a table by itself: broadcast
 while its size is proven small, joined by block beyond it. What passes is joined to the entries.
 
@@ -44,7 +45,7 @@ def path_of(url: Column) -> Column:
 
 
 def canonical_host(host: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^[\s\S]*@", ""), r":[0-9]*$", ""), r"\.+$", "")
+    return F.rtrim(F.regexp_replace(F.regexp_replace(host, r"^[\s\S]*@", ""), r":[0-9]*\z", ""), F.lit("."))
 
 
 def canonical_path(path: Column) -> Column:
@@ -83,11 +84,13 @@ def possible(candidates: DataFrame, keys: DataFrame) -> DataFrame:
 
 def keys_of(urls: DataFrame, kind: str, host: Column, path: Column, entries: DataFrame) -> DataFrame:
     """(url, key) of all host suffixes and path starts that an entry of this kind may have."""
-    lengths = sorted(r[0] for r in entries.filter(F.startswith("key", F.lit(kind))).select(F.length("path")).distinct().collect())  # at most as many as the longest path has characters
+    own = entries.filter(F.startswith("key", F.lit(kind)))
+    # At most as many as the longest entry's path has characters, and its host labels.
+    lengths = sorted(r[0] for r in own.select(F.length("path")).distinct().collect())
+    counts = sorted(r[0] for r in own.select("labels").distinct().collect())
     if not lengths:
         return urls.select("url", F.lit("").alias("key")).limit(0)
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.array_distinct(F.array(*(F.substring_index(host, ".", -n) for n in counts)))
     starts = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)), lambda x: x.isNotNull())
     return urls.filter(host != "").select("url", F.explode(F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(F.lit(kind), s, p)))))).alias("key"))
 
@@ -97,7 +100,7 @@ def judge_urls(pages: DataFrame, entries: DataFrame) -> DataFrame:
     rule = F.col("verdict").isNotNull()
     host, path = (F.when(rule, F.col(c)).otherwise(f(F.col(c))).alias(c) for c, f in (("host", canonical_host), ("path", canonical_path)))
     entries = entries.filter("host is not null and path is not null").select(host, path, "verdict").withColumn("key", F.concat(F.when(rule, RULE).otherwise(LIST), "host", "path"))
-    entries = entries.groupBy("key").agg(F.max(F.when(rule, F.struct("host", "verdict"))).alias("rule"), F.max(~rule).alias("listed"), F.first("path").alias("path"))
+    entries = entries.groupBy("key").agg(F.max(F.when(rule, F.struct("host", "verdict"))).alias("rule"), F.max(~rule).alias("listed"), F.first("path").alias("path"), F.max(F.regexp_count("host", F.lit(r"\.")) + 1).alias("labels"))
     urls = pages.select("url").distinct().filter("url is not null").select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     candidates = keys_of(urls, RULE, F.col("host"), F.col("path"), entries).union(keys_of(urls, LIST, canonical_host(F.col("host")), canonical_path(F.col("path")), entries))
     hits = possible(candidates, entries.select("key")).join(entries.select("key", "rule", "listed"), "key").withColumn("key", F.substring("key", 3, 1 << 30))

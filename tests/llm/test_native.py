@@ -170,3 +170,15 @@ def test_license_plan_does_not_grow(spark):
     assert len({t.label for t in licenses.OWN}) >= 20
     with pytest.raises(ValueError):
         licenses.constant("x" * (licenses.MOST + 1), "string")
+
+
+def test_very_long_hosts(spark):
+    """A host's length costs what it is long, however many labels it has; the verdicts are those of short ones."""
+    import time
+
+    hosts = ["." * 1_000_000 + "com", "a." * 400_000 + "spam-farm.example.net", "a." * 300_000 + "www.example.com" + "." * 100_000, "x" * 500_000 + ".net", ":" * 200_000 + "." * 200_000 + "x", "a@" * 200_000 + "spam-farm.example.org:80"]
+    pages = spark.createDataFrame([(k, f"http://{h}/en/{'a/' * 100_000 if k == 3 else ''}") for k, h in enumerate(hosts)], "page_id long, url string")
+    began = time.time()
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["listed"]) for r in url_filter.judge_urls(pages, url_filter.entries_of(spark)).collect()}
+    assert got == {0: ("com/", "allow", False), 1: (None, "block", True), 2: (None, "allow", False), 3: (None, "allow", False), 4: (None, "allow", False), 5: (None, "block", True)}
+    assert time.time() - began < 60
