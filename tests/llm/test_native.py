@@ -134,15 +134,27 @@ TEXTS += [f"// Copyright someone\n{t.text}\nint main" for t in licenses.OWN]
 TEXTS += [" ".join(w for k, w in enumerate(t.text.split()) if k % 11) for t in licenses.OWN] + ["cc by nc " * 3000]
 
 
-def places(words, t):
+def segment_places(words, s):
     out = []
-    for i in range(-len(t.words), len(words)):
-        same = [0 <= i + k < len(words) and words[i + k] == w for k, w in enumerate(t.words)]
-        if all(same[k] for k in t.key_places) and sum(same) >= licenses.need(t):
-            out.append((i, sum(same)))
+    for i in range(-len(s.words), len(words)):
+        same = [0 <= i + k < len(words) and words[i + k] == w for k, w in enumerate(s.words)]
+        if all(same[k] for k in s.keys) and sum(same) >= s.need:
+            out.append((i, i + len(s.words), sum(same)))
     return out
 
 
+def places(words, t):
+    """Every chain of a template's segments; of those with one last segment the one with most words, then the first."""
+    chains = [(i, [(i, j)], n) for i, j, n in segment_places(words, t.segments[0])]
+    for s in t.segments[1:]:
+        here = segment_places(words, s)
+        chains = [(i, [*path, (a, b)], n + m) for i, path, n in chains for a, b, m in here if 0 <= a - path[-1][1] <= licenses.GAP]
+    best = {}
+    for i, path, n in chains:
+        best[path[-1]] = max(best.get(path[-1], (0, 0)), (n, -i))
+    return [(-i, n) for n, i in best.values()]
+
+
 def test_licenses(spark):
     rows = [(n if n else None, x, "k") for n, x in enumerate([*TEXTS, TEXTS[0]])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, labels string")
@@ -156,11 +168,40 @@ def test_licenses(spark):
         r = got[n]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(base), min(base, default=None), max(base, default=None)), x
         assert r["base_labels"] == ",".join(sorted({t.label for t, _ in found if t.base})) and r["labels"] == ",".join(sorted({t.label for t, _ in found}))
-        assert r["score"] == pytest.approx(max((m / len(t.words) for t, (_, m) in found), default=0.0))
+        assert r["score"] == pytest.approx(max((m / t.size for t, (_, m) in found), default=0.0))
         assert sorted((p["label"], p["start"]) for p in r["places"]) == sorted((t.label, p) for t, (p, _) in found)
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def filled(label, *blanks):
+    """A licence's text with what files put into its blanks."""
+    text = next(t.text for t in licenses.OWN if t.label == label)
+    assert text.count(licenses.BLANK) == len(blanks)
+    for b in blanks:
+        text = text.replace(licenses.BLANK, b, 1)
+    return text
+
+
+def test_holders_and_lines_of_files(spark):
+    """Licences whose blanks are filled with names of any length, with lines put between paragraphs, and too long ones."""
+    name = lambda n: " ".join(f"Holder{k}" for k in range(n))
+    line = "\n# this line was put here by the people who keep the file\n"
+    rows = []
+    for n in range(13):
+        rows += [("bsd-3", filled("bsd-3", "", "", "", name(n))), ("bsd-2", filled("bsd-2", "", "", name(n))), ("mit", "Copyright (c) 2020 " + name(n) + "\n" + filled("mit", "", "", name(n))), ("isc", filled("isc", name(n), name(n)))]
+    rows += [("bsd-3", filled("bsd-3", line, line, line, "Google Inc.")), ("bsd-2", filled("bsd-2", line, "", "THE REGENTS")), ("mit", filled("mit", line, line, "THE X CONSORTIUM")), ("ntp", filled("ntp", "M.I.T."))]
+    rows += [("", filled("bsd-3", "", "", "", name(licenses.GAP + 1))), ("", " ".join(reversed(filled("mit", "|", "|", "|").split("|"))))]
+    rows += [("mit,bsd-3", filled("bsd-3", "", "", "", "A") + "\n" + filled("mit", "", "", "B"))]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(docs).collect()}
+    for k, (label, text) in enumerate(rows):
+        assert set(label.split(",")) - {""} <= got[k], text
+        low = re.findall(licenses.WORD, text.translate(licenses.FOLD))
+        if not label:  # the whole licence is not there, though a notice of its may be
+            assert not any(places(low, t) for t in licenses.OWN if t.label in ("bsd-3", "mit") and len(t.segments) > 1), text
+        assert got[k] - {""} == {t.label for t in (*licenses.BASE, *licenses.OWN) if places(low, t)}
+
+
 def test_license_plan_does_not_grow(spark):
     """The plan has as many nodes and expressions for a hundred templates as for three."""
     docs = spark.createDataFrame([(1, "permission is hereby granted")], "doc_id long, text string")
