@@ -62,6 +62,18 @@ def next_sources(stored: DataFrame, fetched: DataFrame, now: Column, fields: lis
     return kept.filter("id is not null").select(*columns).union(numbered.select(*columns))
 
 
+def changed_sources(stored: DataFrame, changed: DataFrame, now: Column, fields: list[str]) -> DataFrame:
+    """The next version of the sources after some of them changed: changed values win, new rows get the next ids, all others
+    stay as they are; nothing is retired, as what did not change is not fetched."""
+    columns = [*KEY, "id", "data_hash", *fields, "status", "first_seen", "last_seen"]
+    others = stored.join(changed.select(*KEY), KEY, "left_anti").select(*columns)
+    mine = stored.join(changed.select(*KEY), KEY, "left_semi")
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_all")).join(F.broadcast(mine.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_own"))))
+    after = next_sources(mine, changed, now, fields).join(F.broadcast(top))
+    moved = after.withColumn("id", F.when(F.col("id") > F.col("_own"), F.col("id") - F.col("_own") + F.col("_all")).otherwise(F.col("id")))
+    return others.unionByName(moved.select(*columns))
+
+
 #: Parts in which the rows of one group are numbered side by side.
 RANGES = 256
 
