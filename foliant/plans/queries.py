@@ -228,6 +228,48 @@ def json_shred(spark, sf_dir):
     return r.select("item_key", "item_type", "citation_key", "title", "year", "doi", "library_name", F.get("tags", F.lit(0)).alias("tag"), F.size("collections").alias("n_collections"))
 
 
+#: Pages as the attachments of a library: of several kinds, with paths that are none, and some without keys.
+FILED = """SELECT page_id, '{{"key":"A' || CAST(page_id AS STRING) || '","version":' || CAST(page_id % 17 AS STRING) || ',"links":{{"enclosure":{{"href":"' || CASE WHEN page_id % 4 = 0 THEN url ELSE 'file:///f%20' || CAST(page_id AS STRING) || '.pdf' END || '"}}}},"data":{{"key":"' || CASE WHEN page_id % 11 = 0 THEN ' ' ELSE 'A' || CAST(page_id AS STRING) END || '","version":' || CAST(page_id AS STRING) || ',"parentItem":"' || CASE WHEN page_id % 5 = 0 THEN '' ELSE 'D' || CAST(page_id AS STRING) END || '","contentType":"' || CASE WHEN page_id % 3 = 0 THEN 'text/html' ELSE 'application/pdf' END || '","linkMode":"imported"}}}}' AS value FROM {pages}"""
+
+
+@query(f"""SELECT nullif(trim(value ->> '$.data.key'), '') AS item_key, nullif(value ->> '$.data.parentItem', '') AS parent_key, CASE WHEN page_id % 4 <> 0 THEN '/f ' || page_id || '.pdf' END AS path, value ->> '$.data.contentType' = 'application/pdf' AS pdf, CASE WHEN page_id % 11 = 0 THEN 'attachment without key' END AS error FROM {duck(FILED)}""")
+def json_attachments(spark, sf_dir):
+    return records.attachments(derived(spark, sf_dir, FILED)).select("item_key", "parent_key", "path", records.is_pdf(F.col("content_type")).alias("pdf"), "error")
+
+
+#: Parts as collections, some within others.
+KEPT_IN = """SELECT p_partkey, '{{"key":"C","data":{{"key":"C' || CAST(p_partkey AS STRING) || '","name":"' || p_name || '","parentCollection":' || CASE WHEN p_partkey % 3 = 0 THEN 'false' ELSE '"C' || CAST(p_size AS STRING) || '"' END || '}}}}' AS value FROM {part}"""
+
+
+@query(f"""SELECT 'C' || p_partkey AS collection_key, value ->> '$.data.name' AS name, CASE WHEN p_partkey % 3 <> 0 THEN value ->> '$.data.parentCollection' END AS parent_key, CAST(NULL AS VARCHAR) AS error FROM {duck(KEPT_IN)}""")
+def json_collections(spark, sf_dir):
+    return records.collections(derived(spark, sf_dir, KEPT_IN))
+
+
+#: Customers as groups, whose number stands in the record or in its data, or nowhere.
+GROUPED = """SELECT c_custkey, '{{' || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '"id":' || CAST(c_custkey AS STRING) || ',' END || '"data":{{' || CASE WHEN c_custkey % 6 = 0 THEN '' ELSE '"id":' || CAST(c_custkey + 7 AS STRING) || ',' END || '"name":"' || c_name || '"}}}}' AS value FROM {customer}"""
+
+
+@query(f"""SELECT CAST(coalesce(value ->> '$.id', value ->> '$.data.id') AS BIGINT) AS id, value ->> '$.data.name' AS name, CASE WHEN c_custkey % 12 = 0 THEN 'group without id' END AS error FROM {duck(GROUPED)}""")
+def json_groups(spark, sf_dir):
+    return records.groups(derived(spark, sf_dir, GROUPED))
+
+
+#: Orders as records whose fields come in several orders, with spaces and versions that do not count.
+HASHED = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '{{ "b": "' || o_orderpriority || '", "version": ' || CAST(o_custkey AS STRING) || ', "a": [1, {{"z": null, "y": ' || CAST(o_custkey AS STRING) || '}}] }}' WHEN 1 THEN '{{"version":7,"a":[1,{{"y":' || CAST(o_custkey AS STRING) || ',"z":null}}],"b":"' || o_orderpriority || '"}}' ELSE '{{"a":[1,{{"y":' || CAST(o_custkey AS STRING) || ',"z":null}}],"b":"' || o_orderpriority || '"}}' END AS value, o_custkey, o_orderpriority FROM {orders}"""
+
+
+@query(f"""SELECT o_orderkey, sha256('{{"a":[1,{{"y":' || o_custkey || ',"z":null}}],"b":"' || o_orderpriority || '"}}') AS hash FROM {duck(HASHED)}""")
+def record_hashes(spark, sf_dir):
+    return derived(spark, sf_dir, HASHED).select("o_orderkey", records.record_hash("value").alias("hash"))
+
+
+@query("SELECT doc_id, sha256(replace(replace(text, '{', ''), '}', '')) AS hash FROM (SELECT doc_id, '{' || replace(text, ' ', '} {') || '}' AS text FROM documents)")
+def titles_without_braces(spark, sf_dir):
+    braced = F.concat(F.lit("{"), F.replace("text", F.lit(" "), F.lit("} {")), F.lit("}"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.without_braces(braced), 256).alias("hash"))
+
+
 # keys
 
 RANKED = f"""{with_views('source')}, ord(library_id, position) AS (VALUES {ORDER}),
@@ -550,6 +592,17 @@ def spans_with_text(spark, sf_dir):
     return s.select("doc_id", F.size(spans.not_blank(F.col("s"))).alias("n"))
 
 
+@query(f"""WITH {DUCK_SPANS}, p AS (SELECT *, lag("right") OVER w AS px1, lag(top) OVER w AS py0, lag(bottom) OVER w AS py1 FROM spans WINDOW w AS (PARTITION BY doc_id, n ORDER BY i)),
+t AS (SELECT doc_id, n, string_agg(CASE WHEN px1 IS NULL THEN '' WHEN NOT (least(py1, bottom) - greatest(py0, top) > 0.5 * least(py1 - py0, bottom - top)) OR "left" - px1 < -greatest(py1 - py0, bottom - top) THEN chr(10) WHEN "left" - px1 < 0.15 * greatest(py1 - py0, bottom - top) THEN '' ELSE ' ' END || word, '' ORDER BY i) AS text FROM p GROUP BY doc_id, n)
+SELECT doc_id, sha256(string_agg(CASE WHEN n % 3 = 0 THEN 'plain ' || n ELSE text END, chr(10) ORDER BY n)) AS text FROM t GROUP BY doc_id""")
+def documents_of_spans(spark, sf_dir):
+    """Every line of words as a page, every third of which has no spans but a plain text."""
+    s = some_spans(spark, sf_dir).groupBy("doc_id", F.col("n").alias("index")).agg(F.array_sort(F.collect_list(F.struct("i", F.col("word").alias("text"), "left", "top", "right", "bottom"))).alias("s"))  # a page's spans
+    bare = F.col("index") % 3 == 0
+    pages = s.select("doc_id", F.lit("a").alias("backend"), "index", F.when(~bare, F.col("s")).alias("spans"), F.when(bare, F.concat(F.lit("plain "), F.col("index").cast("string"))).alias("plain"))
+    return spans.document_text(pages).select("doc_id", F.sha2("text", 256).alias("text"))
+
+
 #: The same words as another extractor sees them, some a little off, some far.
 MOVED = "doc_id, n, i, \"left\" + (n * 7 + i * 3) % 11 - 3 AS \"left\", top + (n + i) % 9 - 2 AS top"
 
@@ -612,6 +665,12 @@ def reference_counts(spark, sf_dir):
     return T.marker_hits(marked(spark, sf_dir)).groupBy("key").agg(F.count("*").alias("n_places"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+@query(f"WITH {HITS} SELECT * FROM hits WHERE line = 6 AND start <= 5 AND \"end\" >= 5")
+def markers_at(spark, sf_dir):
+    """What stands at a place of every document."""
+    return T.marker_at(T.marker_hits(marked(spark, sf_dir)), 6, 5)
+
+
 def partly_read(spark, sf_dir) -> DataFrame:
     """The documents, some of which have no text, and some of which are not there."""
     d = read(spark, sf_dir, "documents").filter("doc_id % 31 <> 3")
