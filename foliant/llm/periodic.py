@@ -293,3 +293,32 @@ def run_digest(found: DataFrame) -> DataFrame:
 
 def run_digest_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return run_digest(periodic_runs(with_planted_runs(docs)))
+
+
+def oracle(least: int = LEAST, times: int = TIMES, levels: int = 21) -> str:
+    """DuckDB SQL for run_digest_of() over documents, by another way: equal stretches of 2^k words get equal ranks, from those
+    of half the length; the next equal stretch of at least a period's length lies a period further in every run. Periods
+    found so are tried at every word. Periods up to 2^(levels - 1) words."""
+    bits = "list_reduce([xor(c, CAST(ascii(b) AS BIGINT))] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)"
+    crc = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda b: CAST(ascii(b) AS BIGINT)), lambda c, b: " + bits.replace("CAST(ascii(b) AS BIGINT)", "b") + "), 4294967295::BIGINT)"
+    ranks = ["k0 AS MATERIALIZED (SELECT r, i, dense_rank() OVER (ORDER BY w) AS k FROM words)"]
+    near = []
+    for n in range(1, levels):
+        half, size = 1 << (n - 1), 1 << n
+        ranks.append(f"k{n} AS MATERIALIZED (SELECT a.r, a.i, dense_rank() OVER (ORDER BY a.k, b.k) AS k FROM k{n - 1} a JOIN k{n - 1} b ON b.r = a.r AND b.i = a.i + {half})")
+        if size >= 8:
+            near.append(f"SELECT r, lead(i) OVER (PARTITION BY r, k ORDER BY i) - i AS q FROM k{n} QUALIFY q BETWEEN {half + 1 if size > 8 else 1} AND {size}")
+    return f"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {crc} AS h FROM documents),
+placed AS (SELECT r, doc_id, w, len(w) AS n, CASE WHEN doc_id IS NOT NULL AND h % 10 = 0 AND len(w) > 0 THEN h // 10 END AS g FROM texts),
+spread AS (SELECT r, w, n, unnest(range(n)) AS i, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM placed WHERE n > 0),
+words AS MATERIALIZED (SELECT r, i, w[CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END + 1] AS w FROM spread),
+{', '.join(ranks)},
+periods AS MATERIALIZED (SELECT DISTINCT r, q FROM ({' UNION ALL '.join(near)})),
+same AS (SELECT c.r, c.q, x.i, x.i - row_number() OVER (PARTITION BY c.r, c.q ORDER BY x.i) AS island FROM periods c JOIN words x ON x.r = c.r JOIN words y ON y.r = c.r AND y.i = x.i - c.q AND y.w = x.w),
+stretches AS (SELECT r, q, min(i) - q AS s, count(*) + q AS size FROM same GROUP BY r, q, island HAVING count(*) + q >= greatest({least}, {times} * q)),
+runs AS MATERIALIZED (SELECT * FROM stretches a WHERE NOT EXISTS (SELECT 1 FROM stretches b WHERE b.r = a.r AND b.q < a.q AND b.s <= a.s AND b.s + b.size >= a.s + a.size)),
+digests AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || size || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY size / CAST(q AS DOUBLE) DESC, s, q) = 1),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t FROM words x WHERE NOT EXISTS (SELECT 1 FROM runs y WHERE y.r = x.r AND x.i >= y.s + y.q AND x.i < y.s + y.size) GROUP BY r)
+SELECT p.doc_id, coalesce(d.n_runs, 0) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.size AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period, CAST(1000 * b.size // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(d.lines, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM placed p LEFT JOIN digests d USING (r) LEFT JOIN best b USING (r) LEFT JOIN kept k USING (r)"""

@@ -104,6 +104,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from foliant.llm import licenses, mixing, near_dup, topk, url_filter, vector_codes
+    from foliant.llm import licenses, mixing, near_dup, periodic, topk, url_filter, vector_codes
 
-    return {"op1_url_filter": url_filter.oracle(), "op3_mixing": mixing.oracle(), "op5_near_dup": near_dup.oracle(), "op8_top_k": topk.oracle(), "op9_licenses": licenses.oracle(), "op13_vector_codes": vector_codes.oracle()}
+    return {"op1_url_filter": url_filter.oracle(), "op3_mixing": mixing.oracle(), "op5_near_dup": near_dup.oracle(), "op8_top_k": topk.oracle(), "op9_licenses": licenses.oracle(), "op11_periodic_runs": periodic.oracle(), "op13_vector_codes": vector_codes.oracle()}

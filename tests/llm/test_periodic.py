@@ -136,3 +136,18 @@ def test_long_texts_and_other_columns(spark):
     assert [tuple(r) for r in b["runs"]] == [(0, 100_000, 1)] and b["collapsed"] == "w"
     with pytest.raises(ValueError, match="runs"):
         periodic_runs(docs.withColumn("runs", docs.start))
+
+
+def test_as_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from foliant.llm.periodic import oracle, run_digest_of
+
+    rng = random.Random(6)
+    texts = odd_texts() + [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 90))) for _ in range(120)]
+    rows = [(n, t) for n, t in enumerate(texts)] + [(None, texts[5]), (5, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.sql(oracle(levels=9))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, run_digest_of(spark, docs).select(*want.columns).collect()), key=key) == sorted(want.fetchall(), key=key)
