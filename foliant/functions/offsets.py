@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 import struct
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cache
 
