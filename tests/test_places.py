@@ -190,7 +190,7 @@ def test_near_boxes_in_rows(spark, monkeypatch, pairs):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 60
 
 
-@pytest.mark.parametrize("name", ["near_boxes", "bbox_union"])
+@pytest.mark.parametrize("name", ["near_boxes", "span_join", "spans_with_text", "bbox_union"])
 def test_spans_are_set_in_rows(spark, tmp_path, name):
     """No words are shuffled to set them, to join them or to find what is near them."""
     from foliant.plans.queries import QUERIES
