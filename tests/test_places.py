@@ -233,6 +233,14 @@ def test_window_agreement(spark):
     assert got == want and len(set(want.values())) > 5
 
 
+def test_windows_meet_in_a_row(spark):
+    """Two texts meet whole: no rows are made of their words, which were shuffled."""
+    from foliant.operators.wording import window_agreement
+
+    texts = spark.createDataFrame([(1, "x", "a b"), (1, "y", "a b")], "doc_id long, tool string, text string")
+    assert "Generate" not in window_agreement(texts)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_short_wordings_in_long_texts(spark, monkeypatch):
     from foliant.operators import wording
 
