@@ -85,3 +85,27 @@ def test_markers(spark):
     rows = T.marker_hits(spark.createDataFrame([(1, "@a @b"), (2, None), (3, "@a")], "doc_id long, text string"))
     assert T.marker_at(rows, 0, 2).filter("doc_id = 1").first()["key"] == "a"
     assert [(r["key"], r["doc_id"]) for r in T.references(rows).collect()] == [("a", 1), ("a", 3), ("b", 1)]
+
+
+def test_markers_are_those_of_one_expression(spark):
+    """Keys cut at signs are those that one expression with a look-behind finds, which is tried at every character of a line."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from foliant.functions.text import marker_hits, references
+
+    rng = random.Random(5)
+    rows = [(k, "".join(rng.choice("@@@ab_.-:\\é 1\n\U0001f600ⅷ²\r") for _ in range(rng.randrange(30)))) for k in range(400)] + [(900, "@"), (901, None), (902, "x @a@b @c_@d @@e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = r"(?<![\p{IsAlphabetic}\p{N}\\])@(\p{IsAlphabetic}(?:[\p{IsAlphabetic}\p{N}_\-:.]*[\p{IsAlphabetic}\p{N}_])?)"
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    want = lines.select("doc_id", "line", F.explode(F.regexp_extract_all("s", F.lit(one), F.lit(1))).alias("key"))
+    hits = marker_hits(docs)
+    got = hits.collect()
+    assert sorted((r["doc_id"], r["line"], r["key"]) for r in got) == sorted(map(tuple, want.collect())) and len(got) > 100
+    texts = dict(rows)
+    for r in got:
+        line = texts[r["doc_id"]].split("\n")[r["line"]].encode("utf-16-le")
+        assert line[2 * r["start"] : 2 * r["end"]].decode("utf-16-le") == "@" + r["key"]
+    assert references(hits)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 0
