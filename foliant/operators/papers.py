@@ -71,17 +71,20 @@ def project_files(found: DataFrame, files: DataFrame, entries: DataFrame) -> Dat
         df.write.parquet(f"{root}/{name}")
         return spark.read.parquet(f"{root}/{name}")
 
-    there = files.select("path").distinct()
-    edges = kept(links(found).select("path", F.col("target").alias("to")).filter("to is not null").distinct().join(there.withColumnRenamed("path", "to"), "to", "left_semi"), "links")
-    last = kept(entries.select("entry", F.col("entry").alias("path"), F.lit(0).alias("depth")).distinct().join(there, "path", "left_semi").select("entry", "path", "depth"), "0")
+    # Files are numbered, so that steps shuffle numbers and not paths.
+    there = kept(files.select("path").distinct().filter("path is not null").withColumn("n", F.monotonically_increasing_id()), "files")
+    targets = links(found).select("path", F.col("target").alias("to")).filter("to is not null").distinct()
+    edges = kept(targets.join(there.toDF("path", "a"), "path").join(there.toDF("to", "b"), "to").select("a", "b"), "links")
+    last = kept(entries.select(F.col("entry").alias("path")).distinct().join(there, "path").select(F.col("n").alias("entry"), F.col("n").alias("a"), F.lit(0).alias("depth")), "0")
     paths, depth = [f"{root}/0"], 0
     while not last.isEmpty():
         depth += 1
         seen = spark.read.schema(last.schema).parquet(*paths)
-        new = last.join(edges, "path").select("entry", F.col("to").alias("path"), F.lit(depth).alias("depth")).distinct()
-        last = kept(new.join(seen.select("entry", "path"), ["entry", "path"], "left_anti"), str(depth))
+        new = last.join(edges, "a").select("entry", F.col("b").alias("a"), F.lit(depth).alias("depth")).distinct()
+        last = kept(new.join(seen.select("entry", "a"), ["entry", "a"], "left_anti"), str(depth))
         paths.append(f"{root}/{depth}")
-    return spark.read.schema(last.schema).parquet(*paths)
+    rows = spark.read.schema(last.schema).parquet(*paths).join(there.toDF("path", "a"), "a").select(F.col("entry").alias("n"), "path", "depth")
+    return rows.join(there.toDF("entry", "n"), "n").select("entry", "path", "depth")
 
 
 def broken_links(found: DataFrame, files: DataFrame) -> DataFrame:

@@ -107,3 +107,12 @@ def test_random_graphs(spark):
         want |= {(e, n, d) for n, d in depth.items()}
     got = papers.project_files(papers.elements(files, "path"), files, spark.createDataFrame([(e,) for e in entries], "entry string"))
     assert set(map(tuple, got.collect())) == want and got.count() == len(want)
+
+
+def test_steps_shuffle_numbers(spark, tmp_path, monkeypatch):
+    """What the steps of a project's search keep and shuffle are numbers, not paths."""
+    monkeypatch.setattr(papers, "shared_folder", lambda *a: f"file://{tmp_path}/p")
+    files = spark.createDataFrame([("a.typ", '#include "b.typ"'), ("b.typ", '#include "a.typ"')], "path string, text string")
+    got = papers.project_files(papers.elements(files, "path"), files, files.selectExpr("path AS entry"))
+    assert sorted(map(tuple, got.collect())) == [("a.typ", "a.typ", 0), ("a.typ", "b.typ", 1), ("b.typ", "a.typ", 1), ("b.typ", "b.typ", 0)]
+    assert {t for _, t in spark.read.parquet(f"file://{tmp_path}/p/1").dtypes} == {"bigint", "int"}
