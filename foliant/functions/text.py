@@ -1,8 +1,8 @@
 """Text in its comparison form, citation markers, and small string functions.
 
-``normalize`` is the full rule set in Python, with the raw byte range of every output byte; ``comparison_form`` is the
-same rules as JVM expressions, exact for text that NFKC leaves alone and that has no capital sigma. ``compared`` is what
-operators use: the JVM form, and the full rules for the rows that need them; only these rows' texts reach Python.
+``normalize`` is the full rule set in Python, with the raw byte range of every output byte; ``form_of`` gives the form alone,
+by whole-string steps for text that NFKC leaves alone and that has no capital sigma. ``compared`` is what operators use: it
+takes Arrow batches of texts. ``comparison_form`` is the same rules as JVM expressions, for the short texts of arrays.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +97,27 @@ def normalize(raw: str) -> Normalized:
     return Normalized(text, bounds[behind].tolist(), bounds[behind + 1].tolist())
 
 
+#: Characters beyond these are left to ``normalize``, as in the JVM's test.
+SIMPLE = re.compile("[\x00-\x7f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\xff" + DASHES.replace("\u2011", "") + SINGLE_QUOTES + DOUBLE_QUOTES + "]*")
+#: What Python takes for white space and Unicode does not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_HYPHENATED = re.compile(f"-(?=[{re.escape(SPACES)}]*\n)[{re.escape(SPACES)}]+")
+_MARKS = [(c, "-") for c in DASHES] + [(c, "'") for c in SINGLE_QUOTES] + [(c, '"') for c in DOUBLE_QUOTES]
+
+
+def form_of(raw: str) -> str:
+    """The text that ``normalize`` gives."""
+    if _SEPARATORS.search(raw) or not raw.isascii() and not SIMPLE.fullmatch(raw):
+        return normalize(raw).text
+    text = raw.replace(SOFT_HYPHEN, "")
+    if "-" in text and "\n" in text:
+        text = _HYPHENATED.sub("", text)
+    if not text.isascii():
+        for mark, stand_in in _MARKS:
+            text = text.replace(mark, stand_in)
+    return " ".join(text.lower().split())
+
+
 NORMALIZED = T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))])
 
 
@@ -111,6 +133,11 @@ def normalize_text(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if x is None else normalize(x).text)
 
 
+@F.arrow_udf(T.StringType())
+def _forms_of(raw: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else form_of(x) for x in raw.to_pylist()], pa.string())
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def normalize_texts(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if x is None else [None if t is None else normalize(t).text for t in x])
@@ -136,7 +163,7 @@ def needs_full_rules(raw: Column) -> Column:
 def compared(raw: Column) -> Column:
     """The comparison form of any text."""
     _workers_know()
-    return F.coalesce(normalize_text(F.when(needs_full_rules(raw), raw)), comparison_form(raw))
+    return _forms_of(raw)
 
 
 def compared_each(raw: Column) -> Column:

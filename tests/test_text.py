@@ -109,3 +109,19 @@ def test_markers_are_those_of_one_expression(spark):
         line = texts[r["doc_id"]].split("\n")[r["line"]].encode("utf-16-le")
         assert line[2 * r["start"] : 2 * r["end"]].decode("utf-16-le") == "@" + r["key"]
     assert references(hits)._jdf.queryExecution().optimizedPlan().toString().count("(?<!") == 0
+
+
+@given(st.text(alphabet="aB- \n\t\x0b\x1c\x1f\x85\xa0É\xadß“–‑’ⅷΣ́", max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_form_by_whole_string_steps_is_the_full_form(raw):
+    assert T.form_of(raw) == T.normalize(raw).text
+
+
+@pytest.mark.parametrize("name", ["normalize_hash", "benchmark_markdown"])
+def test_texts_get_their_form_in_arrow_batches(spark, tmp_path, name):
+    """No whole text passes through the JVM's expressions for white space, one after the other."""
+    from foliant.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "a word\nof two", "en", "web", 13)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_forms_of(text" in plan and "translate(regexp_replace(text" not in plan
