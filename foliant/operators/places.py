@@ -61,13 +61,41 @@ def source_range(offsets: Column, compared: Column, position: Column, size: Colu
     return _source_range(F.when(fits, offsets), before, before + inside)
 
 
+def raw_range(form: tuple, position: int | None, size: int | None) -> tuple[int, int] | None:
+    """The raw bytes behind ``size`` characters from ``position`` of a comparison form and its ranges (``compared_ranges``)."""
+    compared, starts, ends = form
+    if position is None or size is None or position < 0 or size <= 0 or position + size > len(compared):
+        return None
+    i, j = position, position + size
+    if len(starts) != len(compared):
+        i = len(compared[:position].encode())
+        j = i + len(compared[position : position + size].encode())
+    return int(starts[i]), int(ends[j - 1])
+
+
 def raw_ranges(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """hits (doc_id, position, size, …: places in the comparison form of doc_id's text) with raw_start and raw_end, in
-    bytes of the raw text, and ``raw``, what stands there."""
-    found = hits.join(with_comparison(docs.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id")
-    rows = found.withColumn("_r", source_range(F.col("offsets"), F.col("compared"), F.col("position"), F.col("size")))
-    raw = F.decode(F.substring(F.encode("text", "UTF-8"), (F.col("_r.start") + 1).cast("int"), (F.col("_r.end") - F.col("_r.start")).cast("int")), "UTF-8")
-    return rows.select(*hits.columns, F.col("_r.start").alias("raw_start"), F.col("_r.end").alias("raw_end"), raw.alias("raw"))
+    bytes of the raw text, and ``raw``, what stands there. A hit meets its text once; hits of a document come one after the
+    other from the join, and the text gets its comparison form once for all of them."""
+    importable(hits.sparkSession)
+    found = hits.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id").select(*hits.columns, "_text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, form, raw = None, None, b""
+        for b in batches:
+            begins, stops, pieces = [], [], []
+            for text, position, size in zip(b.column("_text"), b.column("position").to_pylist(), b.column("size").to_pylist()):
+                if (text := text.as_py()) != last:
+                    last = text
+                    form, raw = (None, b"") if text is None else (compared_ranges(text), text.encode())
+                r = form and raw_range(form, position, size)
+                begins.append(r and r[0]), stops.append(r and r[1])
+                pieces.append(r and raw[r[0] : r[1]].decode())
+            own = [pa.array(begins, pa.int64()), pa.array(stops, pa.int64()), pa.array(pieces, pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], [*b.schema.names[:-1], "raw_start", "raw_end", "raw"])
+
+    schema = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in hits.schema]
+    return found.mapInArrow(work, ", ".join([*schema, "raw_start long, raw_end long, raw string"]))
 
 
 def quote_rows(quotes: DataFrame) -> DataFrame:

@@ -254,3 +254,14 @@ def test_short_wordings_in_long_texts(spark, monkeypatch):
     assert sorted(map(tuple, wording.find_wordings(docs, wordings).collect())) == want
     monkeypatch.setattr(wording, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, wording.find_wordings(docs, wordings).collect())) == want
+
+
+def test_raw_ranges_read_a_text_once(spark, tmp_path):
+    """A hit meets its text in one row, and neither hits nor forms are computed again for a filter or a semi join."""
+    from foliant.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "a word\nof two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["raw_ranges"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython") == 1
+    assert [tuple(r)[:4] for r in got.collect()] == [(1, 7, 7, 13)]
