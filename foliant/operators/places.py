@@ -8,6 +8,7 @@ not there or have no text, have no places; repeated quotes and documents are row
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from foliant.functions.approx import FUZZY, most_errors, near_windows, plain_places
 from foliant.functions.offsets import OffsetMap, compared_ranges, offset_map
-from foliant.functions.text import normalize
+from foliant.functions.text import form_of
 from foliant.workers import importable
 
 A_ROW = 128
@@ -99,13 +100,22 @@ def raw_ranges(hits: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quote_rows(quotes: DataFrame) -> DataFrame:
-    """doc_id and quotes (quote_id, quote, before), at most about ``A_ROW`` of them in a row."""
-    q = quotes.filter("quote_id is not null and doc_id is not null and quote <> ''").select("doc_id", F.struct(F.col("quote_id").cast("long").alias("quote_id"), "quote", F.coalesce("before", F.lit("")).alias("before")).alias("q"))
+    """doc_id and quotes (quote_id, quote, before, and hint if there is one), at most about ``A_ROW`` of them in a row."""
+    before = F.coalesce("before", F.lit("")) if "before" in quotes.columns else F.lit("")
+    own = [F.col("quote_id").cast("long").alias("quote_id"), "quote", before.alias("before"), *(c for c in ("hint",) if c in quotes.columns)]
+    q = quotes.filter("quote_id is not null and doc_id is not null and quote <> ''").select("doc_id", F.struct(*own).alias("q"))
     sizes = q.groupBy("doc_id").agg(F.ceil(F.count("*") / A_ROW).alias("rows"))
     dealt = q.join(sizes, "doc_id").withColumn("row", F.pmod(F.xxhash64("q"), F.col("rows")))
     return dealt.groupBy("doc_id", "row").agg(F.collect_list("q").alias("quotes")).drop("row")
 
 
+def goes_before(text: str, at: int, before: str) -> bool:
+    """Whether what stands before a place ends with something, spaces at the ends left out."""
+    while at and text[at - 1] == " ":
+        at -= 1
+    return text.endswith(before, 0, at)
+
+
 def places_in(text: str, quotes: list[dict], share: float = FUZZY, raw: bool = True) -> Iterator[tuple]:
     """The places of a text's quotes, each with its state; a quote has places of one state, the best there are."""
     form: tuple | None = None
@@ -115,21 +125,23 @@ def places_in(text: str, quotes: list[dict], share: float = FUZZY, raw: bool = T
             byte = at = 0
             for i in exact:
                 byte, at = byte + len(text[at:i].encode()), i
-                yield q["quote_id"], "exact", 0, i, i + len(quote), byte, byte + len(quote.encode()), text[:i].rstrip(" ").endswith(before.rstrip(" "))
+                yield q["quote_id"], "exact", 0, i, i + len(quote), byte, byte + len(quote.encode()), goes_before(text, i, before.rstrip(" "))
             continue
         form = form or compared_ranges(text)
         compared, starts, ends = form
-        wanted = normalize(quote).text
+        wanted = form_of(quote)
         if not wanted or not compared:
             continue
         found = [("normalized", 0, i, i + len(wanted)) for i in plain_places(compared, wanted)]
         if not found and share:
             found = [("fuzzy", d, a, b) for a, b, d in near_windows(compared, wanted, most_errors(len(wanted), share))]
-        context = normalize(before).text
+        context = form_of(before)
         ascii_ = len(starts) == len(compared)
-        for state, errors, a, b in found:
-            i, j = (a, b) if ascii_ else (len(compared[:a].encode()), len(compared[:b].encode()))
-            yield q["quote_id"], state, errors, a, b, int(starts[i]), int(ends[j - 1]), compared[:a].rstrip(" ").endswith(context)
+        byte = at = 0
+        for state, errors, a, b in found:  # by place
+            byte, at = byte + (a - at if ascii_ else len(compared[at:a].encode())), a
+            j = byte + (b - a if ascii_ else len(compared[a:b].encode()))
+            yield q["quote_id"], state, errors, a, b, int(starts[byte]), int(ends[j - 1]), goes_before(compared, a, context)
 
 
 def places(docs: DataFrame, quotes: DataFrame, share: float = FUZZY, raw: bool = True) -> DataFrame:
@@ -142,7 +154,7 @@ def places(docs: DataFrame, quotes: DataFrame, share: float = FUZZY, raw: bool =
     fits: whether the text before the place ends with ``before``.
     """
     importable(docs.sparkSession)
-    asked = quote_rows(quotes if "before" in quotes.columns else quotes.withColumn("before", F.lit("")))
+    asked = quote_rows(quotes)
     rows = asked.join(docs.select("doc_id", "text").filter("text <> ''"), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quotes")
     names = [c.split()[0] for c in PLACE.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
@@ -167,28 +179,39 @@ def chosen(places: DataFrame) -> DataFrame:
 # pages
 
 
-def joined_pages(pages: DataFrame) -> DataFrame:
-    """doc_id, text (the pages in order, a line feed between two) and pages: page, label, and the byte where it starts."""
-    p = pages.select("doc_id", F.struct("page", "label", F.coalesce("text", F.lit("")).alias("text")).alias("p"))
-    docs = p.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("p"))  # one document's pages
-    sizes = F.transform("p", lambda x: F.octet_length(x["text"]).cast("long") + 1)
-    ends = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
-    starts = F.transform("p", lambda x, i: F.struct(x["page"].alias("page"), x["label"].alias("label"), F.get(F.col("ends"), i).alias("start")))
-    return docs.withColumn("ends", ends).select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"), starts.alias("pages"))
+ON = "quote_id long, doc_id long, state string, errors int, raw_start long, raw_end long, first_page {page}, last_page {page}, named boolean"
 
 
-def pages_of(pages: Column, start: Column, end: Column) -> Column:
-    """The pages that raw bytes start to end are on: those that begin before the end, from the last that begins at the start
-    or before it. A page of no text holds nothing."""
-    first = F.array_max(F.transform(F.filter(pages, lambda p: p["start"] <= start), lambda p: p["start"]))
-    return F.filter(pages, lambda p: (p["start"] >= first) & (p["start"] < end))
+def on_pages(pages: DataFrame, quotes: DataFrame, share: float = FUZZY) -> DataFrame:
+    """Every place of each quote (quote_id, doc_id, quote, hint) in its document, the pages in a row with a line feed between
+    two: state, errors, raw_start, raw_end, first_page, last_page, and named, whether the hint is the label of one of these
+    pages. A document's pages come together once and meet its quotes there; a page of no text holds nothing."""
+    importable(pages.sparkSession)
+    p = pages.select("doc_id", F.struct("page", "label", F.coalesce("text", F.lit("")).alias("text")).alias("p"))
+    docs = p.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("pages"))  # one document's pages
+    rows = quote_rows(quotes).join(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "pages", "quotes")
+    names, kinds = [c.split()[0] for c in ON.split(", ")], {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    known = [kinds.get(c.split()[1]) for c in ON.split(", ")]
+
+    def placed(doc_id: int, pages: list[dict], asked: list[dict]) -> Iterator[tuple]:
+        starts = [0]
+        for x in pages:
+            starts.append(starts[-1] + len(x["text"].encode()) + 1)
+        starts.pop()
+        text = "\n".join(x["text"] for x in pages)
+        numbered = [{**q, "quote_id": k} for k, q in enumerate(asked)]
+        for k, state, errors, _, _, start, end, _ in places_in(text, numbered, share, False) if text else ():
+            # Those that begin before the end, from the last that begins at the start or before it.
+            on = pages[bisect_right(starts, start) - 1 : bisect_left(starts, end)]
+            hint = asked[k]["hint"]
+            named = hint is not None and any(x["label"] == hint for x in on)
+            yield asked[k]["quote_id"], doc_id, state, errors, start, end, on[0]["page"], on[-1]["page"], named
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            types = [t or b.column("pages").type.value_type.field("page").type for t in known]
+            for doc_id, pages, asked in zip(b.column("doc_id").to_pylist(), b.column("pages"), b.column("quotes")):
+                if out := list(placed(doc_id, pages.as_py(), asked.as_py())):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-def on_pages(pages: DataFrame, quotes: DataFrame, share: float = FUZZY) -> DataFrame:
-    """Every place of each quote (quote_id, doc_id, quote, hint) in its document, the pages in a row: state, errors,
-    raw_start, raw_end, first_page, last_page, and named, whether the hint is the label of one of these pages."""
-    docs = joined_pages(pages)
-    found = places(docs, quotes, share, raw=False).join(docs.select("doc_id", "pages"), "doc_id").join(quotes.select("quote_id", "hint"), "quote_id")
-    on = found.withColumn("on", pages_of(F.col("pages"), F.col("raw_start"), F.col("raw_end")))
-    page = lambda k: F.element_at("on", k)["page"]
-    return on.select("quote_id", "doc_id", "state", "errors", "raw_start", "raw_end", page(1).alias("first_page"), page(-1).alias("last_page"), F.coalesce(F.exists("on", lambda p: p["label"] == F.col("hint")), F.lit(False)).alias("named"))
+    return rows.mapInArrow(work, ON.format(page=pages.schema["page"].dataType.simpleString()))

@@ -265,3 +265,21 @@ def test_raw_ranges_read_a_text_once(spark, tmp_path):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 2 and plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython") == 1
     assert [tuple(r)[:4] for r in got.collect()] == [(1, 7, 7, 13)]
+
+
+@pytest.mark.parametrize("name", ["quotes_verified", "quotes_across_pages"])
+def test_pages_come_together_once(spark, tmp_path, name):
+    from foliant.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "a word\nof two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(p#") == 1
+
+
+def test_hints_of_the_quotes_of_a_page(spark):
+    from foliant.operators.places import on_pages
+
+    p = spark.createDataFrame([(1, 5, "v", "é x  y"), (1, 7, None, "z-"), (1, 9, "ix", "w é x")], "doc_id long, page long, label string, text string")
+    q = spark.createDataFrame([(1, 1, "y zw", "ix"), (2, 1, "É X", "v"), (3, 1, "x", None)], "quote_id long, doc_id long, quote string, hint string")
+    got = rows(on_pages(p, q).select("quote_id", "raw_start", "raw_end", "first_page", "last_page", "named"), "quote_id", "raw_start")
+    assert got == [(1, 6, 12, 5, 9, True), (2, 0, 4, 5, 5, True), (2, 13, 17, 9, 9, False), (3, 3, 4, 5, 5, False), (3, 16, 17, 9, 9, False)]
