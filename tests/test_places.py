@@ -283,3 +283,22 @@ def test_hints_of_the_quotes_of_a_page(spark):
     q = spark.createDataFrame([(1, 1, "y zw", "ix"), (2, 1, "É X", "v"), (3, 1, "x", None)], "quote_id long, doc_id long, quote string, hint string")
     got = rows(on_pages(p, q).select("quote_id", "raw_start", "raw_end", "first_page", "last_page", "named"), "quote_id", "raw_start")
     assert got == [(1, 6, 12, 5, 9, True), (2, 0, 4, 5, 5, True), (2, 13, 17, 9, 9, False), (3, 3, 4, 5, 5, False), (3, 16, 17, 9, 9, False)]
+
+
+def test_quotes_get_their_form_by_whole_strings(monkeypatch):
+    """No steps over the characters of simple quotes, no copies of the text before a place, no expression compiled for a quote."""
+    import re
+
+    from foliant.operators import places as P
+
+    def none(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(P, "normalize", none, raising=False)
+    monkeypatch.setattr(re, "finditer", none)
+    text = "É  a b " * 3 + "wind-\nmill"
+    got = list(P.places_in(text, [{"quote_id": 1, "quote": "É a", "before": "b"}, {"quote_id": 2, "quote": "b É", "before": " a "}, {"quote_id": 3, "quote": "WINDMILL", "before": ""}]))
+    assert [(r[0], r[1], *r[3:]) for r in got] == [
+        (1, "normalized", 0, 3, 0, 5, False), (1, "normalized", 6, 9, 8, 13, True), (1, "normalized", 12, 15, 16, 21, True),
+        (2, "exact", 5, 8, 6, 10, True), (2, "exact", 12, 15, 14, 18, True), (3, "normalized", 18, 26, 24, 34, True),
+    ]
