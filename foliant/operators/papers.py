@@ -94,6 +94,12 @@ def broken_links(found: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def project_usage(found: DataFrame, members: DataFrame) -> DataFrame:
-    """key, entry, n and n_files: how often each project cites a key, over all its files."""
-    cited = found.filter("kind in ('citation', 'quote') and value is not null").select("path", F.col("value").alias("key"))
-    return members.select("entry", "path").join(cited, "path").groupBy("key", "entry").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
+    """key, entry, n and n_files: how often each project cites a key, over all its files. members: entry and path, each once.
+
+    A file's keys are counted once, in a row, however many projects it belongs to; what is shuffled by project is a row for
+    each member.
+    """
+    cited = found.filter("kind in ('citation', 'quote') and value is not null").groupBy("path", F.col("value").alias("key")).agg(F.count("*").alias("n"))
+    files = cited.groupBy("path").agg(F.collect_list(F.struct("key", "n")).alias("cited"))  # one file's keys
+    rows = members.select("entry", "path").join(files, "path").select("entry", "cited").repartition("entry")
+    return rows.select("entry", F.explode("cited").alias("c")).groupBy("c.key", "entry").agg(F.sum("c.n").alias("n"), F.count("*").alias("n_files"))

@@ -116,3 +116,15 @@ def test_steps_shuffle_numbers(spark, tmp_path, monkeypatch):
     got = papers.project_files(papers.elements(files, "path"), files, files.selectExpr("path AS entry"))
     assert sorted(map(tuple, got.collect())) == [("a.typ", "a.typ", 0), ("a.typ", "b.typ", 1), ("b.typ", "a.typ", 1), ("b.typ", "b.typ", 0)]
     assert {t for _, t in spark.read.parquet(f"file://{tmp_path}/p/1").dtypes} == {"bigint", "int"}
+
+
+def test_usage_shuffles_a_row_for_each_member(spark):
+    """Files bring their keys counted in a row; projects never see a row for each citation, nor count distinct paths."""
+    from foliant.operators import papers
+
+    found = spark.createDataFrame([("a", "citation", "k")] * 3 + [("a", "quote", "l"), ("b", "citation", "k"), ("b", "citation", None), ("b", "heading", "k")], "path string, kind string, value string")
+    members = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "b"), ("q", "c")], "entry string, path string")
+    got = papers.project_usage(found, members)
+    assert sorted(map(tuple, got.collect())) == [("k", "p", 4, 2), ("k", "q", 1, 1), ("l", "p", 1, 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan.lower() and plan.index("Generate") < plan.index("Join")
