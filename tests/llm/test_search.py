@@ -96,6 +96,26 @@ def test_low_recall_is_answered_exactly(spark, vectors, monkeypatch, block):
     assert same > 0.999  # equal but for scores that differ in their last bits
 
 
+def test_no_wider_search_that_costs_more_than_all(spark, vectors, monkeypatch):
+    calls, search = [], ann.greedy_search
+    monkeypatch.setattr(ann, "greedy_search", lambda *a: calls.append(a[6]) or search(*a))
+    some = vectors.filter("vec_id < 200")
+    got = lists(ann.nearest(some, 10, 20, ann.Settings(links=1, sample=1, rounds=0, steps=0, again=3)).collect())
+    assert len(set(calls)) == 1 and len(calls) <= 2, calls  # in the query's own shell, and in the others
+    assert all(len(v) == 10 for v in got.values())
+
+
+def test_ids_below_zero(spark):
+    x = np.random.default_rng(8).normal(size=(90, 8))
+    df = spark.createDataFrame([(n - 60, v.tolist()) for n, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = lists(ann.nearest(df, 5, 20).collect())
+    assert sorted(got) == [-60, -40, -20, 0, 20]
+    for q, own in got.items():
+        score = x @ x[q + 60]
+        score[q + 60] = -np.inf
+        assert [i + 60 for i, _ in own] == np.argsort(-score)[:5].tolist()
+
+
 def test_lengths_that_differ_much(spark):
     """Vectors of many directions whose lengths are log-normal: every query has its 20, whichever way they are found."""
     rng = np.random.default_rng(1)
