@@ -15,7 +15,8 @@
 5. Members of nodes that are still large at the last level, or whose sets are too many bytes for one task, are branched
    once more, by tokens of their full sets: each goes to one node for every one of its rarest tokens, as many as a
    partner must share at least one of. Of two partners the smaller needs fewer, so documents that only have a common
-   passage meet nowhere. What meets there in different components is confirmed on the full sets; this step is exact.
+   passage meet nowhere. What meets there in different components is compared by bitmaps of the full sets, which bound
+   how many tokens two sets do not share, and what is left confirmed on the full sets; this step is exact.
    So a link is only left untested if its two ends are known to be in one component already, or if no tree brought
    them together.
 
@@ -46,6 +47,8 @@ HEAVY = 1 << 22
 COUNTS = 1 << 20
 #: Members that index a token in one block; more of them make more blocks.
 BLOCK = 2048
+#: Bits of a set's bitmap.
+BITS = 1024
 #: Sketches that agree on fewer of their tokens are no candidates: at a similarity of 0.75 that is 4.6 deviations off.
 AGREE = 32
 #: Rows of ids (32 bytes each) that may be broadcast; beyond it the join shuffles.
@@ -327,6 +330,12 @@ def need(x, y, percent: int):
     return -(-percent * (x + y) // (100 + percent))
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """Of each of BITS classes of tokens, whether the set holds an odd number. Two sets' bitmaps differ in no more bits than
+    there are tokens that only one of them holds."""
+    return np.packbits((np.bincount((mix(h ^ _MULT[0]) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
+
+
 def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(COUNTS, np.int64)
     for batch in batches:
@@ -343,12 +352,13 @@ def rarest(frequent, percent: int):
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = frequent.value
         for batch in batches:
-            tokens, owner, place, found = [], [], [], []
+            tokens, owner, place, found, bits = [], [], [], [], np.zeros((batch.num_rows, BITS // 8), np.uint8)
             for k, x in enumerate(batch.column("hashes")):
                 h = np.frombuffer(x.as_buffer(), np.uint64)
                 n = len(h)
                 if not n:
                     continue
+                bits[k] = bitmap(h)
                 looks, shown = n + percent * n // -100 + 1, n - int(need(n, n, percent)) + 1
                 h = h[np.lexsort((h, count[(h % np.uint64(COUNTS)).astype(np.int64)]))[:looks]]
                 tokens.append(h.view(np.int64))
@@ -357,7 +367,7 @@ def rarest(frequent, percent: int):
                 found.append(np.arange(len(h)) < shown)
             if tokens:
                 who = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *(batch.column(c).take(who) for c in ("fp", "root", "n")), pa.array(np.concatenate(place)), pa.array(np.concatenate(found))], ["token", "fp", "root", "n", "place", "shown"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *(batch.column(c).take(who) for c in ("fp", "root", "n")), pa.array(np.concatenate(place)), pa.array(np.concatenate(found)), _binary(bits).take(who)], ["token", "fp", "root", "n", "place", "shown", "bits"])
 
     return branch
 
@@ -386,12 +396,17 @@ def meeting(percent: int):
                     held = [pa.concat_tables(held).combine_chunks()]
                 shown = held[0]
                 (na, pa_, ra), (nb, pb, rb) = ([p[c].to_numpy() for c in ("n", "place", "of")] for p in (shown, part))
+                sa, sb = (_matrix(p["bits"].combine_chunks(), "<u8") for p in (shown, part))
                 for at in range(0, len(nb), SMALL):  # bounds the matrix
                     m, q, r = (x[at : at + SMALL, None] for x in (nb, pb, rb))
                     j, i = np.nonzero((ra != r) & (na <= m) & (100 * na >= percent * m) & (np.minimum(na - pa_, m - q) >= need(na, m, percent)))
-                    if len(j):
-                        out = pa.table({"a": part["fp"].slice(at, SMALL).take(pa.array(j)), "b": shown["fp"].take(pa.array(i))})
-                        yield from out.combine_chunks().to_batches()
+                    for c in range(0, len(j), 1 << 16):
+                        u, v = at + j[c : c + (1 << 16)], i[c : c + (1 << 16)]
+                        apart = np.bitwise_count(sb[u] ^ sa[v]).sum(1, dtype=np.int64)
+                        fits = apart <= na[v] + nb[u] - 2 * need(na[v], nb[u], percent)
+                        if fits.any():
+                            out = pa.table({"a": part["fp"].take(pa.array(u[fits])), "b": shown["fp"].take(pa.array(v[fits]))})
+                            yield from out.combine_chunks().to_batches()
 
     return meet
 
@@ -403,10 +418,10 @@ def led_by_rarest(members: DataFrame, sets: DataFrame, percent: int, scratch: Sc
     seen = held.select("hashes").mapInArrow(lean(token_counts), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     count = np.zeros(COUNTS, np.int64)
     count[seen["bucket"].to_numpy()] = seen["n"].to_numpy()
-    rows = scratch(held.mapInArrow(lean(rarest(spark.sparkContext.broadcast(count), percent)), "token long, fp binary, root binary, n long, place int, shown boolean"), "rarest")
+    rows = scratch(held.mapInArrow(lean(rarest(spark.sparkContext.broadcast(count), percent)), "token long, fp binary, root binary, n long, place int, shown boolean, bits binary"), "rarest")
     several = rows.groupBy("token").agg(F.count_if("shown").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y and size > 0")
     rows = rows.join(several.select("token", "size"), "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    columns = ["token", "fp", F.xxhash64("root").alias("of"), "n", "place"]
+    columns = ["token", "fp", F.xxhash64("root").alias("of"), "n", "place", "bits"]
     shown = rows.filter("shown").select(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("looks"), *columns)
     looks = rows.select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("looks"), *columns)
     return shown.union(looks)
@@ -544,7 +559,10 @@ def classified(docs: DataFrame, k: int, percent: int, result: Scratch) -> DataFr
         sets = full_sets(wide.select("fp"), reps, docs, k, scratch)
         late.append(scratch(confirmed(scratch(branched_by_rarest(wide, sets, percent, scratch), "pairs"), sets, percent), "links"))
     if late and not union(late).isEmpty():
-        roots = components(union([links, *late]), scratch)
+        # Only components and what joins them take part again, however many links these had.
+        ends = union(late).join(rooted.select(F.col("fp").alias("a"), F.col("root").alias("x")), "a").join(rooted.select(F.col("fp").alias("b"), F.col("root").alias("y")), "b")
+        above = components(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), scratch).toDF("root", "top")
+        roots = rooted.select(F.col("fp").alias("v"), "root").join(above, "root", "left").select("v", F.coalesce("top", "root").alias("root"))
 
     joined = reps.select("fp", "doc_id").join(roots.withColumnRenamed("v", "fp"), "fp")
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -88,6 +88,26 @@ def test_a_common_passage_makes_no_pairs(spark, monkeypatch, block):
         assert all(rows[2 * n][0] <= 2.6 * rows[n][0] and rows[2 * n][1] <= 2.6 * rows[n][1] and rows[2 * n][2] <= 2.6 * rows[n][2] for n in (500, 1000)), rows
 
 
+def test_sets_that_meet_but_differ_make_no_pairs(spark):
+    """A group of copies that have drifted apart meets at its rarest tokens; bitmaps leave only what is nearly a link."""
+    ship(spark)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(rng.choice(base, 150, replace=False)) for _ in range(80)]
+    sets += [np.unique(np.append(x[: 149 - k], rng.integers(0, 1 << 63, k, dtype=np.uint64))) for k, x in enumerate(sets[:22])]
+    names = [k.to_bytes(16, "big") for k in range(len(sets))]
+    held = spark.createDataFrame([(f, x.tobytes()) for f, x in zip(names, sets)], "fp binary, hashes binary")
+    members = spark.createDataFrame([(f, f, len(x)) for f, x in zip(names, sets)], "fp binary, root binary, n long")
+    scratch = Scratch(spark)
+    pairs = near_dup.branched_by_rarest(members, held, 75, scratch)
+    made, got = pairs.count(), {(bytes(r["a"]), bytes(r["b"])) for r in near_dup.confirmed(pairs, held, 75).collect()}
+    plain = [set(x.tolist()) for x in sets]
+    alike = {(i, j): len(plain[i] & plain[j]) / len(plain[i] | plain[j]) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    assert got == {(names[i], names[j]) for (i, j), x in alike.items() if x >= 0.75} and len(got) >= 18
+    assert made <= sum(x >= 0.65 for x in alike.values()) < len(alike) / 4, made
+    scratch.drop()
+
+
 def test_clashing_names(spark):
     """Columns named like the outputs and like what the operator adds."""
     text = "one two three four five six seven"
