@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from foliant.functions.approx import FUZZY, most_errors, near_windows, plain_places
 from foliant.functions.offsets import OffsetMap, compared_ranges, offset_map
@@ -23,6 +25,8 @@ from foliant.functions.text import form_of
 from foliant.workers import importable
 
 A_ROW = 128
+#: Rows of a batch that goes back; a batch a document would cost more than what is in it.
+BACK = 4096
 PLACE = "quote_id long, doc_id long, state string, errors int, position long, end long, raw_start long, raw_end long, fits boolean"
 #: How good a place is, the best first.
 STATES = ("exact", "normalized", "fuzzy")
@@ -144,6 +148,12 @@ def places_in(text: str, quotes: list[dict], share: float = FUZZY, raw: bool = T
             yield q["quote_id"], state, errors, a, b, int(starts[byte]), int(ends[j - 1]), goes_before(compared, a, context)
 
 
+def batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of ``BACK``."""
+    while some := list(islice(rows, BACK)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names)
+
+
 def places(docs: DataFrame, quotes: DataFrame, share: float = FUZZY, raw: bool = True) -> DataFrame:
     """Every place of each quote (quote_id, doc_id, quote, and before if there is one) in its document.
 
@@ -153,26 +163,54 @@ def places(docs: DataFrame, quotes: DataFrame, share: float = FUZZY, raw: bool =
     are places. Without ``raw`` nothing counts as exact, and all places in the comparison form are normalized.
     fits: whether the text before the place ends with ``before``.
     """
+
+    def every(text: str, asked: list[dict]) -> Iterator[tuple]:
+        return places_in(text, asked, share, raw)
+
+    return _placed(docs, quotes, every, PLACE)
+
+
+def best_places(docs: DataFrame, quotes: DataFrame, share: float = FUZZY) -> DataFrame:
+    """Of each quote the place that ``chosen`` takes, with ``n``, how many places there are; a repeated quote has a row each
+    time. Places never leave the worker, so a short quote that stands everywhere costs one row."""
+
+    def best(text: str, asked: list[dict]) -> Iterator[tuple]:
+        numbered = [{**q, "quote_id": k} for k, q in enumerate(asked)]
+        for k, found in groupby(places_in(text, numbered, share), lambda p: p[0]):
+            n, first, key = 0, None, None
+            for p in found:
+                n, own = n + 1, (not p[7], p[3], p[4])
+                if key is None or own < key:
+                    first, key = p, own
+            yield asked[k]["quote_id"], *first[1:], n
+
+    return _placed(docs, quotes, best, f"{PLACE}, n long")
+
+
+def _placed(docs: DataFrame, quotes: DataFrame, find, schema: str) -> DataFrame:
+    """What find(text, quotes) gives for each row of quotes, with the doc_id after the quote_id."""
     importable(docs.sparkSession)
     asked = quote_rows(quotes)
     rows = asked.join(docs.select("doc_id", "text").filter("text <> ''"), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quotes")
-    names = [c.split()[0] for c in PLACE.split(", ")]
+    names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
-    types = [kinds[c.split()[1]] for c in PLACE.split(", ")]
+    types = [kinds[c.split()[1]] for c in schema.split(", ")]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for doc_id, text, asked in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("quotes")):
-                if out := [(q, doc_id, *rest) for q, *rest in places_in(text.as_py(), asked.as_py(), share, raw)]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                for q, *rest in find(text.as_py(), asked.as_py()):
+                    yield q, doc_id, *rest
 
-    return rows.mapInArrow(work, PLACE)
+    return rows.mapInArrow(lambda batches: batched(found(batches), names, types), schema)
 
 
 def chosen(places: DataFrame) -> DataFrame:
-    """The place of each quote: of its places the first whose text before fits, else the first, and how many there are."""
+    """The place of each quote: of its places the first whose text before fits, else the first, and how many there are (the
+    sum of ``n``, if there is one)."""
     one = F.struct("position", "end", "raw_start", "raw_end", "state", "errors")
-    best = places.groupBy("quote_id", "doc_id").agg(F.min_by(one, F.struct((~F.col("fits")).alias("a"), "position", "end")).alias("p"), F.count("*").alias("n_places"))
+    n = F.sum("n") if "n" in places.columns else F.count("*")
+    best = places.groupBy("quote_id", "doc_id").agg(F.min_by(one, F.struct((~F.col("fits")).alias("a"), "position", "end")).alias("p"), n.alias("n_places"))
     return best.select("quote_id", "doc_id", "p.state", "p.errors", "p.position", "p.end", "p.raw_start", "p.raw_end", "n_places")
 
 
@@ -193,25 +231,25 @@ def on_pages(pages: DataFrame, quotes: DataFrame, share: float = FUZZY) -> DataF
     names, kinds = [c.split()[0] for c in ON.split(", ")], {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
     known = [kinds.get(c.split()[1]) for c in ON.split(", ")]
 
-    def placed(doc_id: int, pages: list[dict], asked: list[dict]) -> Iterator[tuple]:
+    def placed(doc_id: int, pages: pa.StructArray, asked: list[dict]) -> Iterator[tuple]:
+        numbers, labels, parts = (pages.field(c).to_pylist() for c in ("page", "label", "text"))
         starts = [0]
-        for x in pages:
-            starts.append(starts[-1] + len(x["text"].encode()) + 1)
+        for x in parts:
+            starts.append(starts[-1] + len(x.encode()) + 1)
         starts.pop()
-        text = "\n".join(x["text"] for x in pages)
+        text = "\n".join(parts)
         numbered = [{**q, "quote_id": k} for k, q in enumerate(asked)]
         for k, state, errors, _, _, start, end, _ in places_in(text, numbered, share, False) if text else ():
             # Those that begin before the end, from the last that begins at the start or before it.
-            on = pages[bisect_right(starts, start) - 1 : bisect_left(starts, end)]
+            on = slice(bisect_right(starts, start) - 1, bisect_left(starts, end))
             hint = asked[k]["hint"]
-            named = hint is not None and any(x["label"] == hint for x in on)
-            yield asked[k]["quote_id"], doc_id, state, errors, start, end, on[0]["page"], on[-1]["page"], named
+            named = hint is not None and hint in labels[on]
+            yield asked[k]["quote_id"], doc_id, state, errors, start, end, numbers[on][0], numbers[on][-1], named
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            types = [t or b.column("pages").type.value_type.field("page").type for t in known]
             for doc_id, pages, asked in zip(b.column("doc_id").to_pylist(), b.column("pages"), b.column("quotes")):
-                if out := list(placed(doc_id, pages.as_py(), asked.as_py())):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                yield from placed(doc_id, pages.values, asked.as_py())
 
-    return rows.mapInArrow(work, ON.format(page=pages.schema["page"].dataType.simpleString()))
+    kind = to_arrow_type(pages.schema["page"].dataType)
+    return rows.mapInArrow(lambda batches: batched(found(batches), names, [t or kind for t in known]), ON.format(page=pages.schema["page"].dataType.simpleString()))

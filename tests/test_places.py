@@ -302,3 +302,27 @@ def test_quotes_get_their_form_by_whole_strings(monkeypatch):
         (1, "normalized", 0, 3, 0, 5, False), (1, "normalized", 6, 9, 8, 13, True), (1, "normalized", 12, 15, 16, 21, True),
         (2, "exact", 5, 8, 6, 10, True), (2, "exact", 12, 15, 14, 18, True), (3, "normalized", 18, 26, 24, 34, True),
     ]
+
+
+def test_a_short_quote_comes_as_one_row(spark):
+    """However often it stands there; repeated quotes have a row each time, and their places add up."""
+    from foliant.operators import places
+
+    docs = spark.createDataFrame([(1, "de " * 500 + "fin"), (2, "a b")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(7, 1, "de", "fin "), (7, 1, "de", "fin "), (8, 1, "fin", "de "), (9, 2, "zz", "")], "quote_id long, doc_id long, quote string, before string")
+    rows = places.best_places(docs, quotes).collect()
+    assert sorted((r["quote_id"], r["position"], r["n"]) for r in rows) == [(7, 0, 500), (7, 0, 500), (8, 1500, 1)]
+    columns = ["quote_id", "doc_id", "state", "errors", "position", "end", "raw_start", "raw_end", "n_places"]
+    want = places.chosen(places.places(docs, quotes)).select(*columns).collect()
+    assert sorted(places.chosen(places.best_places(docs, quotes)).select(*columns).collect()) == sorted(want)
+
+
+def test_places_go_back_in_few_batches():
+    """Not in one for each document."""
+    import pyarrow as pa
+
+    from foliant.operators import places
+
+    got = list(places.batched(((n, str(n)) for n in range(10_000)), ["a", "b"], [pa.int64(), pa.string()]))
+    assert [b.num_rows for b in got] == [4096, 4096, 1808] and got[2].column("b")[-1].as_py() == "9999"
+    assert list(places.batched(iter(()), ["a"], [pa.int64()])) == []
