@@ -212,3 +212,28 @@ def test_sparse_terms(spark):
     for q in range(0, 700, 100):
         want = sorted((-sum(w * d.get(t, 0) for t, w in flat[q].items()), i) for i, d in flat.items() if i != q)[:5]
         assert got[q] == [(i, -s) for s, i in want]
+
+
+def test_a_search_keeps_one_state(spark, vectors, monkeypatch):
+    """What a step has written and shuffled goes before the next one's is added to it."""
+    live, most = set(), []
+
+    class Watched(ann.Scratch):
+        def __call__(self, df, name):
+            out = super().__call__(df, name)
+            if name == "state":
+                live.add(self.paths[-1])
+                most.append(len(live))
+            return out
+
+        def inner(self):
+            self.parts.append(Watched(self.spark))
+            return self.parts[-1]
+
+        def drop(self):
+            live.difference_update(self.paths)
+            super().drop()
+
+    monkeypatch.setattr(ann, "Scratch", Watched)
+    got = ann.nearest(vectors.filter("vec_id < 300"), 5, 20, ann.Settings(links=8, sample=4, recall=0.0)).collect()
+    assert got and len(most) > 3 and max(most) == 2 and not live
